@@ -1,3 +1,236 @@
-"""Registered queries."""
+"""Registered queries: fairness audit."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import round_doubles
+from ..operators import fairness as FA
+from ..roles import NUMERICAL_FEATURES
+from ..sources.tables import cand, with_cand
+from .metrics_q import AGE_GROUP_SQL, with_age_group
+from .registry import register
+
+ATTRS = ["gender", "age_group"]
+
+SCORED_CTE = f"""scored AS (
+  SELECT *, {AGE_GROUP_SQL} AS age_group,
+         CAST(salary >= (SELECT median(salary) FROM cand) AS INTEGER) AS y_bin,
+         CAST(predicted_salary >= (SELECT median(salary) FROM cand) AS INTEGER) AS p_bin
+  FROM cand)"""
+
+LONG_CTE = """long AS (
+  SELECT 'gender' AS attribute, CAST(gender AS VARCHAR) AS "group", salary, predicted_salary, y_bin, p_bin FROM scored
+  UNION ALL
+  SELECT 'age_group', CAST(age_group AS VARCHAR), salary, predicted_salary, y_bin, p_bin FROM scored)"""
+
+RATES_CTE = """rates AS (
+  SELECT attribute, "group", count(*) AS count,
+         avg(CAST(p_bin AS DOUBLE)) AS selection_rate,
+         coalesce(CAST(sum(p_bin * y_bin) AS DOUBLE) / nullif(sum(y_bin), 0), 0.0) AS tpr,
+         coalesce(CAST(sum(p_bin * (1 - y_bin)) AS DOUBLE) / nullif(sum(1 - y_bin), 0), 0.0) AS fpr,
+         avg(predicted_salary) AS mean_predicted, avg(salary) AS mean_actual,
+         avg(abs(predicted_salary - salary)) AS mae,
+         avg((predicted_salary - salary) * (predicted_salary - salary)) AS mse,
+         sqrt(avg((predicted_salary - salary) * (predicted_salary - salary))) AS rmse,
+         avg(predicted_salary) - avg(salary) AS bias
+  FROM long GROUP BY attribute, "group" HAVING "group" IS NOT NULL)"""
+
+DISP_CTE = """disp AS (
+  SELECT attribute, count(*) AS n_groups,
+         max(selection_rate) - min(selection_rate) AS dp_difference,
+         min(selection_rate) / nullif(max(selection_rate), 0) AS dp_ratio,
+         greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS eo_difference,
+         least(min(tpr) / nullif(max(tpr), 0), min(fpr) / nullif(max(fpr), 0)) AS eo_ratio,
+         max(mean_predicted) - min(mean_predicted) AS mean_prediction_difference
+  FROM rates GROUP BY attribute)"""
+
+
+def _fair(spark, sf):
+    return FA.fairness_metrics(with_age_group(cand(spark, sf)), ATTRS)
+
+
+@register("fairness_group_rates", with_cand("""
+SELECT attribute, "group", count,
+       round(selection_rate, 4) AS selection_rate, round(tpr, 4) AS tpr, round(fpr, 4) AS fpr,
+       round(mean_predicted, 4) AS mean_predicted, round(mean_actual, 4) AS mean_actual,
+       round(mae, 4) AS mae, round(mse, 4) AS mse, round(rmse, 4) AS rmse, round(bias, 4) AS bias
+FROM rates""", SCORED_CTE, LONG_CTE, RATES_CTE), ops=("A7", "A8", "A9", "A10"))
+def fairness_group_rates(spark, sf):
+    rates, _ = _fair(spark, sf)
+    return round_doubles(rates)
+
+
+@register("demographic_parity", with_cand("""
+SELECT attribute, n_groups, round(dp_difference, 4) AS dp_difference, round(dp_ratio, 4) AS dp_ratio,
+       round(eo_difference, 4) AS eo_difference, round(eo_ratio, 4) AS eo_ratio,
+       round(mean_prediction_difference, 4) AS mean_prediction_difference,
+       dp_ratio >= 0.8 AS four_fifths_pass
+FROM disp""", SCORED_CTE, LONG_CTE, RATES_CTE, DISP_CTE), ops=("A7", "A8", "A9", "A11", "A12"))
+def demographic_parity(spark, sf):
+    _, disp = _fair(spark, sf)
+    return round_doubles(disp)
+
+
+@register("equalized_odds_gender", with_cand("""
+SELECT attribute, round(eo_difference, 4) AS eo_difference, round(eo_ratio, 4) AS eo_ratio
+FROM disp WHERE attribute = 'gender'""", SCORED_CTE, LONG_CTE, RATES_CTE, DISP_CTE), ops=("A9",))
+def equalized_odds_gender(spark, sf):
+    df = cand(spark, sf)
+    rates = FA.group_rates(FA.binarize(df, FA.median_threshold(df)), ["gender"])
+    return round_doubles(FA.disparities(rates).select("attribute", "eo_difference", "eo_ratio"))
+
+
+STATUS_SQL = """
+SELECT attribute,
+       CASE WHEN abs(dp_difference) > 0.1 OR abs(mean_prediction_difference) > 50000 THEN 'WARNING'
+            WHEN abs(dp_difference) > 0.05 OR abs(mean_prediction_difference) > 20000 THEN 'REVIEW'
+            ELSE 'PASS' END AS status,
+       round(dp_difference, 4) AS dp_difference,
+       round(mean_prediction_difference, 4) AS mean_prediction_difference,
+       list_filter([
+         CASE WHEN NOT (abs(dp_difference) <= 0.05 AND abs(mean_prediction_difference) <= 20000)
+              THEN 'Review ' || attribute || ' fairness: DP difference = ' || printf('%.3f', dp_difference) END,
+         CASE WHEN abs(dp_difference) > 0.1 THEN 'Consider post-processing calibration for ' || attribute END],
+         lambda x: x IS NOT NULL) AS recommendations
+FROM disp"""
+
+
+@register("fairness_status", with_cand(STATUS_SQL, SCORED_CTE, LONG_CTE, RATES_CTE, DISP_CTE),
+          ops=("A13",))
+def fairness_status(spark, sf):
+    _, disp = _fair(spark, sf)
+    st = FA.fairness_status(disp)
+    return round_doubles(st.select("attribute", "status", "dp_difference",
+                                   "mean_prediction_difference", "recommendations"))
+
+
+@register("fairness_overall_status", with_cand("""
+SELECT CASE WHEN count(*) = 0 THEN 'UNKNOWN'
+            WHEN max(CASE WHEN status <> 'PASS' THEN 1 ELSE 0 END) = 1 THEN 'REVIEW'
+            ELSE 'PASS' END AS overall_status,
+       count(*) AS n_attributes
+FROM st""", SCORED_CTE, LONG_CTE, RATES_CTE, DISP_CTE, f"st AS ({STATUS_SQL})"), ops=("A13",))
+def fairness_overall_status(spark, sf):
+    _, disp = _fair(spark, sf)
+    return FA.overall_status(FA.fairness_status(disp)).select("overall_status", "n_attributes")
+
+
+@register("audit_cube", with_cand(f"""
+SELECT gender, age_group, CAST(GROUPING(gender, age_group) AS BIGINT) AS grouping_id,
+       count(*) AS count,
+       round(avg(predicted_salary), 4) AS mean_predicted, round(avg(salary), 4) AS mean_actual,
+       round(avg(abs(predicted_salary - salary)), 4) AS mae,
+       round(sqrt(avg((predicted_salary - salary) * (predicted_salary - salary))), 4) AS rmse,
+       round(avg(predicted_salary) - avg(salary), 4) AS bias
+FROM (SELECT *, {AGE_GROUP_SQL} AS age_group FROM cand) t
+GROUP BY CUBE (gender, age_group)"""), ops=("A6",))
+def audit_cube(spark, sf):
+    return round_doubles(FA.audit_cube(with_age_group(cand(spark, sf)), ATTRS))
+
+
+@register("mean_match_gender", with_cand("""
+SELECT gender, count(*) AS count, round(avg(predicted_salary), 4) AS mean_before,
+       round(avg(calibrated), 4) AS mean_after
+FROM (SELECT c.gender, c.predicted_salary,
+             c.predicted_salary + (SELECT avg(predicted_salary) FROM cand) - g.gmean AS calibrated
+      FROM cand c JOIN (SELECT gender, avg(predicted_salary) AS gmean FROM cand GROUP BY gender) g
+      ON c.gender = g.gender) t
+GROUP BY gender"""), ops=("A16", "J5"))
+def mean_match_gender(spark, sf):
+    mm = FA.mean_match(cand(spark, sf).select("gender", "predicted_salary"),
+                       "predicted_salary", "gender")
+    return round_doubles(mm.groupBy("gender").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("predicted_salary").alias("mean_before"),
+        F.avg("calibrated").alias("mean_after")))
+
+
+MITIG_SQL_PARTS = []
+for _a in ATTRS:
+    for _stage, _col in (("before", "predicted_salary"), ("after", "cal")):
+        MITIG_SQL_PARTS.append(f"""
+SELECT '{_a}' AS attribute, '{_stage}' AS stage,
+       round(max(sr) - min(sr), 4) AS dp_difference,
+       round(min(sr) / nullif(max(sr), 0), 4) AS dp_ratio,
+       round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 4) AS eo_difference,
+       round(least(min(tpr) / nullif(max(tpr), 0), min(fpr) / nullif(max(fpr), 0)), 4) AS eo_ratio,
+       round((SELECT avg(abs({_col} - salary)) FROM m_{_a}), 4) AS overall_mae,
+       round((SELECT avg(({_col} - salary) * ({_col} - salary)) FROM m_{_a}), 4) AS overall_mse
+FROM (SELECT g, avg(CAST(pb AS DOUBLE)) AS sr,
+             coalesce(CAST(sum(pb * yb) AS DOUBLE) / nullif(sum(yb), 0), 0.0) AS tpr,
+             coalesce(CAST(sum(pb * (1 - yb)) AS DOUBLE) / nullif(sum(1 - yb), 0), 0.0) AS fpr
+      FROM (SELECT {_a} AS g, CAST(salary >= (SELECT median(salary) FROM cand) AS INTEGER) AS yb,
+                   CAST({_col} >= (SELECT median(salary) FROM cand) AS INTEGER) AS pb FROM m_{_a}) x
+      GROUP BY g) r""")
+
+MITIG_CTES = [f"""m_{a} AS (
+  SELECT s.*, s.predicted_salary + (SELECT avg(predicted_salary) FROM scored) - gm.gmean AS cal
+  FROM scored s JOIN (SELECT {a} AS k, avg(predicted_salary) AS gmean FROM scored
+                      WHERE {a} IS NOT NULL GROUP BY {a}) gm ON s.{a} = gm.k)""" for a in ATTRS]
+
+
+@register("mitigation_comparison", with_cand(
+    "\nUNION ALL\n".join(MITIG_SQL_PARTS), SCORED_CTE, *MITIG_CTES), ops=("A16", "A18"))
+def mitigation_comparison(spark, sf):
+    df = with_age_group(cand(spark, sf))
+    return round_doubles(FA.mitigation_comparison(df, ATTRS))
+
+
+@register("anova_proxy_gender", with_cand(" UNION ALL ".join(f"""
+SELECT 'gender' AS protected, '{f}' AS feature, count(*) AS k, sum(n) AS "N",
+       count(*) - 1 AS df_between, sum(n) - count(*) AS df_within,
+       round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1))
+             / nullif(sum(ss) / (sum(n) - count(*)), 0), 4) AS f_statistic
+FROM (SELECT gender, count(*) AS n, avg(CAST({f} AS DOUBLE)) AS m,
+             var_pop(CAST({f} AS DOUBLE)) * count(*) AS ss
+      FROM cand WHERE {f} IS NOT NULL AND gender IS NOT NULL GROUP BY gender) g,
+     (SELECT avg(CAST({f} AS DOUBLE)) AS gm FROM cand WHERE {f} IS NOT NULL AND gender IS NOT NULL) o
+""" for f in NUMERICAL_FEATURES).replace('sum(n) AS "N"', 'CAST(sum(n) AS BIGINT) AS "N"')
+   .replace("sum(n) - count(*) AS df_within", "CAST(sum(n) - count(*) AS BIGINT) AS df_within")),
+    ops=("A14",))
+def anova_proxy_gender(spark, sf):
+    return round_doubles(FA.anova_by_group(cand(spark, sf), "gender", list(NUMERICAL_FEATURES)))
+
+
+@register("pearson_proxy_age", with_cand(" UNION ALL ".join(f"""
+SELECT 'age' AS protected, '{f}' AS feature,
+       round(corr(CAST(age AS DOUBLE), CAST({f} AS DOUBLE)), 4) AS correlation,
+       abs(corr(CAST(age AS DOUBLE), CAST({f} AS DOUBLE))) > 0.3 AS is_proxy
+FROM cand""" for f in NUMERICAL_FEATURES)), ops=("A15",))
+def pearson_proxy_age(spark, sf):
+    return round_doubles(FA.pearson_proxies(cand(spark, sf), "age", list(NUMERICAL_FEATURES)))
+
+
+@register("quantile_match_gender", None, ops=("A17",))
+def quantile_match_gender(spark, sf):
+    qm = FA.quantile_match(cand(spark, sf).select("gender", "predicted_salary"),
+                           "predicted_salary", "gender")
+    return round_doubles(qm.groupBy("gender").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("predicted_salary").alias("mean_before"),
+        F.avg("calibrated").alias("mean_after")))
+
+
+@register("fairness_export", with_cand("""
+SELECT 'group' AS section, attribute, "group", NULL::VARCHAR AS status, count,
+       round(mean_predicted, 2) AS mean_predicted, round(mae, 2) AS mae, round(bias, 2) AS bias,
+       NULL::DOUBLE AS dp_difference
+FROM rates
+UNION ALL
+SELECT 'attribute', attribute, NULL, status, NULL, NULL, NULL, NULL, round(dp_difference, 2)
+FROM (""" + STATUS_SQL + """) s""", SCORED_CTE, LONG_CTE, RATES_CTE, DISP_CTE), ops=("S11",))
+def fairness_export(spark, sf):
+    rates, disp = _fair(spark, sf)
+    st = FA.fairness_status(disp)
+    g = rates.select(F.lit("group").alias("section"), "attribute", "group",
+                     F.lit(None).cast("string").alias("status"), "count",
+                     F.round("mean_predicted", 2).alias("mean_predicted"),
+                     F.round("mae", 2).alias("mae"), F.round("bias", 2).alias("bias"),
+                     F.lit(None).cast("double").alias("dp_difference"))
+    a = st.select(F.lit("attribute").alias("section"), "attribute",
+                  F.lit(None).cast("string").alias("group"), "status",
+                  F.lit(None).cast("bigint").alias("count"),
+                  F.lit(None).cast("double").alias("mean_predicted"),
+                  F.lit(None).cast("double").alias("mae"),
+                  F.lit(None).cast("double").alias("bias"),
+                  F.round("dp_difference", 2).alias("dp_difference"))
+    return g.unionByName(a)

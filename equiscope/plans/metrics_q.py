@@ -13,7 +13,7 @@ from .registry import register
 AGE_GROUP_SQL = """CASE WHEN age > 20 AND age <= 30 THEN '20-30'
             WHEN age > 30 AND age <= 40 THEN '30-40'
             WHEN age > 40 AND age <= 50 THEN '40-50'
-            WHEN age > 50 AND age <= 65 THEN '50-65' END"""
+            WHEN age > 50 AND age <= 65 THEN '50+' END"""
 
 R2_SQL = """CASE WHEN count(salary) < 2 THEN NULL
             WHEN var_pop(salary) * count(salary) = 0 THEN

@@ -50,7 +50,7 @@ EXP_BUCKET_LABELS = ("0", "0-2", "2-5", "5-10", "10-15", "15+")
 EDA_EXP_BIN_EDGES = (0, 2, 5, 10, 15, 30)
 EDA_EXP_BIN_LABELS = ("0-2", "2-5", "5-10", "10-15", "15+")
 AGE_GROUP_EDGES = (20, 30, 40, 50, 65)
-AGE_GROUP_LABELS = ("20-30", "30-40", "40-50", "50-65")
+AGE_GROUP_LABELS = ("20-30", "30-40", "40-50", "50+")
 
 # Ordinal maps; unmapped values become NULL.
 EDUCATION_ORDINAL = {"High School": 0, "Bachelor": 1, "Master": 2, "PhD": 3}
