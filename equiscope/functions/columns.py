@@ -63,12 +63,20 @@ def js_round(c: str | Column) -> Column:
     return F.floor(col(c) + dlit(0.5))
 
 
+def rnd(c: str | Column, digits: int = 4) -> Column:
+    """Round half up as floor(x·10^d + 0.5)/10^d: plain IEEE arithmetic, so any
+    engine given the same double returns the same double (``round`` differs
+    between engines on ties of the decimal expansion)."""
+    s = float(10 ** digits)
+    return F.floor(col(c) * dlit(s) + dlit(0.5)) / dlit(s)
+
+
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every floating column (the query layer's last step, T20)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
+            out.append(rnd(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, cut, dlit, in_flag, js_round, log1p_guarded, map_values
+from ..functions.columns import rnd, col, cut, dlit, in_flag, js_round, log1p_guarded, map_values
 from ..roles import (COMPANY_SIZE_ORDINAL, COMPANY_SIZES, DEFAULT_EMPLOYMENT_TYPE,
                      DEFAULT_INTERVIEW_SCORE, EDUCATION_ORDINAL, EMPLOYMENT_TYPES,
                      EXP_BUCKET_EDGES, EXP_BUCKET_LABELS, FALLBACK_CONFIDENCE, FALLBACK_RMSE,
@@ -197,9 +197,9 @@ def compact_amount(c: str | Column) -> Column:
     ``format_number`` is half-even, so the value is rounded with ``round`` first.
     """
     x = col(c)
-    return (F.when(x >= dlit(1e7), F.concat(F.lit("₹"), F.format_number(F.round(x / dlit(1e7), 1), 1), F.lit(" Cr")))
-             .when(x >= dlit(1e5), F.concat(F.lit("₹"), F.format_number(F.round(x / dlit(1e5), 1), 1), F.lit(" L")))
-             .otherwise(F.concat(F.lit("₹"), F.format_number(F.round(x, 0), 0))))
+    return (F.when(x >= dlit(1e7), F.concat(F.lit("₹"), F.format_number(rnd(x / dlit(1e7), 1), 1), F.lit(" Cr")))
+             .when(x >= dlit(1e5), F.concat(F.lit("₹"), F.format_number(rnd(x / dlit(1e5), 1), 1), F.lit(" L")))
+             .otherwise(F.concat(F.lit("₹"), F.format_number(rnd(x, 0), 0))))
 
 
 def truncate_label(c: str | Column, n: int = 25) -> Column:

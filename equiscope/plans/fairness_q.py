@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import round_doubles
+from ..functions.columns import rnd, round_doubles
 from ..operators import fairness as FA
 from ..roles import NUMERICAL_FEATURES
 from ..sources.tables import cand, with_cand
@@ -223,8 +223,8 @@ def fairness_export(spark, sf):
     st = FA.fairness_status(disp)
     g = rates.select(F.lit("group").alias("section"), "attribute", "group",
                      F.lit(None).cast("string").alias("status"), "count",
-                     F.round("mean_predicted", 2).alias("mean_predicted"),
-                     F.round("mae", 2).alias("mae"), F.round("bias", 2).alias("bias"),
+                     rnd("mean_predicted", 2).alias("mean_predicted"),
+                     rnd("mae", 2).alias("mae"), rnd("bias", 2).alias("bias"),
                      F.lit(None).cast("double").alias("dp_difference"))
     a = st.select(F.lit("attribute").alias("section"), "attribute",
                   F.lit(None).cast("string").alias("group"), "status",
@@ -232,5 +232,5 @@ def fairness_export(spark, sf):
                   F.lit(None).cast("double").alias("mean_predicted"),
                   F.lit(None).cast("double").alias("mae"),
                   F.lit(None).cast("double").alias("bias"),
-                  F.round("dp_difference", 2).alias("dp_difference"))
+                  rnd("dp_difference", 2).alias("dp_difference"))
     return g.unionByName(a)
