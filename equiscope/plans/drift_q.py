@@ -1,3 +1,219 @@
-"""Registered queries."""
+"""Registered queries: drift."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import round_doubles
+from ..operators import drift as DR
+from ..roles import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
+from ..sources.sampling import hash_sample
+from ..sources.tables import cand, table, with_cand
+from .registry import register
+
+CUTOFF = "1998-01-01"
+
+
+def ref_cur(spark, sf):
+    c = cand(spark, sf)
+    is_ref = F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz")
+    return c.where(is_ref), c.where(~is_ref)
+
+
+NUM = list(NUMERICAL_FEATURES)
+CAT = list(CATEGORICAL_FEATURES)
+
+LONG_NUM_CTE = f"""lnum AS (
+  UNPIVOT (SELECT CASE WHEN o_orderdate < TIMESTAMP '{CUTOFF}' THEN 0 ELSE 1 END AS side,
+                  {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM)} FROM cand)
+  ON {", ".join(NUM)} INTO NAME feature VALUE x)"""
+
+LONG_CAT_CTE = f"""lcat AS (
+  UNPIVOT (SELECT CASE WHEN o_orderdate < TIMESTAMP '{CUTOFF}' THEN 0 ELSE 1 END AS side,
+                  {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CAT)} FROM cand)
+  ON {", ".join(CAT)} INTO NAME feature VALUE category)"""
+
+
+def psi_num_sql(own: bool) -> str:
+    key = "feature, side" if own else "feature"
+    join = "USING (feature, side)" if own else "USING (feature)"
+    return f"""
+rng AS (SELECT {key}, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+               CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+        FROM lnum GROUP BY {key}),
+cnt AS (SELECT feature, side, CAST(least(floor((x - lo) * (CAST(10 AS DOUBLE) / (hi - lo))), 9) AS INTEGER) AS bin,
+               count(*) AS c
+        FROM lnum JOIN rng {join} GROUP BY ALL),
+sz AS (SELECT feature, side, count(*) AS n FROM lnum GROUP BY ALL),
+grid AS (SELECT DISTINCT feature, CAST(b.range AS INTEGER) AS bin FROM sz, range(10) b),
+sh AS (SELECT g.feature, g.bin,
+              coalesce(e.c, 0) / es.n AS e0, coalesce(a.c, 0) / cs.n AS a0
+       FROM grid g
+       LEFT JOIN cnt e ON e.feature = g.feature AND e.bin = g.bin AND e.side = 0
+       LEFT JOIN cnt a ON a.feature = g.feature AND a.bin = g.bin AND a.side = 1
+       JOIN sz es ON es.feature = g.feature AND es.side = 0
+       JOIN sz cs ON cs.feature = g.feature AND cs.side = 1),
+psi AS (SELECT feature, sum((CASE WHEN a0 = 0 THEN 0.0001 ELSE a0 END - CASE WHEN e0 = 0 THEN 0.0001 ELSE e0 END)
+                         * ln(CASE WHEN a0 = 0 THEN 0.0001 ELSE a0 END / CASE WHEN e0 = 0 THEN 0.0001 ELSE e0 END)) AS psi
+        FROM sh GROUP BY feature)"""
+
+
+KS_CTES = """kc AS (SELECT feature, x, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS r,
+                       sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS c FROM lnum GROUP BY feature, x),
+krun AS (SELECT feature,
+                sum(r) OVER w / sum(r) OVER (PARTITION BY feature) AS fr,
+                sum(c) OVER w / sum(c) OVER (PARTITION BY feature) AS fc,
+                sum(r) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature) AS m
+         FROM kc WINDOW w AS (PARTITION BY feature ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ks AS (SELECT feature, max(abs(fr - fc)) AS ks_statistic, CAST(max(n) AS BIGINT) AS n_ref,
+              CAST(max(m) AS BIGINT) AS n_cur FROM krun GROUP BY feature)"""
+
+PSI_CAT_CTES = """ccnt AS (SELECT feature, side, category, count(*) AS c FROM lcat GROUP BY ALL),
+csz AS (SELECT feature, side, count(*) AS n FROM lcat GROUP BY ALL),
+cp AS (SELECT feature, side, category, c / n AS prop FROM ccnt JOIN csz USING (feature, side)),
+cj AS (SELECT coalesce(e.feature, a.feature) AS feature, coalesce(e.prop, 0.0001) AS e, coalesce(a.prop, 0.0001) AS a
+       FROM (SELECT * FROM cp WHERE side = 0) e
+       FULL OUTER JOIN (SELECT * FROM cp WHERE side = 1) a ON e.feature = a.feature AND e.category = a.category),
+cpsi AS (SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM cj GROUP BY feature)"""
+
+CHI2_CTES = """cells AS (SELECT feature, CAST(side AS VARCHAR) AS "row", category AS col, count(*) AS o FROM lcat GROUP BY ALL),
+rt AS (SELECT feature, "row", sum(o) AS rt FROM cells GROUP BY ALL),
+ct AS (SELECT feature, col, sum(o) AS ct FROM cells GROUP BY ALL),
+dims AS (SELECT feature, sum(o) AS "N", count(DISTINCT "row") AS nr, count(DISTINCT col) AS nc FROM cells GROUP BY feature),
+full_t AS (SELECT rt.feature, rt.rt, ct.ct, coalesce(c.o, 0) AS o, d."N", d.nr, d.nc
+           FROM rt JOIN ct USING (feature) LEFT JOIN cells c ON c.feature = rt.feature AND c."row" = rt."row" AND c.col = ct.col
+           JOIN dims d ON d.feature = rt.feature),
+chi AS (SELECT feature, sum(power(abs(o - rt * ct / "N") - CASE WHEN (nr - 1) * (nc - 1) = 1
+                                 THEN least(0.5, abs(o - rt * ct / "N")) ELSE 0 END, 2) / (rt * ct / "N")) AS chi2_statistic,
+               CAST(max((nr - 1) * (nc - 1)) AS BIGINT) AS dof
+        FROM full_t GROUP BY feature)"""
+
+
+@register("psi_numeric_shared", with_cand("SELECT feature, round(psi, 4) AS psi FROM psi",
+                                          LONG_NUM_CTE, psi_num_sql(False)), ops=("A20",))
+def psi_numeric_shared(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.psi_numeric(DR._long_numeric(r, c, NUM), edges="shared"))
+
+
+@register("psi_numeric_own_edges", with_cand("SELECT feature, round(psi, 4) AS psi FROM psi",
+                                             LONG_NUM_CTE, psi_num_sql(True)), ops=("A20",))
+def psi_numeric_own_edges(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.psi_numeric(DR._long_numeric(r, c, NUM), edges="own"))
+
+
+@register("psi_categorical", with_cand("SELECT feature, round(psi, 4) AS psi FROM cpsi",
+                                       LONG_CAT_CTE, PSI_CAT_CTES), ops=("A21", "J4", "U1"))
+def psi_categorical(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.psi_categorical(DR._long_categorical(r, c, CAT)))
+
+
+@register("ks_statistic", with_cand("SELECT feature, round(ks_statistic, 4) AS ks_statistic, n_ref, n_cur FROM ks",
+                                    LONG_NUM_CTE, KS_CTES), ops=("A22",))
+def ks_statistic(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.ks_statistic(DR._long_numeric(r, c, NUM)))
+
+
+@register("chi2_two_sample", with_cand("SELECT feature, round(chi2_statistic, 4) AS chi2_statistic, dof FROM chi",
+                                       LONG_CAT_CTE, CHI2_CTES), ops=("A23",))
+def chi2_two_sample(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.chi2_two_sample(DR._long_categorical(r, c, CAT)))
+
+
+@register("chi2_paired_orders", """
+WITH cells AS (
+  SELECT 'priority~status' AS feature, a.o_orderpriority AS "row", b.o_orderstatus AS col, count(*) AS o
+  FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey GROUP BY ALL),
+rt AS (SELECT feature, "row", sum(o) AS rt FROM cells GROUP BY ALL),
+ct AS (SELECT feature, col, sum(o) AS ct FROM cells GROUP BY ALL),
+dims AS (SELECT feature, sum(o) AS "N", count(DISTINCT "row") AS nr, count(DISTINCT col) AS nc FROM cells GROUP BY feature),
+full_t AS (SELECT rt.feature, rt.rt, ct.ct, coalesce(c.o, 0) AS o, d."N", d.nr, d.nc
+           FROM rt JOIN ct USING (feature) LEFT JOIN cells c ON c.feature = rt.feature AND c."row" = rt."row" AND c.col = ct.col
+           JOIN dims d ON d.feature = rt.feature)
+SELECT feature, round(sum(power(abs(o - rt * ct / "N") - CASE WHEN (nr - 1) * (nc - 1) = 1
+                         THEN least(0.5, abs(o - rt * ct / "N")) ELSE 0 END, 2) / (rt * ct / "N")), 4) AS chi2_statistic,
+       CAST(max((nr - 1) * (nc - 1)) AS BIGINT) AS dof
+FROM full_t GROUP BY feature""", ops=("A23", "J3", "U3"))
+def chi2_paired_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    a = o.select("o_orderkey", "o_orderpriority")
+    b = o.select("o_orderkey", "o_orderstatus")
+    aligned = a.join(b, "o_orderkey")  # row alignment on the key (J3)
+    return round_doubles(DR.chi2_paired(aligned, "o_orderpriority", "o_orderstatus",
+                                        feature="priority~status"))
+
+
+@register("drift_report_stats", with_cand("""
+SELECT feature, 'numerical' AS kind, round(psi, 4) AS psi, round(ks_statistic, 4) AS ks_statistic,
+       NULL::DOUBLE AS chi2_statistic,
+       CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.1 THEN 'moderate' ELSE 'low' END AS drift_level,
+       round(greatest(psi, ks_statistic), 4) AS drift_score
+FROM psi JOIN ks USING (feature) WHERE n_ref >= 10 AND n_cur >= 10
+UNION ALL
+SELECT feature, 'categorical', round(psi, 4), NULL, round(chi2_statistic, 4),
+       CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.1 THEN 'moderate' ELSE 'low' END,
+       round(psi, 4)
+FROM cpsi JOIN chi USING (feature)""", LONG_NUM_CTE, LONG_CAT_CTE, psi_num_sql(False)[1:], KS_CTES,
+    PSI_CAT_CTES, CHI2_CTES), ops=("A24",))
+def drift_report_stats(spark, sf):
+    r, c = ref_cur(spark, sf)
+    num = DR.numeric_drift_stats(r, c, NUM).select(
+        "feature", F.lit("numerical").alias("kind"), "psi", "ks_statistic",
+        F.lit(None).cast("double").alias("chi2_statistic"), "drift_level",
+        F.greatest("psi", "ks_statistic").alias("drift_score"))
+    cat = DR.categorical_drift_stats(r, c, CAT).select(
+        "feature", F.lit("categorical").alias("kind"), "psi",
+        F.lit(None).cast("double").alias("ks_statistic"), "chi2_statistic", "drift_level",
+        F.col("psi").alias("drift_score"))
+    return round_doubles(num.unionByName(cat))
+
+
+@register("drift_report", None, ops=("A24",))
+def drift_report(spark, sf):
+    r, c = ref_cur(spark, sf)
+    per, _summary = DR.drift_report(spark, r, c, NUM, CAT)
+    return round_doubles(per)
+
+
+@register("drift_summary", with_cand("""
+SELECT round(avg(s), 4) AS overall_drift_score, count(*) AS n_features FROM (
+  SELECT greatest(psi, ks_statistic) AS s FROM psi JOIN ks USING (feature)
+  UNION ALL SELECT psi FROM cpsi) t""", LONG_NUM_CTE, LONG_CAT_CTE, psi_num_sql(False)[1:], KS_CTES,
+    PSI_CAT_CTES), ops=("A24",))
+def drift_summary(spark, sf):
+    r, c = ref_cur(spark, sf)
+    _per, summary = DR.drift_report(spark, r, c, NUM, CAT)
+    return round_doubles(summary.select("overall_drift_score", "n_features"))
+
+
+@register("prediction_drift", with_cand("""
+SELECT round(p.psi, 4) AS psi, round(k.ks_statistic, 4) AS ks_statistic, k.n_ref, k.n_cur,
+       round(m.ref_mean, 4) AS ref_mean, round(m.ref_std, 4) AS ref_std,
+       round(m.cur_mean, 4) AS cur_mean, round(m.cur_std, 4) AS cur_std,
+       round(m.cur_mean - m.ref_mean, 4) AS mean_shift
+FROM psi p JOIN ks k USING (feature),
+     (SELECT avg(predicted_salary) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS ref_mean,
+             stddev_pop(predicted_salary) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS ref_std,
+             avg(predicted_salary) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS cur_mean,
+             stddev_pop(predicted_salary) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS cur_std
+      FROM cand) m""",
+    f"""lnum AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '{CUTOFF}' THEN 0 ELSE 1 END AS side,
+                  'predicted_salary' AS feature, predicted_salary AS x FROM cand WHERE predicted_salary IS NOT NULL)""",
+    psi_num_sql(False)[1:], KS_CTES), ops=("A25",))
+def prediction_drift(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.prediction_drift(r, c, "predicted_salary"))
+
+
+@register("run_drift_sampled", None, ops=("A26", "S10"))
+def run_drift_sampled(spark, sf):
+    """The reference's default run: the current table is a fixed-size sample of
+    the reference (here a deterministic hash sample of 1000 rows)."""
+    c = cand(spark, sf)
+    cur = hash_sample(c, ["l_orderkey", "l_linenumber", "salary"], 1000, seed=123)
+    per, _ = DR.drift_report(spark, c, cur, NUM, CAT, edges="own")
+    return round_doubles(per)
