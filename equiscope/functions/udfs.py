@@ -1,0 +1,17 @@
+"""Arrow-batched pandas UDFs (the only Python on the row path).
+
+No ``from __future__ import annotations`` here: Spark reads the type hints.
+"""
+
+from statistics import NormalDist
+
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
+_ND = NormalDist()
+
+
+@pandas_udf("double")
+def normal_ppf(p: pd.Series) -> pd.Series:
+    """Standard normal quantile function Φ⁻¹, vectorised per Arrow batch."""
+    return p.map(lambda v: _ND.inv_cdf(v) if v is not None and 0.0 < v < 1.0 else float("nan"))
