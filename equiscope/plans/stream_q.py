@@ -1,3 +1,109 @@
-"""Registered queries."""
+"""Registered queries: streaming operators and their batch twins (ST1-ST3)."""
 
 from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import round_doubles
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import cand, table
+from ..streaming import admission as AD
+from ..streaming import monitor as MO
+from ..streaming import peers as PE
+from .registry import register
+
+REF_END = "2024-01-15"
+BINS = 10
+
+
+def events(spark, sf):
+    """Events with ``ts`` as a session-zone timestamp (NTZ → timestamp, T14)."""
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _scratch(spark, kind):
+    return os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex}")
+
+
+def _events_stream(spark, sf):
+    ev = table(spark, sf, "events")
+    return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+            .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@register("admission_audit", None, ops=("ST1",))
+def admission_audit(spark, sf):
+    return AD.admission_batch(events(spark, sf))
+
+
+@register("admission_audit_stream", None, ops=("ST1",))
+def admission_audit_stream(spark, sf):
+    out, ck = _scratch(spark, "admission-out"), _scratch(spark, "admission-ck")
+    q = (AD.admission_stream(_events_stream(spark, sf)).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", ck).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _monitor_parts(spark, sf):
+    ev = events(spark, sf)
+    ref = ev.where(F.col("ts") < F.lit(REF_END).cast("timestamp"))
+    lo, hi = MO.reference_edges(ref, "value")
+    return ev, MO.reference_shares(ref, "value", lo, hi, BINS), lo, hi
+
+
+WINDOW_PSI_SQL = f"""
+WITH ev AS (SELECT ts, value FROM events WHERE value IS NOT NULL),
+r AS (SELECT min(value) AS lo, max(value) AS hi FROM ev WHERE ts < TIMESTAMP '{REF_END}'),
+rb AS (SELECT CAST(least(greatest(floor((value - lo) * ({BINS} / (hi - lo))), 0), {BINS - 1}) AS INTEGER) AS bin,
+              count(*) AS c FROM ev, r WHERE ts < TIMESTAMP '{REF_END}' GROUP BY 1),
+shares AS (SELECT g.bin, coalesce(rb.c, 0) / (SELECT count(*) FROM ev WHERE ts < TIMESTAMP '{REF_END}') AS e
+           FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({BINS})) g LEFT JOIN rb USING (bin)),
+cc AS (SELECT date_trunc('day', ts) AS ws,
+              CAST(least(greatest(floor((value - lo) * ({BINS} / (hi - lo))), 0), {BINS - 1}) AS INTEGER) AS bin,
+              count(*) AS cnt FROM ev, r GROUP BY 1, 2),
+tot AS (SELECT ws, sum(cnt) AS n FROM cc GROUP BY ws),
+j AS (SELECT t.ws, t.n, s.bin, coalesce(cc.cnt, 0) / t.n AS a0, s.e AS e0
+      FROM tot t CROSS JOIN shares s LEFT JOIN cc ON cc.ws = t.ws AND cc.bin = s.bin)
+SELECT ws AS window_start, ws + INTERVAL 1 DAY AS window_end, CAST(n AS BIGINT) AS rows,
+       round(sum((CASE WHEN a0 = 0 THEN 0.0001 ELSE a0 END - CASE WHEN e0 = 0 THEN 0.0001 ELSE e0 END)
+                 * ln(CASE WHEN a0 = 0 THEN 0.0001 ELSE a0 END / CASE WHEN e0 = 0 THEN 0.0001 ELSE e0 END)), 4) AS psi
+FROM j GROUP BY ws, n"""
+
+
+@register("windowed_psi", WINDOW_PSI_SQL, ops=("ST3",))
+def windowed_psi(spark, sf):
+    ev, shares, lo, hi = _monitor_parts(spark, sf)
+    counts = MO.window_counts(ev, "ts", "value", lo, hi, BINS)
+    out = MO.window_psi(counts, shares, BINS)
+    return round_doubles(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                                    F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                                    "rows", "psi"))
+
+
+@register("windowed_psi_stream", None, ops=("ST3",))
+def windowed_psi_stream(spark, sf):
+    _ev, shares, lo, hi = _monitor_parts(spark, sf)
+    out, ck = _scratch(spark, "monitor-out"), _scratch(spark, "monitor-ck")
+    counts = MO.monitor_stream(_events_stream(spark, sf), "ts", "value", lo, hi, BINS)
+    q = (counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return round_doubles(MO.window_psi(spark.read.parquet(out), shares, BINS))
+
+
+@register("peer_stats_stream", None, ops=("ST2", "S8"))
+def peer_stats_stream(spark, sf):
+    li = table(spark, sf, "lineitem")
+    stream = (spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet")
+              .parquet(sf.rstrip("/")))
+    rows = cand(spark, sf, lineitem=stream).select("job_role", "salary", "years_experience")
+    prof, stats, ck = _scratch(spark, "profiles"), _scratch(spark, "role-stats"), _scratch(spark, "peers-ck")
+    q = PE.start_peer_stream(spark, rows, prof, stats, ck)
+    q.awaitTermination()
+    return round_doubles(spark.read.parquet(stats))

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 EDUCATION_BY_SIZE_MOD4 = ("High School", "Bachelor", "Master", "PhD")
 
 
-def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cand(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One candidate row per line item (60,000 at sf0.01).
 
     Join order keeps the big side moving once per key: orders are enriched
@@ -34,8 +34,11 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     order key and part on the part key. Part and customer grow with the data,
     so they are left to AQE, which broadcasts them only when the measured
     shuffle output is under ``spark.sql.autoBroadcastJoinThreshold``.
+
+    ``lineitem`` may be a streaming DataFrame: the view is then a
+    stream-static join against the dimension tables.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
