@@ -81,3 +81,25 @@ def interval_metrics_fixed(spark, sf):
         "salary", (F.col("predicted_salary") - 5000.0).alias("lo"),
         (F.col("predicted_salary") + 5000.0).alias("hi"))
     return round_doubles(M.interval_metrics(df, "salary", "lo", "hi", alpha=0.1))
+
+
+@register("candidates_csv_roundtrip", with_cand(f"""
+SELECT gender, {GROUP_METRICS_SQL}
+FROM cand GROUP BY gender"""), ops=("S1", "S2", "S3", "S5"))
+def candidates_csv_roundtrip(spark, sf):
+    """Candidate rows written as header CSV and Parquet in the shared scratch
+    folder, read back with an explicit schema, then audited (must equal the
+    direct query)."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import io as IO
+    root = os.path.join(ensure_checkpoint_dir(spark), f"io-{uuid.uuid4().hex}")
+    cols = ["gender", "salary", "predicted_salary"]
+    c = cand(spark, sf).select(*cols)
+    IO.write_csv(c, f"{root}/csv")
+    schema = "gender string, salary double, predicted_salary double"
+    back = IO.read_candidates(spark, f"{root}/csv", schema=__import__("pyspark.sql.types", fromlist=["_parse_datatype_string"])._parse_datatype_string(schema))
+    IO.write_processed(back, f"{root}/parquet")
+    return round_doubles(M.group_metrics(IO.read_processed(spark, f"{root}/parquet"), "gender"))
