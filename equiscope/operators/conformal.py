@@ -27,10 +27,8 @@ def conformal_quantile(cal: DataFrame, y: str, p: str, alpha: float = 0.1) -> tu
     The order statistic is selected distributed (histogram refinement); no
     sort of the whole calibration set and no single-task percentile map.
     """
-    scores = cal.select(F.abs(F.col(y) - F.col(p)).alias("score")).where(F.col("score").isNotNull())
-    n = scores.count()
-    k0 = conformal_rank(n, alpha)
-    return quantile.quantile_higher(scores, "score", k0), n
+    scores = cal.select(F.abs(F.col(y) - F.col(p)).alias("score"))
+    return quantile.value_at_rank(scores, "score", lambda n: conformal_rank(n, alpha))
 
 
 def apply_intervals(df: DataFrame, p: str, q_hat: float | Column, clamp: bool = False,

@@ -30,6 +30,24 @@ def _long_numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFr
     return one(ref, REF).unionByName(one(cur, CUR))
 
 
+def long_numeric_sided(df: DataFrame, side: str, cols: Sequence[str]) -> DataFrame:
+    """(side, feature, x) from ONE table whose ``side`` column is 0 (reference)
+    or 1 (current): one scan instead of one per side."""
+    return (df.select(F.col(side).cast("int").alias("side"), F.explode(F.array(*[
+                F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                for c in cols])).alias("fx"))
+            .select("side", "fx.feature", "fx.x")
+            .where(F.col("x").isNotNull() & ~F.isnan("x")))
+
+
+def long_categorical_sided(df: DataFrame, side: str, cols: Sequence[str]) -> DataFrame:
+    return (df.select(F.col(side).cast("int").alias("side"), F.explode(F.array(*[
+                F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"))
+                for c in cols])).alias("fc"))
+            .select("side", "fc.feature", "fc.category")
+            .where(F.col("category").isNotNull()))
+
+
 def _long_categorical(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     def one(df, side):
         return (df.select(F.lit(side).alias("side"), F.explode(F.array(*[
@@ -176,17 +194,18 @@ def drift_level(psi):
             .when(psi >= dlit(PSI_MODERATE), F.lit("moderate")).otherwise(F.lit("low")))
 
 
-def numeric_drift_stats(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
-                        edges: str = "shared") -> DataFrame:
-    long = _long_numeric(ref, cur, cols)
+def numeric_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],
+                        bins: int = 10, edges: str = "shared", long: DataFrame | None = None) -> DataFrame:
+    long = long if long is not None else _long_numeric(ref, cur, cols)
     ks = ks_statistic(long)
     return (psi_numeric(long, bins, edges).join(ks, "feature")
             .where((F.col("n_ref") >= DRIFT_MIN_ROWS) & (F.col("n_cur") >= DRIFT_MIN_ROWS))
             .withColumn("drift_level", drift_level(F.col("psi"))))
 
 
-def categorical_drift_stats(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
-    long = _long_categorical(ref, cur, cols)
+def categorical_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],
+                            long: DataFrame | None = None) -> DataFrame:
+    long = long if long is not None else _long_categorical(ref, cur, cols)
     sizes = long.groupBy("feature").agg(
         F.sum(F.when(F.col("side") == REF, 1).otherwise(0)).cast("long").alias("n_ref"),
         F.sum(F.when(F.col("side") == CUR, 1).otherwise(0)).cast("long").alias("n_cur"))
@@ -195,9 +214,10 @@ def categorical_drift_stats(ref: DataFrame, cur: DataFrame, cols: Sequence[str])
             .withColumn("drift_level", drift_level(F.col("psi"))))
 
 
-def drift_report(spark: SparkSession, ref: DataFrame, cur: DataFrame,
+def drift_report(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | None,
                  numeric: Sequence[str], categorical: Sequence[str], bins: int = 10,
-                 edges: str = "shared") -> tuple[DataFrame, DataFrame]:
+                 edges: str = "shared", sided: tuple[DataFrame, str] | None = None
+                 ) -> tuple[DataFrame, DataFrame]:
     """(per-feature table, one-row summary).
 
     Statistics are distributed; the per-feature table (one row per feature)
@@ -206,13 +226,15 @@ def drift_report(spark: SparkSession, ref: DataFrame, cur: DataFrame,
     """
     rows = []
     if numeric:
-        for r in numeric_drift_stats(ref, cur, numeric, bins, edges).collect():
+        ln = long_numeric_sided(sided[0], sided[1], numeric) if sided else None
+        for r in numeric_drift_stats(ref, cur, numeric, bins, edges, long=ln).collect():
             p = stats.ks_2samp_p(r["ks_statistic"], r["n_ref"], r["n_cur"])
             rows.append((r["feature"], "numerical", r["psi"], r["ks_statistic"], p, None, r["drift_level"],
                          bool(p < 0.05), bool(r["psi"] >= PSI_MODERATE or p < 0.05),
                          max(r["psi"], r["ks_statistic"])))
     if categorical:
-        for r in categorical_drift_stats(ref, cur, categorical).collect():
+        lc = long_categorical_sided(sided[0], sided[1], categorical) if sided else None
+        for r in categorical_drift_stats(ref, cur, categorical, long=lc).collect():
             p = stats.chi2_sf(r["chi2_statistic"], r["dof"]) if r["dof"] > 0 else float("nan")
             rows.append((r["feature"], "categorical", r["psi"], None, p, r["chi2_statistic"],
                          r["drift_level"], bool(p < 0.05), bool(r["psi"] >= PSI_MODERATE or p < 0.05),

@@ -175,8 +175,7 @@ def group_means(df: DataFrame, by: str, y: str, digits: int = 0) -> DataFrame:
 def iqr_outliers(df: DataFrame, y: str, by: str) -> tuple[DataFrame, DataFrame]:
     """(summary row, outlier counts by ``by``) with exact global quartiles
     from distributed selection (no single-task percentile map)."""
-    q1 = quantile.quantile_linear(df, y, 0.25)
-    q3 = quantile.quantile_linear(df, y, 0.75)
+    q1, q3 = quantile.quantiles_linear(df, y, [0.25, 0.75])
     iqr = q3 - q1
     lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
     out = F.col(y) < dlit(lo)

@@ -32,7 +32,7 @@ _FINAL_ROWS = 50_000
 
 
 def _kth(vals: DataFrame, k: int, lo: float, hi: float, below: int, n_win: int,
-         bins: int, final_rows: int) -> float:
+         bins: int, final_rows: int, hist_cache: dict) -> float:
     x = F.col("x")
     while True:
         if lo == hi:
@@ -41,13 +41,16 @@ def _kth(vals: DataFrame, k: int, lo: float, hi: float, below: int, n_win: int,
         if n_win <= final_rows:
             row = win.orderBy("x").offset(k - below).limit(1).collect()
             return float(row[0]["x"])
-        width = (hi - lo) / bins
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        hist = (win.groupBy(b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                .orderBy("b").collect())
+        key = (lo, hi)
+        if key not in hist_cache:  # ranks in the same window share one pass
+            width = (hi - lo) / bins
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+            hist_cache[key] = (win.groupBy(b.alias("b"))
+                               .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"),
+                                    F.max(x).alias("hi"))
+                               .orderBy("b").collect())
         acc = below
-        for h in hist:
+        for h in hist_cache[key]:
             if acc + h["n"] > k:
                 lo, hi, below, n_win = float(h["lo"]), float(h["hi"]), acc, int(h["n"])
                 break
@@ -56,39 +59,70 @@ def _kth(vals: DataFrame, k: int, lo: float, hi: float, below: int, n_win: int,
             raise RuntimeError("rank outside window")
 
 
+def _values(df: DataFrame, column: str) -> DataFrame:
+    return (df.select(F.col(column).cast("double").alias("x"))
+            .where(F.col("x").isNotNull() & ~F.isnan(F.col("x"))))
+
+
+def _select(vals: DataFrame, n: int, lo: float, hi: float, ranks, bins: int,
+            final_rows: int) -> dict[int, float]:
+    cache: dict = {}
+    out = {}
+    for k in sorted(set(ranks)):
+        if not 0 <= k < n:
+            raise ValueError(f"rank {k} outside 0..{n - 1}")
+        out[k] = _kth(vals, k, lo, hi, 0, n, bins, final_rows, cache)
+    return out
+
+
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int],
                      bins: int = _BINS, final_rows: int = _FINAL_ROWS) -> dict[int, float]:
     """Exact values at 0-based ranks among the non-null values of ``column``."""
-    vals = (df.select(F.col(column).cast("double").alias("x"))
-            .where(F.col("x").isNotNull() & ~F.isnan(F.col("x"))))
-    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+    vals = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                      F.max("x").alias("hi")).first()
+        return _select(vals, int(st["n"]), float(st["lo"]) if st["n"] else 0.0,
+                       float(st["hi"]) if st["n"] else 0.0, ranks, bins, final_rows)
+    finally:
+        vals.unpersist()
+
+
+def quantiles_linear(df: DataFrame, column: str, qs: Sequence[float],
+                     bins: int = _BINS, final_rows: int = _FINAL_ROWS) -> list[float | None]:
+    """NumPy's default (linear) quantiles, exact, sharing every pass across ``qs``."""
+    vals = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
                       F.max("x").alias("hi")).first()
         n = int(st["n"])
-        out = {}
-        for k in sorted(set(ranks)):
-            if not 0 <= k < n:
-                raise ValueError(f"rank {k} outside 0..{n - 1}")
-            out[k] = _kth(vals, k, float(st["lo"]), float(st["hi"]), 0, n, bins, final_rows)
-        return out
+        if n == 0:
+            return [None for _ in qs]
+        hs = [(n - 1) * q for q in qs]
+        ranks = {r for h in hs for r in (math.floor(h), math.ceil(h))}
+        v = _select(vals, n, float(st["lo"]), float(st["hi"]), ranks, bins, final_rows)
+        return [v[math.floor(h)] + (h - math.floor(h)) * (v[math.ceil(h)] - v[math.floor(h)])
+                for h in hs]
     finally:
         vals.unpersist()
 
 
-def count_non_null(df: DataFrame, column: str) -> int:
-    return int(df.where(F.col(column).isNotNull()).count())
+def value_at_rank(df: DataFrame, column: str, rank_of_n) -> tuple[float, int]:
+    """(value at rank ``rank_of_n(n)``, n) with n counted in the same pass as min/max."""
+    vals = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                      F.max("x").alias("hi")).first()
+        n = int(st["n"])
+        k = rank_of_n(n)
+        return _select(vals, n, float(st["lo"]), float(st["hi"]), [k], _BINS, _FINAL_ROWS)[k], n
+    finally:
+        vals.unpersist()
 
 
 def quantile_linear(df: DataFrame, column: str, q: float) -> float | None:
     """NumPy's default (linear) quantile, exact; None on an empty column."""
-    n = count_non_null(df, column)
-    if n == 0:
-        return None
-    h = (n - 1) * q
-    lo_r, hi_r = math.floor(h), math.ceil(h)
-    v = order_statistics(df, column, [lo_r, hi_r])
-    return v[lo_r] + (h - lo_r) * (v[hi_r] - v[lo_r])
+    return quantiles_linear(df, column, [q])[0]
 
 
 def quantile_higher(df: DataFrame, column: str, rank: int) -> float:

@@ -20,6 +20,13 @@ def ref_cur(spark, sf):
     return c.where(is_ref), c.where(~is_ref)
 
 
+def sided(spark, sf):
+    """One scan of the candidate view with side 0 = reference, 1 = current."""
+    c = cand(spark, sf)
+    is_cur = F.col("o_orderdate") >= F.lit(CUTOFF).cast("timestamp_ntz")
+    return c.withColumn("_side", is_cur.cast("int"))
+
+
 NUM = list(NUMERICAL_FEATURES)
 CAT = list(CATEGORICAL_FEATURES)
 
@@ -92,36 +99,33 @@ chi AS (SELECT feature, sum(power(abs(o - rt * ct / "N") - CASE WHEN (nr - 1) *
 @register("psi_numeric_shared", with_cand("SELECT feature, round(psi, 4) AS psi FROM psi",
                                           LONG_NUM_CTE, psi_num_sql(False)), ops=("A20",))
 def psi_numeric_shared(spark, sf):
-    r, c = ref_cur(spark, sf)
-    return round_doubles(DR.psi_numeric(DR._long_numeric(r, c, NUM), edges="shared"))
+    return round_doubles(DR.psi_numeric(DR.long_numeric_sided(sided(spark, sf), "_side", NUM),
+                                        edges="shared"))
 
 
 @register("psi_numeric_own_edges", with_cand("SELECT feature, round(psi, 4) AS psi FROM psi",
                                              LONG_NUM_CTE, psi_num_sql(True)), ops=("A20",))
 def psi_numeric_own_edges(spark, sf):
-    r, c = ref_cur(spark, sf)
-    return round_doubles(DR.psi_numeric(DR._long_numeric(r, c, NUM), edges="own"))
+    return round_doubles(DR.psi_numeric(DR.long_numeric_sided(sided(spark, sf), "_side", NUM),
+                                        edges="own"))
 
 
 @register("psi_categorical", with_cand("SELECT feature, round(psi, 4) AS psi FROM cpsi",
                                        LONG_CAT_CTE, PSI_CAT_CTES), ops=("A21", "J4", "U1"))
 def psi_categorical(spark, sf):
-    r, c = ref_cur(spark, sf)
-    return round_doubles(DR.psi_categorical(DR._long_categorical(r, c, CAT)))
+    return round_doubles(DR.psi_categorical(DR.long_categorical_sided(sided(spark, sf), "_side", CAT)))
 
 
 @register("ks_statistic", with_cand("SELECT feature, round(ks_statistic, 4) AS ks_statistic, n_ref, n_cur FROM ks",
                                     LONG_NUM_CTE, KS_CTES), ops=("A22",))
 def ks_statistic(spark, sf):
-    r, c = ref_cur(spark, sf)
-    return round_doubles(DR.ks_statistic(DR._long_numeric(r, c, NUM)))
+    return round_doubles(DR.ks_statistic(DR.long_numeric_sided(sided(spark, sf), "_side", NUM)))
 
 
 @register("chi2_two_sample", with_cand("SELECT feature, round(chi2_statistic, 4) AS chi2_statistic, dof FROM chi",
                                        LONG_CAT_CTE, CHI2_CTES), ops=("A23",))
 def chi2_two_sample(spark, sf):
-    r, c = ref_cur(spark, sf)
-    return round_doubles(DR.chi2_two_sample(DR._long_categorical(r, c, CAT)))
+    return round_doubles(DR.chi2_two_sample(DR.long_categorical_sided(sided(spark, sf), "_side", CAT)))
 
 
 @register("chi2_paired_orders", """
@@ -160,12 +164,13 @@ SELECT feature, 'categorical', round(psi, 4), NULL, round(chi2_statistic, 4),
 FROM cpsi JOIN chi USING (feature)""", LONG_NUM_CTE, LONG_CAT_CTE, psi_num_sql(False)[1:], KS_CTES,
     PSI_CAT_CTES, CHI2_CTES), ops=("A24",))
 def drift_report_stats(spark, sf):
-    r, c = ref_cur(spark, sf)
-    num = DR.numeric_drift_stats(r, c, NUM).select(
+    s = sided(spark, sf)
+    num = DR.numeric_drift_stats(None, None, NUM, long=DR.long_numeric_sided(s, "_side", NUM)).select(
         "feature", F.lit("numerical").alias("kind"), "psi", "ks_statistic",
         F.lit(None).cast("double").alias("chi2_statistic"), "drift_level",
         F.greatest("psi", "ks_statistic").alias("drift_score"))
-    cat = DR.categorical_drift_stats(r, c, CAT).select(
+    cat = DR.categorical_drift_stats(None, None, CAT,
+                                     long=DR.long_categorical_sided(s, "_side", CAT)).select(
         "feature", F.lit("categorical").alias("kind"), "psi",
         F.lit(None).cast("double").alias("ks_statistic"), "chi2_statistic", "drift_level",
         F.col("psi").alias("drift_score"))
@@ -174,8 +179,7 @@ def drift_report_stats(spark, sf):
 
 @register("drift_report", None, ops=("A24",))
 def drift_report(spark, sf):
-    r, c = ref_cur(spark, sf)
-    per, _summary = DR.drift_report(spark, r, c, NUM, CAT)
+    per, _summary = DR.drift_report(spark, None, None, NUM, CAT, sided=(sided(spark, sf), "_side"))
     return round_doubles(per)
 
 
@@ -185,8 +189,7 @@ SELECT round(avg(s), 4) AS overall_drift_score, count(*) AS n_features FROM (
   UNION ALL SELECT psi FROM cpsi) t""", LONG_NUM_CTE, LONG_CAT_CTE, psi_num_sql(False)[1:], KS_CTES,
     PSI_CAT_CTES), ops=("A24",))
 def drift_summary(spark, sf):
-    r, c = ref_cur(spark, sf)
-    _per, summary = DR.drift_report(spark, r, c, NUM, CAT)
+    _per, summary = DR.drift_report(spark, None, None, NUM, CAT, sided=(sided(spark, sf), "_side"))
     return round_doubles(summary.select("overall_drift_score", "n_features"))
 
 
