@@ -10,9 +10,18 @@ from ..sources.tables import table
 from .registry import register
 
 
-def predictions(spark, sf):
-    """Orders as prediction records: id, owner, amount, time, request fields."""
+def predictions(spark, sf, request_fields: bool = True):
+    """Orders as prediction records: id, owner, amount, time, request fields.
+
+    Without ``request_fields`` the view is the orders scan alone: Catalyst
+    cannot drop a left join it does not know to be key-unique, so queries that
+    need no request field (KPIs, paging, lookups) skip the dimension joins.
+    """
     o = table(spark, sf, "orders")
+    if not request_fields:
+        return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
+                        F.col("o_totalprice").alias("predicted_salary"),
+                        F.col("o_orderdate").alias("created_at"))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     geo = F.broadcast(table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")),
                                                        F.col("n_regionkey") == F.col("r_regionkey"))
@@ -50,7 +59,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC
       FROM pred) t
 WHERE position > 20 AND position <= 40"""), ops=("O1",))
 def history_page_2(spark, sf):
-    p = H.history_page(predictions(spark, sf), page=2, size=20)
+    p = H.history_page(predictions(spark, sf, request_fields=False), page=2, size=20)
     return round_doubles(p.select("id", "user_id", "predicted_salary", "created_at",
                                   F.col("position").cast("bigint").alias("position")))
 
@@ -66,7 +75,7 @@ SELECT count(*) AS total, CAST(coalesce(floor(avg(predicted_salary) + 0.5), 0) A
        round(coalesce(max(predicted_salary), 0.0), 4) AS max_amount
 FROM pred WHERE {FILTER_SQL}"""), ops=("P15", "E13"))
 def history_kpis_filtered(spark, sf):
-    f = H.filter_history(predictions(spark, sf), **FILTER_ARGS)
+    f = H.filter_history(predictions(spark, sf, request_fields=False), **FILTER_ARGS)
     return round_doubles(H.history_kpis(f))
 
 
@@ -84,7 +93,7 @@ def history_by_role(spark, sf):
 SELECT strftime(created_at, '%d %b') AS date, round(predicted_salary, 4) AS salary, created_at
 FROM pred WHERE {FILTER_SQL} ORDER BY created_at"""), ops=("E15",))
 def history_trend(spark, sf):
-    f = H.filter_history(predictions(spark, sf), **FILTER_ARGS)
+    f = H.filter_history(predictions(spark, sf, request_fields=False), **FILTER_ARGS)
     return round_doubles(H.history_trend(f))
 
 
@@ -109,7 +118,7 @@ def lookup_owned(spark, sf):
     lookups = o.select(F.col("o_orderkey").alias("id"),
                        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey"))
                         .otherwise(F.col("o_custkey") + 1).alias("user_id"))
-    got = H.lookup_owned(predictions(spark, sf), lookups)
+    got = H.lookup_owned(predictions(spark, sf, request_fields=False), lookups)
     return round_doubles(got.select("id", "user_id", "predicted_salary"))
 
 

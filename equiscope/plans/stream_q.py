@@ -51,8 +51,9 @@ def admission_audit_stream(spark, sf):
 
 
 def _monitor_parts(spark, sf):
-    ev = events(spark, sf)
-    ref = ev.where(F.col("ts") < F.lit(REF_END).cast("timestamp"))
+    # batch form windows the NTZ timestamps directly: no session-time-zone dependence
+    ev = table(spark, sf, "events")
+    ref = ev.where(F.col("ts") < F.lit(REF_END).cast("timestamp_ntz"))
     lo, hi = MO.reference_edges(ref, "value")
     return ev, MO.reference_shares(ref, "value", lo, hi, BINS), lo, hi
 
@@ -81,9 +82,7 @@ def windowed_psi(spark, sf):
     ev, shares, lo, hi = _monitor_parts(spark, sf)
     counts = MO.window_counts(ev, "ts", "value", lo, hi, BINS)
     out = MO.window_psi(counts, shares, BINS)
-    return round_doubles(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                                    F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-                                    "rows", "psi"))
+    return round_doubles(out.select("window_start", "window_end", "rows", "psi"))
 
 
 @register("windowed_psi_stream", None, ops=("ST3",))
