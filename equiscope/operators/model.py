@@ -220,7 +220,7 @@ def train_compare(df: DataFrame, pre: PipelineModel, label: str, key: Sequence[s
         tm = regression_metrics(m.bestModel.transform(test), label, "prediction").first()
         rows.append((name, float(avg[best]), float(std[best]), float(tm["mae"]), float(tm["rmse"]),
                      float(tm["r2"]) if tm["r2"] is not None else None))
-    train.unpersist()
+    train.unpersist(blocking=True)
     board = spark.createDataFrame(rows, "model string, cv_mae double, cv_mae_std double, "
                                         "test_mae double, test_rmse double, test_r2 double")
     return board

@@ -85,7 +85,7 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int],
         return _select(vals, int(st["n"]), float(st["lo"]) if st["n"] else 0.0,
                        float(st["hi"]) if st["n"] else 0.0, ranks, bins, final_rows)
     finally:
-        vals.unpersist()
+        vals.unpersist(blocking=True)
 
 
 def quantiles_linear(df: DataFrame, column: str, qs: Sequence[float],
@@ -104,7 +104,7 @@ def quantiles_linear(df: DataFrame, column: str, qs: Sequence[float],
         return [v[math.floor(h)] + (h - math.floor(h)) * (v[math.ceil(h)] - v[math.floor(h)])
                 for h in hs]
     finally:
-        vals.unpersist()
+        vals.unpersist(blocking=True)
 
 
 def value_at_rank(df: DataFrame, column: str, rank_of_n) -> tuple[float, int]:
@@ -117,7 +117,7 @@ def value_at_rank(df: DataFrame, column: str, rank_of_n) -> tuple[float, int]:
         k = rank_of_n(n)
         return _select(vals, n, float(st["lo"]), float(st["hi"]), [k], _BINS, _FINAL_ROWS)[k], n
     finally:
-        vals.unpersist()
+        vals.unpersist(blocking=True)
 
 
 def quantile_linear(df: DataFrame, column: str, q: float) -> float | None:

@@ -76,6 +76,7 @@ def register(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills QUERIES.
-    from . import (fairness_q, metrics_q, features_q, drift_q, conformal_q,  # noqa: F401
-                   similar_q, profile_q, history_q, model_q, stream_q)
+    # light queries first; the heaviest (k-NN pairs, ML training, streams) last
+    from . import (metrics_q, fairness_q, features_q, conformal_q, drift_q,  # noqa: F401
+                   profile_q, history_q, similar_q, stream_q, model_q)
     return QUERIES
