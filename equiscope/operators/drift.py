@@ -63,6 +63,18 @@ def _psi_term(a, e):
 
 
 # ------------------------------------------------------------------------ A20
+def value_counts_by_side(long: DataFrame) -> DataFrame:
+    """(feature, side, x, w): the long form aggregated to distinct values first.
+
+    Every numeric statistic below reads this table, so the source is scanned
+    and shuffled once (identical subtrees reuse the one exchange) and all later
+    work is on distinct values, not rows — a hot value is one row.
+    """
+    if "w" in long.columns:
+        return long
+    return long.groupBy("feature", "side", "x").agg(F.count(F.lit(1)).alias("w"))
+
+
 def psi_numeric(long: DataFrame, bins: int = 10, edges: str = "shared") -> DataFrame:
     """PSI per feature over equal-width bins; empty bins count as 0.0001.
 
@@ -70,21 +82,21 @@ def psi_numeric(long: DataFrame, bins: int = 10, edges: str = "shared") -> DataF
     behaviour, T9); ``"shared"`` bins both sides on the combined range.
     min = max widens the range by ±0.5; the top edge falls in the last bin.
     """
+    vc = value_counts_by_side(long)
     key = ["feature", "side"] if edges == "own" else ["feature"]
-    rng = long.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                 F.count(F.lit(1)).alias("_n"))
+    rng = vc.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     rng = rng.select(*key,
                      F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                      F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     norm = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
     b = F.least(F.floor((F.col("x") - F.col("lo")) * norm), F.lit(bins - 1)).cast("int")
     # the range table has one row per feature (per side): bounded, broadcast it
-    counts = (long.join(F.broadcast(rng), on=key)
-              .groupBy("feature", "side", b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt")))
-    sizes = long.groupBy("feature", "side").agg(F.count(F.lit(1)).alias("n"))
+    counts = (vc.join(F.broadcast(rng), on=key)
+              .groupBy("feature", "side", b.alias("bin")).agg(F.sum("w").alias("cnt")))
+    sizes = vc.groupBy("feature", "side").agg(F.sum("w").alias("n"))
     spark = long.sparkSession
-    grid = (sizes.select("feature").distinct()
-            .crossJoin(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    bin_ids = F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
+    grid = sizes.select("feature").distinct().join(bin_ids, how="inner", on=F.lit(True))
     wide = (grid.join(counts.where(F.col("side") == REF).select("feature", "bin", F.col("cnt").alias("e_cnt")),
                       ["feature", "bin"], "left")
                 .join(counts.where(F.col("side") == CUR).select("feature", "bin", F.col("cnt").alias("a_cnt")),
@@ -99,10 +111,17 @@ def psi_numeric(long: DataFrame, bins: int = 10, edges: str = "shared") -> DataF
 
 
 # ------------------------------------------------------------------------ A21
+def category_counts(long: DataFrame) -> DataFrame:
+    """(feature, side, category, cnt): the categorical long form aggregated once."""
+    if "cnt" in long.columns:
+        return long
+    return long.groupBy("feature", "side", "category").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def psi_categorical(long: DataFrame) -> DataFrame:
     """PSI over the union of categories; a category missing on a side is 0.0001."""
-    counts = long.groupBy("feature", "side", "category").agg(F.count(F.lit(1)).alias("cnt"))
-    sizes = long.groupBy("feature", "side").agg(F.count(F.lit(1)).alias("n"))
+    counts = category_counts(long)
+    sizes = counts.groupBy("feature", "side").agg(F.sum("cnt").alias("n"))
     props = counts.join(sizes, ["feature", "side"]).select(
         "feature", "side", "category", (F.col("cnt") / F.col("n")).alias("prop"))
     e = props.where(F.col("side") == REF).select("feature", "category", F.col("prop").alias("e"))
@@ -125,9 +144,10 @@ def ks_statistic(long: DataFrame, buckets: int = 64) -> DataFrame:
        of a feature's distinct values) plus the offset → both ECDFs at every
        distinct value → max |F_ref - F_cur|.
     """
-    counts = long.groupBy("feature", "x").agg(
-        F.sum(F.when(F.col("side") == REF, 1).otherwise(0)).cast("long").alias("r"),
-        F.sum(F.when(F.col("side") == CUR, 1).otherwise(0)).cast("long").alias("c"))
+    vc = value_counts_by_side(long)
+    counts = vc.groupBy("feature", "x").agg(
+        F.sum(F.when(F.col("side") == REF, F.col("w")).otherwise(0)).cast("long").alias("r"),
+        F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0)).cast("long").alias("c"))
     qs = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy("feature").agg(
         F.percentile_approx("x", qs, 10000).alias("bounds"),
@@ -153,8 +173,9 @@ def ks_statistic(long: DataFrame, buckets: int = 64) -> DataFrame:
 # ------------------------------------------------------------------------ A23
 def chi2_two_sample(long: DataFrame) -> DataFrame:
     """χ² on the 2×k table (side × category) per feature; Yates when dof = 1."""
-    o = long.groupBy("feature", "side", "category").agg(F.count(F.lit(1)).alias("o"))
-    return chi2_table(o.withColumnRenamed("side", "row").withColumnRenamed("category", "col"))
+    o = category_counts(long).select("feature", F.col("side").cast("string").alias("row"),
+                                     F.col("category").alias("col"), F.col("cnt").alias("o"))
+    return chi2_table(o)
 
 
 def chi2_table(cells: DataFrame) -> DataFrame:
@@ -197,6 +218,7 @@ def drift_level(psi):
 def numeric_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],
                         bins: int = 10, edges: str = "shared", long: DataFrame | None = None) -> DataFrame:
     long = long if long is not None else _long_numeric(ref, cur, cols)
+    long = value_counts_by_side(long)
     ks = ks_statistic(long)
     return (psi_numeric(long, bins, edges).join(ks, "feature")
             .where((F.col("n_ref") >= DRIFT_MIN_ROWS) & (F.col("n_cur") >= DRIFT_MIN_ROWS))
@@ -206,9 +228,10 @@ def numeric_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequ
 def categorical_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],
                             long: DataFrame | None = None) -> DataFrame:
     long = long if long is not None else _long_categorical(ref, cur, cols)
+    long = category_counts(long)
     sizes = long.groupBy("feature").agg(
-        F.sum(F.when(F.col("side") == REF, 1).otherwise(0)).cast("long").alias("n_ref"),
-        F.sum(F.when(F.col("side") == CUR, 1).otherwise(0)).cast("long").alias("n_cur"))
+        F.sum(F.when(F.col("side") == REF, F.col("cnt")).otherwise(0)).cast("long").alias("n_ref"),
+        F.sum(F.when(F.col("side") == CUR, F.col("cnt")).otherwise(0)).cast("long").alias("n_cur"))
     return (psi_categorical(long).join(chi2_two_sample(long), "feature").join(sizes, "feature")
             .where((F.col("n_ref") >= DRIFT_MIN_ROWS) & (F.col("n_cur") >= DRIFT_MIN_ROWS))
             .withColumn("drift_level", drift_level(F.col("psi"))))
