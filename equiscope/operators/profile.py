@@ -61,8 +61,10 @@ def describe_all(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         .alias("v")).select("v.column", "v.x").where(F.col("x").isNotNull())
     num = num_long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"),
-        F.max("x").alias("max"))
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    # a column is one group holding every row: exact quartiles by distributed selection
+    num = num.join(quantile.grouped_quantiles(num_long, ["column"], "x", [0.25, 0.5, 0.75])
+                   .drop("n"), "column")
     num = num.select("column", "count", F.lit(None).cast("bigint").alias("unique"),
                      F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq"),
                      "mean", "std", "min", F.element_at("q", 1).alias("q25"),
@@ -123,8 +125,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def box_stats(df: DataFrame, by: str, y: str) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme values inside the fences) and
     outlier counts per category, with the categories' rank by median."""
-    q = df.where(F.col(y).isNotNull()).groupBy(by).agg(
-        F.percentile(F.col(y), [0.25, 0.5, 0.75]).alias("q"), F.count(F.lit(1)).alias("n"))
+    q = quantile.grouped_quantiles(df, [by], y, [0.25, 0.5, 0.75])
     q = q.select(by, "n", F.element_at("q", 1).alias("q1"), F.element_at("q", 2).alias("median"),
                  F.element_at("q", 3).alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
@@ -162,7 +163,14 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------------- E9
 def pivot_median(df: DataFrame, row: str, col: str, y: str, values: Sequence[str]) -> DataFrame:
-    return df.groupBy(row).pivot(col, list(values)).agg(F.median(F.col(y)))
+    """Median of ``y`` per (row, col) cell, pivoted on the listed ``values``.
+
+    Cell medians are exact per-group selections; the pivot then only moves one
+    value per cell."""
+    med = quantile.grouped_quantiles(df.where(F.col(col).isin(list(values))), [row, col], y, [0.5])
+    rows = df.select(row).distinct()
+    piv = med.groupBy(row).pivot(col, list(values)).agg(F.first(F.element_at("q", 1)))
+    return rows.join(piv, row, "left")
 
 
 # ------------------------------------------------------------------------ E10

@@ -132,3 +132,111 @@ def quantile_higher(df: DataFrame, column: str, rank: int) -> float:
 
 def median(df: DataFrame, column: str) -> float | None:
     return quantile_linear(df, column, 0.5)
+
+
+# --------------------------------------------------------------- per group
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequence[float],
+                      bins: int = 1024, final_rows: int = 250_000, max_rounds: int = 30,
+                      out: str = "q", count_col: str = "n") -> DataFrame:
+    """Exact linear-interpolation quantiles of ``column`` for every group of ``keys``.
+
+    Result: keys, ``count_col`` (non-null values) and ``out`` = array of the
+    quantiles in ``qs`` order (like ``percentile(column, qs)``). Groups without
+    values are absent.
+
+    One counting pass splits the groups. Groups with ≤ ``final_rows`` values
+    use Spark's ``percentile``, whose per-group value map is then bounded by
+    ``final_rows``. Larger groups are never merged in one task: their target
+    ranks are located by rounds of histogram refinement run for all large
+    groups at once — a state table of (group, rank, window) rows is joined
+    to the values, each round aggregates ≤ ``bins`` buckets per window
+    (partial aggregation spreads a hot group over all tasks), windows shrink
+    ~``bins``× per round, and the last step ranks ≤ ``final_rows`` values per
+    window. The state is checkpointed each round (reliable checkpoint).
+    """
+    from pyspark.sql.window import Window as W
+
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = list(keys)
+    x = F.col("x")
+    vals = (df.select(*keys, F.col(column).cast("double").alias("x"))
+            .where(x.isNotNull() & ~F.isnan(x))).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = vals
+
+    def small_part(v):
+        return v.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col),
+                                    F.percentile(x, [float(q) for q in qs]).alias(out))
+
+    try:
+        # every pass below reads the cached projection; results are one row
+        # per group and are materialised before the cache is released
+        g = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo"),
+                                     F.max("x").alias("_hi")).checkpoint(eager=True)
+        large = g.where(F.col("_n") > F.lit(final_rows))
+        n_large = large.count()  # on the checkpointed per-group table
+        if n_large == 0:
+            return small_part(vals).checkpoint(eager=True)
+        small_keys = g.where(F.col("_n") <= F.lit(final_rows)).select(*keys)
+        small = small_part(vals.join(small_keys, keys, "left_semi")).checkpoint(eager=True)
+        vals = cached.join(large.select(*keys), keys, "left_semi")
+        rank_exprs = []
+        for q in qs:
+            h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+            rank_exprs += [F.floor(h).cast("long"), F.ceil(h).cast("long")]
+        state = (large.select(*keys, "_n", "_lo", "_hi",
+                              F.explode(F.array_distinct(F.array(*rank_exprs))).alias("rank"))
+                 .select(*keys, "rank", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
+                         F.lit(0).cast("long").alias("below"), F.col("_n").alias("nwin")))
+        done = (F.col("lo") == F.col("hi")) | (F.col("nwin") <= F.lit(final_rows))
+        state = state.withColumn("done", done).checkpoint(eager=True)
+        for _ in range(max_rounds):
+            active = state.where(~F.col("done"))
+            if active.isEmpty():
+                break
+            windows = active.select(*keys, "lo", "hi").distinct()
+            b = F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))),
+                        F.lit(bins - 1)).cast("int")
+            hist = (vals.join(windows, keys)
+                    .where((x >= F.col("lo")) & (x <= F.col("hi")))
+                    .groupBy(*keys, "lo", "hi", b.alias("b"))
+                    .agg(F.count(F.lit(1)).alias("nb"), F.min("x").alias("lob"), F.max("x").alias("hib")))
+            wcum = W.partitionBy(*keys, "lo", "hi").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+            hist = hist.withColumn("cum", F.coalesce(F.sum("nb").over(wcum), F.lit(0)))  # ≤ bins rows
+            moved = (active.join(hist, keys + ["lo", "hi"])
+                     .where((F.col("rank") >= F.col("below") + F.col("cum"))
+                            & (F.col("rank") < F.col("below") + F.col("cum") + F.col("nb")))
+                     .select(*keys, "rank", F.col("lob").alias("lo"), F.col("hib").alias("hi"),
+                             (F.col("below") + F.col("cum")).alias("below"), F.col("nb").alias("nwin")))
+            state = (state.where(F.col("done")).drop("done")
+                     .unionByName(moved).withColumn("done", done).checkpoint(eager=True))
+        else:  # pragma: no cover - each round shrinks every window
+            raise RuntimeError("grouped quantile refinement did not converge")
+        point = state.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("v"))
+        open_w = state.where(F.col("lo") < F.col("hi"))
+        # ranks sharing a window share ``below``: rank each distinct window once
+        # (≤ final_rows values per partition), then equi-join the target ranks
+        wins = open_w.select(*keys, "lo", "hi", "below").distinct()
+        wr = W.partitionBy(*keys, "lo", "hi").orderBy("x")
+        ranked = (vals.join(wins, keys).where((x >= F.col("lo")) & (x <= F.col("hi")))
+                  .select(*keys, "lo", "hi", (F.row_number().over(wr) - 1 + F.col("below")).alias("rank"),
+                          F.col("x").alias("v")))
+        picked = (open_w.select(*keys, "lo", "hi", "rank").join(ranked, keys + ["lo", "hi", "rank"])
+                  .select(*keys, "rank", "v"))
+        values = point.unionByName(picked)
+        per = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_m"))
+        quants = []
+        for q in qs:
+            h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+            lo_v = F.element_at("_m", F.floor(h).cast("long"))
+            hi_v = F.element_at("_m", F.ceil(h).cast("long"))
+            # Spark's percentile interpolation, so both paths agree bit for bit
+            quants.append(F.when(F.floor(h) == F.ceil(h), lo_v)
+                          .otherwise((F.ceil(h) - h) * lo_v + (h - F.floor(h)) * hi_v))
+        big = (large.join(per, keys)
+               .select(*keys, F.col("_n").alias(count_col), F.array(*quants).alias(out))
+               .checkpoint(eager=True))  # small result; computed before the cache is released
+        return small.unionByName(big)
+    finally:
+        cached.unpersist(blocking=True)

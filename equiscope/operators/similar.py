@@ -29,17 +29,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dlit
+from .quantile import grouped_quantiles
 
 STAT_COLS = ("count", "median_salary", "percentile_25", "percentile_75")
 
 
-def _stats(salary: str, accuracy: int | None) -> list[Column]:
-    qs = [0.5, 0.25, 0.75]
+QS = [0.5, 0.25, 0.75]
+
+
+def _group_stats(df: DataFrame, keys: list, salary: str, accuracy: int | None) -> DataFrame:
+    """keys, n, q = [median, p25, p75] per group.
+
+    Exact by default, via distributed per-group rank selection (no group's
+    values are merged in one task); ``accuracy`` switches to a sketch.
+    """
     if accuracy is None:
-        pct = F.percentile(F.col(salary), qs)
-    else:
-        pct = F.percentile_approx(F.col(salary), qs, accuracy)
-    return [F.count(F.col(salary)).alias("n"), pct.alias("q")]
+        return grouped_quantiles(df, keys, salary, QS, out="q", count_col="n")
+    return df.groupBy(*keys).agg(F.count(F.col(salary)).alias("n"),
+                                 F.percentile_approx(F.col(salary), QS, accuracy).alias("q"))
 
 
 def similar_profiles(requests: DataFrame, profiles: DataFrame,
@@ -64,9 +71,9 @@ def similar_profiles(requests: DataFrame, profiles: DataFrame,
             .withColumn("_cell", F.floor(F.col("_pexp") / dlit(width))))
     pairs = (rk_cells.join(prof, keys + ["_cell"])
              .where(F.col("_pexp").between(F.col(exp) - dlit(tol), F.col(exp) + dlit(tol))))
-    band = pairs.groupBy(*keys, exp).agg(*_stats(salary, accuracy))
-    role = profiles.groupBy(fallback_key).agg(*_stats(salary, accuracy)) \
-                   .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
+    band = _group_stats(pairs.select(*keys, exp, salary), keys + [exp], salary, accuracy)
+    role = _group_stats(profiles.select(fallback_key, salary), [fallback_key], salary, accuracy) \
+        .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
     per_key = (rk.join(band, keys + [exp], "left")
                .join(role, fallback_key, "left"))
     use_band = F.coalesce(F.col("n"), F.lit(0)) >= min_peers
@@ -134,7 +141,7 @@ def knn_peers(requests: DataFrame, profiles: DataFrame, exact: Sequence[str], ex
     top = stage1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n)
     stats = top.groupBy(*kk).agg(
         F.count(F.lit(1)).alias("count"),
-        F.percentile(F.col(salary), [0.5, 0.25, 0.75]).alias("q"),
+        F.percentile(F.col(salary), [0.5, 0.25, 0.75]).alias("q"),  # ≤ n values per group
         F.max("distance").alias("max_distance"))
     stats = stats.select(*kk, "count",
                          F.element_at("q", 1).cast("int").alias("median_salary"),

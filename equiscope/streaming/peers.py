@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 
 def role_stats(profiles: DataFrame, role: str = "job_role", salary: str = "salary") -> DataFrame:
-    return profiles.groupBy(role).agg(
-        F.count(F.col(salary)).alias("count"),
-        F.avg(salary).alias("mean_salary"),
-        F.percentile(F.col(salary), [0.25, 0.5, 0.75]).alias("q")).select(
+    from ..operators.quantile import grouped_quantiles
+    q = grouped_quantiles(profiles, [role], salary, [0.25, 0.5, 0.75], count_col="count")
+    m = profiles.groupBy(role).agg(F.avg(salary).alias("mean_salary"))
+    return q.join(m, role).select(
         role, "count", "mean_salary", F.element_at("q", 1).cast("int").alias("percentile_25"),
         F.element_at("q", 2).cast("int").alias("median_salary"),
         F.element_at("q", 3).cast("int").alias("percentile_75"))

@@ -167,3 +167,24 @@ def test_similar_profiles_fallback_and_zero(spark):
     assert out[2]["percentile_25"] == 30 and out[2]["percentile_75"] == 50
     # unknown role -> zeros
     assert out[3]["count"] == 0 and out[3]["median_salary"] == 0
+
+
+def test_grouped_quantiles_exact_with_hot_group(spark):
+    """Hot group forced through several refinement rounds; small groups take the
+    bounded-map path; both equal NumPy's linear quantiles."""
+    import collections
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in rng.normal(size=20000).round(3)]
+    rows += [("b", float(v)) for v in rng.integers(0, 5, 100)] + [("c", 7.0)]
+    rows += [("d", float(v)) for v in rng.normal(size=7)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.5, 0.25, 0.75, 0.0, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in
+           Q.grouped_quantiles(df, ["g"], "v", qs, bins=8, final_rows=50).collect()}
+    by = collections.defaultdict(list)
+    for g, v in rows:
+        by[g].append(v)
+    for g, vs in by.items():
+        n, q = got[g]
+        assert n == len(vs)
+        assert q == pytest.approx([float(np.quantile(vs, p)) for p in qs], abs=1e-9)
