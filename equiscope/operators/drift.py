@@ -95,8 +95,8 @@ def psi_numeric(long: DataFrame, bins: int = 10, edges: str = "shared") -> DataF
               .groupBy("feature", "side", b.alias("bin")).agg(F.sum("w").alias("cnt")))
     sizes = vc.groupBy("feature", "side").agg(F.sum("w").alias("n"))
     spark = long.sparkSession
-    bin_ids = F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
-    grid = sizes.select("feature").distinct().join(bin_ids, how="inner", on=F.lit(True))
+    grid = sizes.select("feature").distinct().withColumn(
+        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     wide = (grid.join(counts.where(F.col("side") == REF).select("feature", "bin", F.col("cnt").alias("e_cnt")),
                       ["feature", "bin"], "left")
                 .join(counts.where(F.col("side") == CUR).select("feature", "bin", F.col("cnt").alias("a_cnt")),
@@ -133,7 +133,7 @@ def psi_categorical(long: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ A22
-def ks_statistic(long: DataFrame, buckets: int = 64) -> DataFrame:
+def ks_statistic(long: DataFrame, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
     """Two-sample KS D per feature, with n and m, as a distributed prefix sum.
 
     1. counts per distinct (feature, x) and side — a hot value is one row;
@@ -149,10 +149,15 @@ def ks_statistic(long: DataFrame, buckets: int = 64) -> DataFrame:
         F.sum(F.when(F.col("side") == REF, F.col("w")).otherwise(0)).cast("long").alias("r"),
         F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0)).cast("long").alias("c"))
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy("feature").agg(
-        F.percentile_approx("x", qs, 10000).alias("bounds"),
-        F.sum("r").alias("n"), F.sum("c").alias("m"))
-    bounds = F.broadcast(bounds)  # one row per feature
+    # The sketch depends on input order, so it is computed ONCE and fixed: the
+    # bounds feed both the bucket offsets and the running sums, which must see
+    # identical bucket edges. One row per feature, ≤ buckets-1 values each.
+    brows = counts.groupBy("feature").agg(
+        F.percentile_approx("x", qs, accuracy).alias("bounds"),  # balance only; result is exact
+        F.sum("r").alias("n"), F.sum("c").alias("m")).collect()
+    bounds = F.broadcast(long.sparkSession.createDataFrame(
+        [(r["feature"], [float(v) for v in r["bounds"]], int(r["n"]), int(r["m"])) for r in brows],
+        "feature string, bounds array<double>, n long, m long"))
     with_b = counts.join(bounds, "feature").withColumn(
         "bucket", F.size(F.filter("bounds", lambda b: b < F.col("x"))))
     from pyspark.sql.window import Window as W
@@ -278,6 +283,8 @@ def prediction_drift(ref: DataFrame, cur: DataFrame, p: str, bins: int = 10,
                      edges: str = "shared") -> DataFrame:
     """PSI and KS of the predictions plus means, population std, mean shift."""
     st = numeric_drift_stats(ref, cur, [p], bins, edges).select("psi", "ks_statistic", "n_ref", "n_cur")
-    mom = (ref.agg(F.avg(p).alias("ref_mean"), F.stddev_pop(p).alias("ref_std"))
-           .crossJoin(cur.agg(F.avg(p).alias("cur_mean"), F.stddev_pop(p).alias("cur_std"))))
-    return st.crossJoin(mom).withColumn("mean_shift", F.col("cur_mean") - F.col("ref_mean"))
+    r = ref.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).first()  # one-row scalars
+    c = cur.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).first()
+    return (st.withColumn("ref_mean", dlit(r["m"])).withColumn("ref_std", dlit(r["s"]))
+            .withColumn("cur_mean", dlit(c["m"])).withColumn("cur_std", dlit(c["s"]))
+            .withColumn("mean_shift", dlit(c["m"] - r["m"])))

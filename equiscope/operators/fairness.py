@@ -166,11 +166,11 @@ def mean_match(df: DataFrame, p: str, g: str, out: str = "calibrated") -> DataFr
     one-row broadcast. Rows whose group is NULL are left untouched.
     """
     gm = df.groupBy(g).agg(F.avg(p).alias("_gmean")).where(F.col(g).isNotNull())
-    om = F.broadcast(df.agg(F.avg(p).alias("_omean")))
-    return (df.join(gm, on=g, how="left").crossJoin(om)
+    overall = df.agg(F.avg(p)).first()[0]  # one-row scalar
+    return (df.join(gm, on=g, how="left")
             .withColumn(out, F.when(F.col("_gmean").isNull(), F.col(p))
-                        .otherwise(F.col(p) + F.col("_omean") - F.col("_gmean")))
-            .drop("_gmean", "_omean"))
+                        .otherwise(F.col(p) + dlit(overall) - F.col("_gmean")))
+            .drop("_gmean"))
 
 
 # ----------------------------------------------------------------------- A17
@@ -184,17 +184,18 @@ def quantile_match(df: DataFrame, p: str, g: str, out: str = "calibrated",
     taken on the same grid from ``percentile_approx`` and interpolated.
     """
     qs = [i / grid for i in range(grid + 1)]
-    overall = F.broadcast(df.agg(F.percentile_approx(p, qs, 10000).alias("_oq")))
+    oq = df.agg(F.percentile_approx(p, qs, 10000)).first()[0]  # grid+1 values
+    overall = F.array(*[F.lit(float(v)) for v in oq])
     gq = df.where(F.col(g).isNotNull()).groupBy(g).agg(
         F.percentile_approx(p, qs, 10000).alias("_gq"))
     # position of the value in its group's quantile grid -> fraction u
     pos = F.size(F.filter(F.col("_gq"), lambda v: v < F.col(p)))
     u = F.least(F.greatest(pos.cast("double") / F.lit(float(grid)), dlit(0.0)), dlit(1.0))
     idx = (u * F.lit(float(grid))).cast("int")
-    mapped = F.element_at(F.col("_oq"), idx + 1)
-    return (df.join(gq, on=g, how="left").crossJoin(overall)
+    mapped = F.element_at(overall, idx + 1)
+    return (df.join(gq, on=g, how="left")
             .withColumn(out, F.when(F.col("_gq").isNull(), F.col(p)).otherwise(mapped))
-            .drop("_gq", "_oq"))
+            .drop("_gq"))
 
 
 # ----------------------------------------------------------------------- A18
@@ -219,8 +220,9 @@ def mitigation_comparison(df: DataFrame, attrs: Sequence[str], y: str = "salary"
             d = disparities(rates).select("attribute", "dp_difference", "dp_ratio",
                                           "eo_difference", "eo_ratio")
             e = F.col("_pred") - F.col(y)
-            ov = sub.agg(F.avg(F.abs(e)).alias("overall_mae"), F.avg(e * e).alias("overall_mse"))
-            parts.append(d.crossJoin(F.broadcast(ov)).withColumn("stage", F.lit(stage)))
+            ov = sub.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse")).first()
+            parts.append(d.withColumn("overall_mae", dlit(ov["mae"]))
+                         .withColumn("overall_mse", dlit(ov["mse"])).withColumn("stage", F.lit(stage)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -102,17 +102,18 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed), all bins listed."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    rng = F.broadcast(vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(
-        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")))
-    b = F.least(F.floor((F.col("x") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))),
+    r = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()  # one-row scalars
+    lo, hi = float(r["lo"]), float(r["hi"])
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    b = F.least(F.floor((F.col("x") - dlit(lo)) * (dlit(float(bins)) / (dlit(hi) - dlit(lo)))),
                 F.lit(bins - 1)).cast("int")
-    counts = vals.crossJoin(rng).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(rng)
-    w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    w = (dlit(hi) - dlit(lo)) / F.lit(float(bins))
     return (grid.join(counts, "bin", "left")
-            .select("bin", (F.col("lo") + F.col("bin") * w).alias("left_edge"),
-                    (F.col("lo") + (F.col("bin") + 1) * w).alias("right_edge"),
+            .select("bin", (dlit(lo) + F.col("bin") * w).alias("left_edge"),
+                    (dlit(lo) + (F.col("bin") + 1) * w).alias("right_edge"),
                     F.coalesce(F.col("count"), F.lit(0)).alias("count")))
 
 

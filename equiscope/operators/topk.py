@@ -41,10 +41,10 @@ def global_rank(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     inside each bucket gives the local position. Returns df + ``rank`` + ``n``.
     """
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = F.broadcast(df.agg(F.percentile_approx(value, qs, 10000).alias("_b"),
-                                F.count(F.lit(1)).alias("n")))
-    tagged = df.crossJoin(bounds).withColumn(
-        "_bucket", F.size(F.filter("_b", lambda b: b < F.col(value)))).drop("_b")
+    st = df.agg(F.percentile_approx(value, qs, 10000).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    bounds = F.array(*[F.lit(float(v)) for v in (st["b"] or [])])  # ≤ buckets-1 values
+    tagged = (df.withColumn("n", F.lit(int(st["n"])))
+              .withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < F.col(value)))))
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"))
     wb = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offs = F.broadcast(sizes.select("_bucket", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off")))

@@ -32,10 +32,10 @@ def reference_shares(ref: DataFrame, value: str, lo: float, hi: float, bins: int
     spark = ref.sparkSession
     v = ref.where(F.col(value).isNotNull())
     counts = v.groupBy(bin_col(value, lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    n = v.agg(F.count(F.lit(1)).alias("n"))
+    n = v.count()  # one scalar
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(counts, "bin", "left").join(F.broadcast(n), how="inner", on=F.lit(True))
-            .select("bin", (F.coalesce(F.col("c"), F.lit(0)) / F.col("n")).alias("e")))
+    return (grid.join(counts, "bin", "left")
+            .select("bin", (F.coalesce(F.col("c"), F.lit(0)) / F.lit(float(n))).alias("e")))
 
 
 def window_counts(cur: DataFrame, ts: str, value: str, lo: float, hi: float, bins: int,
@@ -49,8 +49,7 @@ def window_psi(counts: DataFrame, shares: DataFrame, bins: int) -> DataFrame:
     """PSI per window from (w, bin, cnt) counts and (bin, e) reference shares."""
     spark = counts.sparkSession
     tot = counts.groupBy("w").agg(F.sum("cnt").alias("n"))
-    grid = tot.join(F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))),
-                    how="inner", on=F.lit(True))
+    grid = tot.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     j = (grid.join(counts, ["w", "bin"], "left").join(F.broadcast(shares), "bin"))
     a = F.coalesce(F.col("cnt"), F.lit(0)) / F.col("n")
     a = F.when(a == 0, dlit(PSI_EMPTY_SHARE)).otherwise(a)

@@ -188,3 +188,17 @@ def test_grouped_quantiles_exact_with_hot_group(spark):
         n, q = got[g]
         assert n == len(vs)
         assert q == pytest.approx([float(np.quantile(vs, p)) for p in qs], abs=1e-9)
+
+
+def test_ks_exact_with_coarse_order_dependent_sketch(spark):
+    """Bucket edges come from an approximate sketch whose result depends on
+    input order; the statistic must stay exact (edges are fixed once)."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=6000).round(4), (rng.normal(size=5000) * 1.1).round(4)
+    ref = spark.createDataFrame([(float(v),) for v in a], "x double").repartition(13)
+    cur = spark.createDataFrame([(float(v),) for v in b], "x double").repartition(11)
+    got = DR.ks_statistic(DR._long_numeric(ref, cur, ["x"]), buckets=32, accuracy=10).first()["ks_statistic"]
+    grid = np.union1d(a, b)
+    want = np.max(np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a)
+                         - np.searchsorted(np.sort(b), grid, "right") / len(b)))
+    assert got == pytest.approx(want)
