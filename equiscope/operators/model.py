@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..roles import FeatureRoles
+from ..roles import METRIC_NAME_MAP, FeatureRoles
 from . import quantile
 
 
@@ -76,9 +76,10 @@ def preprocessor(df: DataFrame, roles: FeatureRoles, output: str = "features") -
     idx = StringIndexer(inputCols=[f"_c_{c}" for c in roles.categorical],
                         outputCols=[f"_i_{c}" for c in roles.categorical],
                         stringOrderType="alphabetAsc", handleInvalid="keep")
+    # the indexer maps unknown labels to the last index; dropLast removes that
+    # slot, so an unknown category encodes as an all-zero block
     ohe = OneHotEncoder(inputCols=[f"_i_{c}" for c in roles.categorical],
-                        outputCols=[f"_o_{c}" for c in roles.categorical],
-                        dropLast=True, handleInvalid="keep")
+                        outputCols=[f"_o_{c}" for c in roles.categorical], dropLast=True)
     asm = VectorAssembler(inputCols=[f"_n_{c}" for c in roles.numerical]
                           + [f"_o_{c}" for c in roles.categorical], outputCol=output)
     return Pipeline(stages=[sql, idx, ohe, asm]).fit(df)
@@ -232,3 +233,16 @@ def leaderboard(board: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     best = board.agg(F.min_by("model", F.struct("cv_mae", "model")).alias("best_model"),
                      F.min("cv_mae").alias("best_cv_mae"))
     return top, best
+
+
+# ------------------------------------------------------------------------- O5
+def normalize_metrics(df: DataFrame, pairs=METRIC_NAME_MAP, keep: Sequence[str] = ()) -> DataFrame:
+    """Normalised metric columns: for each target name, the first listed source
+    column that exists and is non-NULL (``coalesce`` in list order); targets
+    with no source are NULL, so the schema is fixed."""
+    targets = list(dict.fromkeys(dst for _, dst in pairs))
+    cols = []
+    for dst in targets:
+        srcs = [F.col(src).cast("double") for src, d in pairs if d == dst and src in df.columns]
+        cols.append((F.coalesce(*srcs) if srcs else F.lit(None).cast("double")).alias(dst))
+    return df.select(*keep, *cols)

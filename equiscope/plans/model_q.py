@@ -245,3 +245,22 @@ def tree_attribution(spark, sf):
     phi = AT.permutation_shapley(model, rows, bg, ["l_orderkey", "l_linenumber", "salary"],
                                  NUM + CAT, permutations=4)
     return round_doubles(phi.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution")))
+
+
+@register("model_info_metrics", with_cand("""
+SELECT job_role, round(avg(abs(predicted_salary - salary)), 4) AS mae,
+       round(sqrt(avg((predicted_salary - salary) * (predicted_salary - salary))), 4) AS rmse,
+       round(CASE WHEN count(salary) < 2 THEN NULL
+            WHEN var_pop(salary) * count(salary) = 0 THEN
+                 CASE WHEN sum((salary - predicted_salary) * (salary - predicted_salary)) = 0 THEN 1.0 ELSE 0.0 END
+            ELSE 1.0 - sum((salary - predicted_salary) * (salary - predicted_salary))
+                       / (var_pop(salary) * count(salary)) END, 4) AS r2,
+       NULL::DOUBLE AS cv_mae, NULL::DOUBLE AS cv_std
+FROM cand GROUP BY job_role"""), ops=("O5",))
+def model_info_metrics(spark, sf):
+    """Per-role metrics published under the training summary's upper-case names
+    (MAE, RMSE, R2), normalised to the API's names."""
+    gm = group_metrics(cand(spark, sf), "job_role", r2=True)
+    raw = gm.select("job_role", F.col("mae").alias("MAE"), F.col("rmse").alias("RMSE"),
+                    F.col("r2").alias("R2"))
+    return round_doubles(MD.normalize_metrics(raw, keep=["job_role"]))

@@ -107,6 +107,10 @@ PSI_MODERATE = 0.10
 PSI_EMPTY_SHARE = 0.0001
 DRIFT_MIN_ROWS = 10
 
+# Metric-name normalisation: (source name, normalised name), first present wins.
+METRIC_NAME_MAP = (("MAE", "mae"), ("RMSE", "rmse"), ("R2", "r2"), ("mae", "mae"), ("rmse", "rmse"),
+                   ("r2", "r2"), ("cv_mae", "cv_mae"), ("cv_std", "cv_std"))
+
 # Weighted k-NN peer weights (documented method), in the documented order.
 KNN_WEIGHTS = {"experience_years": 2.0, "education": 1.5, "job_role": 2.0, "location": 1.5,
                "skills": 1.5, "industry": 1.0, "company_size": 1.0, "employment_type": 0.5}
