@@ -38,8 +38,7 @@ def fit_preprocessor_stats(df: DataFrame, roles: FeatureRoles) -> PreprocessorSt
     """Median (exact) and most-frequent (ties → smallest) imputation values;
     mean and *population* std of the imputed numerics (T12)."""
     medians = {c: quantile.median(df, c) for c in roles.numerical}
-    modes_row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in roles.categorical]).first()
-    modes = {c: modes_row[c] for c in roles.categorical}
+    modes = most_frequent(df, roles.categorical)
     imputed = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c)
                           for c in roles.numerical])
     mom = imputed.agg(*[F.avg(c).alias(f"m_{c}") for c in roles.numerical],
@@ -49,6 +48,24 @@ def fit_preprocessor_stats(df: DataFrame, roles: FeatureRoles) -> PreprocessorSt
     return PreprocessorStats(medians, means, stds, modes)
 
 
+def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent non-NULL value per column, ties → smallest value.
+
+    Counts per (column, value) are a partial-aggregated group-by; the pick is an
+    algebraic ``min_by`` over those counts, so no task holds a column's values.
+    """
+    if not cols:
+        return {}
+    long = (df.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cols]))
+                .alias("cv")).select("cv.column", "cv.v").where(F.col("v").isNotNull()))
+    counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("column").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode")).collect()
+    out = {c: None for c in cols}
+    out.update({r["column"]: r["mode"] for r in rows})  # one row per column
+    return out
+
+
 def _q(name: str) -> str:
     return f"`{name}`"
 
