@@ -91,23 +91,27 @@ def psi_numeric(long: DataFrame, bins: int = 10, edges: str = "shared") -> DataF
     norm = F.lit(float(bins)) / (F.col("hi") - F.col("lo"))
     b = F.least(F.floor((F.col("x") - F.col("lo")) * norm), F.lit(bins - 1)).cast("int")
     # the range table has one row per feature (per side): bounded, broadcast it
-    counts = (vc.join(F.broadcast(rng), on=key)
-              .groupBy("feature", "side", b.alias("bin")).agg(F.sum("w").alias("cnt")))
-    sizes = vc.groupBy("feature", "side").agg(F.sum("w").alias("n"))
-    spark = long.sparkSession
-    grid = sizes.select("feature").distinct().withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    wide = (grid.join(counts.where(F.col("side") == REF).select("feature", "bin", F.col("cnt").alias("e_cnt")),
-                      ["feature", "bin"], "left")
-                .join(counts.where(F.col("side") == CUR).select("feature", "bin", F.col("cnt").alias("a_cnt")),
-                      ["feature", "bin"], "left")
-                .join(sizes.where(F.col("side") == REF).select("feature", F.col("n").alias("e_n")), "feature")
-                .join(sizes.where(F.col("side") == CUR).select("feature", F.col("n").alias("a_n")), "feature"))
-    e = F.coalesce(F.col("e_cnt"), F.lit(0)) / F.col("e_n")
-    a = F.coalesce(F.col("a_cnt"), F.lit(0)) / F.col("a_n")
-    e = F.when(e == 0, dlit(PSI_EMPTY_SHARE)).otherwise(e)
-    a = F.when(a == 0, dlit(PSI_EMPTY_SHARE)).otherwise(a)
-    return wide.groupBy("feature").agg(F.sum(_psi_term(a, e)).alias("psi"))
+    side_counts = (vc.join(F.broadcast(rng), on=key)
+                   .groupBy("feature", b.alias("bin"))
+                   .agg(F.sum(F.when(F.col("side") == REF, F.col("w")).otherwise(0)).alias("e_cnt"),
+                        F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0)).alias("a_cnt")))
+    return _psi_from_side_counts(side_counts)
+
+
+def _psi_from_side_counts(side_counts: DataFrame) -> DataFrame:
+    """Σ (a-e)·ln(a/e) over the cells of each feature, shares floored at 0.0001.
+
+    A cell empty on both sides contributes (0.0001-0.0001)·ln 1 = 0, so only
+    observed cells are needed — no grid of all cells. Totals per feature are a
+    one-row-per-feature aggregate, broadcast back.
+    """
+    tot = side_counts.groupBy("feature").agg(F.sum("e_cnt").alias("e_n"), F.sum("a_cnt").alias("a_n"))
+    e = F.col("e_cnt") / F.col("e_n")
+    a = F.col("a_cnt") / F.col("a_n")
+    shares = side_counts.join(F.broadcast(tot), "feature").select(  # one row per feature
+        "feature", F.when(e == 0, dlit(PSI_EMPTY_SHARE)).otherwise(e).alias("e"),
+        F.when(a == 0, dlit(PSI_EMPTY_SHARE)).otherwise(a).alias("a"))
+    return shares.groupBy("feature").agg(F.sum(_psi_term(F.col("a"), F.col("e"))).alias("psi"))
 
 
 # ------------------------------------------------------------------------ A21
@@ -121,15 +125,10 @@ def category_counts(long: DataFrame) -> DataFrame:
 def psi_categorical(long: DataFrame) -> DataFrame:
     """PSI over the union of categories; a category missing on a side is 0.0001."""
     counts = category_counts(long)
-    sizes = counts.groupBy("feature", "side").agg(F.sum("cnt").alias("n"))
-    props = counts.join(sizes, ["feature", "side"]).select(
-        "feature", "side", "category", (F.col("cnt") / F.col("n")).alias("prop"))
-    e = props.where(F.col("side") == REF).select("feature", "category", F.col("prop").alias("e"))
-    a = props.where(F.col("side") == CUR).select("feature", "category", F.col("prop").alias("a"))
-    j = e.join(a, ["feature", "category"], "full_outer")
-    ee = F.coalesce(F.col("e"), dlit(PSI_EMPTY_SHARE))
-    aa = F.coalesce(F.col("a"), dlit(PSI_EMPTY_SHARE))
-    return j.groupBy("feature").agg(F.sum(_psi_term(aa, ee)).alias("psi"))
+    side_counts = counts.groupBy("feature", "category").agg(
+        F.sum(F.when(F.col("side") == REF, F.col("cnt")).otherwise(0)).alias("e_cnt"),
+        F.sum(F.when(F.col("side") == CUR, F.col("cnt")).otherwise(0)).alias("a_cnt"))
+    return _psi_from_side_counts(side_counts)
 
 
 # ------------------------------------------------------------------------ A22
@@ -144,35 +143,46 @@ def ks_statistic(long: DataFrame, buckets: int = 64, accuracy: int = 10000) -> D
        of a feature's distinct values) plus the offset → both ECDFs at every
        distinct value → max |F_ref - F_cur|.
     """
+    from pyspark import StorageLevel
+    from pyspark.sql.window import Window as W
+
     vc = value_counts_by_side(long)
     counts = vc.groupBy("feature", "x").agg(
         F.sum(F.when(F.col("side") == REF, F.col("w")).otherwise(0)).cast("long").alias("r"),
-        F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0)).cast("long").alias("c"))
-    qs = [i / buckets for i in range(1, buckets)]
-    # The sketch depends on input order, so it is computed ONCE and fixed: the
-    # bounds feed both the bucket offsets and the running sums, which must see
-    # identical bucket edges. One row per feature, ≤ buckets-1 values each.
-    brows = counts.groupBy("feature").agg(
-        F.percentile_approx("x", qs, accuracy).alias("bounds"),  # balance only; result is exact
-        F.sum("r").alias("n"), F.sum("c").alias("m")).collect()
-    bounds = F.broadcast(long.sparkSession.createDataFrame(
-        [(r["feature"], [float(v) for v in r["bounds"]], int(r["n"]), int(r["m"])) for r in brows],
-        "feature string, bounds array<double>, n long, m long"))
-    with_b = counts.join(bounds, "feature").withColumn(
-        "bucket", F.size(F.filter("bounds", lambda b: b < F.col("x"))))
-    from pyspark.sql.window import Window as W
-    tot = with_b.groupBy("feature", "bucket").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))
-    wb = W.partitionBy("feature").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offs = tot.select("feature", "bucket",
-                      F.coalesce(F.sum("br").over(wb), F.lit(0)).alias("off_r"),
-                      F.coalesce(F.sum("bc").over(wb), F.lit(0)).alias("off_c"))
-    wx = W.partitionBy("feature", "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    run = (with_b.join(F.broadcast(offs), ["feature", "bucket"])
-           .select("feature", "n", "m",
-                   ((F.sum("r").over(wx) + F.col("off_r")) / F.col("n")).alias("fr"),
-                   ((F.sum("c").over(wx) + F.col("off_c")) / F.col("m")).alias("fc")))
-    return run.groupBy("feature").agg(F.max(F.abs(F.col("fr") - F.col("fc"))).alias("ks_statistic"),
-                                      F.first("n").alias("n_ref"), F.first("m").alias("n_cur"))
+        F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0)).cast("long").alias("c")
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = long.sparkSession
+    try:
+        qs = [i / buckets for i in range(1, buckets)]
+        # The sketch depends on input order, so it is computed ONCE and fixed:
+        # the bounds feed both the bucket offsets and the running sums, which
+        # must see identical bucket edges. One row per feature, ≤ buckets-1 values.
+        brows = counts.groupBy("feature").agg(
+            F.percentile_approx("x", qs, accuracy).alias("bounds"),  # balance only; result is exact
+            F.sum("r").alias("n"), F.sum("c").alias("m")).collect()
+        bounds = F.broadcast(spark.createDataFrame(
+            [(r["feature"], [float(v) for v in r["bounds"]], int(r["n"]), int(r["m"])) for r in brows],
+            "feature string, bounds array<double>, n long, m long"))
+        with_b = counts.join(bounds, "feature").withColumn(
+            "bucket", F.size(F.filter("bounds", lambda b: b < F.col("x"))))
+        tot = with_b.groupBy("feature", "bucket").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))
+        wb = W.partitionBy("feature").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        offs = tot.select("feature", "bucket",
+                          F.coalesce(F.sum("br").over(wb), F.lit(0)).alias("off_r"),
+                          F.coalesce(F.sum("bc").over(wb), F.lit(0)).alias("off_c"))
+        wx = W.partitionBy("feature", "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+        run = (with_b.join(F.broadcast(offs), ["feature", "bucket"])
+               .select("feature", "n", "m",
+                       ((F.sum("r").over(wx) + F.col("off_r")) / F.col("n")).alias("fr"),
+                       ((F.sum("c").over(wx) + F.col("off_c")) / F.col("m")).alias("fc")))
+        rows = (run.groupBy("feature").agg(F.max(F.abs(F.col("fr") - F.col("fc"))).alias("ks_statistic"),
+                                           F.first("n").alias("n_ref"), F.first("m").alias("n_cur"))
+                .collect())  # one row per feature
+    finally:
+        counts.unpersist(blocking=True)
+    return spark.createDataFrame([(r["feature"], float(r["ks_statistic"]), int(r["n_ref"]), int(r["n_cur"]))
+                                  for r in rows],
+                                 "feature string, ks_statistic double, n_ref long, n_cur long")
 
 
 # ------------------------------------------------------------------------ A23
