@@ -252,6 +252,38 @@ def categorical_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols:
             .withColumn("drift_level", drift_level(F.col("psi"))))
 
 
+def drift_stats_table(df: DataFrame, side: str, numeric: Sequence[str], categorical: Sequence[str],
+                      bins: int = 10, edges: str = "shared") -> DataFrame:
+    """Per-feature drift statistics (PSI, KS / χ², levels) for a table whose
+    ``side`` column marks reference (0) and current (1) rows.
+
+    The needed columns are projected and cached once; every statistic reads
+    the cache, and the result — one row per feature — is collected before the
+    cache is released, so the source is scanned once for the whole report.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    proj = df.select(side, *numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = []
+        if numeric:
+            num = numeric_drift_stats(None, None, numeric, bins, edges,
+                                      long=long_numeric_sided(proj, side, numeric))
+            rows += [(r["feature"], "numerical", r["psi"], r["ks_statistic"], None, None,
+                      r["drift_level"], int(r["n_ref"]), int(r["n_cur"])) for r in num.collect()]
+        if categorical:
+            cat = categorical_drift_stats(None, None, categorical,
+                                          long=long_categorical_sided(proj, side, categorical))
+            rows += [(r["feature"], "categorical", r["psi"], None, r["chi2_statistic"], int(r["dof"]),
+                      r["drift_level"], int(r["n_ref"]), int(r["n_cur"])) for r in cat.collect()]
+    finally:
+        proj.unpersist(blocking=True)
+    return spark.createDataFrame(rows, "feature string, kind string, psi double, ks_statistic double, "
+                                       "chi2_statistic double, dof long, drift_level string, "
+                                       "n_ref long, n_cur long")
+
+
 def drift_report(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | None,
                  numeric: Sequence[str], categorical: Sequence[str], bins: int = 10,
                  edges: str = "shared", sided: tuple[DataFrame, str] | None = None
@@ -262,17 +294,20 @@ def drift_report(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | No
     comes to the driver only to attach p-values (pure functions of D, n, m /
     χ², dof) and goes back as a DataFrame.
     """
+    if sided is not None:
+        stats_rows = drift_stats_table(sided[0], sided[1], numeric, categorical, bins, edges).collect()
+    else:
+        both = ref.select(*numeric, *categorical).withColumn("_side", F.lit(REF)).unionByName(
+            cur.select(*numeric, *categorical).withColumn("_side", F.lit(CUR)))
+        stats_rows = drift_stats_table(both, "_side", numeric, categorical, bins, edges).collect()
     rows = []
-    if numeric:
-        ln = long_numeric_sided(sided[0], sided[1], numeric) if sided else None
-        for r in numeric_drift_stats(ref, cur, numeric, bins, edges, long=ln).collect():
+    for r in stats_rows:
+        if r["kind"] == "numerical":
             p = stats.ks_2samp_p(r["ks_statistic"], r["n_ref"], r["n_cur"])
             rows.append((r["feature"], "numerical", r["psi"], r["ks_statistic"], p, None, r["drift_level"],
                          bool(p < 0.05), bool(r["psi"] >= PSI_MODERATE or p < 0.05),
                          max(r["psi"], r["ks_statistic"])))
-    if categorical:
-        lc = long_categorical_sided(sided[0], sided[1], categorical) if sided else None
-        for r in categorical_drift_stats(ref, cur, categorical, long=lc).collect():
+        else:
             p = stats.chi2_sf(r["chi2_statistic"], r["dof"]) if r["dof"] > 0 else float("nan")
             rows.append((r["feature"], "categorical", r["psi"], None, p, r["chi2_statistic"],
                          r["drift_level"], bool(p < 0.05), bool(r["psi"] >= PSI_MODERATE or p < 0.05),

@@ -164,17 +164,11 @@ SELECT feature, 'categorical', round(psi, 4), NULL, round(chi2_statistic, 4),
 FROM cpsi JOIN chi USING (feature)""", LONG_NUM_CTE, LONG_CAT_CTE, psi_num_sql(False)[1:], KS_CTES,
     PSI_CAT_CTES, CHI2_CTES), ops=("A24",))
 def drift_report_stats(spark, sf):
-    s = sided(spark, sf)
-    num = DR.numeric_drift_stats(None, None, NUM, long=DR.long_numeric_sided(s, "_side", NUM)).select(
-        "feature", F.lit("numerical").alias("kind"), "psi", "ks_statistic",
-        F.lit(None).cast("double").alias("chi2_statistic"), "drift_level",
-        F.greatest("psi", "ks_statistic").alias("drift_score"))
-    cat = DR.categorical_drift_stats(None, None, CAT,
-                                     long=DR.long_categorical_sided(s, "_side", CAT)).select(
-        "feature", F.lit("categorical").alias("kind"), "psi",
-        F.lit(None).cast("double").alias("ks_statistic"), "chi2_statistic", "drift_level",
-        F.col("psi").alias("drift_score"))
-    return round_doubles(num.unionByName(cat))
+    t = DR.drift_stats_table(sided(spark, sf), "_side", NUM, CAT)
+    return round_doubles(t.select(
+        "feature", "kind", "psi", "ks_statistic", "chi2_statistic", "drift_level",
+        F.when(F.col("kind") == "numerical", F.greatest("psi", "ks_statistic"))
+         .otherwise(F.col("psi")).alias("drift_score")))
 
 
 @register("drift_report", None, ops=("A24",))
