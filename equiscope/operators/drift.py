@@ -132,19 +132,18 @@ def psi_categorical(long: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ A22
-def ks_statistic(long: DataFrame, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+def ks_statistic(long: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Two-sample KS D per feature, with n and m, as a distributed prefix sum.
 
     1. counts per distinct (feature, x) and side — a hot value is one row;
-    2. range buckets per feature from a quantile sketch (only balance depends
-       on the sketch: bucket(x) is monotone in x, so the result is exact);
-    3. exclusive per-bucket offsets from the tiny (feature, bucket) totals;
-    4. running sums inside each bucket (a window over one bucket, ~1/buckets
-       of a feature's distinct values) plus the offset → both ECDFs at every
-       distinct value → max |F_ref - F_cur|.
+    2. running totals of both sides in x order per feature
+       (``prefix.running_totals``: range partitions sized from the number of
+       distinct values, so a feature with many values spans many tasks);
+    3. both ECDFs at every distinct value → max |F_ref - F_cur| per feature.
     """
     from pyspark import StorageLevel
-    from pyspark.sql.window import Window as W
+
+    from .prefix import ROWS_PER_TASK, running_totals
 
     vc = value_counts_by_side(long)
     counts = vc.groupBy("feature", "x").agg(
@@ -153,33 +152,20 @@ def ks_statistic(long: DataFrame, buckets: int = 64, accuracy: int = 10000) -> D
     ).persist(StorageLevel.MEMORY_AND_DISK)
     spark = long.sparkSession
     try:
-        qs = [i / buckets for i in range(1, buckets)]
-        # The sketch depends on input order, so it is computed ONCE and fixed:
-        # the bounds feed both the bucket offsets and the running sums, which
-        # must see identical bucket edges. One row per feature, ≤ buckets-1 values.
-        brows = counts.groupBy("feature").agg(
-            F.percentile_approx("x", qs, accuracy).alias("bounds"),  # balance only; result is exact
-            F.sum("r").alias("n"), F.sum("c").alias("m")).collect()
-        bounds = F.broadcast(spark.createDataFrame(
-            [(r["feature"], [float(v) for v in r["bounds"]], int(r["n"]), int(r["m"])) for r in brows],
-            "feature string, bounds array<double>, n long, m long"))
-        with_b = counts.join(bounds, "feature").withColumn(
-            "bucket", F.size(F.filter("bounds", lambda b: b < F.col("x"))))
-        tot = with_b.groupBy("feature", "bucket").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))
-        wb = W.partitionBy("feature").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-        offs = tot.select("feature", "bucket",
-                          F.coalesce(F.sum("br").over(wb), F.lit(0)).alias("off_r"),
-                          F.coalesce(F.sum("bc").over(wb), F.lit(0)).alias("off_c"))
-        wx = W.partitionBy("feature", "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-        run = (with_b.join(F.broadcast(offs), ["feature", "bucket"])
-               .select("feature", "n", "m",
-                       ((F.sum("r").over(wx) + F.col("off_r")) / F.col("n")).alias("fr"),
-                       ((F.sum("c").over(wx) + F.col("off_c")) / F.col("m")).alias("fc")))
-        rows = (run.groupBy("feature").agg(F.max(F.abs(F.col("fr") - F.col("fc"))).alias("ks_statistic"),
-                                           F.first("n").alias("n_ref"), F.first("m").alias("n_cur"))
-                .collect())  # one row per feature
+        sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("d"), F.sum("r").alias("n"),
+                                              F.sum("c").alias("m")).collect()  # one row per feature
+        run = running_totals(counts, ["feature"], ["x"], ["r", "c"], ["cr", "cc"],
+                             rows=sum(int(r["d"]) for r in sizes),
+                             rows_per_task=rows_per_task or ROWS_PER_TASK)
     finally:
         counts.unpersist(blocking=True)
+    tot = F.broadcast(spark.createDataFrame([(r["feature"], int(r["n"]), int(r["m"])) for r in sizes],
+                                            "feature string, n long, m long"))
+    rows = (run.join(tot, "feature")
+            .groupBy("feature")
+            .agg(F.max(F.abs(F.try_divide(F.col("cr"), F.col("n")) - F.try_divide(F.col("cc"), F.col("m")))).alias("ks_statistic"),
+                 F.first("n").alias("n_ref"), F.first("m").alias("n_cur"))
+            .collect())  # one row per feature
     return spark.createDataFrame([(r["feature"], float(r["ks_statistic"]), int(r["n_ref"]), int(r["n_cur"]))
                                   for r in rows],
                                  "feature string, ks_statistic double, n_ref long, n_cur long")

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import dlit, js_round, safe_div
 from . import quantile
-from .topk import global_rank
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -202,21 +201,45 @@ def iqr_outliers(df: DataFrame, y: str, by: str) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------------ E12
-def qq_points(df: DataFrame, col: str) -> DataFrame:
+def qq_points(df: DataFrame, col: str, chunk: int = 100_000,
+              rows_per_task: int | None = None) -> DataFrame:
     """Normal Q-Q pairs: ordered value vs Φ⁻¹ of Filliben's order-statistic medians.
 
-    The rank of every value comes from a distributed prefix sum
-    (``global_rank``); Φ⁻¹ is a vectorised pandas UDF.
+    Ranks come from a distributed prefix sum over the *distinct* values and
+    their counts (``prefix.running_totals``), so a hot value is one row there.
+    Each value then owns the rank range [cum - cnt, cum); the range is cut
+    into chunks of ≤ ``chunk`` ranks, the chunk descriptors are spread over
+    tasks by a hash repartition, and each chunk is expanded with ``sequence``
+    — no task expands more than ``chunk`` rows. Tied values are
+    interchangeable, so the (rank, value) pairs are exact. Φ⁻¹ is a
+    vectorised pandas UDF.
     """
     from ..functions.udfs import normal_ppf
-
-    ranked = global_rank(df.select(F.col(col).cast("double").alias("value"))
-                         .where(F.col("value").isNotNull()), "value")
-    n = F.col("n").cast("double")
+    from .prefix import ROWS_PER_TASK, running_totals
+
+    x = F.col("value")
+    vc = (df.select(F.col(col).cast("double").alias("value")).where(x.isNotNull() & ~F.isnan(x))
+          .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
+    st = vc.agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n")).first()  # one row
+    if not st["d"]:
+        return df.sparkSession.createDataFrame([], "rank long, value double, theoretical double")
+    total = int(st["n"])
+    run = running_totals(vc, [], ["value"], ["cnt"], ["cum"], rows=int(st["d"]),
+                         rows_per_task=rows_per_task or ROWS_PER_TASK)
+    first = F.col("cum") - F.col("cnt")
+    c = F.lit(chunk).cast("long")
+    chunks = (run.select("value", first.alias("r0"), F.col("cum").alias("r1"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / c)
+                                              .cast("long"))).alias("k"))
+              .repartition("value", "k"))
+    lo = F.col("r0") + F.col("k") * c
+    hi = F.least(lo + c, F.col("r1")) - 1
+    ranked = chunks.select(F.explode(F.sequence(lo, hi)).alias("rank"), "value")
+    n = F.lit(float(total))
     i = F.col("rank").cast("double") + 1.0
     last = F.pow(dlit(0.5), dlit(1.0) / n)
     m = (F.when(F.col("rank") == 0, dlit(1.0) - last)
-         .when(F.col("rank") == F.col("n") - 1, last)
+         .when(F.col("rank") == F.lit(total - 1), last)
          .otherwise((i - 0.3175) / (n + 0.365)))
     return ranked.select("rank", "value", normal_ppf(m).alias("theoretical"))
 

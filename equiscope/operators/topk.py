@@ -32,24 +32,15 @@ def page_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return top.where(F.col("_rank") > (page - 1) * size).withColumnRenamed("_rank", "position")
 
 
-def global_rank(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """0-based rank of every row by ``value`` (ties in arbitrary but fixed order
-    of the remaining columns) as a distributed prefix sum.
-
-    Rows are bucketed by a quantile sketch (monotone in the value), bucket
-    sizes give exclusive offsets (a table of ``buckets`` rows), and a window
-    inside each bucket gives the local position. Returns df + ``rank`` + ``n``.
-    """
-    qs = [i / buckets for i in range(1, buckets)]
-    st = df.agg(F.percentile_approx(value, qs, 10000).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    bounds = F.array(*[F.lit(float(v)) for v in (st["b"] or [])])  # ≤ buckets-1 values
-    tagged = (df.withColumn("n", F.lit(int(st["n"])))
-              .withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < F.col(value)))))
-    sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    wb = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offs = F.broadcast(sizes.select("_bucket", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off")))
+def global_rank(df: DataFrame, value: str, rows_per_task: int | None = None) -> DataFrame:
+    """0-based rank of every row by ``value`` (ties ordered by the remaining
+    columns) as a distributed prefix sum: range partitions of (value, others)
+    sized from the row count, so a hot value is split across tasks by its
+    tie-breakers (``prefix.running_totals``). Returns df + ``rank`` + ``n``."""
+    from .prefix import ROWS_PER_TASK, running_totals
+
+    n = df.count()
     others = [c for c in df.columns if c != value]
-    wl = W.partitionBy("_bucket").orderBy(F.col(value), *[F.col(c) for c in others])
-    return (tagged.join(offs, "_bucket")
-            .withColumn("rank", F.row_number().over(wl) - 1 + F.col("_off"))
-            .drop("_bucket", "_off"))
+    run = running_totals(df.withColumn("_one", F.lit(1).cast("long")), [], [value, *others], ["_one"],
+                         ["_r"], rows=n, rows_per_task=rows_per_task or ROWS_PER_TASK)
+    return run.select(*df.columns, (F.col("_r") - 1).alias("rank"), F.lit(n).cast("long").alias("n"))

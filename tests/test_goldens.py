@@ -137,7 +137,7 @@ def test_ks_statistic_matches_bruteforce(spark):
     a, b = rng.normal(size=400).round(2), (rng.normal(size=300) + 0.3).round(2)
     ref = spark.createDataFrame([(float(v),) for v in a], "x double")
     cur = spark.createDataFrame([(float(v),) for v in b], "x double")
-    got = DR.ks_statistic(DR._long_numeric(ref, cur, ["x"]), buckets=4).first()["ks_statistic"]
+    got = DR.ks_statistic(DR._long_numeric(ref, cur, ["x"]), rows_per_task=50).first()["ks_statistic"]
     grid = np.union1d(a, b)
     want = max(abs(np.searchsorted(np.sort(a), g, "right") / len(a)
                    - np.searchsorted(np.sort(b), g, "right") / len(b)) for g in grid)
@@ -190,15 +190,60 @@ def test_grouped_quantiles_exact_with_hot_group(spark):
         assert q == pytest.approx([float(np.quantile(vs, p)) for p in qs], abs=1e-9)
 
 
-def test_ks_exact_with_coarse_order_dependent_sketch(spark):
-    """Bucket edges come from an approximate sketch whose result depends on
-    input order; the statistic must stay exact (edges are fixed once)."""
+def test_ks_exact_over_many_sampled_ranges(spark):
+    """Range bounds come from sampling, whose result depends on input order;
+    the statistic must stay exact (the range id is checkpointed once)."""
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=6000).round(4), (rng.normal(size=5000) * 1.1).round(4)
     ref = spark.createDataFrame([(float(v),) for v in a], "x double").repartition(13)
     cur = spark.createDataFrame([(float(v),) for v in b], "x double").repartition(11)
-    got = DR.ks_statistic(DR._long_numeric(ref, cur, ["x"]), buckets=32, accuracy=10).first()["ks_statistic"]
+    got = DR.ks_statistic(DR._long_numeric(ref, cur, ["x"]), rows_per_task=300).first()["ks_statistic"]
     grid = np.union1d(a, b)
     want = np.max(np.abs(np.searchsorted(np.sort(a), grid, "right") / len(a)
                          - np.searchsorted(np.sort(b), grid, "right") / len(b)))
     assert got == pytest.approx(want)
+
+
+def test_running_totals_hot_key_over_many_ranges(spark):
+    """A key holding most rows spans many range partitions; sums stay exact."""
+    from equiscope.operators.prefix import running_totals
+    rng = np.random.default_rng(11)
+    rows = [("hot", i, int(v)) for i, v in enumerate(rng.integers(0, 9, 3000))]
+    rows += [("a", i, 1) for i in range(40)] + [(None, i, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, o int, v long").repartition(7)
+    got = {(r["k"], r["o"]): r["cum_v"]
+           for r in running_totals(df, ["k"], ["o"], ["v"], rows_per_task=100).collect()}
+    acc = {}
+    for k, o, v in sorted(rows, key=lambda t: (t[0] is not None, t[0] or "", t[1])):
+        acc[k] = acc.get(k, 0) + v
+        assert got[(k, o)] == acc[k]
+    assert len(got) == len(rows)
+
+
+def test_qq_points_with_hot_value_in_chunks(spark):
+    """Ranks 0..n-1 each once, values in sorted order, Filliben medians through
+    Φ⁻¹; a value holding a third of the rows is expanded in many chunks."""
+    from statistics import NormalDist
+
+    from equiscope.operators.profile import qq_points
+    rng = np.random.default_rng(2)
+    vals = list(rng.normal(size=600).round(2)) + [0.5] * 300 + [None] * 4
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in vals], "r double").repartition(5)
+    got = sorted((r["rank"], r["value"], r["theoretical"])
+                 for r in qq_points(df, "r", chunk=7, rows_per_task=40).collect())
+    xs = sorted(v for v in vals if v is not None)
+    n = len(xs)
+    assert [g[0] for g in got] == list(range(n)) and [g[1] for g in got] == xs
+    m = [(i + 1 - 0.3175) / (n + 0.365) for i in range(n)]
+    m[-1] = 0.5 ** (1 / n)
+    m[0] = 1 - m[-1]
+    assert [g[2] for g in got] == pytest.approx([NormalDist().inv_cdf(p) for p in m], abs=1e-12)
+
+
+def test_global_rank_breaks_ties_by_other_columns(spark):
+    from equiscope.operators.topk import global_rank
+    rows = [(1.0, i) for i in range(50)] + [(float(i % 7), 100 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "v double, id int").repartition(3)
+    got = sorted((r["rank"], r["v"], r["id"]) for r in global_rank(df, "v", rows_per_task=9).collect())
+    want = sorted(rows)
+    assert [(g[1], g[2]) for g in got] == want and [g[0] for g in got] == list(range(len(rows)))
