@@ -175,27 +175,61 @@ def mean_match(df: DataFrame, p: str, g: str, out: str = "calibrated") -> DataFr
 
 # ----------------------------------------------------------------------- A17
 def quantile_match(df: DataFrame, p: str, g: str, out: str = "calibrated",
-                   grid: int = 1000) -> DataFrame:
+                   rows_per_task: int | None = None) -> DataFrame:
     """Map each prediction to the overall distribution at its within-group rank.
 
-    Within-group rank fraction u = (rank-1)/(n-1) comes from counting rows of
-    the same group with a smaller value: a grouped histogram on a ``grid``-point
-    quantile sketch keeps it distributed. The overall quantile function is
-    taken on the same grid from ``percentile_approx`` and interpolated.
+    u = percent rank of the prediction in its group = (#group values below
+    it) / (n_g - 1), 0 for a one-row group; the calibrated value is the
+    overall linear (NumPy default) quantile at u: with h = u·(N-1) and s the
+    sorted predictions of all rows, s[⌊h⌋] + (h-⌊h⌋)·(s[⌈h⌉] - s[⌊h⌋]).
+    Rows with a NULL group or prediction are left unchanged. Exact.
+
+    Plan (no group or value is gathered in one task):
+
+    * counts per distinct (group, value) and per distinct value — a hot value
+      is one row;
+    * "values below" per group and the start index of every distinct value
+      overall are running sums (``prefix.running_totals``, range partitions);
+    * s[i] for the needed indices i = ⌊h⌋, ⌈h⌉: the value starting at or
+      before i, found as a running max over (value starts ∪ needed indices)
+      in index order — values grow with their start index;
+    * the answer per distinct (group, value) is joined back to the rows.
     """
-    qs = [i / grid for i in range(grid + 1)]
-    oq = df.agg(F.percentile_approx(p, qs, 10000)).first()[0]  # grid+1 values
-    overall = F.array(*[F.lit(float(v)) for v in oq])
-    gq = df.where(F.col(g).isNotNull()).groupBy(g).agg(
-        F.percentile_approx(p, qs, 10000).alias("_gq"))
-    # position of the value in its group's quantile grid -> fraction u
-    pos = F.size(F.filter(F.col("_gq"), lambda v: v < F.col(p)))
-    u = F.least(F.greatest(pos.cast("double") / F.lit(float(grid)), dlit(0.0)), dlit(1.0))
-    idx = (u * F.lit(float(grid))).cast("int")
-    mapped = F.element_at(overall, idx + 1)
-    return (df.join(gq, on=g, how="left")
-            .withColumn(out, F.when(F.col("_gq").isNull(), F.col(p)).otherwise(mapped))
-            .drop("_gq"))
+    from .prefix import ROWS_PER_TASK, running_totals
+
+    rpt = rows_per_task or ROWS_PER_TASK
+    v = F.col("_v")
+    vals = (df.select(F.col(g).alias("_g"), F.col(p).cast("double").alias("_v"))
+            .where(v.isNotNull() & ~F.isnan(v)))
+    ovc = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    gvc = vals.where(F.col("_g").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    st = ovc.agg(F.count(F.lit(1)).alias("d"), F.sum("_c").alias("n")).first()  # one row
+    if not st["d"]:
+        return df.withColumn(out, F.col(p))
+    n_all = int(st["n"])
+    gcum = running_totals(gvc, ["_g"], ["_v"], ["_c"], ["_cum"], rows_per_task=rpt)
+    ng = gvc.groupBy("_g").agg(F.sum("_c").alias("_ng"))  # one row per group
+    u = F.coalesce(F.try_divide((F.col("_cum") - F.col("_c")).cast("double"),
+                                F.nullif(F.col("_ng") - 1, F.lit(0)).cast("double")), dlit(0.0))
+    h = (gcum.join(ng, "_g")
+         .select("_g", "_v", (u * dlit(float(n_all - 1))).alias("_h"))
+         .withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long")))
+    starts = (running_totals(ovc, [], ["_v"], ["_c"], ["_cum"], rows=int(st["d"]), rows_per_task=rpt)
+              .select((F.col("_cum") - F.col("_c")).alias("_i"), F.lit(0).alias("_kind"), "_v"))
+    need = (h.select(F.col("_lo").alias("_i")).unionByName(h.select(F.col("_hi").alias("_i"))).distinct()
+            .select("_i", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_v")))
+    filled = running_totals(starts.unionByName(need), [], ["_i", "_kind"], ["_v"], ["_s"],
+                            rows_per_task=rpt, how="max")
+    s_at = filled.where(F.col("_kind") == 1).select("_i", "_s")
+    lo = s_at.select(F.col("_i").alias("_lo"), F.col("_s").alias("_slo"))
+    hi = s_at.select(F.col("_i").alias("_hi"), F.col("_s").alias("_shi"))
+    cal = (h.join(lo, "_lo").join(hi, "_hi")
+           .select("_g", "_v", (F.col("_slo") + (F.col("_h") - F.floor("_h"))
+                                * (F.col("_shi") - F.col("_slo"))).alias("_cal")))
+    joined = df.join(cal, (df[g] == cal["_g"]) & (F.col(p).cast("double") == cal["_v"]), "left")
+    return (joined.withColumn(out, F.when(F.col("_cal").isNull(), F.col(p).cast("double"))
+                              .otherwise(F.col("_cal")))
+            .drop("_g", "_v", "_cal"))
 
 
 # ----------------------------------------------------------------------- A18

@@ -36,8 +36,10 @@ BROADCAST_ROWS = 1_000_000  # offsets table rows up to which it is broadcast
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
                    out: Sequence[str] | None = None, rows: int | None = None,
-                   rows_per_task: int = ROWS_PER_TASK, max_parts: int = MAX_PARTS) -> DataFrame:
-    """``df`` plus inclusive running sums of ``sums`` per ``keys`` in ``order``.
+                   rows_per_task: int = ROWS_PER_TASK, max_parts: int = MAX_PARTS,
+                   how: str = "sum") -> DataFrame:
+    """``df`` plus inclusive running sums (``how="sum"``) or running maxima
+    (``how="max"``, NULLs ignored) of ``sums`` per ``keys`` in ``order``.
 
     ``rows`` (the row count of ``df``) may be passed when already known;
     otherwise it is counted. The result is read from a checkpoint and can be
@@ -45,6 +47,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     """
     from ..session import ensure_checkpoint_dir
 
+    if how not in ("sum", "max"):
+        raise ValueError("how must be 'sum' or 'max'")
+    agg = F.sum if how == "sum" else F.max
     keys, order, sums = list(keys), list(order), list(sums)
     out = list(out) if out is not None else [f"cum_{c}" for c in sums]
     ensure_checkpoint_dir(df.sparkSession)
@@ -53,10 +58,11 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     ranged = (df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in keys + order])
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    tot = ranged.groupBy(*keys, "_pid").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    tot = ranged.groupBy(*keys, "_pid").agg(*[agg(c).alias(f"_t{i}") for i, c in enumerate(sums)])
     wo = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offs = tot.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_pid").alias("_opid"),
-                      *[F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)).alias(f"_o{i}")
+                      *[(F.coalesce(F.sum(f"_t{i}").over(wo), F.lit(0)) if how == "sum"
+                         else F.max(f"_t{i}").over(wo)).alias(f"_o{i}")
                         for i in range(len(sums))])
     cond = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)] + [F.col("_pid") == F.col("_opid")]
     wl = W.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -64,5 +70,6 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     # count, read from the small aggregate, is under the bound; else a shuffle join.
     n_offs = tot.count()
     return (ranged.join(F.broadcast(offs) if n_offs <= BROADCAST_ROWS else offs, cond)
-            .select(*df.columns, *[(F.sum(c).over(wl) + F.col(f"_o{i}")).alias(o)
+            .select(*df.columns, *[((F.sum(c).over(wl) + F.col(f"_o{i}")) if how == "sum"
+                                    else F.greatest(F.max(c).over(wl), F.col(f"_o{i}"))).alias(o)
                                    for i, (c, o) in enumerate(zip(sums, out))]))

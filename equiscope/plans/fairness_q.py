@@ -201,13 +201,30 @@ def pearson_proxy_age(spark, sf):
     return round_doubles(FA.pearson_proxies(cand(spark, sf), "age", list(NUMERICAL_FEATURES)))
 
 
-@register("quantile_match_gender", None, ops=("A17",))
+@register("quantile_match_gender", with_cand("""
+SELECT c.gender, count(*) AS count, round(avg(c.predicted_salary), 4) AS mean_before,
+       round(avg(coalesce(q.cal, c.predicted_salary)), 4) AS mean_after,
+       round(min(coalesce(q.cal, c.predicted_salary)), 4) AS min_after,
+       round(max(coalesce(q.cal, c.predicted_salary)), 4) AS max_after
+FROM cand c LEFT JOIN cal q ON q.g = c.gender AND q.v = c.predicted_salary
+GROUP BY c.gender""", """vals AS (SELECT gender AS g, CAST(predicted_salary AS DOUBLE) AS v FROM cand
+         WHERE predicted_salary IS NOT NULL AND NOT isnan(predicted_salary))""",
+    """srt AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM vals)""",
+    """tot AS (SELECT count(*) AS n FROM vals)""",
+    """rk AS (SELECT g, v, CAST(rank() OVER (PARTITION BY g ORDER BY v) - 1 AS DOUBLE) AS below,
+              count(*) OVER (PARTITION BY g) AS ng FROM vals WHERE g IS NOT NULL)""",
+    """hh AS (SELECT DISTINCT g, v, coalesce(below / CAST(nullif(ng - 1, 0) AS DOUBLE), 0.0)
+                                * CAST(n - 1 AS DOUBLE) AS h FROM rk, tot)""",
+    """cal AS (SELECT hh.g, hh.v, lo.v + (hh.h - floor(hh.h)) * (hi.v - lo.v) AS cal
+        FROM hh JOIN srt lo ON lo.i = CAST(floor(hh.h) AS BIGINT) JOIN srt hi ON hi.i = CAST(ceil(hh.h) AS BIGINT))"""),
+    ops=("A17",))
 def quantile_match_gender(spark, sf):
     qm = FA.quantile_match(cand(spark, sf).select("gender", "predicted_salary"),
                            "predicted_salary", "gender")
     return round_doubles(qm.groupBy("gender").agg(
         F.count(F.lit(1)).alias("count"), F.avg("predicted_salary").alias("mean_before"),
-        F.avg("calibrated").alias("mean_after")))
+        F.avg("calibrated").alias("mean_after"), F.min("calibrated").alias("min_after"),
+        F.max("calibrated").alias("max_after")))
 
 
 @register("fairness_export", with_cand("""

@@ -247,3 +247,28 @@ def test_global_rank_breaks_ties_by_other_columns(spark):
     got = sorted((r["rank"], r["v"], r["id"]) for r in global_rank(df, "v", rows_per_task=9).collect())
     want = sorted(rows)
     assert [(g[1], g[2]) for g in got] == want and [g[0] for g in got] == list(range(len(rows)))
+
+
+def test_quantile_match_exact_with_hot_group(spark):
+    """Percent rank within the group mapped onto the overall linear quantile
+    function (NumPy), over many small ranges; NULL group / value unchanged."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(v)) for v in rng.normal(10, 2, 400).round(1)] + [("hot", 3.0)] * 80
+    rows += [("b", float(v)) for v in rng.normal(12, 1, 60).round(1)] + [("c", 5.0)]
+    rows += [(None, 1.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, p double").repartition(4)
+    got = sorted((r["g"] or "", -1.0 if r["p"] is None else r["p"], r["calibrated"])
+                 for r in FA.quantile_match(df, "p", "g", rows_per_task=37).collect())
+    allv = np.sort([p for _, p in rows if p is not None])
+    want = []
+    for g, p in rows:
+        if g is None or p is None:
+            want.append((g or "", -1.0 if p is None else p, p))
+            continue
+        gv = [q for h, q in rows if h == g and q is not None]
+        u = sum(q < p for q in gv) / (len(gv) - 1) if len(gv) > 1 else 0.0
+        want.append((g, p, float(np.quantile(allv, u))))
+    want.sort()
+    assert [w[:2] for w in got] == [w[:2] for w in want]
+    for a, b in zip(got, want):
+        assert (a[2] is None and b[2] is None) or a[2] == pytest.approx(b[2], abs=1e-9)
