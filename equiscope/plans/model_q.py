@@ -240,7 +240,7 @@ def tree_attribution(spark, sf):
     from pyspark.ml import Pipeline
     gbt = MD.estimators("salary")["gradient_boosting"].setMaxIter(10)
     model = Pipeline(stages=[pre, gbt]).fit(df)
-    rows = hash_sample(df, ["l_orderkey", "l_linenumber", "salary"], 200, seed=42)
+    rows = hash_sample(df, ["l_orderkey", "l_linenumber", "salary"], 500, seed=42)  # S10: 500 rows, seed 42
     bg = hash_sample(df, ["l_orderkey", "l_linenumber", "salary"], 8, seed=7)
     phi = AT.permutation_shapley(model, rows, bg, ["l_orderkey", "l_linenumber", "salary"],
                                  NUM + CAT, permutations=4)

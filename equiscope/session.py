@@ -43,8 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only if unset.
 
     On a cluster the operator of the cluster names a shared folder in
-    ``spark.checkpoint.dir``; we read and use it. Only when nothing is set (a
-    local test run) do we make a fresh scratch folder.
+    ``spark.checkpoint.dir``; we read and use it. Only a local-mode session
+    (tests, local runs) with nothing set gets a fresh scratch folder; on a
+    cluster a machine-local folder would not be shared by the executors, so
+    an unset folder is an error there.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -54,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by all executors "
+                           "(e.g. on the cluster's distributed file system)")
     scratch = tempfile.mkdtemp(prefix="equiscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", scratch)
     sc.setCheckpointDir(scratch)
