@@ -211,10 +211,10 @@ def qq_points(df: DataFrame, col: str, chunk: int = 100_000,
     into chunks of ≤ ``chunk`` ranks, the chunk descriptors are spread over
     tasks by a hash repartition, and each chunk is expanded with ``sequence``
     — no task expands more than ``chunk`` rows. Tied values are
-    interchangeable, so the (rank, value) pairs are exact. Φ⁻¹ is a
-    vectorised pandas UDF.
+    interchangeable, so the (rank, value) pairs are exact. Φ⁻¹ is a JVM
+    column expression (``functions.normal``), not a Python UDF.
     """
-    from ..functions.udfs import normal_ppf
+    from ..functions.normal import normal_ppf
     from .prefix import ROWS_PER_TASK, running_totals
 
     x = F.col("value")

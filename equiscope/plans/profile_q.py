@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import cut, round_doubles
+from ..functions.normal import normal_ppf_sql
 from ..operators import profile as PR
 from ..roles import CATEGORICAL_FEATURES, EDA_EXP_BIN_EDGES, EDA_EXP_BIN_LABELS, NUMERICAL_FEATURES
 from ..sources.tables import cand, with_cand
@@ -162,7 +163,17 @@ def iqr_outliers_by_role(spark, sf):
     return by
 
 
-@register("qq_residuals", None, ops=("E12",))
+@register("qq_residuals", with_cand(f"""
+SELECT CAST(rank AS BIGINT) AS rank, round(value, 4) AS value, round({normal_ppf_sql("m")}, 4) AS theoretical
+FROM (SELECT rank, value,
+             CASE WHEN rank = 0 THEN 1.0 - pow(0.5, 1.0 / CAST(n AS DOUBLE))
+                  WHEN rank = n - 1 THEN pow(0.5, 1.0 / CAST(n AS DOUBLE))
+                  ELSE (CAST(rank AS DOUBLE) + 1.0 - 0.3175) / (CAST(n AS DOUBLE) + 0.365) END AS m
+      FROM (SELECT row_number() OVER (ORDER BY value) - 1 AS rank, value FROM res) r,
+           (SELECT count(*) AS n FROM res) t) q""",
+    """res AS (SELECT salary - predicted_salary AS value FROM cand
+             WHERE salary - predicted_salary IS NOT NULL AND NOT isnan(salary - predicted_salary))"""),
+          ops=("E12",))
 def qq_residuals(spark, sf):
     c = cand(spark, sf).select((F.col("salary") - F.col("predicted_salary")).alias("residual"))
     return round_doubles(PR.qq_points(c, "residual"))

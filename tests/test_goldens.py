@@ -272,3 +272,15 @@ def test_quantile_match_exact_with_hot_group(spark):
     assert [w[:2] for w in got] == [w[:2] for w in want]
     for a, b in zip(got, want):
         assert (a[2] is None and b[2] is None) or a[2] == pytest.approx(b[2], abs=1e-9)
+
+
+def test_normal_ppf_expression_equals_stdlib(spark):
+    from statistics import NormalDist
+
+    from equiscope.functions.normal import normal_ppf
+    ps = [1e-300, 1e-20, 1e-9, 0.001, 0.02425, 0.075, 0.3, 0.5, 0.5 + 1e-12, 0.9, 0.975, 1 - 1e-12]
+    df = spark.createDataFrame([(p,) for p in ps] + [(0.0,), (1.0,), (None,)], "p double")
+    got = {r["p"]: r["z"] for r in df.select("p", normal_ppf(F.col("p")).alias("z")).collect()}
+    for p in ps:
+        assert got[p] == pytest.approx(NormalDist().inv_cdf(p), rel=1e-14, abs=1e-14)
+    assert math.isnan(got[0.0]) and math.isnan(got[1.0]) and got[None] is None
