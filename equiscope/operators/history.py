@@ -62,10 +62,18 @@ def history_by_role(df: DataFrame, role: str = "job_role", amount: str = "predic
         F.count(F.lit(1)).alias("count"))
 
 
-def history_trend(df: DataFrame, ts: str = "created_at", amount: str = "predicted_salary") -> DataFrame:
-    """(day-month label, amount) in time order."""
-    return df.select(F.date_format(F.col(ts), "dd MMM").alias("date"), F.col(amount).alias("salary"),
-                     F.col(ts)).orderBy(ts)
+def history_trend(df: DataFrame, ts: str = "created_at", amount: str = "predicted_salary",
+                  pid: str = "id") -> DataFrame:
+    """(day-month label, amount) in time order.
+
+    A global sort range-partitions on its keys; the record id (when present)
+    is a tie-breaker, so many records sharing one timestamp are still split
+    across ranges instead of landing in one task."""
+    ties = [F.col(pid)] if pid in df.columns else [F.col(amount)]
+    return (df.select(F.date_format(F.col(ts), "dd MMM").alias("date"), F.col(amount).alias("salary"),
+                      F.col(ts), *ties)
+            .orderBy(F.col(ts), *ties)
+            .select("date", "salary", ts))
 
 
 def history_export(df: DataFrame, ts: str = "created_at") -> DataFrame:

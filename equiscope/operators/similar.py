@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +67,23 @@ def similar_profiles(requests: DataFrame, profiles: DataFrame,
     rk_cells = rk.withColumn("_cell", F.explode(F.array_distinct(F.array(
         F.floor((F.col(exp) - dlit(tol)) / dlit(width)),
         F.floor((F.col(exp) + dlit(tol)) / dlit(width))))))
-    prof = (profiles.select(*keys, F.col(exp).alias("_pexp"), salary)
-            .where(F.col("_pexp").isNotNull())
-            .withColumn("_cell", F.floor(F.col("_pexp") / dlit(width))))
-    pairs = (rk_cells.join(prof, keys + ["_cell"])
-             .where(F.col("_pexp").between(F.col(exp) - dlit(tol), F.col(exp) + dlit(tol))))
-    band = _group_stats(pairs.select(*keys, exp, salary), keys + [exp], salary, accuracy)
-    role = _group_stats(profiles.select(fallback_key, salary), [fallback_key], salary, accuracy) \
-        .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
+    # profiles feed two statistics passes; their projection is cached while
+    # those run (the exact path materialises its results) and released after
+    cols = list(dict.fromkeys(keys + [fallback_key, exp, salary]))
+    pcache = profiles.select(*cols).persist(StorageLevel.MEMORY_AND_DISK) if accuracy is None else None
+    src = pcache if pcache is not None else profiles
+    try:
+        prof = (src.select(*keys, F.col(exp).alias("_pexp"), salary)
+                .where(F.col("_pexp").isNotNull())
+                .withColumn("_cell", F.floor(F.col("_pexp") / dlit(width))))
+        pairs = (rk_cells.join(prof, keys + ["_cell"])
+                 .where(F.col("_pexp").between(F.col(exp) - dlit(tol), F.col(exp) + dlit(tol))))
+        band = _group_stats(pairs.select(*keys, exp, salary), keys + [exp], salary, accuracy)
+        role = _group_stats(src.select(fallback_key, salary), [fallback_key], salary, accuracy) \
+            .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
+    finally:
+        if pcache is not None:
+            pcache.unpersist(blocking=True)
     per_key = (rk.join(band, keys + [exp], "left")
                .join(role, fallback_key, "left"))
     use_band = F.coalesce(F.col("n"), F.lit(0)) >= min_peers
