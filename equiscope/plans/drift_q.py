@@ -171,7 +171,37 @@ def drift_report_stats(spark, sf):
          .otherwise(F.col("psi")).alias("drift_score")))
 
 
-@register("drift_report", None, ops=("A24",))
+# p-values in SQL: the asymptotic Kolmogorov tail with Stephens' correction as
+# a fixed alternating series, and the χ² upper tail as 1 - the lower regularised
+# gamma series (terms via lgamma) — the same functions ``functions/stats.py``
+# evaluates on the driver.
+PVAL_CTES = """kl AS (SELECT *, (sqrt(CAST(n_ref * n_cur AS DOUBLE) / CAST(n_ref + n_cur AS DOUBLE)) + 0.12
+                   + 0.11 / sqrt(CAST(n_ref * n_cur AS DOUBLE) / CAST(n_ref + n_cur AS DOUBLE))) * ks_statistic AS lam
+            FROM ks WHERE n_ref > 0 AND n_cur > 0),
+kp AS (SELECT feature, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * (
+           SELECT sum(CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))
+           FROM range(1, 200) t(k)))) END AS p_value FROM kl),
+cpv AS (SELECT feature, CASE WHEN dof <= 0 THEN 'NaN'::DOUBLE WHEN chi2_statistic <= 0 THEN 1.0
+           ELSE greatest(0.0, 1.0 - (
+             SELECT sum(exp(-(chi2_statistic / 2.0) + (dof / 2.0 + k) * ln(chi2_statistic / 2.0)
+                            - lgamma(dof / 2.0 + k + 1.0)))
+             FROM range(0, CAST(chi2_statistic / 2.0 + 40.0 * sqrt(chi2_statistic / 2.0 + 1.0) + 200.0 AS BIGINT)) t(k)))
+           END AS p_value FROM chi)"""
+
+
+@register("drift_report", with_cand("""
+SELECT feature, kind, round(psi, 4) AS psi, round(ks_statistic, 4) AS ks_statistic, round(p_value, 4) AS p_value,
+       round(chi2_statistic, 4) AS chi2_statistic,
+       CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.1 THEN 'moderate' ELSE 'low' END AS drift_level,
+       p_value < 0.05 AS test_drift, (psi >= 0.1 OR p_value < 0.05) AS drifted, round(drift_score, 4) AS drift_score
+FROM (
+  SELECT feature, 'numerical' AS kind, psi, ks_statistic, kp.p_value, NULL::DOUBLE AS chi2_statistic,
+         greatest(psi, ks_statistic) AS drift_score
+  FROM psi JOIN ks USING (feature) JOIN kp USING (feature) WHERE n_ref >= 10 AND n_cur >= 10
+  UNION ALL
+  SELECT feature, 'categorical', psi, NULL, cpv.p_value, chi2_statistic, psi
+  FROM cpsi JOIN chi USING (feature) JOIN cpv USING (feature)) t""", LONG_NUM_CTE, LONG_CAT_CTE,
+    psi_num_sql(False)[1:], KS_CTES, PSI_CAT_CTES, CHI2_CTES, PVAL_CTES), ops=("A24",))
 def drift_report(spark, sf):
     per, _summary = DR.drift_report(spark, None, None, NUM, CAT, sided=(sided(spark, sf), "_side"))
     return round_doubles(per)
