@@ -35,9 +35,30 @@ def _events_stream(spark, sf):
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-@register("admission_audit", None, ops=("ST1",))
+def admission_sql(limit: int = 60, window_s: int = 60) -> str:
+    """ST1 as a DuckDB recursive CTE: per key, events in (ts, event_id) order
+    carry the list of allowed timestamps still inside the window."""
+    w = window_s * 1_000_000
+    kept = f"list_filter(a.dq, lambda x: e.t - x < {w})"
+    return f"""
+WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS BIGINT) AS key, CAST(event_id AS BIGINT) AS event_id, ts, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+adm AS (
+  SELECT key, rn, event_id, ts, [t] AS dq, true AS allowed FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.key, e.rn, e.event_id, e.ts,
+         CASE WHEN len({kept}) < {limit} THEN list_append({kept}, e.t) ELSE {kept} END,
+         len({kept}) < {limit}
+  FROM adm a JOIN ev e ON e.key = a.key AND e.rn = a.rn + 1)
+SELECT key, event_id, ts, allowed, CAST(len(dq) AS INTEGER) AS allowed_in_window FROM adm"""
+
+
+@register("admission_audit", admission_sql(), ops=("ST1",))
 def admission_audit(spark, sf):
-    return AD.admission_batch(events(spark, sf))
+    """ST1 batch over the whole events table (timestamps kept as timestamp_ntz)."""
+    return AD.admission_batch(table(spark, sf, "events"))
 
 
 @register("admission_audit_stream", None, ops=("ST1",))

@@ -41,8 +41,11 @@ def _to_us(s: pd.Series):
 def admission_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", eid: str = "event_id",
                     limit: int = 60, window_s: int = 60, partitions: int | None = None) -> DataFrame:
     window_us = window_s * 1_000_000
+    # a timestamp_ntz column is kept as is (no session-time-zone dependence);
+    # anything else is read as a timestamp
+    ntz = events.schema[ts].dataType.simpleString() == "timestamp_ntz"
     df = events.select(F.col(key).cast("long").alias("key"), F.col(eid).cast("long").alias("event_id"),
-                       F.col(ts).cast("timestamp").alias("ts"))
+                       F.col(ts).cast("timestamp_ntz" if ntz else "timestamp").alias("ts"))
     df = (df.repartition(partitions, "key") if partitions else df.repartition("key")) \
         .sortWithinPartitions("key", "ts", "event_id")
 
@@ -61,7 +64,7 @@ def admission_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", eid
                 counts.append(n)
             yield pdf.assign(allowed=allowed, allowed_in_window=pd.Series(counts, dtype="int32"))
 
-    return df.mapInPandas(run, OUT_SCHEMA)
+    return df.mapInPandas(run, OUT_SCHEMA.replace("ts timestamp", "ts timestamp_ntz") if ntz else OUT_SCHEMA)
 
 
 def admission_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", eid: str = "event_id",

@@ -85,3 +85,16 @@ def test_peer_stream_equals_batch(spark):
     want = PE.role_stats(cand(spark, SF).select("job_role", "salary")).toPandas() \
              .sort_values("job_role").reset_index(drop=True)
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
+
+
+def test_admission_batch_equals_recursive_sql_with_denials(spark):
+    """Spark's batch rule equals the DuckDB recursive CTE where denials happen."""
+    import sys
+    sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+    from oracle import compare, duck
+
+    from equiscope.plans.stream_q import admission_sql
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    got = AD.admission_batch(ev, limit=3, window_s=6 * 3600)
+    assert got.where(~F.col("allowed")).count() > 100
+    assert compare(got, duck(SF), admission_sql(3, 6 * 3600)) == []
