@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import cand, table
+from ..sources.tables import cand, table, with_cand
 from ..streaming import admission as AD
 from ..streaming import monitor as MO
 from ..streaming import peers as PE
@@ -61,14 +61,18 @@ def admission_audit(spark, sf):
     return AD.admission_batch(table(spark, sf, "events"))
 
 
-@register("admission_audit_stream", None, ops=("ST1",))
+@register("admission_audit_stream", admission_sql(), ops=("ST1",))
 def admission_audit_stream(spark, sf):
+    """The stream reads the events file as one micro-batch, so it must equal the
+    batch rule; ``ts`` goes back to timestamp_ntz (the stream needed a timestamp
+    for its watermark, T14)."""
     out, ck = _scratch(spark, "admission-out"), _scratch(spark, "admission-ck")
     q = (AD.admission_stream(_events_stream(spark, sf)).writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", ck).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("key", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                                          "allowed", "allowed_in_window")
 
 
 def _monitor_parts(spark, sf):
@@ -117,7 +121,12 @@ def windowed_psi_stream(spark, sf):
     return round_doubles(MO.window_psi(spark.read.parquet(out), shares, BINS))
 
 
-@register("peer_stats_stream", None, ops=("ST2", "S8"))
+@register("peer_stats_stream", with_cand("""
+SELECT job_role, count(salary) AS count, round(avg(salary), 4) AS mean_salary,
+       CAST(trunc(quantile_cont(salary, 0.25)) AS INTEGER) AS percentile_25,
+       CAST(trunc(quantile_cont(salary, 0.5)) AS INTEGER) AS median_salary,
+       CAST(trunc(quantile_cont(salary, 0.75)) AS INTEGER) AS percentile_75
+FROM cand WHERE salary IS NOT NULL GROUP BY job_role"""), ops=("ST2", "S8"))
 def peer_stats_stream(spark, sf):
     li = table(spark, sf, "lineitem")
     stream = (spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet")
