@@ -72,9 +72,30 @@ def value_counts_by_side(long: DataFrame) -> DataFrame:
     """
     if "w" in long.columns:
         return long
+    if {"r", "c"} <= set(long.columns):  # two-sided counts back to (side, w) rows
+        return (long.select("feature", "x", F.explode(F.array(
+                    F.struct(F.lit(REF).alias("side"), F.col("r").alias("w")),
+                    F.struct(F.lit(CUR).alias("side"), F.col("c").alias("w")))).alias("sw"))
+                .select("feature", F.col("sw.side").alias("side"), "x", F.col("sw.w").alias("w"))
+                .where(F.col("w") > 0))
     return long.groupBy("feature", "side", "x").agg(F.count(F.lit(1)).alias("w"))
 
 
+def value_counts_two_sided(long: DataFrame) -> DataFrame:
+    """(feature, x, r, c): per distinct value, its count on the reference (r)
+    and current (c) side — one aggregation from the long form. KS and PSI
+    both read this table, so a report aggregates the rows once."""
+    if {"r", "c"} <= set(long.columns):
+        return long
+    if "w" in long.columns:
+        r = F.sum(F.when(F.col("side") == REF, F.col("w")).otherwise(0))
+        c = F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0))
+    else:
+        r = F.count_if(F.col("side") == REF)
+        c = F.count_if(F.col("side") == CUR)
+    return long.groupBy("feature", "x").agg(r.cast("long").alias("r"), c.cast("long").alias("c"))
+
+
 def psi_numeric(long: DataFrame, bins: int = 10, edges: str = "shared") -> DataFrame:
     """PSI per feature over equal-width bins; empty bins count as 0.0001.
 
@@ -145,11 +166,10 @@ def ks_statistic(long: DataFrame, rows_per_task: int | None = None) -> DataFrame
 
     from .prefix import ROWS_PER_TASK, running_totals
 
-    vc = value_counts_by_side(long)
-    counts = vc.groupBy("feature", "x").agg(
-        F.sum(F.when(F.col("side") == REF, F.col("w")).otherwise(0)).cast("long").alias("r"),
-        F.sum(F.when(F.col("side") == CUR, F.col("w")).otherwise(0)).cast("long").alias("c")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    given = {"r", "c"} <= set(long.columns)  # the caller owns (and caches) it
+    counts = value_counts_two_sided(long)
+    if not given:
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     spark = long.sparkSession
     try:
         sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("d"), F.sum("r").alias("n"),
@@ -158,7 +178,8 @@ def ks_statistic(long: DataFrame, rows_per_task: int | None = None) -> DataFrame
                              rows=sum(int(r["d"]) for r in sizes),
                              rows_per_task=rows_per_task or ROWS_PER_TASK)
     finally:
-        counts.unpersist(blocking=True)
+        if not given:
+            counts.unpersist(blocking=True)
     tot = F.broadcast(spark.createDataFrame([(r["feature"], int(r["n"]), int(r["m"])) for r in sizes],
                                             "feature string, n long, m long"))
     rows = (run.join(tot, "feature")
@@ -218,12 +239,27 @@ def drift_level(psi):
 
 def numeric_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],
                         bins: int = 10, edges: str = "shared", long: DataFrame | None = None) -> DataFrame:
+    """PSI, KS, sizes and level per numeric feature (one row each).
+
+    The rows are aggregated once into (feature, x, r, c), cached while KS and
+    PSI read it, and the per-feature result is materialised before release.
+    """
+    from pyspark import StorageLevel
+
     long = long if long is not None else _long_numeric(ref, cur, cols)
-    long = value_counts_by_side(long)
-    ks = ks_statistic(long)
-    return (psi_numeric(long, bins, edges).join(ks, "feature")
-            .where((F.col("n_ref") >= DRIFT_MIN_ROWS) & (F.col("n_cur") >= DRIFT_MIN_ROWS))
-            .withColumn("drift_level", drift_level(F.col("psi"))))
+    counts = value_counts_two_sided(long).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = counts.sparkSession
+    try:
+        ks = ks_statistic(counts)
+        rows = (psi_numeric(value_counts_by_side(counts), bins, edges).join(ks, "feature")
+                .where((F.col("n_ref") >= DRIFT_MIN_ROWS) & (F.col("n_cur") >= DRIFT_MIN_ROWS))
+                .withColumn("drift_level", drift_level(F.col("psi"))).collect())  # one row per feature
+    finally:
+        counts.unpersist(blocking=True)
+    return spark.createDataFrame(
+        [(r["feature"], float(r["psi"]), float(r["ks_statistic"]), int(r["n_ref"]), int(r["n_cur"]),
+          r["drift_level"]) for r in rows],
+        "feature string, psi double, ks_statistic double, n_ref long, n_cur long, drift_level string")
 
 
 def categorical_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],

@@ -6,8 +6,9 @@ Here the order is cut into contiguous ranges instead:
 
 1. ``repartitionByRange`` (sampled bounds, binary search per row, all on the
    JVM) splits the rows into ``parts`` ranges of (keys, order), with
-   ``parts`` grown from the row count so a range holds about
-   ``rows_per_task`` rows; a hot key spans many ranges;
+   ``parts`` at least the session's shuffle width and grown from the row
+   count so a range holds about ``rows_per_task`` rows; a hot key spans many
+   ranges;
 2. the range id is stored with the rows and the table is checkpointed into the
    shared checkpoint folder, so both passes below see one fixed assignment
    even if executors are lost and stages re-run;
@@ -54,7 +55,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     out = list(out) if out is not None else [f"cum_{c}" for c in sums]
     ensure_checkpoint_dir(df.sparkSession)
     n = rows if rows is not None else df.count()
-    parts = max(1, min(max_parts, math.ceil(n / rows_per_task)))
+    # at least the session's shuffle width (so small inputs still use every
+    # core), more when the data needs it; never more ranges than rows
+    floor_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, min(max_parts, max(n, 1), max(floor_parts, math.ceil(n / rows_per_task))))
     ranged = (df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in keys + order])
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
