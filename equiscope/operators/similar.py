@@ -50,16 +50,134 @@ def _group_stats(df: DataFrame, keys: list, salary: str, accuracy: int | None) -
                                  F.percentile_approx(F.col(salary), QS, accuracy).alias("q"))
 
 
+def band_quantiles(request_keys: DataFrame, profiles: DataFrame, keys: Sequence[str], exp: str,
+                   pexp: str, value: str, tol: float, qs: Sequence[float], bins: int = 1024,
+                   final_rows: int = 250_000, max_rounds: int = 30) -> DataFrame:
+    """Exact linear quantiles of ``value`` over each request's band: profiles
+    with equal ``keys`` and ``pexp`` within ±``tol`` of the request's ``exp``.
+
+    Result: keys, exp, ``n`` (band size) and ``q`` (quantiles in ``qs``
+    order) per distinct request key with a non-empty band. No request is
+    paired with individual profiles:
+
+    * band membership is decided per (keys, experience value) *cell* — a join
+      of distinct request keys with distinct profile cells, whose size depends
+      on the value domain, not on how many profiles share a cell;
+    * round 0: a histogram per (keys, cell, bucket) on the group's value range
+      (one partial-aggregated pass over the profiles), summed per band, locates
+      the bucket of every target rank;
+    * later rounds refine only active (band, window) pairs: profiles are
+      joined to the windows of their own round-0 bucket, so a profile meets
+      only the few windows whose narrow value range it falls in; each window
+      shrinks ~``bins``× per round;
+    * windows with ≤ ``final_rows`` values are ranked directly.
+    State tables are checkpointed each round; the result is materialised.
+    """
+    from pyspark.sql.window import Window as W
+
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(profiles.sparkSession)
+    keys = list(keys)
+    width = 2.0 * tol
+    X, V, E = F.col("_x"), F.col("_v"), F.col(exp)
+    in_band = X.between(E - dlit(tol), E + dlit(tol))
+    prof = (profiles.select(*keys, F.col(pexp).cast("double").alias("_x"),
+                            F.col(value).cast("double").alias("_v"))
+            .where(X.isNotNull() & V.isNotNull() & ~F.isnan(V)))
+    rng = prof.groupBy(*keys).agg(F.min("_v").alias("_glo"), F.max("_v").alias("_ghi"))
+    span = F.col("_ghi") - F.col("_glo")
+    b0 = F.when(span == 0, F.lit(0)).otherwise(
+        F.least(F.floor((V - F.col("_glo")) / span * F.lit(float(bins))), F.lit(bins - 1))).cast("int")
+    P = prof.join(rng, keys).select(*keys, "_x", "_v", b0.alias("_b0")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cells = P.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+        rkc = request_keys.select(*keys, exp).withColumn("_cell", F.explode(F.array_distinct(F.array(
+            F.floor((E - dlit(tol)) / dlit(width)), F.floor((E + dlit(tol)) / dlit(width))))))
+        bx = (rkc.join(cells.withColumn("_cell", F.floor(X / dlit(width))), keys + ["_cell"])
+              .where(in_band).select(*keys, exp, "_x", "_n")).checkpoint(eager=True)
+        bn = bx.groupBy(*keys, exp).agg(F.sum("_n").alias("_N"))
+        h0 = P.groupBy(*keys, "_x", "_b0").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"),
+                                               F.max("_v").alias("_hi"))
+        bh = (bx.join(h0, keys + ["_x"]).groupBy(*keys, exp, "_b0")
+              .agg(F.sum("_c").alias("nb"), F.min("_lo").alias("lob"), F.max("_hi").alias("hib")))
+        bh = bh.withColumn("cum", F.coalesce(F.sum("nb").over(
+            W.partitionBy(*keys, exp).orderBy("_b0").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        rank_exprs = []
+        for q in qs:
+            h = (F.col("_N") - 1).cast("double") * F.lit(float(q))
+            rank_exprs += [F.floor(h).cast("long"), F.ceil(h).cast("long")]
+        ranks = bn.select(*keys, exp, F.explode(F.array_distinct(F.array(*rank_exprs))).alias("rank"))
+        R = F.col("rank")
+        done = (F.col("lo") == F.col("hi")) | (F.col("nwin") <= F.lit(final_rows))
+        state = (ranks.join(bh, keys + [exp])
+                 .where((R >= F.col("cum")) & (R < F.col("cum") + F.col("nb")))
+                 .select(*keys, exp, "rank", "_b0", F.col("lob").alias("lo"), F.col("hib").alias("hi"),
+                         F.col("cum").alias("below"), F.col("nb").alias("nwin"))
+                 .withColumn("done", done).checkpoint(eager=True))
+        in_win = V.between(F.col("lo"), F.col("hi"))
+        for _ in range(max_rounds):
+            active = state.where(~F.col("done"))
+            if active.isEmpty():
+                break
+            wins = active.select(*keys, exp, "_b0", "lo", "hi").distinct()
+            b = F.least(F.floor((V - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))),
+                        F.lit(bins - 1)).cast("int")
+            hist = (P.join(wins, keys + ["_b0"]).where(in_band & in_win)
+                    .groupBy(*keys, exp, "_b0", "lo", "hi", b.alias("b"))
+                    .agg(F.count(F.lit(1)).alias("nb"), F.min("_v").alias("lob"), F.max("_v").alias("hib")))
+            hist = hist.withColumn("cum", F.coalesce(F.sum("nb").over(
+                W.partitionBy(*keys, exp, "lo", "hi").orderBy("b").rowsBetween(W.unboundedPreceding, -1)),
+                F.lit(0)))  # ≤ bins rows per window
+            moved = (active.join(hist, keys + [exp, "_b0", "lo", "hi"])
+                     .where((R >= F.col("below") + F.col("cum")) & (R < F.col("below") + F.col("cum") + F.col("nb")))
+                     .select(*keys, exp, "rank", "_b0", F.col("lob").alias("lo"), F.col("hib").alias("hi"),
+                             (F.col("below") + F.col("cum")).alias("below"), F.col("nb").alias("nwin")))
+            state = (state.where(F.col("done")).drop("done").unionByName(moved)
+                     .withColumn("done", done).checkpoint(eager=True))
+        else:  # pragma: no cover - each round shrinks every window
+            raise RuntimeError("band quantile refinement did not converge")
+        point = state.where(F.col("lo") == F.col("hi")).select(*keys, exp, "rank", F.col("lo").alias("val"))
+        open_w = state.where(F.col("lo") < F.col("hi"))
+        fw = open_w.select(*keys, exp, "_b0", "lo", "hi", "below").distinct()
+        wr = W.partitionBy(*keys, exp, "lo", "hi").orderBy("_v")  # ≤ final_rows values per window
+        ranked = (P.join(fw, keys + ["_b0"]).where(in_band & in_win)
+                  .select(*keys, exp, "lo", "hi", (F.row_number().over(wr) - 1 + F.col("below")).alias("rank"),
+                          F.col("_v").alias("val")))
+        picked = (open_w.select(*keys, exp, "lo", "hi", "rank").join(ranked, keys + [exp, "lo", "hi", "rank"])
+                  .select(*keys, exp, "rank", "val"))
+        per = (point.unionByName(picked).groupBy(*keys, exp)
+               .agg(F.map_from_entries(F.collect_list(F.struct("rank", "val"))).alias("_m")))
+        quants = []
+        for q in qs:
+            h = (F.col("_N") - 1).cast("double") * F.lit(float(q))
+            lo_v = F.element_at("_m", F.floor(h).cast("long"))
+            hi_v = F.element_at("_m", F.ceil(h).cast("long"))
+            # Spark's percentile interpolation, so results equal ``percentile``
+            quants.append(F.when(F.floor(h) == F.ceil(h), lo_v)
+                          .otherwise((F.ceil(h) - h) * lo_v + (h - F.floor(h)) * hi_v))
+        return (bn.join(per, keys + [exp])
+                .select(*keys, exp, F.col("_N").alias("n"), F.array(*quants).alias("q"))
+                .checkpoint(eager=True))
+    finally:
+        P.unpersist(blocking=True)
+
+
 def similar_profiles(requests: DataFrame, profiles: DataFrame,
                      keys: Sequence[str] = ("job_role", "location", "education_level"),
                      exp: str = "years_experience", salary: str = "salary",
                      fallback_key: str = "job_role", tol: float = 2.0, min_peers: int = 5,
-                     accuracy: int | None = None) -> DataFrame:
+                     accuracy: int | None = None, method: str = "bands") -> DataFrame:
     """Requests with ``count, median_salary, percentile_25, percentile_75`` appended.
 
-    ``accuracy`` switches the exact per-key ``percentile`` to
-    ``percentile_approx`` for keys whose peer sets are too large to hold.
+    Exact by default with ``method="bands"`` (``band_quantiles``: no request
+    is paired with individual profiles). ``method="pairs"`` materialises the
+    (request key, profile) pairs of each band and aggregates them — exact
+    too, but its size grows with the distinct request experiences per band.
+    ``accuracy`` switches the pairs path to ``percentile_approx``.
     """
+    if method not in ("bands", "pairs"):
+        raise ValueError("method must be 'bands' or 'pairs'")
     keys = list(keys)
     width = 2.0 * tol
     rk = requests.select(*keys, exp).where(F.col(exp).isNotNull()).distinct()
@@ -73,12 +191,15 @@ def similar_profiles(requests: DataFrame, profiles: DataFrame,
     pcache = profiles.select(*cols).persist(StorageLevel.MEMORY_AND_DISK) if accuracy is None else None
     src = pcache if pcache is not None else profiles
     try:
-        prof = (src.select(*keys, F.col(exp).alias("_pexp"), salary)
-                .where(F.col("_pexp").isNotNull())
-                .withColumn("_cell", F.floor(F.col("_pexp") / dlit(width))))
-        pairs = (rk_cells.join(prof, keys + ["_cell"])
-                 .where(F.col("_pexp").between(F.col(exp) - dlit(tol), F.col(exp) + dlit(tol))))
-        band = _group_stats(pairs.select(*keys, exp, salary), keys + [exp], salary, accuracy)
+        if accuracy is None and method == "bands":
+            band = band_quantiles(rk, src, keys, exp, exp, salary, tol, QS)
+        else:
+            prof = (src.select(*keys, F.col(exp).alias("_pexp"), salary)
+                    .where(F.col("_pexp").isNotNull())
+                    .withColumn("_cell", F.floor(F.col("_pexp") / dlit(width))))
+            pairs = (rk_cells.join(prof, keys + ["_cell"])
+                     .where(F.col("_pexp").between(F.col(exp) - dlit(tol), F.col(exp) + dlit(tol))))
+            band = _group_stats(pairs.select(*keys, exp, salary), keys + [exp], salary, accuracy)
         role = _group_stats(src.select(fallback_key, salary), [fallback_key], salary, accuracy) \
             .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
     finally:
