@@ -230,28 +230,47 @@ def knn_peers(requests: DataFrame, profiles: DataFrame, exact: Sequence[str], ex
               salary: str = "salary", tol: float = 2.0, n: int = 50, salt: int = 16) -> DataFrame:
     """Top-n nearest peers by weighted Euclidean distance within the band, then stats.
 
-    distance = sqrt(Σ w·Δ² over numeric features + Σ w·[a ≠ b] over categorical).
-    Requests are reduced to distinct feature keys (equal features ⇒ equal
-    answer) and the answer joined back null-safely. Top-n is two-phase: first
-    per (key, salt) — ``salt`` buckets of each key's candidates — then over
-    the ≤ n·salt survivors, so no task holds the whole candidate set of a hot
-    key. Ties are broken by salary, so the statistics do not depend on which
-    tied peer is kept.
+    distance = sqrt(Σ w·Δ² over numeric features + Σ w·[a ≠ b] over categorical);
+    peers are ordered by (distance, salary), so the statistics do not depend on
+    which tied peer is kept. Requests are reduced to distinct feature keys
+    (equal features ⇒ equal answer) and the answer joined back null-safely.
+
+    All profiles with the same feature vector are equidistant from a request,
+    so profiles are first reduced to one row per distinct vector: its count
+    and its ``n`` smallest salaries (a window with a row limit, which Spark
+    evaluates as a per-partition group limit before the shuffle, then once
+    more after it; a hot vector is additionally spread over ``salt`` buckets).
+    Request keys then meet *vectors* in their band — a join sized by the
+    feature domain, not by the profile count; vectors are ranked by distance
+    per request, and only those that can reach the top ``n`` (fewer than
+    ``n`` peers strictly closer) are expanded to their ≤ ``n`` salaries.
     """
     from pyspark.sql.window import Window as W
+
+    from .topk import top_k_per_group
+
     width = 2.0 * tol
     feats = list(numeric_weights) + list(categorical_weights)
     kcols = list(dict.fromkeys(list(exact) + [exp] + feats))
+    pk = [f"_p_{c}" for c in kcols]
     rk = requests.select(*kcols).where(F.col(exp).isNotNull()).distinct()
     rq = rk.select(*[F.col(c).alias(f"_k_{c}") for c in kcols])
     rq = rq.withColumn("_cell", F.explode(F.array_distinct(F.array(
         F.floor((F.col(f"_k_{exp}") - dlit(tol)) / dlit(width)),
         F.floor((F.col(f"_k_{exp}") + dlit(tol)) / dlit(width))))))
-    pf = (profiles.select(*[F.col(c).alias(f"_p_{c}") for c in kcols], salary)
-          .where(F.col(f"_p_{exp}").isNotNull())
-          .withColumn("_cell", F.floor(F.col(f"_p_{exp}") / dlit(width))))
-    on = [F.col(f"_k_{c}") == F.col(f"_p_{c}") for c in exact] + [rq["_cell"] == pf["_cell"]]
-    cand = (rq.join(pf, on)
+    pf = (profiles.select(*[F.col(c).alias(f"_p_{c}") for c in kcols], F.col(salary).alias("_sal"))
+          .where(F.col(f"_p_{exp}").isNotNull() & F.col("_sal").isNotNull()))  # a peer has a salary
+    # one row per distinct profile vector: count and the n smallest salaries
+    cnt = pf.groupBy(*pk).agg(F.count(F.lit(1)).alias("_c"))
+    low = top_k_per_group(pf, pk, [F.col("_sal")], n,
+                          salt_cols=["_sal", f"_p_{exp}"], salts=salt, rank_col="_r")
+    sal = low.groupBy(*pk).agg(F.array_sort(F.collect_list("_sal")).alias("_s"))  # ≤ n values
+    on_v = [F.col(f"_v{i}").eqNullSafe(F.col(c)) for i, c in enumerate(pk)]
+    vec = (cnt.join(sal.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(pk)], "_s"), on_v, "left")
+           .select(*pk, "_c", F.coalesce(F.col("_s"), F.array().cast("array<double>")).alias("_s"))
+           .withColumn("_cell", F.floor(F.col(f"_p_{exp}") / dlit(width))))
+    on = [F.col(f"_k_{c}") == F.col(f"_p_{c}") for c in exact] + [rq["_cell"] == vec["_cell"]]
+    cand = (rq.join(vec, on)
             .where(F.col(f"_p_{exp}").between(F.col(f"_k_{exp}") - dlit(tol),
                                               F.col(f"_k_{exp}") + dlit(tol))))
     d2 = None
@@ -263,13 +282,15 @@ def knn_peers(requests: DataFrame, profiles: DataFrame, exact: Sequence[str], ex
         term = dlit(w) * F.when(F.col(f"_k_{f}").eqNullSafe(F.col(f"_p_{f}")), dlit(0.0)).otherwise(dlit(1.0))
         d2 = term if d2 is None else d2 + term
     kk = [f"_k_{c}" for c in kcols]
-    scored = cand.select(*kk, F.sqrt(d2).alias("distance"), salary,
-                         F.pmod(F.xxhash64(F.col(salary), F.col(f"_p_{exp}")), F.lit(salt)).alias("_salt"))
-    order = [F.col("distance"), F.col(salary)]
-    w1 = W.partitionBy(*kk, "_salt").orderBy(*order)
-    stage1 = scored.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n).drop("_r")
-    w2 = W.partitionBy(*kk).orderBy(*order)
-    top = stage1.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n)
+    scored = cand.select(*kk, F.sqrt(d2).alias("distance"), "_c", "_s")
+    # peers strictly closer than each vector: running count over distances
+    wd = W.partitionBy(*kk).orderBy("distance").rangeBetween(W.unboundedPreceding, W.currentRow)
+    ws = W.partitionBy(*kk, "distance")
+    closer = F.sum("_c").over(wd) - F.sum("_c").over(ws)
+    needed = scored.withColumn("_closer", closer).where(F.col("_closer") < F.lit(n))
+    peers = needed.select(*kk, "distance", F.explode("_s").alias(salary))
+    w2 = W.partitionBy(*kk).orderBy(F.col("distance"), F.col(salary))
+    top = peers.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n)
     stats = top.groupBy(*kk).agg(
         F.count(F.lit(1)).alias("count"),
         F.percentile(F.col(salary), [0.5, 0.25, 0.75]).alias("q"),  # ≤ n values per group

@@ -13,11 +13,20 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                     salt_cols: Sequence[str], salts: int = 16, rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..k within each group by ``order`` (which must be a total order).
 
-    Two phases: rank within (group, salt) where salt = hash(salt_cols) mod
-    ``salts`` and keep k per bucket, then rank the ≤ k·salts survivors of the
-    group. A hot group is spread over ``salts`` tasks in the first phase.
+    For k up to Spark's window-group-limit threshold
+    (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default) one
+    ``row_number() ≤ k`` suffices: Spark evaluates it as a per-partition group
+    limit *before* the shuffle and again after it, so each map task sends at
+    most k rows per group, however hot the group. Above the threshold the
+    limit is not pushed down, so the rank runs in two phases: top-k per
+    (group, salt) with salt = hash(salt_cols) mod ``salts``, then over the
+    ≤ k·salts survivors of each group.
     """
     keys = list(keys)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k <= threshold:
+        w = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)))
     w1 = W.partitionBy(*keys, "_salt").orderBy(*order)
     s1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")

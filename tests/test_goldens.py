@@ -309,3 +309,58 @@ def test_band_quantiles_exact_over_refinement_rounds(spark):
         n, q = got[(g, e)]
         assert n == len(vals)
         assert q == pytest.approx([float(np.quantile(vals, p)) for p in qs], abs=1e-9)
+
+
+def test_top_k_per_group_both_plans(spark):
+    """Group-limit plan (k ≤ threshold) and salted two-phase plan agree with sorting."""
+    from equiscope.operators.topk import top_k_per_group
+    rows = [("hot", i, float((i * 37) % 101)) for i in range(2000)] + [("cold", i, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, id int, s double").repartition(6)
+    want = {g: sorted((s, i) for h, i, s in rows if h == g)[:7] for g in ("hot", "cold")}
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    old = spark.conf.get(key, "1000")
+    try:
+        for thr in ("1000", "3"):  # 3 < k forces the salted path
+            spark.conf.set(key, thr)
+            got = top_k_per_group(df, ["g"], [F.col("s"), F.col("id")], 7, salt_cols=["id"], salts=4).collect()
+            for g in ("hot", "cold"):
+                mine = sorted((r["rank"], r["s"], r["id"]) for r in got if r["g"] == g)
+                assert [(s, i) for _, s, i in mine] == want[g]
+                assert [r for r, _, _ in mine] == list(range(1, len(want[g]) + 1))
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_knn_peers_equals_bruteforce_with_hot_vectors_and_ties(spark):
+    """Top-n by (distance, salary) over vectors equals a per-request brute force,
+    including a vector shared by many profiles and ties at the cut-off distance."""
+    rng = np.random.default_rng(4)
+    prof = [("r", float(e), int(k), "A" if c else "B", float(s)) for e, k, c, s in
+            zip(rng.integers(0, 8, 300), rng.integers(0, 3, 300), rng.integers(0, 2, 300),
+                rng.integers(1, 60, 300) * 10)]
+    prof += [("r", 3.0, 1, "A", 100.0 + i) for i in range(120)]  # one hot vector
+    prof += [("r", 3.0, 1, "A", None), ("q", 1.0, 0, "A", 5.0)]
+    P = spark.createDataFrame(prof, "role string, exp double, k int, c string, salary double").repartition(4)
+    reqs = [(1, "r", 3.0, 1, "A"), (2, "r", 0.0, 2, "B"), (3, "r", 7.5, 0, None), (4, "q", 1.0, 0, "B"),
+            (5, "z", 1.0, 0, "A")]
+    R = spark.createDataFrame(reqs, "id int, role string, exp double, k int, c string")
+    n = 25
+    got = {r["id"]: r for r in SIM.knn_peers(R, P, ["role"], "exp", {"exp": 2.0, "k": 1.5}, {"c": 1.0},
+                                             n=n).collect()}
+    for rid, role, e, k, c in reqs:
+        cands = []
+        for pr, pe, pk, pc, ps in prof:
+            if pr != role or ps is None or abs(pe - e) > 2.0:
+                continue
+            d = math.sqrt(2.0 * (e - pe) ** 2 + 1.5 * (k - pk) ** 2 + (0.0 if pc == c else 1.0))
+            cands.append((d, ps))
+        top = sorted(cands)[:n]
+        if not top:
+            assert got[rid]["count"] is None
+            continue
+        sal = [s for _, s in top]
+        assert got[rid]["count"] == len(top)
+        assert got[rid]["max_distance"] == pytest.approx(top[-1][0])
+        assert got[rid]["median_salary"] == int(np.quantile(sal, 0.5))
+        assert got[rid]["percentile_25"] == int(np.quantile(sal, 0.25))
+        assert got[rid]["percentile_75"] == int(np.quantile(sal, 0.75))
