@@ -85,10 +85,13 @@ def band_quantiles(request_keys: DataFrame, profiles: DataFrame, keys: Sequence[
     prof = (profiles.select(*keys, F.col(pexp).cast("double").alias("_x"),
                             F.col(value).cast("double").alias("_v"))
             .where(X.isNotNull() & V.isNotNull() & ~F.isnan(V)))
-    rng = prof.groupBy(*keys).agg(F.min("_v").alias("_glo"), F.max("_v").alias("_ghi"))
+    rng = prof.groupBy(*keys).agg(F.min("_v").alias("_glo"), F.max("_v").alias("_ghi"),
+                                  F.count(F.lit(1)).alias("_gn"))
     span = F.col("_ghi") - F.col("_glo")
+    # round-0 buckets per group: about 256 values each, at most ``bins`` (balance only)
+    gb = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(256.0)))).cast("double")
     b0 = F.when(span == 0, F.lit(0)).otherwise(
-        F.least(F.floor((V - F.col("_glo")) / span * F.lit(float(bins))), F.lit(bins - 1))).cast("int")
+        F.least(F.floor((V - F.col("_glo")) / span * gb), gb - F.lit(1.0))).cast("int")
     P = prof.join(rng, keys).select(*keys, "_x", "_v", b0.alias("_b0")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cells = P.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
