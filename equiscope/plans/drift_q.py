@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import drift as DR
 from ..roles import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
-from ..sources.sampling import hash_sample
+from ..sources.sampling import int_key_hash, int_key_hash_sql, order_sample
 from ..sources.tables import cand, table, with_cand
 from .registry import register
 
@@ -189,7 +189,7 @@ cpv AS (SELECT feature, CASE WHEN dof <= 0 THEN 'NaN'::DOUBLE WHEN chi2_statisti
            END AS p_value FROM chi)"""
 
 
-@register("drift_report", with_cand("""
+DRIFT_REPORT_SELECT = """
 SELECT feature, kind, round(psi, 4) AS psi, round(ks_statistic, 4) AS ks_statistic, round(p_value, 4) AS p_value,
        round(chi2_statistic, 4) AS chi2_statistic,
        CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.1 THEN 'moderate' ELSE 'low' END AS drift_level,
@@ -200,8 +200,12 @@ FROM (
   FROM psi JOIN ks USING (feature) JOIN kp USING (feature) WHERE n_ref >= 10 AND n_cur >= 10
   UNION ALL
   SELECT feature, 'categorical', psi, NULL, cpv.p_value, chi2_statistic, psi
-  FROM cpsi JOIN chi USING (feature) JOIN cpv USING (feature)) t""", LONG_NUM_CTE, LONG_CAT_CTE,
-    psi_num_sql(False)[1:], KS_CTES, PSI_CAT_CTES, CHI2_CTES, PVAL_CTES), ops=("A24",))
+  FROM cpsi JOIN chi USING (feature) JOIN cpv USING (feature)) t"""
+
+
+@register("drift_report", with_cand(DRIFT_REPORT_SELECT, LONG_NUM_CTE, LONG_CAT_CTE,
+                                    psi_num_sql(False)[1:], KS_CTES, PSI_CAT_CTES, CHI2_CTES, PVAL_CTES),
+          ops=("A24",))
 def drift_report(spark, sf):
     per, _summary = DR.drift_report(spark, None, None, NUM, CAT, sided=(sided(spark, sf), "_side"))
     return round_doubles(per)
@@ -236,11 +240,34 @@ def prediction_drift(spark, sf):
     return round_doubles(DR.prediction_drift(r, c, "predicted_salary"))
 
 
-@register("run_drift_sampled", None, ops=("A26", "S10"))
+# The reference's default run samples the current table from the reference
+# (1000 rows, seed 123). The sample is the 1000 smallest rows by a portable
+# integer hash of the line key, ties broken by every column the report reads,
+# so DuckDB draws the identical sample.
+SAMPLE_KEY = ["l_orderkey", "l_linenumber"]
+SAMPLE_TIE = ["l_orderkey", "l_linenumber", "salary", *NUM, *CAT]
+SAMPLE_N, SAMPLE_SEED = 1000, 123
+SAMPLED_CTES = (
+    f"""smp AS (SELECT * FROM cand ORDER BY {int_key_hash_sql(SAMPLE_KEY, SAMPLE_SEED)},
+           {", ".join(f"{c} NULLS FIRST" for c in SAMPLE_TIE)} LIMIT {SAMPLE_N})""",
+    f"""lnum AS (
+  UNPIVOT (SELECT 0 AS side, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM)} FROM cand
+           UNION ALL
+           SELECT 1 AS side, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUM)} FROM smp)
+  ON {", ".join(NUM)} INTO NAME feature VALUE x)""",
+    f"""lcat AS (
+  UNPIVOT (SELECT 0 AS side, {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CAT)} FROM cand
+           UNION ALL
+           SELECT 1 AS side, {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CAT)} FROM smp)
+  ON {", ".join(CAT)} INTO NAME feature VALUE category)""")
+
+
+@register("run_drift_sampled", with_cand(DRIFT_REPORT_SELECT, *SAMPLED_CTES, psi_num_sql(True)[1:], KS_CTES,
+                                         PSI_CAT_CTES, CHI2_CTES, PVAL_CTES), ops=("A26", "S10"))
 def run_drift_sampled(spark, sf):
     """The reference's default run: the current table is a fixed-size sample of
-    the reference (here a deterministic hash sample of 1000 rows)."""
+    the reference; PSI bins each side on its own range as the reference does."""
     c = cand(spark, sf)
-    cur = hash_sample(c, ["l_orderkey", "l_linenumber", "salary"], 1000, seed=123)
+    cur = order_sample(c, int_key_hash(SAMPLE_KEY, SAMPLE_SEED), SAMPLE_TIE, SAMPLE_N)
     per, _ = DR.drift_report(spark, c, cur, NUM, CAT, edges="own")
     return round_doubles(per)
