@@ -160,11 +160,33 @@ def top_features(spark, sf):
     return round_doubles(AT.top_features(AT.global_importance(_attr(spark, sf)), 2))
 
 
-@register("explanations", None, ops=("AT2", "P20"))
+EXPLAIN_SRT_CTE = ("srt AS (SELECT *, list_sort(["
+                   + ", ".join(f"{{'k': -abs(c_{f}), 'f': '{f}', 'c': c_{f}}}" for f in COEF)
+                   + "]) AS s FROM attr)")
+EXPLAIN_DISPLAY_SQL = " || ';' || ".join(
+    f"'{f}:' || CAST(CAST(round_even(c_{f}, 0) AS INTEGER) AS VARCHAR) || ':' || "
+    f"CASE WHEN c_{f} > 0 THEN 'positive' ELSE 'negative' END" for f in COEF)
+
+
+@register("explanations", with_cand(f"""
+SELECT l_orderkey, l_linenumber, round(base_value, 4) AS base_value, round(prediction, 4) AS prediction,
+       {", ".join(f"s[{i}].f AS top{i}_feature, round(s[{i}].c, 4) AS top{i}_contribution" for i in (1, 2, 3))},
+       {EXPLAIN_DISPLAY_SQL} AS display
+FROM srt""", MEANS_CTE, ATTR_CTE, EXPLAIN_SRT_CTE), ops=("AT2", "P20"))
 def explanations(spark, sf):
+    """AT2 records (base, prediction, top 3) with the P20 display items, as flat
+    columns: the top features by position, the display items as one
+    'feature:rounded contribution:direction' list."""
     a = AT.explanation(_attr(spark, sf), k=3)
-    return a.select("l_orderkey", "l_linenumber", "explanation",
-                    AT.display_items(F.col(AT.CONTRIB)).alias("display"))
+    e, top = F.col("explanation"), F.col("explanation")["top_features"]
+    tops = []
+    for i in (1, 2, 3):
+        tops += [F.element_at(top, i)["feature"].alias(f"top{i}_feature"),
+                 F.element_at(top, i)["contribution"].alias(f"top{i}_contribution")]
+    disp = F.array_join(F.transform(AT.display_items(F.col(AT.CONTRIB)), lambda d: F.concat_ws(
+        ":", d["feature"], d["contribution"].cast("string"), d["direction"])), ";")
+    return round_doubles(a.select("l_orderkey", "l_linenumber", e["base_value"].alias("base_value"),
+                                  e["prediction"].alias("prediction"), *tops, disp.alias("display")))
 
 
 # ------------------------------------------------------------------ training
