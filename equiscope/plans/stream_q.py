@@ -28,11 +28,23 @@ def _scratch(spark, kind):
     return os.path.join(ensure_checkpoint_dir(spark), f"{kind}-{uuid.uuid4().hex}")
 
 
+def _tz(spark):
+    return spark.conf.get("spark.sql.session.timeZone")
+
+
 def _events_stream(spark, sf):
+    """Events as a stream. ``ts`` (timestamp_ntz) becomes the instant whose UTC
+    wall clock is the stored value, whatever the session time zone, so event
+    time windows fall on the same day boundaries as the NTZ batch form."""
     ev = table(spark, sf, "events")
     return (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
             .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+            .withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), _tz(spark))))
+
+
+def _to_ntz(spark, c):
+    """Inverse of the conversion in ``_events_stream``: instant → stored NTZ value."""
+    return F.to_utc_timestamp(c, _tz(spark)).cast("timestamp_ntz")
 
 
 def admission_sql(limit: int = 60, window_s: int = 60) -> str:
@@ -71,7 +83,7 @@ def admission_audit_stream(spark, sf):
          .option("path", out).option("checkpointLocation", ck).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out).select("key", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"),
+    return spark.read.parquet(out).select("key", "event_id", _to_ntz(spark, F.col("ts")).alias("ts"),
                                           "allowed", "allowed_in_window")
 
 
@@ -110,15 +122,25 @@ def windowed_psi(spark, sf):
     return round_doubles(out.select("window_start", "window_end", "rows", "psi"))
 
 
-@register("windowed_psi_stream", None, ops=("ST3",))
+# The stream emits a window in append mode once the watermark (max event time
+# - 1 hour) has passed its end; later windows stay in state.
+WATERMARK = "1 hour"
+WINDOW_PSI_FINAL_SQL = WINDOW_PSI_SQL.replace(
+    "FROM j GROUP BY ws, n",
+    "FROM j WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ws, n")
+
+
+@register("windowed_psi_stream", WINDOW_PSI_FINAL_SQL, ops=("ST3",))
 def windowed_psi_stream(spark, sf):
     _ev, shares, lo, hi = _monitor_parts(spark, sf)
     out, ck = _scratch(spark, "monitor-out"), _scratch(spark, "monitor-ck")
-    counts = MO.monitor_stream(_events_stream(spark, sf), "ts", "value", lo, hi, BINS)
+    counts = MO.monitor_stream(_events_stream(spark, sf), "ts", "value", lo, hi, BINS, watermark=WATERMARK)
     q = (counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return round_doubles(MO.window_psi(spark.read.parquet(out), shares, BINS))
+    psi = MO.window_psi(spark.read.parquet(out), shares, BINS)
+    return round_doubles(psi.select(_to_ntz(spark, F.col("window_start")).alias("window_start"),
+                                    _to_ntz(spark, F.col("window_end")).alias("window_end"), "rows", "psi"))
 
 
 @register("peer_stats_stream", with_cand("""
