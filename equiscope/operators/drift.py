@@ -175,7 +175,7 @@ def ks_statistic(long: DataFrame, rows_per_task: int | None = None) -> DataFrame
         sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("d"), F.sum("r").alias("n"),
                                               F.sum("c").alias("m")).collect()  # one row per feature
         run = running_totals(counts, ["feature"], ["x"], ["r", "c"], ["cr", "cc"],
-                             rows=sum(int(r["d"]) for r in sizes),
+                             rows=sum(int(r["d"]) for r in sizes), key_count=len(sizes),
                              rows_per_task=rows_per_task or ROWS_PER_TASK)
     finally:
         if not given:

@@ -38,12 +38,13 @@ BROADCAST_ROWS = 1_000_000  # offsets table rows up to which it is broadcast
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
                    out: Sequence[str] | None = None, rows: int | None = None,
                    rows_per_task: int = ROWS_PER_TASK, max_parts: int = MAX_PARTS,
-                   how: str = "sum") -> DataFrame:
+                   how: str = "sum", key_count: int | None = None) -> DataFrame:
     """``df`` plus inclusive running sums (``how="sum"``) or running maxima
     (``how="max"``, NULLs ignored) of ``sums`` per ``keys`` in ``order``.
 
     ``rows`` (the row count of ``df``) may be passed when already known;
-    otherwise it is counted. The result is read from a checkpoint and can be
+    otherwise it is counted. ``key_count`` (the number of distinct keys, when
+    the caller knows it) bounds the offsets table without counting it. The result is read from a checkpoint and can be
     used by several actions.
     """
     from ..session import ensure_checkpoint_dir
@@ -72,7 +73,12 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     wl = W.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     # one row per (key, range): ≤ parts + #keys rows. Broadcast only when that
     # count, read from the small aggregate, is under the bound; else a shuffle join.
-    n_offs = tot.count()
+    if not keys:
+        n_offs = parts  # one row per range
+    elif key_count is not None:
+        n_offs = parts + key_count
+    else:
+        n_offs = tot.count()
     return (ranged.join(F.broadcast(offs) if n_offs <= BROADCAST_ROWS else offs, cond)
             .select(*df.columns, *[((F.sum(c).over(wl) + F.col(f"_o{i}")) if how == "sum"
                                     else F.greatest(F.max(c).over(wl), F.col(f"_o{i}"))).alias(o)
