@@ -285,7 +285,8 @@ def knn_peers(requests: DataFrame, profiles: DataFrame, exact: Sequence[str], ex
         term = dlit(w) * F.when(F.col(f"_k_{f}").eqNullSafe(F.col(f"_p_{f}")), dlit(0.0)).otherwise(dlit(1.0))
         d2 = term if d2 is None else d2 + term
     kk = [f"_k_{c}" for c in kcols]
-    scored = cand.select(*kk, F.sqrt(d2).alias("distance"), "_c", "_s")
+    # a peer needs a defined distance (a NULL numeric feature leaves it undefined)
+    scored = cand.select(*kk, F.sqrt(d2).alias("distance"), "_c", "_s").where(F.col("distance").isNotNull())
     # peers strictly closer than each vector: running count over distances
     wd = W.partitionBy(*kk).orderBy("distance").rangeBetween(W.unboundedPreceding, W.currentRow)
     ws = W.partitionBy(*kk, "distance")

@@ -76,7 +76,8 @@ FROM ke r LEFT JOIN (
                        + 1.5 * (CAST(k.skills_count AS DOUBLE) - CAST(p.skills_count AS DOUBLE))
                              * (CAST(k.skills_count AS DOUBLE) - CAST(p.skills_count AS DOUBLE))
                        + 1.0 * CASE WHEN k.company_size IS NOT DISTINCT FROM p.company_size THEN 0.0 ELSE 1.0 END)
-                    AS distance) d) t
+                    AS distance) d
+    WHERE d.distance IS NOT NULL) t
   WHERE rn <= 50
   GROUP BY ALL) s
 ON r.job_role = s.job_role AND r.location = s.location AND r.years_experience = s.years_experience

@@ -339,7 +339,7 @@ def test_knn_peers_equals_bruteforce_with_hot_vectors_and_ties(spark):
             zip(rng.integers(0, 8, 300), rng.integers(0, 3, 300), rng.integers(0, 2, 300),
                 rng.integers(1, 60, 300) * 10)]
     prof += [("r", 3.0, 1, "A", 100.0 + i) for i in range(120)]  # one hot vector
-    prof += [("r", 3.0, 1, "A", None), ("q", 1.0, 0, "A", 5.0)]
+    prof += [("r", 3.0, 1, "A", None), ("q", 1.0, 0, "A", 5.0), ("r", 3.0, None, "A", 1.0)]
     P = spark.createDataFrame(prof, "role string, exp double, k int, c string, salary double").repartition(4)
     reqs = [(1, "r", 3.0, 1, "A"), (2, "r", 0.0, 2, "B"), (3, "r", 7.5, 0, None), (4, "q", 1.0, 0, "B"),
             (5, "z", 1.0, 0, "A")]
@@ -350,8 +350,8 @@ def test_knn_peers_equals_bruteforce_with_hot_vectors_and_ties(spark):
     for rid, role, e, k, c in reqs:
         cands = []
         for pr, pe, pk, pc, ps in prof:
-            if pr != role or ps is None or abs(pe - e) > 2.0:
-                continue
+            if pr != role or ps is None or pk is None or abs(pe - e) > 2.0:
+                continue  # no salary or an undefined distance: not a peer
             d = math.sqrt(2.0 * (e - pe) ** 2 + 1.5 * (k - pk) ** 2 + (0.0 if pc == c else 1.0))
             cands.append((d, ps))
         top = sorted(cands)[:n]
