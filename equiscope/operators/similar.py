@@ -194,6 +194,10 @@ def similar_profiles(requests: DataFrame, profiles: DataFrame,
     pcache = profiles.select(*cols).persist(StorageLevel.MEMORY_AND_DISK) if accuracy is None else None
     src = pcache if pcache is not None else profiles
     try:
+        # role statistics first: each statistics pass caches its own projection
+        # and releases it, so at most two copies of the profiles are cached at once
+        role = _group_stats(src.select(fallback_key, salary), [fallback_key], salary, accuracy) \
+            .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
         if accuracy is None and method == "bands":
             band = band_quantiles(rk, src, keys, exp, exp, salary, tol, QS)
         else:
@@ -203,8 +207,6 @@ def similar_profiles(requests: DataFrame, profiles: DataFrame,
             pairs = (rk_cells.join(prof, keys + ["_cell"])
                      .where(F.col("_pexp").between(F.col(exp) - dlit(tol), F.col(exp) + dlit(tol))))
             band = _group_stats(pairs.select(*keys, exp, salary), keys + [exp], salary, accuracy)
-        role = _group_stats(src.select(fallback_key, salary), [fallback_key], salary, accuracy) \
-            .select(fallback_key, F.col("n").alias("rn"), F.col("q").alias("rq"))
     finally:
         if pcache is not None:
             pcache.unpersist(blocking=True)
