@@ -364,3 +364,17 @@ def test_knn_peers_equals_bruteforce_with_hot_vectors_and_ties(spark):
         assert got[rid]["median_salary"] == int(np.quantile(sal, 0.5))
         assert got[rid]["percentile_25"] == int(np.quantile(sal, 0.25))
         assert got[rid]["percentile_75"] == int(np.quantile(sal, 0.75))
+
+
+def test_similar_profiles_band_plan_equals_pair_plan_on_driver_data(spark):
+    """Both exact plans of J1 give identical answers on every request (sf0.001)."""
+    from equiscope.sources.tables import cand
+    c = cand(spark, "/root/testdata/sf0.001")
+    keys = ["job_role", "location", "education_level", "years_experience"]
+    req = c.select("l_orderkey", "l_linenumber", *keys)
+    prof = c.select(*keys, "salary")
+    cols = ["l_orderkey", "l_linenumber", *SIM.STAT_COLS]
+    a = SIM.similar_profiles(req, prof, method="bands").select(*cols)
+    b = SIM.similar_profiles(req, prof, method="pairs").select(*cols)
+    assert a.count() == b.count() == req.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
