@@ -378,3 +378,19 @@ def test_similar_profiles_band_plan_equals_pair_plan_on_driver_data(spark):
     b = SIM.similar_profiles(req, prof, method="pairs").select(*cols)
     assert a.count() == b.count() == req.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_running_totals_nulls_first_and_running_max(spark):
+    """NULL order values sort first in both the range split and the window;
+    running max ignores NULL inputs."""
+    from equiscope.operators.prefix import running_totals
+    rows = [(None, 5, None)] + [(i, i % 4, float(i % 7) if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "o int, v long, m double").repartition(3)
+    s = {r["o"]: r["cum_v"] for r in running_totals(df, [], ["o"], ["v"], rows_per_task=9).collect()}
+    m = {r["o"]: r["mx"] for r in running_totals(df, [], ["o"], ["m"], ["mx"], rows_per_task=9,
+                                                  how="max").collect()}
+    acc, best = 0, None
+    for o, v, x in sorted(rows, key=lambda t: (t[0] is not None, t[0] or 0)):
+        acc += v
+        best = x if best is None else (best if x is None else max(best, x))
+        assert s[o] == acc and m[o] == best
