@@ -2,11 +2,13 @@
 
 New candidate records arrive as files. Each micro-batch (``foreachBatch``):
 
-1. appends the batch to the profile table (S8, ``mode("append")``);
+1. adds the batch to the profile table (S8) as the partition of its epoch id,
+   written with dynamic partition overwrite — a batch that Spark replays
+   after a failure rewrites its own partition instead of appending twice;
 2. recomputes exact role statistics only for the roles the batch touched,
    reading the profile table with a pushed-down ``job_role IN (...)`` filter;
 3. overwrites just those roles' partitions of the statistics table
-   (dynamic partition overwrite), so a replayed batch yields the same table.
+   (dynamic partition overwrite), so a replayed batch yields the same tables.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def start_peer_stream(spark: SparkSession, source: DataFrame, profile_path: str,
     def batch(df: DataFrame, epoch: int):
         if df.isEmpty():
             return
-        df.write.mode("append").parquet(profile_path)
+        (df.withColumn("_batch", F.lit(epoch).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(profile_path))
         touched = [r[0] for r in df.select(role).distinct().collect()]  # distinct roles of one batch
         allp = spark.read.parquet(profile_path).where(F.col(role).isin(touched))
         (role_stats(allp, role, salary).write.mode("overwrite")
