@@ -51,3 +51,23 @@ def test_history_contains_what_was_written(spark):
 def test_unknown_attribute_is_an_error(spark):
     with pytest.raises(AnalysisException):
         M.group_metrics(cand(spark, SF001), "invalid_attr").collect()
+
+
+def test_audit_cube_group_counts_sum_to_total(spark):
+    """Identity: within each grouping level, group counts add up to the overall count."""
+    from equiscope.operators.fairness import audit_cube
+    from equiscope.plans.metrics_q import with_age_group
+    cube = audit_cube(with_age_group(cand(spark, SF001)), ["gender", "age_group"])
+    sums = {r["grouping_id"]: r["n"] for r in cube.groupBy("grouping_id").agg(F.sum("count").alias("n")).collect()}
+    assert len(sums) == 4 and len(set(sums.values())) == 1
+
+
+def test_conformal_calibration_coverage_at_least_nominal(spark):
+    """Identity of split conformal with the "higher" rank: coverage on the
+    calibration rows is at least 1 - α."""
+    from equiscope.operators.conformal import conformal_summary
+    from equiscope.plans.conformal_q import with_split
+    for alpha in (0.1, 0.2):
+        r = conformal_summary(with_split(cand(spark, SF001)), "split", "salary", "predicted_salary",
+                              alpha).first()
+        assert r["calibration_coverage"] >= 1 - alpha
