@@ -394,3 +394,19 @@ def test_running_totals_nulls_first_and_running_max(spark):
         acc += v
         best = x if best is None else (best if x is None else max(best, x))
         assert s[o] == acc and m[o] == best
+
+
+def test_band_quantiles_edge_cases(spark):
+    """One-value bands, bands of equal values (window collapses to a point),
+    integer experience columns and NULL keys (no band)."""
+    from equiscope.operators.similar import band_quantiles
+    prof = [("a", 1, 50.0), ("b", 3, 7.0), ("b", 4, 7.0), ("b", 5, 7.0), ("c", 10, 1.0), ("c", 10, 9.0),
+            (None, 1, 3.0)]
+    P = spark.createDataFrame(prof, "g string, x int, v double")
+    R = spark.createDataFrame([("a", 2), ("b", 4), ("c", 12), ("c", 13), (None, 1)], "g string, e int")
+    got = {(r["g"], r["e"]): (r["n"], r["q"]) for r in
+           band_quantiles(R, P, ["g"], "e", "x", "v", 2.0, [0.5, 0.25, 0.75], bins=2, final_rows=1).collect()}
+    assert got[("a", 2)] == (1, [50.0, 50.0, 50.0])
+    assert got[("b", 4)] == (3, [7.0, 7.0, 7.0])
+    assert got[("c", 12)] == (2, [5.0, 3.0, 7.0])
+    assert ("c", 13) not in got and (None, 1) not in got
