@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, radix_dedup, util
+from . import bpe, hyperminhash, mixing, radix_dedup, shards, util
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -57,3 +57,27 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=2, percent=80, keep_columns=["doc_id"])
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM w WINDOW b AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, round(CASE WHEN most <= level * weight THEN most
+             ELSE weight * max(CASE WHEN most > level * weight THEN level END) OVER () END, 6) AS target FROM l),
+p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) ROWS UNBOUNDED PRECEDING) - size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * ((start + size / 2.0::DOUBLE < target)::INT + (start + source_size + size / 2.0::DOUBLE < target)::INT) AS BIGINT) AS taken
+FROM p
+""")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, keep_columns=["doc_id"]).drop("shards")
+
+
+@query()
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.minimax_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_columns=["doc_id"])
