@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, mixing, radix_dedup, shards, util
+from . import bpe, hyperminhash, lang_id, mixing, radix_dedup, shards, util
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,3 +81,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.minimax_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_columns=["doc_id"])
+
+
+@query()
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (declared language, source as host) and all pages (markup language, host, address suffix)."""
+    docs, pages = read(spark, sf_dir, "documents"), lang_id.page_evidence(read(spark, sf_dir, "pages"))
+    model = lang_id.fit(docs, "text", "lang", "doc_id")
+    of_docs = lang_id.identify(docs, model, "text", declared="lang", host="source", keep_columns=["doc_id"])
+    of_pages = lang_id.identify(pages, model, "_body", declared="_markup", host="_site", suffix="_tld", keep_columns=["page_id"])
+    both = of_docs.unionByName(of_pages, allowMissingColumns=True)
+    return both.select("doc_id", "page_id", "language", F.round("posterior", 6).alias("posterior"), (~F.col("rejected")).alias("kept"))
