@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, lang_id, mixing, radix_dedup, shards, util
+from . import bpe, hyperminhash, lang_id, mixing, radix_dedup, shards, util, warc
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -92,3 +92,20 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_pages = lang_id.identify(pages, model, "_body", declared="_markup", host="_site", suffix="_tld", keep_columns=["page_id"])
     both = of_docs.unionByName(of_pages, allowMissingColumns=True)
     return both.select("doc_id", "page_id", "language", F.round("posterior", 6).alias("posterior"), (~F.col("rejected")).alias("kept"))
+
+
+@query()
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = util.Scratch(spark, "warc")
+    archives = scratch.path("archives")
+    warc.write_archives(read(spark, sf_dir, "pages"), archives)
+    # payloads are checked where they are decoded; the digest and length alone go on
+    records = scratch.table(warc.reassemble(warc.read_segments(spark, archives)).where("problem IS NULL")
+                            .select("type", "page_id", "digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes")), "records")
+    scratch.drop(archives)
+    originals = records.where("type = 'response'").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("bytes").alias("_b")).distinct()
+    whole = records.where("type = 'response'").select("page_id", "bytes", "digest", "type", "refers_to")
+    again = (records.where("type = 'revisit'").join(originals, (F.col("refers_to") == F.col("_p")) & (F.col("digest") == F.col("_d")))
+             .select("page_id", F.col("_b").alias("bytes"), "digest", "type", "refers_to"))
+    return whole.unionByName(again).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                                           F.col("type").alias("record_type"), "refers_to")
