@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, lang_id, mixing, radix_dedup, shards, util, warc
+from . import bpe, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, util, warc
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -109,3 +109,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("page_id", F.col("_b").alias("bytes"), "digest", "type", "refers_to"))
     return whole.unionByName(again).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                                            F.col("type").alias("record_type"), "refers_to")
+
+
+@query(licenses.oracle_sql())
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in licenses.NEW])
