@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, util, warc
+from . import bpe, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, util, warc, weak_quality
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -115,3 +115,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read(spark, sf_dir, "documents"), keep_columns=["doc_id"])
     return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in licenses.NEW])
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"])
