@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, util, warc, weak_quality
+from . import ann, bpe, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, util, warc, weak_quality
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -120,3 +120,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+
+
+@query()
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
