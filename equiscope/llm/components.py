@@ -12,21 +12,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(``node``, ``label``): the least node that each node with an edge reaches. ``edges``: long ``a``, ``b``.
 
     Each round takes the least label of the neighbours, then the label's own
-    label, and is written in the shared folder; rounds grow with the logarithm
-    of a component's diameter in practice. A hot node is an edge table's join
+    label; rounds grow with the logarithm of a component's diameter in
+    practice, and each is written in the shared folder, which cuts the lineage. A hot node is an edge table's join
     key only, which adaptive execution splits; the least label is a partial
     aggregate. An empty edge table gives an empty result.
     """
-    both = scratch.table(edges.select("a", "b").where("a != b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a != b")).distinct(), "edges")
-    labels, path = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    plain = edges.select("a", "b").where("a != b")
+    both = scratch.table(plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
     while True:
-        least = scratch.table(both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near")), "near")
-        nearer = scratch.table(labels.join(least, F.col("node") == F.col("v")).select("node", "label", F.least("label", "near").alias("near")), "nearer")
+        least = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        nearer = labels.join(least, F.col("node") == F.col("v")).select("node", "label", F.least("label", "near").alias("near"))
         jump = nearer.select(F.col("node").alias("v"), F.col("near").alias("far"))
-        after, new_path = scratch.write(nearer.join(jump, F.col("near") == F.col("v"), "left")
-                                        .select("node", F.col("label").alias("old"), F.least("near", F.coalesce("far", "near")).alias("label")), "labels")
-        changed = not after.where("old != label").isEmpty()
-        scratch.drop(path)
-        labels, path = after.select("node", "label"), new_path
-        if not changed:
+        after = nearer.join(jump, F.col("near") == F.col("v"), "left").select("node", F.col("label").alias("old"), F.least("near", F.coalesce("far", "near")).alias("label"))
+        after = scratch.table(after, "labels")
+        labels = after.select("node", "label")
+        if after.where("old != label").isEmpty():
             return labels

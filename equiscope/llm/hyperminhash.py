@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .util import Scratch, packed, unpacked
+from .util import Scratch, arrow_rows, lower_ascii, packed, rows_with_ids, unpacked
 
 BUCKETS, BAND, MANTISSA, CELLS, BLOCK = 128, 4, 10, 256, 512
 BANDS = BUCKETS // BAND
@@ -237,7 +237,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int, scratch: Scratch) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +258,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int, sc
 
     ta, tb = (texts.select(F.col("cid").alias(f"c{x}"), F.col("words").alias(f"t{x}")) for x in "ab")
     joined = pairs.join(ta, F.col("a") == F.col("ca")).join(tb, F.col("b") == F.col("cb")).select("a", "b", "ta", "tb")
-    conf, key = scratch.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, "100")  # a row holds two whole texts
-    try:
-        return scratch.table(joined.mapInArrow(run, "a long, b long"), name)
-    finally:
-        conf.set(key, before)
+    with arrow_rows(scratch.spark, 100):  # a row holds two whole texts
+        return scratch.table(joined.mapInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80,
@@ -289,34 +284,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                             .select(F.monotonically_increasing_id().alias("cid"), "_words", F.col("_n").alias("n"), F.col("_bands").alias("bands"),
                                     F.col("_cells").alias("cells"), "first"), "classes")
     bands = classes.select("cid", F.posexplode("bands").alias("band", "key")).where("key != 0")
-    buckets = scratch.table(bands.groupBy("band", "key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-                            .select(F.col("band").alias("_band"), F.col("key").alias("_key"), "rep", "size"), "buckets")
-    members = scratch.table(bands.join(buckets, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")))
-                            .select("cid", "band", "key", "rep", "size"), "members")
+    buckets = scratch.hold(bands.groupBy("band", "key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+                            .select(F.col("band").alias("_band"), F.col("key").alias("_key"), "rep", "size"))
+    members = scratch.hold(bands.join(buckets, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")))
+                            .select("cid", "band", "key", "rep", "size"))
     star = members.where("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
     side = lambda x: classes.select(F.col("cid").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"b{x}"))
-    star = scratch.table(star, "star")
     star = star.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb"))
-    tested = scratch.table(_estimated(star.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), percent), "tested")
+    tested = scratch.hold(_estimated(star.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"), percent))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        wanted = scratch.table(classes.select("cid", "_words", F.col("first.id").alias("first_id")).join(ids, "cid"), "wanted")
-        source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-        found = source.join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).select("cid", "_words", F.col("_text").alias("words"))
-        same = F.sha2(F.trim(F.regexp_replace(F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
-                                              r"[\x20\x09-\x0D]+", " ")), 256) == F.lower(F.hex("_words"))
-        return scratch.table(found.where(same).groupBy("cid").agg(F.first("words").alias("words")), "texts")
-
-    links = _verified(tested, texts_of(tested), percent, shingle, scratch, "links")
+        wanted = scratch.hold(classes.select("cid", "_words", F.col("first.id").alias("first_id")).join(ids, "cid"))
+        source = rows_with_ids(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("words")), "_id", wanted.select("first_id"))
+        same = F.sha2(F.trim(F.regexp_replace(lower_ascii(F.col("words")), r"[\x20\x09-\x0D]+", " ")), 256) == F.lower(F.hex("_words"))
+        found = source.join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).where(same)
+        return scratch.hold(found.select("cid", "words").dropDuplicates(["cid"]))
+
+    links = _verified(tested, texts_of(tested), percent, shingle, scratch)
     labels = components(links, scratch)
 
     label = F.coalesce("label", "cid")
-    labelled = scratch.table(members.where("size > 2").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "band", "key", "rep", label.alias("label")), "labelled")
-    shares = scratch.table(labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("share")), "shares")
+    labelled = scratch.hold(members.where("size > 2").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "band", "key", "rep", label.alias("label")))
+    shares = (labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("share")))
     mixed = (shares.groupBy("band", "key").agg(F.sum("share").alias("total"), F.max(F.struct("share", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
              .where("labels > 1").select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("most.label").alias("main"), "total", F.col("most.share").alias("main_share")))
-    mixed = scratch.table(mixed, "mixed")
+    mixed = scratch.hold(mixed)
     rest = labelled.join(mixed, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")))
     # left: what is outside the bucket's largest component; right: all. A grid of blocks of at most BLOCK rows a side.
     grid = lambda rows: F.ceil(rows / F.lit(BLOCK // 2)).cast("int")  # noqa: E731  half-filled on average, as a hash deals rows unevenly
@@ -326,18 +319,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                                               F.explode(F.sequence(F.lit(0), rights - 1)).alias("r"), F.lit(True).alias("left"))
     right = rest.select("cid", "band", "key", "rep", "label", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("l"),
                         F.pmod(dealt, rights).cast("int").alias("r"), F.lit(False).alias("left"))
-    rows = scratch.table(left.unionByName(right), "grid")
+    rows = left.unionByName(right)
     rows = (rows.join(classes.select(F.col("cid").alias("_cid"), "n", "bands", "cells"), F.col("cid") == F.col("_cid")).drop("_cid")
             .repartition("band", "key", "l", "r").sortWithinPartitions("band", "key", "l", "r"))
-    crossed = scratch.table(_blocks(rows, percent).distinct(), "crossed")
+    crossed = scratch.hold(_blocks(rows, percent).distinct())
     if not crossed.isEmpty():
-        links = links.unionByName(_verified(crossed, texts_of(crossed), percent, shingle, scratch, "more"))
+        links = links.unionByName(_verified(crossed, texts_of(crossed), percent, shingle, scratch))
         labels = components(links, scratch)
 
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("_words", "first", label.alias("label"))
-    named = scratch.table(named, "named")
-    lowest = scratch.table(named.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("low")), "lowest")
+    named = scratch.hold(named)
+    lowest = scratch.hold(named.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("low")))
     answer = scratch.table(named.join(lowest, F.col("label") == F.col("_label")).select(F.col("_words").alias("_w"), "low"), "answer")
+    scratch.release()
     joined = sketched.join(answer, F.col("_words") == F.col("_w"), "left")  # empty sets have no answer
     return joined.select(*unpacked("_row", columns, NEW), F.col("_n").alias("n_shingles"),
                          F.when(F.col("low").isNull(), F.col("_id")).otherwise(F.col("low.id")).alias("component_id"),

@@ -12,7 +12,8 @@ are numbers given when a round is written; no digest is taken. The first digit
 
 A round writes one table: singles and ended documents without text, open ones
 with the bytes that remain. The join back to the digits is between two plain
-exchanges, so a hot group is split by adaptive execution.
+exchanges, so a hot group is split by adaptive execution, and hashes the
+digits, so that no text is sorted.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def radix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fir
             .select(F.col("_gid").alias("_g"), F.col("_digit").alias("_d"), F.monotonically_increasing_id().alias("_new")), "groups")
         ended = F.octet_length("_rest") <= width
         round_, path = scratch.write(
-            active.join(groups, (F.col("_gid") == F.col("_g")) & (digit == F.col("_d")), "left")
+            active.join(groups.hint("shuffle_hash"), (F.col("_gid") == F.col("_g")) & (digit == F.col("_d")), "left")
             .select("_row", "_id", "_cp", F.lit(number).alias("_round"), F.col("_new").alias("_gid"),
                     F.when(F.col("_new").isNull(), "single").when(ended, "equal").otherwise("open").alias("_state"),
                     F.when(F.col("_new").isNotNull() & ~ended, F.substring(F.col("_rest"), F.lit(width + 1), F.lit(2**31 - 1))).alias("_rest"),

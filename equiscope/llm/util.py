@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._held: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -40,6 +43,15 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         return self.write(df, name)[0]
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Kept on the executors' disks until ``release``; a lost part is computed again from its (written) inputs."""
+        self._held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self._held[-1]
+
+    def release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
     def drop(self, *paths: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
@@ -47,6 +59,29 @@ class Scratch:
             where.getFileSystem(conf).delete(where, True)
 
 
+#: Rows of a table of ids up to which it is broadcast (8 bytes each, counted before).
+MOST_BROADCAST_IDS = 2_000_000
+
+
+def rows_with_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is in the one column of ``ids`` (null matches null): by broadcast when few are counted, else by a shuffle."""
+    found = ids.distinct().toDF("_wanted")
+    few = found.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    return df.join(F.broadcast(found) if few else found, F.col(column).eqNullSafe(F.col("_wanted")), "left_semi")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the jobs run inside (long rows)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def packed(df: DataFrame, keep: list[str] | None = None) -> Column:
     """All (or the named) input columns as one struct, so that an operator's own columns can't clash with them."""
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in (df.columns if keep is None else keep)])

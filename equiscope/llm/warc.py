@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     revisits = scratch.table(given.select("id", F.unhex(F.sha1(body)).alias("d"), F.octet_length(body).alias("l")).join(
         digests, (F.col("d") == F.col("digest")) & (F.col("l") == F.col("length"))).where("id != winner")
         .select(F.col("id").alias("_id"), F.col("digest").alias("_d"), "winner").distinct(), "revisits")
-    marked = given.withColumn("_digest", F.unhex(F.sha1(body))).join(revisits, (F.col("id") == F.col("_id")) & (F.col("_digest") == F.col("_d")), "left").select("id", "url", "html", "winner")
+    marked = given.withColumn("_digest", F.unhex(F.sha1(body))).join(revisits.hint("shuffle_hash"), (F.col("id") == F.col("_id")) & (F.col("_digest") == F.col("_d")), "left").select("id", "url", "html", "winner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
