@@ -323,11 +323,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = (rows.join(classes.select(F.col("cid").alias("_cid"), "n", "bands", "cells"), F.col("cid") == F.col("_cid")).drop("_cid")
             .repartition("band", "key", "l", "r").sortWithinPartitions("band", "key", "l", "r"))
     crossed = scratch.hold(_blocks(rows, percent).distinct())
-    if not crossed.isEmpty():
-        links = links.unionByName(_verified(crossed, texts_of(crossed), percent, shingle, scratch))
-        labels = components(links, scratch)
-
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("_words", "first", label.alias("label"))
+    if not crossed.isEmpty():  # components of components: of the links between two, one counts
+        more = _verified(crossed, texts_of(crossed), percent, shingle, scratch)
+        ends = [labels.select(F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab"]
+        more = (more.join(ends[0], F.col("a") == F.col("na"), "left").join(ends[1], F.col("b") == F.col("nb"), "left")
+                .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+        wider = components(more, scratch).toDF("_node", "_wider")
+        named = named.join(wider, F.col("label") == F.col("_node"), "left").select("_words", "first", F.coalesce("_wider", "label").alias("label"))
     named = scratch.hold(named)
     lowest = scratch.hold(named.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("low")))
     answer = scratch.table(named.join(lowest, F.col("label") == F.col("_label")).select(F.col("_words").alias("_w"), "low"), "answer")
