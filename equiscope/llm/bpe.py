@@ -14,9 +14,9 @@ token, so the lookahead is bounded. Tables are bounded: when ``MAX_STATES``
 states are held, all are forgotten and made anew as needed.
 
 **Decoding.** The UTF-8 machine's state is the bytes of an unfinished
-character. Its step is lifted from bytes to tokens: most tokens begin and end
-between characters and have one fixed text. Ill-formed bytes become U+FFFD,
-one for each maximal ill-formed part, as usual.
+character, held between runs of tokens. A run without ill-formed bytes is
+taken at once; else the machine walks it byte by byte, and ill-formed bytes
+become U+FFFD, one for each maximal ill-formed part, as usual.
 
 Both run in ``mapInArrow``: no shuffle, one document at a time.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MAX_STATES = 120_000
-MAX_PIECES = 200_000  # in each of the two generations of the piece memo
+MAX_PIECES = 300_000  # in each of the two generations of the piece memo
 OUT_TOKENS = 1 << 20  # an output batch is closed after about so many tokens
 
 
@@ -172,35 +173,41 @@ class Transducer:
         return n
 
 
-class Encoder:
-    """Whole texts -> ids: each match of the pattern on its own, with a bounded memo of pieces."""
+class Pieces(dict):
+    """Piece -> its ids as little-endian int32 bytes, made when first asked for; two bounded generations."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
-        import regex
+    def __init__(self, machine: Transducer, most: int):
+        super().__init__()
+        self.machine, self.most, self.old = machine, most, {}
 
-        self.pattern, self.machine, self.max_pieces = regex.compile(pattern), Transducer(ranks), max_pieces
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.machine.encode(piece.encode())
+            ids = array("i", self.machine.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
-            if len(self.young) >= self.max_pieces:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids in runs, so that a very long text needs no list of all its pieces."""
-        matches = (m.group() for m in self.pattern.finditer(text)) if len(text) > 1 << 20 else self.pattern.findall(text)
-        matches = iter(matches)
-        while block := list(itertools.islice(matches, 1 << 16)):
-            out: list[int] = []
-            for p in block:
-                out += self.young.get(p) or self._piece(p)
-            yield out
+
+class Encoder:
+    """Whole texts -> ids: each match of the pattern on its own, with a bounded memo of pieces."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
+        import regex
+
+        self.pattern, self.machine = regex.compile(pattern), Transducer(ranks)
+        self.pieces = Pieces(self.machine, max_pieces)
+
+    def encode(self, text: str) -> bytes:
+        """All ids as int32 bytes. The matches of a very long text are taken in runs, never as one list."""
+        of = self.pieces.__getitem__
+        if len(text) <= 1 << 20:
+            return b"".join(map(of, self.pattern.findall(text)))
+        matches = self.pattern.finditer(text)
+        return b"".join(b"".join(of(m.group()) for m in block) for block in iter(lambda: list(itertools.islice(matches, 1 << 16)), []))
 
 
 #: The UTF-8 machine: lead bytes -> allowed second bytes and length (fixed values of the encoding).
@@ -231,27 +238,24 @@ class Decoder:
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self.held = b""
-        self.known: dict[int, tuple[bytes, str]] = {}  # the step of a token that begins between characters
-
-    def _walk(self, held: bytes, t: int) -> tuple[bytes, str]:
-        text = []
-        for b in self.bytes_of[t]:
-            held, s = utf8_step(held, b)
-            text.append(s)
-        return held, "".join(text)
 
     def feed(self, ids: Iterable[int]) -> str:
-        held, out, known = self.held, [], self.known
-        for t in ids:
-            if held:
-                held, s = self._walk(held, t)
-            elif (found := known.get(t)) is not None:
-                held, s = found
-            else:
-                held, s = known[t] = self._walk(b"", t)
-            out.append(s)
-        self.held = held
-        return "".join(out)
+        raw = self.held + b"".join(map(self.bytes_of.__getitem__, ids))
+        cut = len(raw)
+        for back in range(1, min(3, len(raw)) + 1):  # an unfinished character at the end is held
+            if raw[-back] in _LEAD:
+                cut -= back if _LEAD[raw[-back]][2] > back else 0
+                break
+        try:
+            text, self.held = raw[:cut].decode(), raw[cut:]
+            return text
+        except UnicodeDecodeError:  # ill-formed somewhere: the machine walks byte by byte
+            held, out = b"", []
+            for b in raw:
+                held, s = utf8_step(held, b)
+                out.append(s)
+            self.held = held
+            return "".join(out)
 
     def finish(self) -> str:
         held, self.held = self.held, b""
@@ -295,9 +299,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
             texts = batch.column(batch.schema.get_field_index(text))
             rest = batch.select([n for n in batch.schema.names if n != out])
             for a, b in _cut(batch, [0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()], 4 * OUT_TOKENS):
-                ids = [[] if t is None else list(itertools.chain.from_iterable(encoder.encode(t))) for t in texts.slice(a, b - a).to_pylist()]
+                ids = [encoder.encode(t) if t else b"" for t in texts.slice(a, b - a).to_pylist()]
+                ends = pa.array(list(itertools.accumulate((len(i) // 4 for i in ids), initial=0)), pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))])
                 part = rest.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, values)], [*part.schema.names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -316,9 +322,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = held.value
         if "bytes_of" not in shared:
-            shared["bytes_of"], shared["known"] = {t: b for b, t in shared["ranks"].items()}, {}
+            shared["bytes_of"] = {t: b for b, t in shared["ranks"].items()}
         decoder = Decoder(shared["bytes_of"])
-        decoder.known = shared["known"]
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             rest = batch.select([n for n in batch.schema.names if n != out])
@@ -331,7 +336,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
                     parts = []
                     for at in range(0, 0 if values is None else len(values), 1 << 16):
                         try:
-                            parts.append(decoder.feed(values.slice(at, 1 << 16).to_pylist()))
+                            parts.append(decoder.feed(values.slice(at, 1 << 16).to_numpy().tolist()))
                         except KeyError as e:
                             raise ValueError(f"token id {e.args[0]} is not in the vocabulary") from e
                     parts.append(decoder.finish())
