@@ -232,6 +232,14 @@ def utf8_step(held: bytes, byte: int) -> tuple[bytes, str]:
     return (bytes([byte]), "") if byte in _LEAD else (b"", "�")
 
 
+def utf8_walk(held: bytes, data: bytes) -> tuple[bytes, str]:
+    out = []
+    for b in data:
+        held, s = utf8_step(held, b)
+        out.append(s)
+    return held, "".join(out)
+
+
 class Decoder:
     """Token ids -> text, in a stream: ``feed`` gives what is complete, ``finish`` what an unfinished character leaves."""
 
@@ -243,19 +251,15 @@ class Decoder:
         raw = self.held + b"".join(map(self.bytes_of.__getitem__, ids))
         cut = len(raw)
         for back in range(1, min(3, len(raw)) + 1):  # an unfinished character at the end is held
-            if raw[-back] in _LEAD:
-                cut -= back if _LEAD[raw[-back]][2] > back else 0
+            if raw[-back] in _LEAD and utf8_walk(b"", raw[-back:]) == (raw[-back:], ""):
+                cut -= back
                 break
         try:
             text, self.held = raw[:cut].decode(), raw[cut:]
             return text
         except UnicodeDecodeError:  # ill-formed somewhere: the machine walks byte by byte
-            held, out = b"", []
-            for b in raw:
-                held, s = utf8_step(held, b)
-                out.append(s)
-            self.held = held
-            return "".join(out)
+            self.held, text = utf8_walk(b"", raw)
+            return text
 
     def finish(self) -> str:
         held, self.held = self.held, b""
