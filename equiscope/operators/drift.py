@@ -238,7 +238,8 @@ def drift_level(psi):
 
 
 def numeric_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequence[str],
-                        bins: int = 10, edges: str = "shared", long: DataFrame | None = None) -> DataFrame:
+                        bins: int = 10, edges: str = "shared", long: DataFrame | None = None,
+                        min_rows: int = DRIFT_MIN_ROWS) -> DataFrame:
     """PSI, KS, sizes and level per numeric feature (one row each).
 
     The rows are aggregated once into (feature, x, r, c), cached while KS and
@@ -252,7 +253,7 @@ def numeric_drift_stats(ref: DataFrame | None, cur: DataFrame | None, cols: Sequ
     try:
         ks = ks_statistic(counts)
         rows = (psi_numeric(value_counts_by_side(counts), bins, edges).join(ks, "feature")
-                .where((F.col("n_ref") >= DRIFT_MIN_ROWS) & (F.col("n_cur") >= DRIFT_MIN_ROWS))
+                .where((F.col("n_ref") >= min_rows) & (F.col("n_cur") >= min_rows))
                 .withColumn("drift_level", drift_level(F.col("psi"))).collect())  # one row per feature
     finally:
         counts.unpersist(blocking=True)
@@ -349,7 +350,7 @@ def drift_report(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | No
 def prediction_drift(ref: DataFrame, cur: DataFrame, p: str, bins: int = 10,
                      edges: str = "shared") -> DataFrame:
     """PSI and KS of the predictions plus means, population std, mean shift."""
-    st = numeric_drift_stats(ref, cur, [p], bins, edges).select("psi", "ks_statistic", "n_ref", "n_cur")
+    st = numeric_drift_stats(ref, cur, [p], bins, edges, min_rows=1).select("psi", "ks_statistic", "n_ref", "n_cur")
     r = ref.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).first()  # one-row scalars
     c = cur.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).first()
     return (st.withColumn("ref_mean", dlit(r["m"])).withColumn("ref_std", dlit(r["s"]))

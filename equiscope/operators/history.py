@@ -79,7 +79,7 @@ def history_trend(df: DataFrame, ts: str = "created_at", amount: str = "predicte
 def history_export(df: DataFrame, ts: str = "created_at") -> DataFrame:
     """Export rows with ISO time and ``Math.round(conf*100)%``."""
     return df.select(
-        F.date_format(F.col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("date"),
+        F.date_format(F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("date"),
         F.coalesce(F.col("job_role"), F.lit("")).alias("role"),
         F.coalesce(F.col("location"), F.lit("")).alias("location"),
         F.coalesce(F.col("experience_years"), dlit(0.0)).alias("experience"),

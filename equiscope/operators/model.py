@@ -120,9 +120,9 @@ def ridge_reg_param(alpha: float, n: int, sigma_y_pop: float) -> float:
 def estimators(label: str = "salary", features: str = "features", seed: int = 42) -> dict:
     return {
         "linear_regression": LinearRegression(featuresCol=features, labelCol=label, regParam=0.0,
-                                              solver="normal"),
+                                              solver="auto"),
         "ridge": LinearRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0,
-                                  standardization=False, solver="normal"),
+                                  standardization=False, solver="auto"),
         "random_forest": RandomForestRegressor(featuresCol=features, labelCol=label, seed=seed),
         "gradient_boosting": GBTRegressor(featuresCol=features, labelCol=label, seed=seed),
     }
@@ -193,7 +193,7 @@ def stacking(models: dict, df: DataFrame, label: str, fold_col: str, k: int,
     n_rows = meta_in.count()
     sig = meta_in.agg(F.stddev_pop(label)).first()[0] or 1.0
     meta = LinearRegression(featuresCol="meta_features", labelCol=label, elasticNetParam=0.0,
-                            standardization=False, solver="normal",
+                            standardization=False, solver="auto",
                             regParam=ridge_reg_param(meta_alpha, n_rows, sig)).fit(meta_in)
     base = {n: models[n].copy().setPredictionCol(f"p_{n}").fit(df) for n in names}
     return base, meta, oof

@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 ROWS_PER_TASK = 1_000_000
-MAX_PARTS = 100_000
 BROADCAST_ROWS = 1_000_000  # offsets table rows up to which it is broadcast
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str],
                    out: Sequence[str] | None = None, rows: int | None = None,
-                   rows_per_task: int = ROWS_PER_TASK, max_parts: int = MAX_PARTS,
+                   rows_per_task: int = ROWS_PER_TASK,
                    how: str = "sum", key_count: int | None = None) -> DataFrame:
     """``df`` plus inclusive running sums (``how="sum"``) or running maxima
     (``how="max"``, NULLs ignored) of ``sums`` per ``keys`` in ``order``.
@@ -59,7 +58,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     # at least the session's shuffle width (so small inputs still use every
     # core), more when the data needs it; never more ranges than rows
     floor_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = max(1, min(max_parts, max(n, 1), max(floor_parts, math.ceil(n / rows_per_task))))
+    parts = max(1, min(max(n, 1), max(floor_parts, math.ceil(n / rows_per_task))))
     ranged = (df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in keys + order])
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))

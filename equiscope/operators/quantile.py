@@ -31,6 +31,19 @@ _BINS = 4096
 _FINAL_ROWS = 50_000
 
 
+def _share(x, lo, hi):
+    """Place of x in [lo, hi] from 0 to 1, for bounds up to the largest doubles apart."""
+    wide = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+    return F.when(hi - lo < F.lit(float("inf")), (x - lo) / (hi - lo)).otherwise(wide)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL, as grouping has it; the right side's keys go."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys]
+    return left.join(renamed, cond, how).drop(*[f"_right_{c}" for c in keys])
+
+
 def _kth(vals: DataFrame, k: int, lo: float, hi: float, below: int, n_win: int,
          bins: int, final_rows: int, hist_cache: dict) -> float:
     x = F.col("x")
@@ -43,8 +56,7 @@ def _kth(vals: DataFrame, k: int, lo: float, hi: float, below: int, n_win: int,
             return float(row[0]["x"])
         key = (lo, hi)
         if key not in hist_cache:  # ranks in the same window share one pass
-            width = (hi - lo) / bins
-            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+            b = F.least(F.floor(_share(x, F.lit(lo), F.lit(hi)) * bins), F.lit(bins - 1)).cast("int")
             hist_cache[key] = (win.groupBy(b.alias("b"))
                                .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"),
                                     F.max(x).alias("hi"))
@@ -64,26 +76,41 @@ def _values(df: DataFrame, column: str) -> DataFrame:
             .where(F.col("x").isNotNull() & ~F.isnan(F.col("x"))))
 
 
-def _select(vals: DataFrame, n: int, lo: float, hi: float, ranks, bins: int,
-            final_rows: int) -> dict[int, float]:
+def _select(vals: DataFrame, st, ranks, bins: int, final_rows: int) -> dict[int, float]:
+    """Values at ranks; ``st``: the row of ``_stats``. Infinite values are counted, not bucketed."""
     cache: dict = {}
     out = {}
+    n, below, above = int(st["n"]), int(st["n_neg"] or 0), int(st["n_pos"] or 0)
     for k in sorted(set(ranks)):
         if not 0 <= k < n:
             raise ValueError(f"rank {k} outside 0..{n - 1}")
-        out[k] = _kth(vals, k, lo, hi, 0, n, bins, final_rows, cache)
+        if k < below or k >= n - above:
+            out[k] = -math.inf if k < below else math.inf
+        else:
+            out[k] = _kth(vals, k, float(st["lo"]), float(st["hi"]), below, n - below - above, bins, final_rows, cache)
     return out
 
 
+def _stats_columns():
+    """Count, counts of infinities and bounds of the finite values of ``x``."""
+    x = F.col("x")
+    finite = F.when(F.abs(x) < F.lit(math.inf), x)
+    return [F.count(F.lit(1)).alias("n"), F.count(F.when(x == F.lit(-math.inf), 1)).alias("n_neg"),
+            F.count(F.when(x == F.lit(math.inf), 1)).alias("n_pos"), F.min(finite).alias("lo"), F.max(finite).alias("hi")]
+
+
+def _between(low: float, high: float, share: float) -> float:
+    """Linear interpolation; a value between equal infinities is that infinity."""
+    return low if low == high or share == 0 else low + share * (high - low)
+
+
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int],
                      bins: int = _BINS, final_rows: int = _FINAL_ROWS) -> dict[int, float]:
     """Exact values at 0-based ranks among the non-null values of ``column``."""
     vals = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                      F.max("x").alias("hi")).first()
-        return _select(vals, int(st["n"]), float(st["lo"]) if st["n"] else 0.0,
-                       float(st["hi"]) if st["n"] else 0.0, ranks, bins, final_rows)
+        st = vals.agg(*_stats_columns()).first()
+        return _select(vals, st, ranks, bins, final_rows)
     finally:
         vals.unpersist(blocking=True)
 
@@ -93,16 +120,14 @@ def quantiles_linear(df: DataFrame, column: str, qs: Sequence[float],
     """NumPy's default (linear) quantiles, exact, sharing every pass across ``qs``."""
     vals = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                      F.max("x").alias("hi")).first()
+        st = vals.agg(*_stats_columns()).first()
         n = int(st["n"])
         if n == 0:
             return [None for _ in qs]
         hs = [(n - 1) * q for q in qs]
         ranks = {r for h in hs for r in (math.floor(h), math.ceil(h))}
-        v = _select(vals, n, float(st["lo"]), float(st["hi"]), ranks, bins, final_rows)
-        return [v[math.floor(h)] + (h - math.floor(h)) * (v[math.ceil(h)] - v[math.floor(h)])
-                for h in hs]
+        v = _select(vals, st, ranks, bins, final_rows)
+        return [_between(v[math.floor(h)], v[math.ceil(h)], h - math.floor(h)) for h in hs]
     finally:
         vals.unpersist(blocking=True)
 
@@ -111,11 +136,10 @@ def value_at_rank(df: DataFrame, column: str, rank_of_n) -> tuple[float, int]:
     """(value at rank ``rank_of_n(n)``, n) with n counted in the same pass as min/max."""
     vals = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                      F.max("x").alias("hi")).first()
+        st = vals.agg(*_stats_columns()).first()
         n = int(st["n"])
         k = rank_of_n(n)
-        return _select(vals, n, float(st["lo"]), float(st["hi"]), [k], _BINS, _FINAL_ROWS)[k], n
+        return _select(vals, st, [k], _BINS, _FINAL_ROWS)[k], n
     finally:
         vals.unpersist(blocking=True)
 
@@ -136,7 +160,7 @@ def median(df: DataFrame, column: str) -> float | None:
 
 # --------------------------------------------------------------- per group
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequence[float],
-                      bins: int = 1024, final_rows: int = 250_000, max_rounds: int = 30,
+                      bins: int = 1024, final_rows: int = 250_000,
                       out: str = "q", count_col: str = "n") -> DataFrame:
     """Exact linear-interpolation quantiles of ``column`` for every group of ``keys``.
 
@@ -172,57 +196,57 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Seque
     try:
         # every pass below reads the cached projection; results are one row
         # per group and are materialised before the cache is released
-        g = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo"),
-                                     F.max("x").alias("_hi")).checkpoint(eager=True)
+        g = vals.groupBy(*keys).agg(*[c for c in _stats_columns()]).checkpoint(eager=True)
+        g = g.select(*keys, F.col("n").alias("_n"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+                     F.col("n_neg").alias("_neg"), F.col("n_pos").alias("_pos"))
         large = g.where(F.col("_n") > F.lit(final_rows))
         n_large = large.count()  # on the checkpointed per-group table
         if n_large == 0:
             return small_part(vals).checkpoint(eager=True)
         small_keys = g.where(F.col("_n") <= F.lit(final_rows)).select(*keys)
-        small = small_part(vals.join(small_keys, keys, "left_semi")).checkpoint(eager=True)
-        vals = cached.join(large.select(*keys), keys, "left_semi")
+        small = small_part(_null_safe(vals, small_keys, keys, "left_semi")).checkpoint(eager=True)
+        vals = _null_safe(cached, large.select(*keys), keys, "left_semi")
         rank_exprs = []
         for q in qs:
             h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
             rank_exprs += [F.floor(h).cast("long"), F.ceil(h).cast("long")]
-        state = (large.select(*keys, "_n", "_lo", "_hi",
+        low, high = F.col("rank") < F.col("_neg"), F.col("rank") >= F.col("_n") - F.col("_pos")
+        end = F.when(low, F.lit(-math.inf)).when(high, F.lit(math.inf))  # an infinite rank needs no window
+        state = (large.select(*keys, "_n", "_lo", "_hi", "_neg", "_pos",
                               F.explode(F.array_distinct(F.array(*rank_exprs))).alias("rank"))
-                 .select(*keys, "rank", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-                         F.lit(0).cast("long").alias("below"), F.col("_n").alias("nwin")))
+                 .select(*keys, "rank", F.coalesce(end, "_lo").alias("lo"), F.coalesce(end, "_hi").alias("hi"),
+                         F.col("_neg").alias("below"), (F.col("_n") - F.col("_neg") - F.col("_pos")).alias("nwin")))
         done = (F.col("lo") == F.col("hi")) | (F.col("nwin") <= F.lit(final_rows))
         state = state.withColumn("done", done).checkpoint(eager=True)
-        for _ in range(max_rounds):
+        while True:
             active = state.where(~F.col("done"))
             if active.isEmpty():
                 break
             windows = active.select(*keys, "lo", "hi").distinct()
-            b = F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))),
-                        F.lit(bins - 1)).cast("int")
-            hist = (vals.join(windows, keys)
+            b = F.least(F.floor(_share(x, F.col("lo"), F.col("hi")) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+            hist = (_null_safe(vals, windows, keys)
                     .where((x >= F.col("lo")) & (x <= F.col("hi")))
                     .groupBy(*keys, "lo", "hi", b.alias("b"))
                     .agg(F.count(F.lit(1)).alias("nb"), F.min("x").alias("lob"), F.max("x").alias("hib")))
             wcum = W.partitionBy(*keys, "lo", "hi").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
             hist = hist.withColumn("cum", F.coalesce(F.sum("nb").over(wcum), F.lit(0)))  # ≤ bins rows
-            moved = (active.join(hist, keys + ["lo", "hi"])
+            moved = (_null_safe(active, hist, keys + ["lo", "hi"])
                      .where((F.col("rank") >= F.col("below") + F.col("cum"))
                             & (F.col("rank") < F.col("below") + F.col("cum") + F.col("nb")))
                      .select(*keys, "rank", F.col("lob").alias("lo"), F.col("hib").alias("hi"),
                              (F.col("below") + F.col("cum")).alias("below"), F.col("nb").alias("nwin")))
             state = (state.where(F.col("done")).drop("done")
                      .unionByName(moved).withColumn("done", done).checkpoint(eager=True))
-        else:  # pragma: no cover - each round shrinks every window
-            raise RuntimeError("grouped quantile refinement did not converge")
         point = state.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("v"))
         open_w = state.where(F.col("lo") < F.col("hi"))
         # ranks sharing a window share ``below``: rank each distinct window once
         # (≤ final_rows values per partition), then equi-join the target ranks
         wins = open_w.select(*keys, "lo", "hi", "below").distinct()
         wr = W.partitionBy(*keys, "lo", "hi").orderBy("x")
-        ranked = (vals.join(wins, keys).where((x >= F.col("lo")) & (x <= F.col("hi")))
+        ranked = (_null_safe(vals, wins, keys).where((x >= F.col("lo")) & (x <= F.col("hi")))
                   .select(*keys, "lo", "hi", (F.row_number().over(wr) - 1 + F.col("below")).alias("rank"),
                           F.col("x").alias("v")))
-        picked = (open_w.select(*keys, "lo", "hi", "rank").join(ranked, keys + ["lo", "hi", "rank"])
+        picked = (open_w.select(*keys, "lo", "hi", "rank").transform(lambda d: _null_safe(d, ranked, [*keys, "lo", "hi", "rank"]))
                   .select(*keys, "rank", "v"))
         values = point.unionByName(picked)
         per = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_m"))
@@ -232,9 +256,9 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Seque
             lo_v = F.element_at("_m", F.floor(h).cast("long"))
             hi_v = F.element_at("_m", F.ceil(h).cast("long"))
             # Spark's percentile interpolation, so both paths agree bit for bit
-            quants.append(F.when(F.floor(h) == F.ceil(h), lo_v)
+            quants.append(F.when((F.floor(h) == F.ceil(h)) | (lo_v == hi_v), lo_v)
                           .otherwise((F.ceil(h) - h) * lo_v + (h - F.floor(h)) * hi_v))
-        big = (large.join(per, keys)
+        big = (_null_safe(large, per, keys)
                .select(*keys, F.col("_n").alias(count_col), F.array(*quants).alias(out))
                .checkpoint(eager=True))  # small result; computed before the cache is released
         return small.unionByName(big)

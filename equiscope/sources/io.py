@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +31,23 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str, schema: T.StructType = CANDIDATE_SCHEMA) -> DataFrame:
-    """Header CSV with an explicit schema; empty fields and NaN → NULL."""
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("nanValue", "NaN").csv(path))
-    return nan_to_null(df)
+    """Header CSV; columns are found by their header name, in any order.
+
+    Fields are read as text and cast: integers by way of doubles, since a
+    writer that knows NaN gives ``30.0`` for 30. Empty fields, NaN and what
+    can't be cast are NULL; a column that the file lacks is an error.
+    """
+    text = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+
+    def cast(f: T.StructField):
+        if isinstance(f.dataType, T.IntegralType):
+            return F.col(f.name).try_cast("double").try_cast(f.dataType)
+        return F.col(f.name).try_cast(f.dataType)
+
+    return nan_to_null(text.select(*[cast(f).alias(f.name) for f in schema.fields]))
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
@@ -56,14 +70,18 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
     """Read a report back with its schema; a missing report is ``None``."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
     try:
         return spark.read.schema(schema).json(str(path))
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
         return None
 
 
+def _is_missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV (leaderboards, interval tables)."""
     df.write.mode("overwrite").option("header", True).csv(str(path))
@@ -85,7 +103,9 @@ def load_if_empty(spark: SparkSession, df: DataFrame, path: str) -> bool:
     """Load only when the target is missing or empty; True when loaded."""
     try:
         empty = spark.read.parquet(str(path)).isEmpty()
-    except Exception:
+    except AnalysisException as e:  # anything else, such as a table that can't be read, is no empty table
+        if not _is_missing(e):
+            raise
         empty = True
     if empty:
         refresh_table(df, path)
