@@ -8,7 +8,9 @@
 2. **Index.** Every row goes to its most probable part.
 3. **Search.** A query goes to its most probable parts until their
    probabilities sum to ``mass`` and they hold enough rows. Parts are cut into
-   blocks of bounded size on both sides, so a large part spreads over tasks;
+   blocks of bounded size on both sides, so a large part spreads over tasks; a
+   query's k-th best among the sample is a floor below which no row can be
+   one of its k best, so a block returns only rows above it;
    each pair of blocks is one matrix product, and of the best few the measure
    is computed again term by term in double precision on the given vectors.
 
@@ -31,7 +33,7 @@ from pyspark.sql.window import Window as W
 
 from .util import Scratch
 
-SAMPLE, NEIGHBOURS, HIDDEN, ROWS_A_PART, MOST_PARTS, MASS, BLOCK = 8192, 10, 256, 1500, 1024, 0.985, 512
+SAMPLE, NEIGHBOURS, HIDDEN, ROWS_A_PART, MOST_PARTS, MASS, BLOCK = 8192, 10, 256, 1500, 1024, 0.985, 2048
 
 
 @dataclass(frozen=True)
@@ -188,6 +190,7 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
     parts = 1 << max(0, min(MOST_PARTS.bit_length() - 1, round(math.log2(max(1.0, total / rows_a_part)))))
     while parts > 1 and len(x) < 16 * parts:
         parts //= 2
+    sampled = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in chosen]), x))
     router = spark.sparkContext.broadcast(tuple(vars(fit_router(x, parts)).values()) if parts > 1 else None)
 
     def vectors(batch: pa.RecordBatch):
@@ -211,19 +214,26 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
             before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
             rows_before = np.cumsum(sizes[order], 1) - sizes[order]
             go = (before < mass) | (rows_before < 20 * k)
-            yield batch.append_column("parts", pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32())))
-
-    queries = rows.where(is_query).distinct().mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>")
-    queries = scratch.table(queries.select("vec_id", "vector", F.explode("parts").alias("part")), "queries")
+            own, sample = sampled.value
+            floor = np.full(len(p), -np.inf)
+            if len(sample) > 2 * k:
+                scores = vectors(batch) @ sample.T
+                scores[batch.column(0).to_numpy()[:, None] == own[None, :]] = -np.inf
+                floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            yield (batch.append_column("parts", pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32())))
+                   .append_column("floor", pa.array(floor)))
+
+    queries = rows.where(is_query).distinct().mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>, floor double")
+    queries = scratch.table(queries.select("vec_id", "vector", "floor", F.explode("parts").alias("part")), "queries")
     asked = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    half = BLOCK // 2  # a hash deals unevenly: blocks are half full on average
-    grid = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, F.array(F.lit(max(1, -(-held.get(p, 0) // half))), F.lit(max(1, -(-asked.get(p, 0) // half)))))])
+    half, few = BLOCK // 2, BLOCK // 8  # rows and queries of a block; a hash deals unevenly: blocks are half full on average
+    grid = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, F.array(F.lit(max(1, -(-held.get(p, 0) // half))), F.lit(max(1, -(-asked.get(p, 0) // few)))))])
     blocks = lambda side: F.element_at(F.element_at(grid, F.col("part")), side)
     dealt = lambda side: F.pmod(F.xxhash64("vec_id", F.lit(side)), blocks(side)).cast("int")
     spread = lambda side: F.explode(F.sequence(F.lit(0), blocks(side) - 1))
-    left = index.select("vec_id", "vector", "part", F.lit(False).alias("query"), dealt(1).alias("i"), spread(2).alias("q"))
-    right = queries.select("vec_id", "vector", "part", F.lit(True).alias("query"), spread(1).alias("i"), dealt(2).alias("q"))
+    left = index.select("vec_id", "vector", "part", F.lit(False).alias("query"), F.lit(0.0).alias("floor"), dealt(1).alias("i"), spread(2).alias("q"))
+    right = queries.select("vec_id", "vector", "part", F.lit(True).alias("query"), "floor", spread(1).alias("i"), dealt(2).alias("q"))
 
     def ranked(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
@@ -236,6 +246,7 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
             scores[qi[:, None] == ci[None, :]] = -np.inf
             n = min(k, len(ci))
             edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+            edge = np.maximum(edge, table["floor"].to_numpy()[query])
             edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1.0, np.abs(edge)), -np.finfo(np.float64).max)
             for a in range(len(qi)):
                 c = np.flatnonzero(scores[a] >= edge[a])
