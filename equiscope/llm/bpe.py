@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MAX_STATES = 120_000
-MAX_PIECES = 300_000  # in each of the two generations of the piece memo
+MAX_PIECES = 400_000  # in each of the two generations of the piece memo
 OUT_TOKENS = 1 << 20  # an output batch is closed after about so many tokens
 
 
