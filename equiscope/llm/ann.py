@@ -10,7 +10,8 @@
    probabilities sum to ``mass`` and they hold enough rows. Parts are cut into
    blocks of bounded size on both sides, so a large part spreads over tasks; a
    query's k-th best among the sample is a floor below which no row can be
-   one of its k best, so a block returns only rows above it;
+   one of its k best, so a block returns only rows above it, and those k join
+   what is found;
    each pair of blocks is one matrix product, and of the best few the measure
    is computed again term by term in double precision on the given vectors.
 
@@ -223,7 +224,20 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
             yield (batch.append_column("parts", pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32())))
                    .append_column("floor", pa.array(floor)))
 
-    queries = rows.where(is_query).distinct().mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>, floor double")
+    def in_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of the sample: rows like any other, and as many as the floor promises."""
+        own, sample = sampled.value
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), vectors(batch)
+            for a in range(len(q)):
+                exact = (sample * q[a]).sum(1)
+                best = np.lexsort((own, -exact))
+                best = best[own[best] != ids[a]][:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[a])), pa.array(own[best]), pa.array(exact[best])], ["query_id", "vec_id", "score"])
+
+    asking = rows.where(is_query).distinct()
+    near = asking.mapInArrow(in_sample, "query_id long, vec_id long, score double")
+    queries = asking.mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>, floor double")
     queries = scratch.table(queries.select("vec_id", "vector", "floor", F.explode("parts").alias("part")), "queries")
     asked = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -257,5 +271,6 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
         return pa.table({"query_id": query_id, "vec_id": vec, "score": score})
 
     found = left.unionByName(right).groupBy("part", "i", "q").applyInArrow(ranked, "query_id long, vec_id long, score double")
+    found = found.unionByName(near).distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
