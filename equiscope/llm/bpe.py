@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import math
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MAX_STATES = 120_000
+MAX_STATES = 400_000
 MAX_PIECES = 400_000  # in each of the two generations of the piece memo
 OUT_TOKENS = 1 << 20  # an output batch is closed after about so many tokens
 
@@ -83,6 +84,7 @@ class Transducer:
         self.odd = {w: t for w, t in ranks.items() if merge_bytes(w, ranks) != [t]}
         self.never = set(self.odd.values())
         self.stable: dict[int, bool] = {}
+        self.histories: dict[int, list[tuple[float, bytes, bytes]]] = {}  # one a token at most
         self._forget()
 
     def _forget(self) -> None:
@@ -98,12 +100,40 @@ class Transducer:
             self.states.append(state)
         return n
 
+    def _history(self, t: int) -> list[tuple[float, bytes, bytes]]:
+        """The merges of a token's own bytes: before each, its rank and the first and last part; at the end infinity."""
+        found = self.histories.get(t)
+        if found is None:
+            found, word = [], self.bytes_of[t]
+            parts = [word[i:i + 1] for i in range(len(word))]
+            while len(parts) > 1:
+                r, i = min((self.ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.ranks)
+                found.append((r, parts[0], parts[-1]))
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            found.append((math.inf, word, word))
+            self.histories[t] = found
+        return found
+
     def _pair_stable(self, a: int, b: int) -> bool:
+        """Whether the merges of both tokens' bytes give both back: each side goes its own way until a merge across the border has its turn."""
         known = self.stable.get(a * self.ids + b)
         if known is None:
             if len(self.stable) > 4 * self.max_states:
                 self.stable.clear()
-            known = merge_bytes(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            before, after = iter(self._history(a)), iter(self._history(b))
+            (left, _, last), (right, first, _) = next(before), next(after)
+            while True:
+                across = self.ranks.get(last + first)
+                if across is not None and across < left and across <= right:  # of equal ranks the leftmost merges first
+                    known = False
+                    break
+                if left == right == math.inf:
+                    known = True
+                    break
+                if left <= right:
+                    left, _, last = next(before)
+                else:
+                    right, first, _ = next(after)
             self.stable[a * self.ids + b] = known
         return known
 
