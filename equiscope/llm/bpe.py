@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MAX_STATES = 400_000
+MAX_STATES = 200_000
+MAX_PAIRS = 500_000
 MAX_PIECES = 400_000  # in each of the two generations of the piece memo
 OUT_TOKENS = 1 << 20  # an output batch is closed after about so many tokens
 
@@ -100,6 +101,10 @@ class Transducer:
             self.states.append(state)
         return n
 
+    def _own(self, token: bytes) -> bytes:
+        """The vocabulary's object of these bytes, so that histories hold no copies."""
+        return self.bytes_of[self.ranks[token]]
+
     def _history(self, t: int) -> list[tuple[float, bytes, bytes]]:
         """The merges of a token's own bytes: before each, its rank and the first and last part; at the end infinity."""
         found = self.histories.get(t)
@@ -108,7 +113,7 @@ class Transducer:
             parts = [word[i:i + 1] for i in range(len(word))]
             while len(parts) > 1:
                 r, i = min((self.ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.ranks)
-                found.append((r, parts[0], parts[-1]))
+                found.append((r, self._own(parts[0]), self._own(parts[-1])))
                 parts[i:i + 2] = [parts[i] + parts[i + 1]]
             found.append((math.inf, word, word))
             self.histories[t] = found
@@ -118,7 +123,7 @@ class Transducer:
         """Whether the merges of both tokens' bytes give both back: each side goes its own way until a merge across the border has its turn."""
         known = self.stable.get(a * self.ids + b)
         if known is None:
-            if len(self.stable) > 4 * self.max_states:
+            if len(self.stable) > MAX_PAIRS:
                 self.stable.clear()
             before, after = iter(self._history(a)), iter(self._history(b))
             (left, _, last), (right, first, _) = next(before), next(after)
@@ -312,34 +317,61 @@ def _cut(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[tuple[i
         yield start, batch.num_rows
 
 
+def _shared(df: DataFrame, ranks_path: str):
+    """The rank file (its size is that of a vocabulary), read by the driver and broadcast, so executors need no copy of it."""
+    return df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(ranks_path)})
+
+
+def _encoded(batches: Iterable[pa.RecordBatch], shared: dict, pattern: str, text: str, out: str) -> Iterator[pa.RecordBatch]:
+    """``shared``: one dictionary a worker process, so its transducer serves all the worker's tasks."""
+    if ("encoder", pattern) not in shared:
+        shared["encoder", pattern] = Encoder(shared["ranks"], pattern)
+    encoder = shared["encoder", pattern]
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text))
+        rest = batch.select([n for n in batch.schema.names if n != out])
+        for a, b in _cut(batch, [0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()], 4 * OUT_TOKENS):
+            ids = [encoder.encode(t) if t else b"" for t in texts.slice(a, b - a).to_pylist()]
+            ends = pa.array(list(itertools.accumulate((len(i) // 4 for i in ids), initial=0)), pa.int32())
+            values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))])
+            part = rest.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, values)], [*part.schema.names, out])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], shared: dict, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    if "bytes_of" not in shared:
+        shared["bytes_of"] = {t: b for b, t in shared["ranks"].items()}
+    decoder = Decoder(shared["bytes_of"])
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(ids))
+        rest = batch.select([n for n in batch.schema.names if n != out])
+        for a, b in _cut(batch, [0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], OUT_TOKENS):
+            texts = []
+            for row in column.slice(a, b - a):
+                values = row.values
+                if values is not None and values.null_count:
+                    raise ValueError("a null among the token ids")
+                parts = []
+                for at in range(0, 0 if values is None else len(values), 1 << 16):
+                    try:
+                        parts.append(decoder.feed(values.slice(at, 1 << 16).to_numpy().tolist()))
+                    except KeyError as e:
+                        raise ValueError(f"token id {e.args[0]} is not in the vocabulary") from e
+                parts.append(decoder.finish())
+                texts.append("".join(parts))
+            part = rest.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``df`` and its texts' token ids (``array<int>``).
 
     Null and empty texts have no ids. Texts are encoded whole, of any length.
     Repeated rows are each encoded. An empty table stays empty. All other
-    columns stay; one that is named like ``out`` gives way to it. The rank
-    file (its size is that of a vocabulary) is read by the driver and
-    broadcast, so executors need no copy of it.
+    columns stay; one that is named like ``out`` gives way to it.
     """
-    schema = _extended(df, out, T.ArrayType(T.IntegerType()))
-    held = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(ranks_path)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = held.value  # one dictionary a worker process: its transducer serves all the worker's tasks
-        if ("encoder", pattern) not in shared:
-            shared["encoder", pattern] = Encoder(shared["ranks"], pattern)
-        encoder = shared["encoder", pattern]
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            rest = batch.select([n for n in batch.schema.names if n != out])
-            for a, b in _cut(batch, [0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()], 4 * OUT_TOKENS):
-                ids = [encoder.encode(t) if t else b"" for t in texts.slice(a, b - a).to_pylist()]
-                ends = pa.array(list(itertools.accumulate((len(i) // 4 for i in ids), initial=0)), pa.int32())
-                values = pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))])
-                part = rest.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, values)], [*part.schema.names, out])
-
-    return df.mapInArrow(run, schema)
+    held = _shared(df, ranks_path)
+    return df.mapInArrow(lambda batches: _encoded(batches, held.value, pattern, text, out), _extended(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -350,32 +382,12 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
     byte sequences give U+FFFD. All other columns stay; one that is named like
     ``out`` gives way to it.
     """
-    schema = _extended(df, out, T.StringType())
-    held = df.sparkSession.sparkContext.broadcast({"ranks": read_ranks(ranks_path)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = held.value
-        if "bytes_of" not in shared:
-            shared["bytes_of"] = {t: b for b, t in shared["ranks"].items()}
-        decoder = Decoder(shared["bytes_of"])
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            rest = batch.select([n for n in batch.schema.names if n != out])
-            for a, b in _cut(batch, [0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], OUT_TOKENS):
-                texts = []
-                for row in column.slice(a, b - a):
-                    values = row.values
-                    if values is not None and values.null_count:
-                        raise ValueError("a null among the token ids")
-                    parts = []
-                    for at in range(0, 0 if values is None else len(values), 1 << 16):
-                        try:
-                            parts.append(decoder.feed(values.slice(at, 1 << 16).to_numpy().tolist()))
-                        except KeyError as e:
-                            raise ValueError(f"token id {e.args[0]} is not in the vocabulary") from e
-                    parts.append(decoder.finish())
-                    texts.append("".join(parts))
-                part = rest.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
-
-    return df.mapInArrow(run, schema)
+    held = _shared(df, ranks_path)
+    return df.mapInArrow(lambda batches: _decoded(batches, held.value, ids, out), _extended(df, out, T.StringType()))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, in one Python worker a task: one transducer a core instead of two. Rows as for both."""
+    held = _shared(df, ranks_path)
+    schema = T.StructType([f for f in _extended(df, ids, T.ArrayType(T.IntegerType())).fields if f.name != out] + [T.StructField(out, T.StringType())])
+    return df.mapInArrow(lambda batches: _decoded(_encoded(batches, held.value, pattern, text, ids), held.value, ids, out), schema)

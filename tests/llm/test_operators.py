@@ -71,10 +71,25 @@ def test_encode_odd_rows(spark, odd_docs):
     assert len(rows) == 10 and all(r["decoded"] == (r["text"] or "") for r in rows)
     assert all(list(r["kept"]) == TIKTOKEN.encode_ordinary(r["text"] or "") for r in rows)
     assert bpe.encode(odd_docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+    assert sorted(map(str, bpe.round_trip(odd_docs, PATH, public_tokenizers.PATTERN, ids="kept").collect())) == sorted(map(str, rows))
+    assert bpe.round_trip(odd_docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(Exception, match="not in the vocabulary"):
         bpe.decode(spark.createDataFrame([([10**6],)], "token_ids array<int>"), PATH).collect()
 
 
+def test_pair_stability_is_that_of_the_merges():
+    machine, draw = bpe.Transducer(RANKS), random.Random(3)
+    whole = [w for w, t in RANKS.items() if t not in machine.never]
+    for _ in range(20_000):
+        word, after = draw.choice(whole), draw.choice(whole)
+        cut = draw.randrange(1, len(word)) if len(word) > 1 else 1  # cut tokens merge back, drawn pairs mostly don't
+        for a, b in ((word, after), (word[:cut], word[cut:])):
+            a, b = RANKS.get(a), RANKS.get(b)
+            if a is not None and b is not None and not {a, b} & machine.never:
+                made = bpe.merge_bytes(machine.bytes_of[a] + machine.bytes_of[b], RANKS)
+                assert machine._pair_stable(a, b) == (made == [a, b])
+
+
 # ------------------------------------------------------------------- op 2
 def test_radix_groups_odd_rows(spark, odd_docs):
     rows = radix_dedup.radix_dedup(odd_docs, first=10, most=64).collect()
