@@ -1,10 +1,10 @@
 """Language identification by Bayesian fusion of evidence.
 
-* **Text.** Hashed byte trigrams under one multinomial a language. The tables
-  are fitted on about ``SAMPLE`` rows with a declared language, chosen by a
-  hash of their id (the bound is a parameter); the likelihood of a whole text
-  is tempered to that of ``EFFECTIVE`` independent trigrams, since neighbours
-  overlap.
+* **Text.** Hashed byte trigrams under one multinomial a language. Every
+  language that any row declares has a table, fitted on about ``SAMPLE`` of
+  its rows, chosen by a hash (the bound is a parameter), or on all where it
+  has fewer; the likelihood of a whole text is tempered to that of
+  ``EFFECTIVE`` independent trigrams, since neighbours overlap.
 * **Declared language** (markup attribute or metadata) and **address suffix**:
   P(value | language) from grouped sums of the text posteriors of all rows.
 * **Host prior**: P(language | host) from the same sums, smoothed towards the
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from .util import Scratch, packed, unpacked
 
-SAMPLE, SLOTS, EFFECTIVE, STRENGTH, MOST_LANGUAGES = 4000, 1 << 15, 60.0, 20.0, 64
+SAMPLE, SLOTS, EFFECTIVE, STRENGTH = 4000, 1 << 15, 60.0, 20.0
 NEW = ["language", "posterior", "rejected"]
 UNKNOWN = "und"
+#: Subtags that are no language: undetermined, several, uncoded, no linguistic content.
+NO_LANGUAGE = ["und", "mul", "mis", "zxx"]
 
 
 @dataclass(frozen=True)
@@ -56,10 +58,25 @@ def letters(text: bytes) -> int:
 
 
 def fit(docs: DataFrame, text: str, declared: str, doc_id: str, sample: int = SAMPLE) -> TextModel:
-    """Trigram tables from about ``sample`` declared rows. No declared row: a model without languages, which rejects all."""
-    labelled = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull())
-    rate = min(1.0, sample / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit("language"), doc_id), F.lit(1_000_000)) < int(math.ceil(rate * 1_000_000)))
+    """Trigram tables of all declared languages, each from about ``sample`` of its rows, or all if it has fewer. No declared row: a model without languages, which rejects all.
+
+    One pass counts the rows of each language (a partial aggregate), a second
+    reads the chosen ones. Rows without a letter don't count. A table has
+    ``SLOTS`` floats (128 KB) a language, on the driver and in each worker.
+    """
+    import numpy as np
+
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("language"), F.col(doc_id), F.col(text)), 1)
+    labelled = (docs.select(primary_subtag(F.col(declared)).alias("lang"), place.alias("place"), F.col(text).alias("text"))
+                .where((F.col("lang") != "") & ~F.col("lang").isin(NO_LANGUAGE) & F.col("text").rlike(r"[A-Za-z\x{C0}-\x{10FFFF}]")))
+    # up to its first place, so that a language of equal rows has some too
+    last = {r["lang"]: max(r["least"], min((1 << 63) - 1, (sample << 63) // r["n"]))
+            for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least")).collect()}
+    languages = sorted(last)
+    if not languages:
+        return TextModel([], b"")
+    at_most = F.element_at(F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(last[lang]).cast("long"))]), F.col("lang"))
+    index = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -70,19 +87,11 @@ def fit(docs: DataFrame, text: str, declared: str, doc_id: str, sample: int = SA
                 sums[lang] = sums.get(lang, 0) + np.bincount(trigram_slots(t.encode()), minlength=SLOTS)
             for lang, c in sums.items():
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["lang", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([index[lang]] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "slot", "n"])
 
-    import numpy as np
-
-    by_slot = (chosen.select(primary_subtag(F.col(declared)).alias("lang"), F.col(text).alias("text")).where("lang != ''")
-               .mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
-    rows = by_slot.toPandas()  # at most MOST_LANGUAGES tables of SLOTS rows matter; the sample bounds the rest
-    sizes = rows.groupby("lang")["n"].sum().sort_values(ascending=False)
-    languages = sorted(sizes.index[:MOST_LANGUAGES])
-    table = np.ones((SLOTS, len(languages)), np.float64) * 0.5
-    for i, lang in enumerate(languages):
-        own = rows[rows["lang"] == lang]
-        table[own["slot"].to_numpy(), i] += own["n"].to_numpy()
+    rows = labelled.where(F.col("place") <= at_most).select("lang", "text").mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.full((SLOTS, len(languages)), 0.5)
+    table[rows["slot"].to_numpy(), rows["lang"].to_numpy()] += rows["n"].to_numpy()
     return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32).tobytes())
 
 
@@ -115,10 +124,14 @@ def _scores(df: DataFrame, model: TextModel) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row, not once for each element of an array that uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    over_sum = lambda raised: _once(F.aggregate(raised, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(raised, lambda x: x / total))
+    return _once(logits, lambda x: _once(F.array_max(x), lambda top: _once(F.transform(x, lambda y: F.exp(y - top)), over_sum)))
 
 
 def identify(df: DataFrame, model: TextModel, text: str, declared: str | None = None, host: str | None = None, suffix: str | None = None,
@@ -146,21 +159,22 @@ def identify(df: DataFrame, model: TextModel, text: str, declared: str | None =
 
     votes = [F.sum(F.element_at("_own", i + 1)).alias(f"v{i}") for i in range(n)]
     array = lambda prefix: F.array(*[F.col(f"{prefix}{i}") for i in range(n)])
+    total = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x)
     everything = rows.agg(*votes).select(F.transform(array("v"), lambda x: F.coalesce(x, F.lit(0.0))).alias("all")).first()["all"]
     size = sum(everything)
     base = [(v + 1.0) / (size + n) for v in everything]  # P(language)
 
     def likelihood(column: str, name: str) -> DataFrame:
         """log P(value | language) for each value, smoothed by the value's share of all rows."""
-        sums = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"{name}_value")).agg(*votes)
-        parts = [F.log((F.col(f"v{i}") + STRENGTH * (sum(F.col(f"v{j}") for j in range(n)) + 1) / F.lit(size + 1)) / F.lit(everything[i] + STRENGTH)) for i in range(n)]
-        return scratch.table(sums.select(f"{name}_value", F.array(*parts).alias(name)), name)
+        sums = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"{name}_value")).agg(*votes).select(f"{name}_value", array("v").alias("_votes"))
+        share = sums.withColumn("_share", (total + 1) / F.lit(size + 1))
+        parts = F.zip_with("_votes", F.array(*[F.lit(v + STRENGTH) for v in everything]), lambda v, all_of: F.log((v + STRENGTH * F.col("_share")) / all_of))
+        return scratch.table(share.select(f"{name}_value", parts.alias(name)), name)
 
     by_suffix = likelihood("_suffix", "ev_suffix")
     by_declared = likelihood("_declared", "ev_declared")
-    above = rows.where(F.col("_suffix").isNotNull()).groupBy(F.col("_suffix").alias("_s")).agg(*votes)
-    total = sum(F.col(f"v{i}") for i in range(n))
-    above = scratch.table(above.select("_s", F.array(*[(F.col(f"v{i}") + STRENGTH * base[i]) / (total + STRENGTH) for i in range(n)]).alias("_above")), "above")
+    above = rows.where(F.col("_suffix").isNotNull()).groupBy(F.col("_suffix").alias("_s")).agg(*votes).select("_s", array("v").alias("_votes")).withColumn("_total", total + STRENGTH)
+    above = scratch.table(above.select("_s", F.zip_with("_votes", F.array(*[F.lit(b) for b in base]), lambda v, p: (v + STRENGTH * p) / F.col("_total")).alias("_above")), "above")
     hosts = scratch.table(rows.where(F.col("_host").isNotNull()).groupBy(F.col("_host").alias("_h")).agg(*votes).select("_h", array("v").alias("_votes")), "hosts")
 
     known = (rows.join(by_suffix, F.col("_suffix") == F.col("ev_suffix_value"), "left").join(by_declared, F.col("_declared") == F.col("ev_declared_value"), "left")

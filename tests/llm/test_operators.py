@@ -244,6 +244,29 @@ def test_languages(spark, odd_docs):
     assert lang_id.identify(odd_docs.limit(0), model, "text").count() == 0
 
 
+def invented(n: int, seed: int = 4) -> dict[str, list[str]]:
+    """Vocabularies of languages with syllables of their own."""
+    rnd = random.Random(seed)
+    names = [a + b for a in "abcdefghijk" for b in "abcdefghijk"][:n]
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèñßøåčšž"
+    vocabulary = {}
+    for name in names:
+        syllables = ["".join(rnd.sample(letters, 3)) for _ in range(12)]
+        vocabulary[name] = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(60)]
+    return vocabulary
+
+
+def test_every_declared_language_is_modelled(spark):
+    rnd, words = random.Random(8), invented(70)
+    rows = [(name, " ".join(rnd.choice(words[name]) for _ in range(40))) for name in words for _ in range(3000 if name == "aa" else 3)]
+    rows += [("ww-WW", "always the same")] * 300 + [("und", "of no language"), ("yy", "12 34"), (None, "undeclared")]
+    docs = spark.createDataFrame([(i if lang != "ww-WW" else None, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = lang_id.fit(docs, "text", "lang", "doc_id", sample=40)
+    assert model.languages == sorted([*words, "ww"])
+    found = lang_id.identify(docs.where("length(lang) = 2 AND lang != 'yy'"), model, "text", declared="lang").collect()
+    assert len(found) == 3000 + 69 * 3 and all(r["language"] == r["lang"] for r in found)
+
+
 # ------------------------------------------------------------------- op 1
 def test_search_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
