@@ -4,7 +4,12 @@
   language that any row declares has a table, fitted on about ``SAMPLE`` of
   its rows, chosen by a hash (the bound is a parameter), or on all where it
   has fewer; the likelihood of a whole text is tempered to that of
-  ``EFFECTIVE`` independent trigrams, since neighbours overlap.
+  ``EFFECTIVE`` independent trigrams, since neighbours overlap. Each table is
+  mixed with ``UNSEEN`` of the uniform one, so an unseen trigram costs every
+  language the same, however much text it was fitted on.
+* **Unknown class.** The uniform table alone: text of no modelled language has
+  too many trigrams that none of them has seen. Its prior is ``UNKNOWN_PRIOR``
+  at least, at any host, so it doesn't fade as a table or a host grows.
 * **Declared language** (markup attribute or metadata) and **address suffix**:
   P(value | language) from grouped sums of the text posteriors of all rows.
 * **Host prior**: P(language | host) from the same sums, smoothed towards the
@@ -29,6 +34,7 @@ from pyspark.sql import types as T
 from .util import Scratch, packed, unpacked
 
 SAMPLE, SLOTS, EFFECTIVE, STRENGTH = 4000, 1 << 15, 60.0, 20.0
+UNSEEN, UNKNOWN_PRIOR = 0.01, 0.01
 NEW = ["language", "posterior", "rejected"]
 UNKNOWN = "und"
 #: Subtags that are no language: undetermined, several, uncoded, no linguistic content.
@@ -38,7 +44,7 @@ NO_LANGUAGE = ["und", "mul", "mis", "zxx"]
 @dataclass(frozen=True)
 class TextModel:
     languages: list[str]
-    weights: bytes  # float32, SLOTS x languages: log P(slot | language)
+    weights: bytes  # float32, SLOTS x (languages, unknown): log P(slot | class)
 
 
 def trigram_slots(text: bytes):
@@ -90,9 +96,10 @@ def fit(docs: DataFrame, text: str, declared: str, doc_id: str, sample: int = SA
                 yield pa.RecordBatch.from_arrays([pa.array([index[lang]] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "slot", "n"])
 
     rows = labelled.where(F.col("place") <= at_most).select("lang", "text").mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((SLOTS, len(languages)), 0.5)
-    table[rows["slot"].to_numpy(), rows["lang"].to_numpy()] += rows["n"].to_numpy()
-    return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32).tobytes())
+    table = np.zeros((SLOTS, len(languages)))
+    table[rows["slot"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
+    mixed = (1 - UNSEEN) * table / table.sum(0) + UNSEEN / SLOTS
+    return TextModel(languages, np.log(np.c_[mixed, np.full(SLOTS, 1 / SLOTS)]).astype(np.float32).tobytes())
 
 
 def primary_subtag(value: Column) -> Column:
@@ -102,7 +109,7 @@ def primary_subtag(value: Column) -> Column:
 
 def _scores(df: DataFrame, model: TextModel) -> DataFrame:
     """+ ``_logits`` (tempered log likelihoods) and ``_letters`` for column ``_text``, which goes."""
-    n = len(model.languages)
+    n = len(model.languages) + 1
     kept = [f for f in df.schema.fields if f.name != "_text"]
     schema = T.StructType([*kept, T.StructField("_logits", T.ArrayType(T.DoubleType())), T.StructField("_letters", T.LongType())])
 
@@ -140,21 +147,24 @@ def identify(df: DataFrame, model: TextModel, text: str, declared: str | None =
 
     Any of the evidence columns may be absent or null: that evidence is then
     neutral. A text without a letter (null, empty, only digits or signs) is
-    ``und`` and rejected, as is one whose best posterior is under
+    ``und`` and rejected, as is one whose best class is the unknown one (its
+    posterior is given then) or whose best posterior is under
     ``least_posterior``; texts of any length are read whole. Ties between
     languages go to the first by name. Repeated rows are each identified; an
     empty table gives an empty result. An input column named like a new one
     gives way to it.
     """
-    columns, n = df.columns if keep_columns is None else keep_columns, len(model.languages)
+    columns, n = df.columns if keep_columns is None else keep_columns, len(model.languages) + 1  # the unknown class is the last
     scratch = Scratch(df.sparkSession, "language")
     null = F.lit(None).cast("string")
     given = df.select(packed(df, columns).alias("_row"), F.col(text).alias("_text"),
                       (F.nullif(primary_subtag(F.col(declared)), F.lit("")) if declared else null).alias("_declared"),
                       (F.col(host).cast("string") if host else null).alias("_host"), (F.col(suffix).cast("string") if suffix else null).alias("_suffix"))
-    if not n:
+    if n == 1:
         return given.select(*unpacked("_row", columns, NEW), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"))
-    rows = _scores(given, model).withColumn("_own", F.when(F.col("_letters") > 0, _softmax(F.col("_logits"))).otherwise(F.array(*[F.lit(0.0)] * n)))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    prior = F.array(*[F.lit(math.log((1 - UNKNOWN_PRIOR) / (n - 1)))] * (n - 1), F.lit(math.log(UNKNOWN_PRIOR)))
+    rows = _scores(given, model).withColumn("_own", F.when(F.col("_letters") > 0, _softmax(add(F.col("_logits"), prior))).otherwise(F.array(*[F.lit(0.0)] * n)))
     rows = scratch.table(rows, "scores")
 
     votes = [F.sum(F.element_at("_own", i + 1)).alias(f"v{i}") for i in range(n)]
@@ -182,14 +192,16 @@ def identify(df: DataFrame, model: TextModel, text: str, declared: str | None =
     zeros = F.array(*[F.lit(0.0)] * n)
     level = F.coalesce("_above", F.array(*[F.lit(b) for b in base]))
     others = F.when(F.col("_votes").isNull(), zeros).otherwise(F.zip_with("_votes", "_own", lambda v, own: F.greatest(v - own, F.lit(0.0))))
-    smoothed = F.zip_with(others, level, lambda v, p: F.log(v + STRENGTH * p))  # the common divisor cancels
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    # the common divisor cancels; the unknown class has its prior's share of the whole at least
+    known_part = lambda w: F.aggregate(F.slice(w, 1, n - 1), F.lit(0.0), lambda a, x: a + x)
+    smoothed = _once(F.zip_with(others, level, lambda v, p: v + STRENGTH * p), lambda w: _once(
+        known_part(w) * (UNKNOWN_PRIOR / (1 - UNKNOWN_PRIOR)), lambda least: F.transform(w, lambda x, i: F.log(F.when(i == n - 1, F.greatest(x, least)).otherwise(x)))))
     # the suffix counts in the prior when there is a host, else as a likelihood of its own
     suffix_term = F.when(F.col("_host").isNull(), F.coalesce("ev_suffix", zeros)).otherwise(zeros)
     fused = known.withColumn("_post", _softmax(add(add(add(F.col("_logits"), F.coalesce("ev_declared", zeros)), suffix_term), smoothed)))
     best = F.array_max("_post")
-    fused = fused.select("_row", "_letters", best.alias("posterior"), F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position("_post", best).cast("int")).alias("_best"))
-    rejected = (F.col("_letters") == 0) | (F.col("posterior") < least_posterior)
+    fused = fused.select("_row", "_letters", best.alias("posterior"), F.element_at(F.array(*[F.lit(x) for x in [*model.languages, UNKNOWN]]), F.array_position("_post", best).cast("int")).alias("_best"))
+    rejected = (F.col("_letters") == 0) | (F.col("_best") == UNKNOWN) | (F.col("posterior") < least_posterior)
     return fused.select(*unpacked("_row", columns, NEW), F.when(rejected, UNKNOWN).otherwise(F.col("_best")).alias("language"), "posterior", rejected.alias("rejected"))
 
 

@@ -267,6 +267,21 @@ def test_every_declared_language_is_modelled(spark):
     assert len(found) == 3000 + 69 * 3 and all(r["language"] == r["lang"] for r in found)
 
 
+def test_texts_of_no_modelled_language_are_rejected(spark):
+    foreign = ["Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+               "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+               "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+               "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+               "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。", "xq9 zzkj qwx jjfk vvbq 884 kkxz pqzw xxyq zjq wvkx qqqz bxkd"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    model, most = lang_id.fit(docs, "text", "lang", "doc_id"), docs.groupBy("source").count().orderBy(F.desc("count")).first()["source"]
+    both = docs.union(spark.createDataFrame([(-1 - i, t, "en", most) for i, t in enumerate(foreign)], docs.schema))  # with the wrong tag, at the largest host
+    rows = lang_id.identify(both, model, "text", declared="lang", host="source").collect()
+    assert {r["doc_id"] for r in rows if r["rejected"]} == set(range(-len(foreign), 0)) and all(r["language"] == "und" for r in rows if r["rejected"])
+    alone = lang_id.identify(both, model, "text").collect()
+    assert {r["doc_id"] for r in alone if r["rejected"]} == set(range(-len(foreign), 0))
+
+
 # ------------------------------------------------------------------- op 1
 def test_search_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
