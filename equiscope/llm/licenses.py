@@ -1,9 +1,11 @@
 """Licence scans by sentence-rule recognition.
 
 A text is cut into sentences (after ``. ; : ! ?`` and white space) whose line
-breaks are kept as marks. A sentence over several lines is tried as a whole
-and line by line. Each is normalised (lower case, letters and digits only) and
-looked up among the known licence sentences, which gives the document's
+breaks are kept as marks. Comment leaders and ends of lines go first, so an
+empty comment line is a blank one. A sentence over several lines is tried as a
+whole and line by line, and if it is not known as a whole, by runs of its
+lines, longest first. Each is normalised (lower case, letters and digits only)
+and looked up among the known licence sentences, which gives the document's
 sequence of sentence identifiers. Ordered rules name a licence for a run of
 identifiers; a run that a rule has taken is not seen by the later ones.
 
@@ -65,6 +67,8 @@ RULES = [
 #: Every part of a known sentence that the cutting leaves has one of these.
 TRIGGERS = ["licen", "permission", "copyright", "software", "redistribut", "warrant", "names", "merchantability", "written", "option", "as is", "purpose", "v. 2.0", "conditions"]
 LINE, CUT = "\x01", "\x02"
+LEADER = r"(?md)^[ \t]*(?:#+|//+!?|/\*+!?|\*+/|\*+|--+>?|;+|%+|<!--+)(?=[ \t\n]|\z)[ \t]*"
+ENDING = r"(?md)[ \t]+(?:\*+/?|#+|--+>)[ \t]*$"
 NEW = ["licenses", "sentence_ids", "unmatched_ids"]
 
 
@@ -95,14 +99,20 @@ def scan(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = N
     table = sentence_table()
     # white space between sentences ends one; line breaks inside stay as marks; a blank line ends one too
     cut = F.regexp_replace(F.col(text), r"\r\n?", "\n")
+    cut = F.regexp_replace(F.regexp_replace(cut, LEADER, ""), ENDING, "")
     cut = F.regexp_replace(cut, r"([.;:!?])[ \t\n]+", "$1" + CUT)
     cut = F.regexp_replace(cut, r"\n[ \t]*\n[ \t\n]*", CUT)
     cut = F.regexp_replace(cut, r"\n", LINE)
     sentences = F.split(cut, CUT)
-    lines = lambda s: F.concat(F.array(s), F.when(F.instr(s, LINE) > 0, F.split(s, LINE)).otherwise(F.array().cast("array<string>")))
-    tried = F.transform(F.flatten(F.transform(sentences, lines)), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.transform(F.filter(tried, lambda s: F.array_contains(F.array(*[F.lit(k) for k in table]), s)), lambda s: F.element_at(known, s))
+    is_known = lambda s: F.array_contains(F.array(*[F.lit(k) for k in table]), s)
+    flat = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " "))
+    marked = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9\x01]+", " "), r" *\x01[ \x01]*|^ +| +$", LINE)
+    # known sentences that begin and end with a line, in order
+    run = r"(?<![^\x01])(?:" + "|".join(k.replace(" ", r"[ \x01]") for k in sorted(table, key=len, reverse=True)) + r")(?![^\x01])"
+    runs = lambda s: F.transform(F.regexp_extract_all(marked(s), F.lit(run), F.lit(0)), lambda r: F.translate(r, LINE, " "))
+    tried = lambda s: F.when(F.instr(s, LINE) == 0, F.array(flat(s))).when(is_known(flat(s)), F.concat(F.array(flat(s)), F.transform(F.split(s, LINE), flat))).otherwise(runs(s))
+    found = F.transform(F.filter(F.flatten(F.transform(sentences, tried)), is_known), lambda s: F.element_at(known, s))
     has_word = F.col(text).rlike("(?i)" + "|".join(re.escape(t) for t in TRIGGERS))
     none = F.array().cast("array<string>")
     ids = docs.select(*[F.col(f"`{c}`") for c in columns if c not in NEW], F.when(has_word, found).otherwise(none).alias("sentence_ids"))
@@ -118,7 +128,7 @@ def scan(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = N
 
 
 def oracle_sql() -> str:
-    """The same over ``documents`` in DuckDB SQL, arrays joined by commas."""
+    """The same over ``documents`` in DuckDB SQL, arrays joined by commas, for texts without comment leaders and runs of lines inside a sentence."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sentence_table().items())
     cut = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([.;:!?])[ \t\n]+', '\1' || chr(2), 'g'), '\n[ \t]*\n[ \t\n]*', chr(2), 'g'), '\n', chr(1), 'g')"

@@ -221,6 +221,18 @@ def test_licence_rules(spark):
         assert any(re.sub(r"[^a-z0-9]+", " ", t) in sentence for t in licenses.TRIGGERS) or "software" in sentence, sentence
 
 
+def test_wrapped_and_commented_licences(spark):
+    import textwrap
+    wrap = lambda *names: "\n".join(textwrap.fill(licenses.SENTENCES[n][0], 60) for n in names)
+    mit = "Copyright (c) 2020 X\n" + wrap("mit-grant") + "\n\n" + wrap("mit-notice") + "\n\n" + wrap("mit-asis")
+    leaders = lambda s, first, lead, last: first + "\n".join((lead + x).rstrip() for x in s.split("\n")) + last
+    texts = [mit, leaders(mit, "", "# ", "\nimport os"), leaders(mit, "/*\n", " * ", "\n */\nint x"), leaders("MIT License\n" + mit, "", "// ", "\ncode"),
+             leaders(mit, "", ";; ", "").replace("\n", "\r\n")]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "Copyright 2020 X\n" + wrap("isc-grant")), (10, "# Permission to use,\n# copy and\n# sell")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["licenses"], r["unmatched_ids"]) for r in licenses.scan(docs).collect()}
+    assert found == {**{i: (["MIT"], []) for i in range(len(texts))}, 9: (["ISC"], []), 10: ([], [])}
+
+
 # ------------------------------------------------------------------- op 6
 def test_quality_against_labels(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
