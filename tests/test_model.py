@@ -84,3 +84,13 @@ def test_permutation_shapley_efficiency(spark):
     fb = np.mean([r["prediction"] for r in model.transform(bg).collect()])
     for i, s in total.items():
         assert s == pytest.approx(fx[i] - fb, abs=1e-6)
+
+
+def test_random_search_ridge_runs_30_trials_over_alpha(spark):
+    from equiscope.plans.model_q import _model_frame, random_search_ridge
+    sf = "/root/testdata/sf0.001"
+    n, sigma = _model_frame(spark, sf).agg(F.count("salary"), F.stddev_pop("salary")).first()
+    rows = random_search_ridge(spark, sf).collect()
+    alphas = [r["reg_param"] / sigma * n * 2 / 3 for r in rows]
+    assert len(rows) == 30 and all(0.009 < a < 101 for a in alphas) and max(alphas) > 10 * min(alphas)
+    assert all(r["cv_mae"] > 0 for r in rows)
