@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, util, warc, weak_quality
+from . import ann, bpe, hard_negatives, hyperminhash, lang_id, licenses, mixing, radix_dedup, shards, token_files, util, warc, weak_quality, whitening
 
 #: The vocabulary of the encoding query; its place and pattern are parameters of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer of the token-id files.
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,3 +125,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
+
+
+@query()
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 are relabelled; those divisible by 100 are anchors."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query()
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = util.Scratch(spark, "token-files").path("ids")
+    token_files.write_files(read(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_files.file_index(spark, path)
