@@ -1,9 +1,10 @@
 r"""Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
 **Encoding.** Ids come from the tokenizers library. A byte-level BPE without
-normaliser cuts text by a pattern in which a single space between two other
-characters always begins a piece, so the parts between such spaces are encoded
-apart and remembered; any other tokenizer encodes whole texts.
+normaliser cuts text by a pattern in which a line end between two other
+characters is a piece and a single space between two others begins one, so the
+parts between are handed to its pre-tokenizer and model one by one and
+remembered; any other tokenizer encodes whole texts.
 
 **Dictionary.** zstandard trains it on the serialized id arrays of a bounded
 sample of documents (``SAMPLE``). Each document is a frame of its own (with
@@ -40,15 +41,24 @@ from .util import Scratch, arrow_rows, rows_with_ids
 
 MAGIC, END = b"EQSTOK01", "EQSTOKZZ"
 HEAD = "<8s32sIIQII"
-SAMPLE, SAMPLE_IDS, DICTIONARY, BLOCK, FILE, LEVEL = 3000, 1 << 14, 112_640, 1 << 20, 1 << 25, 3
-#: A single space between two characters that are no white space begins a piece.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+SAMPLE, SAMPLE_IDS, DICTIONARY, BLOCK, FILE, LEVEL = 2000, 1 << 14, 112_640, 1 << 20, 1 << 25, 3
+#: White space that is a boundary of pieces on its own: a line end, and a space that begins a piece, between two other characters.
+LINE, BETWEEN = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters and then marks: two pieces (an apostrophe could begin a contraction).
+WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([,.;:!?]*)")
+
+
+def byte_characters() -> list[str]:
+    """The characters that a byte-level vocabulary has for the 256 bytes: printing ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
 
 
 class Encoder:
     """Text -> ids as little-endian unsigned 32-bit integers, with the file's tokenizer."""
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,37 +68,75 @@ class Encoder:
         self.by_part = (spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
                         and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec.get("added_tokens", []))
                         and spec.get("truncation") is None and spec.get("padding") is None)
-        self.remembered, self.first, self.after = remembered, {}, {}
+        self.remembered, self.first, self.after, self.marks = remembered, {}, {}, {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], parts: list[str], lead: str) -> list[bytes]:
-        """Ids of the parts, remembered where a part can be met again: short, and no white space at an end where a space may follow or precede."""
-        new = list(dict.fromkeys(p for p in parts if p not in memo))
-        if len(memo) + len(new) > self.remembered:
-            memo.clear()
-            new = list(dict.fromkeys(parts))
-        known = dict(zip(new, self._encode([lead + p for p in new])))
-        memo.update((p, ids) for p, ids in known.items() if len(p) <= 64 and p and not p[-1].isspace() and not (lead and p[0].isspace()))
-        return [known[p] if p in known else memo[p] for p in parts]
+        self.character, self.tokenize = dict(enumerate(byte_characters())), self.tokenizer.model.tokenize
+        self.serial = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.end_of_line = self._new("\n", "") if self.by_part else b""
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece, given in the vocabulary's characters."""
+        serial = self.serial
+        return b"".join([serial[t.id] for t in self.tokenize(piece)])
+
+    def _new(self, part: str, lead: str) -> bytes:
+        """Ids of a part behind ``lead``."""
+        word = WORD.fullmatch(part)
+        if word is None:
+            return b"".join([self._merged(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(lead + part)])
+        letters, marks = word.groups()
+        memo = self.after if lead else self.first
+        ids = memo.get(letters) if marks else None
+        if ids is None:
+            ids = self._merged((lead + letters).encode().decode("latin-1").translate(self.character))
+            if marks and len(letters) <= 64:
+                memo[letters] = ids
+        return ids + (self.marks.get(marks) or self._marks(marks)) if marks else ids
+
+    def _marks(self, marks: str) -> bytes:
+        if len(marks) > 8:
+            return self._merged(marks)
+        self.marks[marks] = ids = self._merged(marks)
+        return ids
+
+    def _part(self, part: str, lead: str) -> bytes:
+        """Ids of a part, remembered if short and without white space at an end where a space may follow or precede."""
+        memo = self.after if lead else self.first
+        ids = memo.get(part)
+        if ids is None:
+            if len(memo) >= self.remembered:
+                memo.clear()
+            ids = self._new(part, lead)
+            if len(part) <= 64 and part and not part[-1].isspace() and not (lead and part[0].isspace()):
+                memo[part] = ids
+        return ids
+
+    def _line(self, text: str) -> bytes:
+        parts = text.split(" ")
+        found = list(map(self.after.get, parts))
+        found[0] = self.first.get(parts[0])
+        if None in found:
+            new = [i for i, ids in enumerate(found) if ids is None]
+            if all([parts[i] and parts[i] == parts[i].strip() for i in new]):
+                for i in new:
+                    found[i] = self._part(parts[i], " " if i else "")
+            else:  # cut only at spaces between two other characters
+                parts = BETWEEN.split(text)
+                found = [self._part(parts[0], ""), *[self._part(p, " ") for p in parts[1:]]]
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.by_part:
-            return self._encode([text])[0]
-        parts = text.split(" ")
-        head, found = self.first.get(parts[0]), list(map(self.after.get, parts[1:]))
-        if head is None or None in found:  # something new: cut only at spaces between two other characters
-            parts = BETWEEN.split(text)
-            head, found = self.first.get(parts[0]), list(map(self.after.get, parts[1:]))
-            if head is None:
-                head = self._learn(self.first, parts[:1], "")[0]
-            if None in found:
-                found = self._learn(self.after, parts[1:], " ")
-        return head + b"".join(found)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        lines = text.split("\n")
+        if len(lines) == 1:
+            return self._line(text)
+        if not all([line and line == line.strip() for line in lines]):
+            lines = LINE.split(text)
+        return self.end_of_line.join(map(self._line, lines))
 
 
 def narrow(ids: bytes, width: int) -> bytes:
@@ -201,7 +249,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
             width = pa.array([encoder.width] * len(counts), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), width, pa.array(frames, pa.binary())], ["doc_id", "n", "width", "frame"])
 
-    frames, frames_path = scratch.write(given.mapInArrow(compressed, "doc_id long, n long, width int, frame binary"), "frames")
+    with arrow_rows(spark, 500):
+        frames, frames_path = scratch.write(given.mapInArrow(compressed, "doc_id long, n long, width int, frame binary"), "frames")
     size = frames.agg(F.sum(F.octet_length("frame").cast("long"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), F.col("n").asc(), F.col("frame").asc()]
     ranged = frames.repartitionByRange(max(1, -(-size // file_bytes)), order[0]).sortWithinPartitions(*order)
