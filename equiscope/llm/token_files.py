@@ -41,7 +41,7 @@ from .util import Scratch, arrow_rows, rows_with_ids
 
 MAGIC, END = b"EQSTOK01", "EQSTOKZZ"
 HEAD = "<8s32sIIQII"
-SAMPLE, SAMPLE_IDS, DICTIONARY, BLOCK, FILE, LEVEL = 2000, 1 << 14, 112_640, 1 << 20, 1 << 25, 3
+SAMPLE, SAMPLE_IDS, DICTIONARY, BLOCK, FILE, LEVEL = 2000, 1 << 14, 112_640, 1 << 19, 1 << 23, 3
 #: White space that is a boundary of pieces on its own: a line end, and a space that begins a piece, between two other characters.
 LINE, BETWEEN = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters and then marks: two pieces (an apostrophe could begin a contraction).
@@ -58,7 +58,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """Text -> ids as little-endian unsigned 32-bit integers, with the file's tokenizer."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,43 +72,47 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.character, self.tokenize = dict(enumerate(byte_characters())), self.tokenizer.model.tokenize
         self.serial = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
-        self.end_of_line = self._new("\n", "") if self.by_part else b""
+        self.space = self.character[ord(" ")]
+        self.end_of_line = self._part("\n", "") if self.by_part else b""
 
     def _merged(self, piece: str) -> bytes:
         """Ids of one piece, given in the vocabulary's characters."""
         serial = self.serial
         return b"".join([serial[t.id] for t in self.tokenize(piece)])
 
-    def _new(self, part: str, lead: str) -> bytes:
-        """Ids of a part behind ``lead``."""
-        word = WORD.fullmatch(part)
-        if word is None:
-            return b"".join([self._merged(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(lead + part)])
-        letters, marks = word.groups()
-        memo = self.after if lead else self.first
-        ids = memo.get(letters) if marks else None
-        if ids is None:
-            ids = self._merged((lead + letters).encode().decode("latin-1").translate(self.character))
-            if marks and len(letters) <= 64:
-                memo[letters] = ids
-        return ids + (self.marks.get(marks) or self._marks(marks)) if marks else ids
-
     def _marks(self, marks: str) -> bytes:
-        if len(marks) > 8:
-            return self._merged(marks)
-        self.marks[marks] = ids = self._merged(marks)
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._merged(marks)
+            if len(marks) <= 8:
+                self.marks[marks] = ids
         return ids
 
     def _part(self, part: str, lead: str) -> bytes:
-        """Ids of a part, remembered if short and without white space at an end where a space may follow or precede."""
+        """Ids of a part behind ``lead``, remembered if short and without white space at an end where a space may follow or precede."""
         memo = self.after if lead else self.first
         ids = memo.get(part)
-        if ids is None:
-            if len(memo) >= self.remembered:
-                memo.clear()
-            ids = self._new(part, lead)
-            if len(part) <= 64 and part and not part[-1].isspace() and not (lead and part[0].isspace()):
-                memo[part] = ids
+        if ids is not None:
+            return ids
+        if len(memo) >= self.remembered:
+            memo.clear()
+        if word := WORD.fullmatch(part):
+            letters, marks = word.groups()
+            ids = memo.get(letters) if marks else None
+            if ids is None:
+                mapped = (self.space if lead else "") + letters if letters.isascii() else (lead + letters).encode().decode("latin-1").translate(self.character)
+                ids = self._merged(mapped)
+                if len(letters) <= 64:
+                    memo[letters] = ids
+            if not marks:
+                return ids
+            ids += self._marks(marks)
+        else:
+            ids = b"".join([self._merged(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(lead + part)])
+            if not part or part[-1].isspace() or lead and part[0].isspace():
+                return ids
+        if len(part) <= 64:
+            memo[part] = ids
         return ids
 
     def _line(self, text: str) -> bytes:
@@ -116,13 +120,13 @@ class Encoder:
         found = list(map(self.after.get, parts))
         found[0] = self.first.get(parts[0])
         if None in found:
-            new = [i for i, ids in enumerate(found) if ids is None]
-            if all([parts[i] and parts[i] == parts[i].strip() for i in new]):
-                for i in new:
-                    found[i] = self._part(parts[i], " " if i else "")
-            else:  # cut only at spaces between two other characters
-                parts = BETWEEN.split(text)
-                found = [self._part(parts[0], ""), *[self._part(p, " ") for p in parts[1:]]]
+            for i, ids in enumerate(found):
+                if ids is None:
+                    part = parts[i]
+                    if not part or part != part.strip():  # cut only at spaces between two other characters
+                        first, *others = BETWEEN.split(text)
+                        return self._part(first, "") + b"".join([self._part(p, " ") for p in others])
+                    found[i] = self._part(part, " " if i else "")
         return b"".join(found)
 
     def encode(self, text: str) -> bytes:
@@ -139,6 +143,14 @@ class Encoder:
         return self.end_of_line.join(map(self._line, lines))
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: a worker's later tasks find it, with what it remembers, in the library's namespace."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_equiscope_encoders", {})
+    return held.get(path) or held.setdefault(path, Encoder(path))
+
+
 def narrow(ids: bytes, width: int) -> bytes:
     """The ids with ``width`` bytes each."""
     import numpy as np
@@ -225,7 +237,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             made = [narrow(encoder.encode(t.as_py() or "") + tail, encoder.width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([m for m in made if m and len(m) <= encoder.width * SAMPLE_IDS], pa.binary())], ["ids"])
@@ -238,7 +250,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, **_dictionary(dictionary))
         for batch in batches:
             counts, frames = [], []
