@@ -58,7 +58,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """Text -> ids as little-endian unsigned 32-bit integers, with the file's tokenizer."""
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -286,7 +286,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         (blocks.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "none")
          .option("maxRecordsPerFile", 2 * file_bytes // BLOCK).text(f"{path}/{name}"))
 
-    to_files(ranged.mapInArrow(packed, "value binary"), "files", END)
+    with arrow_rows(spark, 500):
+        to_files(ranged.mapInArrow(packed, "value binary"), "files", END)
     to_files(spark.createDataFrame([(bytearray(dictionary),)], "value binary"), "dictionary", END)
     scratch.drop(frames_path)
 
@@ -296,55 +297,59 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
     return spark.read.format("binaryFile").load(f"{path}/dictionary").select("content").first()["content"][:-len(END)]
 
 
-def read_frames(spark: SparkSession, path: str, dictionary: bytes) -> DataFrame:
-    """A row per document, still compressed: ``part``, ``before`` (ids before it in its part), ``doc_id``, ``n_tokens``, ``width``, ``frame``.
-
-    A damaged or cut file, and one of another dictionary, raise.
-    """
-    digest = hashlib.sha256(dictionary).digest()
+def _frames(batches: Iterator[pa.RecordBatch], digest: bytes) -> Iterator[pa.RecordBatch]:
+    """The documents of files, still compressed, a block at a time."""
+    for batch in batches:
+        for content in batch.column(0):
+            for part, _, width, before, ids, counts, frames in blocks_in(content.as_py(), digest):
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(before.astype("int64")), pa.array(ids, pa.int64()), pa.array(counts),
+                                                  pa.array([width] * n, pa.int32()), pa.array(frames, pa.binary())],
+                                                 ["part", "before", "doc_id", "n_tokens", "width", "frame"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                for part, _, width, before, ids, counts, frames in blocks_in(content.as_py(), digest):
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(before.astype("int64")), pa.array(ids, pa.int64()), pa.array(counts),
-                                                      pa.array([width] * n, pa.int32()), pa.array(frames, pa.binary())],
-                                                     ["part", "before", "doc_id", "n_tokens", "width", "frame"])
 
-    files = spark.read.format("binaryFile").load(f"{path}/files").where("length > 0").select("content")
-    return files.mapInArrow(run, "part int, before long, doc_id long, n_tokens long, width int, frame binary")
-
-
-def decompressed(frames: DataFrame, dictionary: bytes) -> DataFrame:
-    """``part``, ``before``, ``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit) of rows of ``read_frames``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _decompressed(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    import zstandard
 
-        zstd = zstandard.ZstdDecompressor(**_dictionary(dictionary))
-        for batch in batches:
+    zstd = zstandard.ZstdDecompressor(**_dictionary(dictionary))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
             ids = [widened(zstd.decompress(f.as_buffer()), w) for f, w in zip(batch.column(5), batch.column(4).to_pylist())]
             if [len(i) // 4 for i in ids] != batch.column(3).to_pylist():
                 raise ValueError("a document has not as many ids as stated")
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n_tokens", "ids"])
 
-    return frames.select("part", "before", "doc_id", "n_tokens", "width", "frame").mapInArrow(run, "part int, before long, doc_id long, n_tokens long, ids binary")
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{path}/files").where("length > 0").select("content")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A row per document: ``part``, ``before`` (ids before it in its part), ``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit).
+
+    A damaged or cut file, and one of another dictionary, raise.
+    """
+    dictionary = read_dictionary(spark, path)
+    digest = hashlib.sha256(dictionary).digest()
+    return _files(spark, path).mapInArrow(lambda batches: _decompressed(_frames(batches, digest), dictionary),
+                                          "part int, before long, doc_id long, n_tokens long, ids binary")
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` of the documents whose id is in the one column of ``wanted``: their frames alone are decompressed."""
     dictionary = read_dictionary(spark, path)
-    return decompressed(rows_with_ids(read_frames(spark, path, dictionary), "doc_id", wanted), dictionary).select("doc_id", "n_tokens", "ids")
+    digest = hashlib.sha256(dictionary).digest()
+    frames = _files(spark, path).mapInArrow(lambda batches: _frames(batches, digest), "part int, before long, doc_id long, n_tokens long, width int, frame binary")
+    found = rows_with_ids(frames, "doc_id", wanted).select("part", "before", "doc_id", "n_tokens", "width", "frame")
+    return found.mapInArrow(lambda batches: _decompressed(batches, dictionary), "part int, before long, doc_id long, n_tokens long, ids binary").select("doc_id", "n_tokens", "ids")
 
 
 def file_index(spark: SparkSession, path: str) -> DataFrame:
     """A row per document, read back whole: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``."""
     scratch = Scratch(spark, "ids-read")
-    dictionary = read_dictionary(spark, path)
-    with arrow_rows(spark, 64):  # a row holds a whole document, or a file
-        read = decompressed(read_frames(spark, path, dictionary), dictionary)
-        rows = scratch.table(read.select("part", "before", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")), "read")
+    with arrow_rows(spark, 1):  # a row is a file
+        rows = scratch.table(read_documents(spark, path).select("part", "before", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")), "read")
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = running_totals(parts, [], ["part"], ["n"], ["upto"]).select(F.col("part").alias("_part"), (F.col("upto") - F.col("n")).alias("_base"))
     return rows.join(bases, F.col("part") == F.col("_part")).select("doc_id", (F.col("before") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32")
