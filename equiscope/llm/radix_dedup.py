@@ -11,9 +11,11 @@ are numbers given when a round is written; no digest is taken. The first digit
 16-fold, so a long copy takes few rounds, up to ``most`` bytes at a time.
 
 A round writes one table: singles and ended documents without text, open ones
-with the bytes that remain. The join back to the digits is between two plain
-exchanges, so a hot group is split by adaptive execution, and hashes the
-digits, so that no text is sorted.
+with the bytes that remain. The digits that occur more than once are broadcast
+back when their bytes, counted before, are under ``MOST_BROADCAST_BYTES``, so
+that no text moves. Otherwise the join is between two plain exchanges, so a hot
+group is split by adaptive execution, and hashes the digits, so that no text is
+sorted.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .util import Scratch, packed, unpacked, without_spaces
 
+MOST_BROADCAST_BYTES = 32 << 20
 NEW = ["keep_id", "group_size", "kept"]
 
 
 def radix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", first: int = 64, most: int = 1 << 20,
-                keep_columns: list[str] | None = None) -> DataFrame:
+                keep_columns: list[str] | None = None, most_broadcast: int = MOST_BROADCAST_BYTES) -> DataFrame:
     """The input columns (or ``keep_columns`` of them) with ``keep_id``, ``group_size`` and ``kept``, one row per input row.
 
     Texts are equal when the same after deleting ``[\\x20\\x09-\\x0D]``; null is
@@ -51,9 +54,10 @@ def radix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fir
         groups, groups_path = scratch.write(
             active.groupBy("_gid", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
             .select(F.col("_gid").alias("_g"), F.col("_digit").alias("_d"), F.monotonically_increasing_id().alias("_new")), "groups")
+        size = groups.agg(F.sum(F.octet_length("_d") + 48)).first()[0] or 0
         ended = F.octet_length("_rest") <= width
         round_, path = scratch.write(
-            active.join(groups.hint("shuffle_hash"), (F.col("_gid") == F.col("_g")) & (digit == F.col("_d")), "left")
+            active.join(groups.hint("broadcast" if size <= most_broadcast else "shuffle_hash"), (F.col("_gid") == F.col("_g")) & (digit == F.col("_d")), "left")
             .select("_row", "_id", "_cp", F.lit(number).alias("_round"), F.col("_new").alias("_gid"),
                     F.when(F.col("_new").isNull(), "single").when(ended, "equal").otherwise("open").alias("_state"),
                     F.when(F.col("_new").isNotNull() & ~ended, F.substring(F.col("_rest"), F.lit(width + 1), F.lit(2**31 - 1))).alias("_rest"),
