@@ -5,9 +5,11 @@
    leading zeros (6 bits) and the 10 bits after the leading one (mantissa) are
    stored: 256 bytes a document, made in one pass without a shuffle. Equal
    least values give equal registers, so compression only adds collisions.
-2. **Banding.** Four registers are one 64-bit band. Documents that share a band
-   are candidates: at similarity 0.8 all 32 bands differ with probability
-   (1 - 0.8^4)^32 < 1e-7.
+2. **Banding.** Four registers are one 64-bit band key. An empty register of a
+   short text borrows from the filled bucket of least random priority, itself a
+   minwise draw, so that a key is four draws for texts of any length and never a
+   join on one shingle. Documents that share a key are candidates: at
+   similarity 0.8 all 32 differ with probability (1 - 0.8^4)^32 < 1e-7.
 3. **Stars.** Texts with equal words are one class. In each band bucket every
    class is paired with the bucket's least class only.
 4. **Estimate.** The share of equal registers, corrected for the collisions
@@ -100,6 +102,27 @@ class Sketcher:
         return len(distinct), registers, cells
 
 
+def band_keys(registers):
+    """Rows of registers -> rows of band keys; empty registers borrow (see the module's text)."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    priority = rng.random((BUCKETS, BUCKETS))
+    np.fill_diagonal(priority, -1.0)  # a filled bucket speaks for itself
+    factors = rng.integers(1, 1 << 62, BAND, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    source = np.tile(np.arange(BUCKETS), (len(registers), 1))
+    for i in np.flatnonzero((registers == 0).any(1) & (registers != 0).any(1)):
+        filled = np.flatnonzero(registers[i])
+        source[i] = filled[priority[:, filled].argmin(1)]
+    drawn = np.take_along_axis(registers, source, 1).astype(np.uint64) << np.uint64(7) | source.astype(np.uint64)
+    mixed = drawn.reshape(-1, BANDS, BAND)
+    keys = np.zeros(mixed.shape[:2], np.uint64)
+    for j in range(BAND):
+        keys = (keys ^ mixed[:, :, j]) * factors[j]
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
 def chance_collision(n, m):
     """Probability that two unrelated sets of n and m shingles agree in a register (arrays or numbers)."""
     import numpy as np
@@ -164,6 +187,21 @@ def _matrix(column: pa.Array, kind: str, width: int):
     return np.ascontiguousarray(values).view(kind).reshape(-1, width)
 
 
+def _keyed(classes: DataFrame) -> DataFrame:
+    """(cid, band, key): a row per class and band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                keys, cid = band_keys(_matrix(batch.column(1), "<u2", BUCKETS)), batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(cid))), pa.array(keys.ravel())], ["cid", "band", "key"])
+
+    return classes.select("cid", "bands").mapInArrow(run, "cid long, band int, key long")
+
+
 def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb, ba, bb) that pass the estimate, as (a, b)."""
 
@@ -192,8 +230,8 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
         t = pa.Table.from_batches(block).combine_chunks()
         side, star = t["left"].to_numpy(zero_copy_only=False), t["rep"].to_numpy()
         cid, label, n, band = t["cid"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype(np.float64), t["band"][0].as_py()
-        bands = _matrix(t["bands"].chunk(0), "<i8", BANDS)
-        registers = bands.view("<u2")
+        registers = _matrix(t["bands"].chunk(0), "<u2", BUCKETS)
+        bands = band_keys(registers)
         cells = _matrix(t["cells"].chunk(0), "u1", CELLS).astype(np.int16)
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
         found = []
@@ -201,7 +239,7 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
             j = right[(label[right] != label[i]) & (cid[right] != star[i]) & (cid[i] != star[i])
                       & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if band and len(j):
-                j = j[~((bands[j, :band] == bands[i, :band]) & (bands[j, :band] != 0)).any(1)]
+                j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
             if len(j):
                 j = j[estimate_passes(registers[i][None, :], registers[j], n[i], n[j], percent)]
             if len(j):
@@ -283,7 +321,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = scratch.table(filled.groupBy("_words", "_n", "_bands", "_cells").agg(F.min(first).alias("first"))
                             .select(F.monotonically_increasing_id().alias("cid"), "_words", F.col("_n").alias("n"), F.col("_bands").alias("bands"),
                                     F.col("_cells").alias("cells"), "first"), "classes")
-    bands = classes.select("cid", F.posexplode("bands").alias("band", "key")).where("key != 0")
+    bands = _keyed(classes)
     buckets = scratch.hold(bands.groupBy("band", "key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
                             .select(F.col("band").alias("_band"), F.col("key").alias("_key"), "rep", "size"))
     members = scratch.hold(bands.join(buckets, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")))

@@ -93,6 +93,8 @@ def test_pair_stability_is_that_of_the_merges():
 # ------------------------------------------------------------------- op 2
 def test_radix_groups_odd_rows(spark, odd_docs):
     rows = radix_dedup.radix_dedup(odd_docs, first=10, most=64).collect()
+    shuffled = radix_dedup.radix_dedup(odd_docs, first=10, most=64, most_broadcast=-1).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, rows))
     assert len(rows) == 10 and rows[0].asDict().keys() == {"doc_id", "text", "source", "keep_id", "group_size", "kept"}
     by = defaultdict(list)
     for r in rows:
@@ -131,6 +133,22 @@ def test_near_duplicates_brute_force(spark):
         assert got == linked(texts, n, 80)
 
 
+def test_short_texts_draw_four_times():
+    rng, agree = np.random.default_rng(4), defaultdict(list)
+    sketcher = hyperminhash.Sketcher(1)
+    for size in (1, 5, 20, 100, 2000):
+        for _ in range(60):
+            words = [f"{rng.integers(1 << 40)}".encode() for _ in range(size)]
+            other = [f"{rng.integers(1 << 40)}".encode() for _ in range(size // 9)]  # similarity near 0.8
+            a, b = words, words[len(other):] + other
+            keys = hyperminhash.band_keys(np.stack([sketcher.sketch(a)[1], sketcher.sketch(b)[1]]))
+            agree[size].append((keys[0] == keys[1]).mean())
+            apart = sketcher.sketch(words[:1] + [f"x{i}{size}".encode() for i in range(9)])[1], sketcher.sketch(words[:1] + [f"y{i}{size}".encode() for i in range(9)])[1]
+            agree[-size].append((np.diff(hyperminhash.band_keys(np.stack(apart)), axis=0) == 0).mean())
+    assert agree[1] == [1.0] * 60 and all(np.mean(agree[s]) > 0.3 and min(agree[s]) > 0 for s in (5, 20, 100, 2000))
+    assert all(np.mean(agree[-s]) < 0.05 for s in (1, 5, 20, 100, 2000))  # one common shingle of ten makes hardly a key
+
+
 # ------------------------------------------------------------------- op 3
 def test_mixture_meets_targets(spark):
     rows = mixing.mix(table(spark, "documents"), shards=8, blocks=256).collect()
