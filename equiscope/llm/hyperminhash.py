@@ -39,6 +39,8 @@ from .util import Scratch, arrow_rows, lower_ascii, packed, rows_with_ids, unpac
 
 BUCKETS, BAND, MANTISSA, CELLS, BLOCK = 128, 4, 10, 256, 512
 BANDS = BUCKETS // BAND
+#: Rows of the table of components' least rows up to which it is broadcast (about 80 bytes each, counted before).
+MOST_BROADCAST_ANSWERS = 400_000
 DEVIATIONS = 6.0
 NEW = ["n_shingles", "component_id", "kept"]
 
@@ -318,9 +320,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sketched = scratch.table(sketches(docs, text, doc_id, shingle, columns).withColumn("_tag", F.monotonically_increasing_id()), "sketches")
     filled = sketched.where("_n > 0")
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tag").alias("tag"))
-    classes = scratch.table(filled.groupBy("_words", "_n", "_bands", "_cells").agg(F.min(first).alias("first"))
+    classes = scratch.table(filled.groupBy("_words", "_n", "_bands", "_cells").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows"))
                             .select(F.monotonically_increasing_id().alias("cid"), "_words", F.col("_n").alias("n"), F.col("_bands").alias("bands"),
-                                    F.col("_cells").alias("cells"), "first"), "classes")
+                                    F.col("_cells").alias("cells"), "first", "rows"), "classes")
     bands = _keyed(classes)
     buckets = scratch.hold(bands.groupBy("band", "key").agg(F.min("cid").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
                             .select(F.col("band").alias("_band"), F.col("key").alias("_key"), "rep", "size"))
@@ -361,19 +363,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = (rows.join(classes.select(F.col("cid").alias("_cid"), "n", "bands", "cells"), F.col("cid") == F.col("_cid")).drop("_cid")
             .repartition("band", "key", "l", "r").sortWithinPartitions("band", "key", "l", "r"))
     crossed = scratch.hold(_blocks(rows, percent).distinct())
-    named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("_words", "first", label.alias("label"))
+    named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("_words", "first", "rows", label.alias("label"))
     if not crossed.isEmpty():  # components of components: of the links between two, one counts
         more = _verified(crossed, texts_of(crossed), percent, shingle, scratch)
         ends = [labels.select(F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab"]
         more = (more.join(ends[0], F.col("a") == F.col("na"), "left").join(ends[1], F.col("b") == F.col("nb"), "left")
                 .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
         wider = components(more, scratch).toDF("_node", "_wider")
-        named = named.join(wider, F.col("label") == F.col("_node"), "left").select("_words", "first", F.coalesce("_wider", "label").alias("label"))
+        named = named.join(wider, F.col("label") == F.col("_node"), "left").select("_words", "first", "rows", F.coalesce("_wider", "label").alias("label"))
     named = scratch.hold(named)
-    lowest = scratch.hold(named.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("low")))
+    lowest = scratch.hold(named.groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("low"), F.sum("rows").alias("_members")).where("_members > 1"))
     answer = scratch.table(named.join(lowest, F.col("label") == F.col("_label")).select(F.col("_words").alias("_w"), "low"), "answer")
     scratch.release()
-    joined = sketched.join(answer, F.col("_words") == F.col("_w"), "left")  # empty sets have no answer
+    # a component of one row (or of no words) has no answer: it is its own; the others are broadcast if few are counted, and no text moves
+    few = answer.limit(MOST_BROADCAST_ANSWERS + 1).count() <= MOST_BROADCAST_ANSWERS
+    joined = sketched.join(F.broadcast(answer) if few else answer, F.col("_words") == F.col("_w"), "left")
     return joined.select(*unpacked("_row", columns, NEW), F.col("_n").alias("n_shingles"),
                          F.when(F.col("low").isNull(), F.col("_id")).otherwise(F.col("low.id")).alias("component_id"),
                          F.coalesce(F.col("_tag") == F.col("low.tag"), F.lit(True)).alias("kept"))
