@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._held: list[DataFrame] = []
+        self._held: list[str] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -44,13 +43,14 @@ class Scratch:
         return self.write(df, name)[0]
 
     def hold(self, df: DataFrame) -> DataFrame:
-        """Kept on the executors' disks until ``release``; a lost part is computed again from its (written) inputs."""
-        self._held.append(df.persist(StorageLevel.DISK_ONLY))
-        return self._held[-1]
+        """A table written until ``release`` frees it; plans made from it begin anew at its files."""
+        table, path = self.write(df, "held")
+        self._held.append(path)
+        return table
 
     def release(self) -> None:
-        while self._held:
-            self._held.pop().unpersist()
+        self.drop(*self._held)
+        self._held.clear()
 
     def drop(self, *paths: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
