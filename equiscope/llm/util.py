@@ -22,9 +22,13 @@ class Scratch:
     frees a table once what was made from it is written.
     """
 
+    #: Folders made in this process, for a caller that frees what a step of its own has left.
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.made.append(self.root)
         self._n = 0
         self._held: list[str] = []
 
