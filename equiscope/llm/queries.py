@@ -100,16 +100,25 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = util.Scratch(spark, "warc")
     archives = scratch.path("archives")
     warc.write_archives(read(spark, sf_dir, "pages"), archives)
-    # payloads are checked where they are decoded; the digest and length alone go on
-    records = scratch.table(warc.reassemble(warc.read_segments(spark, archives)).where("problem IS NULL")
-                            .select("type", "page_id", "digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes")), "records")
+    found = archived_pages(scratch, archives)
     scratch.drop(archives)
-    originals = records.where("type = 'response'").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("bytes").alias("_b")).distinct()
-    whole = records.where("type = 'response'").select("page_id", "bytes", "digest", "type", "refers_to")
-    again = (records.where("type = 'revisit'").join(originals, (F.col("refers_to") == F.col("_p")) & (F.col("digest") == F.col("_d")))
-             .select("page_id", F.col("_b").alias("bytes"), "digest", "type", "refers_to"))
-    return whole.unionByName(again).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-                                           F.col("type").alias("record_type"), "refers_to")
+    return found
+
+
+def archived_pages(scratch: util.Scratch, archives: str) -> DataFrame:
+    """A row per record of the archives; what could not be read stays, with its ``problem`` (``original``: a revisit whose response is lost)."""
+    # payloads are checked where they are decoded; the digest and length alone go on
+    records = scratch.table(warc.reassemble(warc.read_segments(scratch.spark, archives))
+                            .select("type", "page_id", "digest", "refers_to", "problem", F.octet_length("payload").cast("long").alias("bytes")), "records")
+    columns = ["page_id", "bytes", "digest", "type", "refers_to", "problem"]
+    originals = (records.where("type = 'response' AND problem IS NULL").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("bytes").alias("_b"))
+                 .distinct())
+    revisit = "type = 'revisit' AND problem IS NULL"
+    again = records.where(revisit).drop("bytes", "problem").join(originals, (F.col("refers_to") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
+    again = again.withColumn("bytes", F.col("_b")).withColumn("problem", F.when(F.col("_b").isNull(), "original"))
+    return (records.where(f"NOT ({revisit})").select(columns).unionByName(again.select(columns))
+            .select("page_id", F.col("bytes").alias("payload_bytes"), F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
+                    F.col("type").alias("record_type"), "refers_to", "problem"))
 
 
 @query(licenses.oracle_sql())

@@ -228,6 +228,99 @@ def test_warc_round_trip_of_odd_pages(spark):
     assert [r["problem"] for r in broken] == ["segments"]
 
 
+def test_chunk_sizes_are_hexadecimal_and_bounded():
+    for bad in (b"1\r\nA\r\n-6\r\nzz", b"+1\r\nA\r\n0\r\n\r\n", b"1_0\r\n" + b"x" * 16 + b"\r\n0\r\n\r\n", b"f" * 5000 + b"\r\n", b"f" * 16 + b"\r\nA\r\n0\r\n\r\n", b"\r\n", b"3\r\nab", b"", b"0x1\r\nA\r\n0\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.unchunked(bad)
+    assert warc.unchunked(b"2;x=1\r\nab\r\n0\r\nTrailer: 1\r\n\r\n") == b"ab"
+
+
+def member(n, body=None, kind="response", digest=None, **more):
+    body = b"page %d" % n if body is None else body
+    message = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(body)
+    heads = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:r:{n}>"), ("WARC-Payload-Digest", digest or f"sha1:{warc.sha1_base32(body)}"), ("X-Page-Id", str(n))]
+    return warc.record(heads + [(k.replace("_", "-"), v) for k, v in more.items()], message) + b"\r\n\r\n"
+
+
+def test_damaged_and_hostile_archives_are_counted(spark):
+    import gzip
+    import os
+
+    pack = lambda n: gzip.compress(member(n))
+    sha256 = hashlib.sha256(b"page 31")
+    archives = {
+        "foreign": b"no record\r\nat all\r\n" + member(1) + b"between\r\n" + member(2),
+        "no length": b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody\r\n" + member(3),
+        "negative": b"WARC/1.1\r\nContent-Length: -5\r\n\r\nbody" + member(4) + b"\r\n\r\n" + member(5),
+        "huge": member(6) + b"WARC/1.1\r\nContent-Length: 99999999999999999\r\n\r\nbody",
+        "no number": b"WARC/1.1\r\nContent-Length: 1e3\r\n\r\n\r\n" + member(7),
+        "endless line": b"WARC/1.1\r\nX: " + b"x" * 200_000 + b"\r\n" + member(8),
+        "cut": member(9) + member(10)[:-30],
+        "cut gzip": pack(11) + pack(12)[:-20],
+        "damaged gzip": pack(13) + pack(14)[:30] + b"?" * 40 + pack(15) + b"\0" * 100,
+        "cut head": member(16) + b"WARC/1.1\r\nWARC-Type: resp",
+        "no type": b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + member(17),
+        "numbers": member(18, WARC_Segment_Number="1e9") + member(19, WARC_Segment_Number="9" * 30) + member(20),
+        "hexadecimal": member(31, digest=f"SHA-256:{sha256.hexdigest()}") + member(32, digest="sha1:AAAA") + member(33, digest="whirlpool:1") + member(34, "sömething €".encode() * 900),
+        "empty": b"", "plain gzip": gzip.compress(b"no record"),
+    }
+    from equiscope.llm.util import Scratch
+    scratch = Scratch(spark, "t")
+    folder = scratch.path("hostile")
+    os.makedirs(folder.removeprefix("file:"))
+    for name, data in archives.items():
+        with open(f"{folder.removeprefix('file:')}/{name.replace(' ', '-')}.warc", "wb") as f:
+            f.write(data)
+    problems = {name: [p for _, _, p in warc.parse_archive(data) if p] for name, data in archives.items()}
+    assert problems == {"foreign": ["foreign"] * 2, "no length": ["length"], "negative": ["length"], "huge": ["cut"], "no number": ["length"], "endless line": ["header"],
+                        "cut": ["cut"], "cut gzip": ["cut", "gzip"], "damaged gzip": ["gzip"], "cut head": ["cut"], "no type": [], "numbers": [], "hexadecimal": [],
+                        "empty": [], "plain gzip": ["foreign"]}
+    rows = queries.archived_pages(scratch, folder).collect()
+    whole = sorted(r["page_id"] for r in rows if r["problem"] is None)
+    assert whole == [1, 2, 3, 5, 6, 7, 8, 9, 11, 13, 15, 16, 17, 20, 31, 33, 34]  # 4 begins inside a line of the record before it
+    assert Counter(r["problem"] for r in rows if r["problem"]) == {"foreign": 3, "length": 3, "cut": 4, "header": 4, "gzip": 2, "digest": 1}
+
+
+def test_every_cut_of_an_archive_ends():
+    import gzip
+
+    plain = member(1) + member(2)
+    for data in (plain, gzip.compress(member(1)) + gzip.compress(member(2))):
+        whole = [n for at in range(len(data) + 1) for n in [sum(p is None for _, _, p in warc.parse_archive(data[:at]))]]
+        assert whole == sorted(whole) and whole[-1] == 2
+    rnd = random.Random(3)
+    for _ in range(300):
+        data = bytearray(rnd.choice((plain, gzip.compress(plain))))
+        for _ in range(rnd.randint(1, 5)):
+            data[rnd.randrange(len(data))] = rnd.randrange(256)
+        list(warc.parse_archive(bytes(data)))
+
+
+def test_warc_query_is_brute_force(spark):
+    pages = table(spark, "pages").collect()
+    body = {r["page_id"]: (r["html"] or "").encode() for r in pages}
+    winner = {}
+    for i, b in body.items():
+        winner[b] = max(i, winner.get(b, i))
+    expected = {(i, len(b), warc.sha1_base32(b), "response" if winner[b] == i else "revisit", None if winner[b] == i else winner[b], None) for i, b in body.items()}
+    rows = [tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")) for r in queries.op5_warc(spark, SF).collect()]
+    assert len(rows) == len(pages) and set(rows) == expected
+
+
+def test_a_lost_original_leaves_its_revisits(spark):
+    from equiscope.llm.util import Scratch
+    scratch = Scratch(spark, "t")
+    path = scratch.path("a")
+    warc.write_archives(spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string"), path)
+    segments = warc.read_segments(spark, path).where("page_id = 1")
+    original, warc.read_segments = warc.read_segments, lambda *_: segments
+    try:
+        rows = queries.archived_pages(scratch, path).collect()
+    finally:
+        warc.read_segments = original
+    assert [(r["page_id"], r["payload_bytes"], r["record_type"], r["problem"]) for r in rows] == [(1, None, "revisit", "original")]
+
+
 # ------------------------------------------------------------------- op 4
 def test_licence_rules(spark):
     mit = "\n".join(t[0] for k, t in licenses.SENTENCES.items() if k in ("mit-grant", "mit-notice", "mit-asis")).replace("to deal in", "to\ndeal in")
