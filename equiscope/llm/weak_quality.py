@@ -13,8 +13,10 @@ parameter). All documents are scored, whole, in one pass.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,37 +42,54 @@ LABELLERS = [
 ]
 
 
-def shares(text: bytes) -> list[float]:
-    """What each labeller measures. A text without words measures 0 everywhere."""
-    import re
+#: Bytes by kind, as counted below.
+SPACES, DIGITS, UPPER, LOWER = b" \t\n\r\x0b\x0c", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123))
+MARKS = b"#$%&*+/<=>@\\^_`{}~\x7f" + bytes(range(9)) + bytes(range(14, 32))
+PLAIN_WORD = re.compile(rb"[A-Za-z\x80-\xff'-]+[.,;:?!]?")
+
+
+class PlainWords(dict):
+    """Word -> whether it is letters with at most one mark of plain punctuation behind. It holds 65,536 words of up to 64 bytes, then begins anew."""
 
+    def __missing__(self, word: bytes) -> bool:
+        plain = PLAIN_WORD.fullmatch(word) is not None
+        if len(word) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = plain
+        return plain
+
+
+def shares(text: bytes, plain: PlainWords) -> list[float]:
+    """What each labeller measures. A text without words measures 0 everywhere."""
     words = text.split()
     if not words:
         return [0.0] * len(LABELLERS)
-    n, size = len(words), max(1, len(re.sub(rb"\s+", b"", text)))
-    upper, lower = len(re.findall(rb"[A-Z]", text)), len(re.findall(rb"[a-z]", text))
+    count = lambda kind: len(text) - len(text.translate(None, kind))
+    n, size = len(words), max(1, len(text) - count(SPACES))
+    upper, lower = count(UPPER), count(LOWER)
     lines = [x.strip() for x in text.split(b"\n") if x.strip()]
     total = sum(map(len, lines))
     once = sum(map(len, set(lines)))
     return [
-        len(re.findall(rb"[#$%&*+/<=>@\\^_`{}~\x00-\x08\x0e-\x1f\x7f]", text)) / size,
-        sum(w == b"|" for w in words) / n,
+        count(MARKS) / size,
+        words.count(b"|") / n,
         upper / (upper + lower) if upper + lower >= 20 else 0.2,
-        sum(a == b for a, b in zip(words, words[1:])) / n,
+        sum(map(eq, words, words[1:])) / n,
         (total - once) / total,
         sum(w.endswith(b"!") for w in words) / n,
         1 - len(set(zip(words, words[1:]))) / (n - 1) if n >= 20 else 0.4,
-        len(re.findall(rb"[0-9]", text)) / size,
-        1 - len(re.findall(rb"(?<![^\s])[A-Za-z\x80-\xff'-]+[.,;:?!]?(?![^\s])", text)) / n,
+        count(DIGITS) / size,
+        1 - sum(map(plain.__getitem__, words)) / n,
         sum(x[-1:] not in b".?!" for x in long) / len(long) if (long := [x for x in lines if x.count(b" ") >= 2]) else 1.0,
     ]
 
 
-def votes(text: bytes) -> str:
+def votes(text: bytes, plain: PlainWords) -> str:
     """A letter a labeller: ``g``ood, ``b``ad or ``-``. A text without words has no vote."""
     if not text.split():
         return "-" * len(LABELLERS)
-    return "".join("b" if bad is not None and s >= bad else "g" if good is not None and s <= good else "-" for s, (_, bad, good) in zip(shares(text), LABELLERS))
+    return "".join("b" if bad is not None and s >= bad else "g" if good is not None and s <= good else "-" for s, (_, bad, good) in zip(shares(text, plain), LABELLERS))
 
 
 @dataclass(frozen=True)
@@ -125,7 +144,13 @@ def features(text: bytes):
     kind[b >= 128] = 128
     kind = kind.astype(np.uint32)
     at = ((kind[:-3] * 131 + kind[1:-2]) * 131 + kind[2:-1]) * 131 + kind[3:]
-    slot, n = np.unique((at * np.uint32(2654435761)) >> np.uint32(18), return_counts=True)
+    at = (at * np.uint32(2654435761)) >> np.uint32(18)
+    if len(at) < 1024:
+        slot, n = np.unique(at, return_counts=True)
+    else:
+        n = np.bincount(at, minlength=SLOTS)
+        slot = np.flatnonzero(n)
+        n = n[slot]
     weight = np.log1p(n)
     return slot.astype(np.int64), weight / float(np.sqrt((weight * weight).sum() + 100.0))
 
@@ -150,7 +175,7 @@ def fit_scorer(rows: list[tuple[float, list[int], list[float]]], steps: int = 30
     return w
 
 
-def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, least_score: float = 0.05, keep_columns: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, least_score: float = 0.2, keep_columns: list[str] | None = None) -> DataFrame:
     """The input columns with ``votes``, ``label_posterior``, ``score`` and ``kept`` (score at least ``least_score``), one row per input row.
 
     A text without words (null, empty, white space) has no votes, score 0 and
@@ -163,9 +188,10 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample:
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
+        plain = PlainWords()
         for batch in batches:
             for t in batch.column(0):
-                p = votes((t.as_py() or "").encode())
+                p = votes((t.as_py() or "").encode(), plain)
                 counts[p] = counts.get(p, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["p", "n"])
 
@@ -177,12 +203,13 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample:
     chosen = docs.where(F.pmod(F.xxhash64(F.lit("quality"), doc_id), F.lit(1_000_000)) < int(math.ceil(rate * 1_000_000))).select(F.col(text).cast("string"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = PlainWords()
         for batch in batches:
             rows = []
             for t in batch.column(0):
                 body = (t.as_py() or "").encode()
                 if body.split():
-                    rows.append((model.posterior(votes(body)), *(x.tolist() for x in features(body))))
+                    rows.append((model.posterior(votes(body, plain)), *(x.tolist() for x in features(body))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())])], ["y", "slots", "weights"])
 
@@ -194,12 +221,12 @@ def quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        w = weights.value
+        w, plain = weights.value, PlainWords()
         for batch in batches:
             out: list[tuple[str, float, float]] = []
             for t in batch.column(1):
                 body = (t.as_py() or "").encode()
-                pattern = votes(body)
+                pattern = votes(body, plain)
                 if not body.split():
                     out.append((pattern, 0.0, 0.0))
                     continue

@@ -354,6 +354,25 @@ def test_quality_against_labels(spark, odd_docs):
     assert odd[3] == odd[4] == odd[7] == 0.0 and weak_quality.quality(odd_docs.limit(0)).count() == 0
 
 
+def test_measures_are_those_of_patterns():
+    import re
+
+    rnd, plain = random.Random(11), weak_quality.PlainWords()
+    bits = [b"a", b"Zeb", b"\xc3\xa9", b"|", b"!", b"don't", b"ok.", b"9", b"12", b" ", b"\n", b"\t", b"\x0b", b"\x00", b"\x1f", b"\x7f", b"#$", b"^", b"end!", b"..", b"word " * 9, b"x" * 90]
+    for _ in range(400):
+        t = b"".join(rnd.choice(bits) for _ in range(rnd.randint(1, 120)))
+        if not (words := t.split()):
+            continue
+        n, size = len(words), max(1, len(re.sub(rb"\s+", b"", t)))
+        upper, lower = len(re.findall(rb"[A-Z]", t)), len(re.findall(rb"[a-z]", t))
+        found = dict(zip([name for name, _, _ in weak_quality.LABELLERS], weak_quality.shares(t, plain)))
+        assert found["marks"] == len(re.findall(rb"[#$%&*+/<=>@\\^_`{}~\x00-\x08\x0e-\x1f\x7f]", t)) / size
+        assert found["bars"] == sum(w == b"|" for w in words) / n and found["digits"] == len(re.findall(rb"[0-9]", t)) / size
+        assert found["capitals"] == (upper / (upper + lower) if upper + lower >= 20 else 0.2)
+        assert found["stutter"] == sum(a == b for a, b in zip(words, words[1:])) / n
+        assert found["odd_words"] == 1 - len(re.findall(rb"(?<![^\s])[A-Za-z\x80-\xff'-]+[.,;:?!]?(?![^\s])", t)) / n
+
+
 # ------------------------------------------------------------------- op 10
 def test_languages(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
