@@ -4,16 +4,16 @@
    a parameter): their k-nearest-neighbour graph is cut into equal parts by
    recursive bisection (a median cut along a main direction, then exchanges
    that lower the number of cut edges), and a small network learns the parts
-   of a vector's neighbours from the vector.
+   of a vector's neighbours from the vector. A fifth of the sample is kept from
+   the fit: on it the ``mass`` is measured that leads queries to the wanted
+   share of their neighbours.
 2. **Index.** Every row goes to its most probable part.
 3. **Search.** A query goes to its most probable parts until their
    probabilities sum to ``mass`` and they hold enough rows. Parts are cut into
-   blocks of bounded size on both sides, so a large part spreads over tasks; a
-   query's k-th best among the sample is a floor below which no row can be
-   one of its k best, so a block returns only rows above it, and those k join
-   what is found;
+   blocks of bounded size on both sides, so a large part spreads over tasks;
    each pair of blocks is one matrix product, and of the best few the measure
    is computed again term by term in double precision on the given vectors.
+   Nothing is found but in the parts that a query is led to.
 
 Equal vectors: of each distinct vector only the k + 1 rows of least id can
 ever be among the k nearest, so the others are left out of the index without
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window as W
 
 from .util import Scratch
 
-SAMPLE, NEIGHBOURS, HIDDEN, ROWS_A_PART, MOST_PARTS, MASS, BLOCK = 8192, 10, 256, 1500, 1024, 0.985, 2048
+SAMPLE, NEIGHBOURS, HIDDEN, ROWS_A_PART, MOST_PARTS, RECALL, BLOCK = 8192, 10, 256, 1500, 1024, 0.97, 2048
 
 
 @dataclass(frozen=True)
@@ -150,6 +150,23 @@ def fit_router(x, parts: int, seed: int = 7, steps: int = 1500, batch: int = 256
     return Router(*w, scale)
 
 
+def needed_mass(router: Router, x, k: int, recall: float) -> float:
+    """The least mass by which the rows ``x``, unknown to the router, are led to ``recall`` of their k nearest among themselves.
+
+    Among few rows the k nearest lie farther away than among all, so the
+    figure errs to the side of more parts.
+    """
+    import numpy as np
+
+    p = router.probabilities(x)
+    order = np.argsort(-p, axis=1, kind="stable")
+    ranked = np.take_along_axis(p, order, 1)
+    before = np.empty_like(p)
+    np.put_along_axis(before, order, np.cumsum(ranked, 1) - ranked, 1)  # a part's turn comes when this is below the mass
+    need = np.sort(np.take_along_axis(before, p.argmax(1)[nearest_in_sample(x, k)], 1).ravel())
+    return float(np.nextafter(need[math.ceil(recall * len(need)) - 1], 2.0)) if len(need) else 2.0
+
+
 def usable(df: DataFrame, vector: str, vec_id: str) -> DataFrame:
     """(``vec_id``, ``vector`` as doubles) of the rows that take part: an id, and a vector without null or non-finite components that isn't all zero."""
     v = F.col("vector")
@@ -158,7 +175,7 @@ def usable(df: DataFrame, vector: str, vec_id: str) -> DataFrame:
             .where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, finite), F.lit(False)) & F.exists(v, lambda x: x != 0)))
 
 
-def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "vec_id", k: int = 20, sample: int = SAMPLE, mass: float = MASS,
+def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "vec_id", k: int = 20, sample: int = SAMPLE, recall: float = RECALL,
            rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """The ``k`` rows of largest inner product found for each row for which ``is_query`` (a condition on ``vec_id``) holds.
 
@@ -169,6 +186,8 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
     rows that share an id with different vectors each counts. Vectors of other
     lengths than the most frequent one (ties: the shortest) take no part. An
     empty table gives an empty result. Other columns are not looked at.
+    ``recall`` is the share of neighbours to be found, as measured on the part
+    of the sample that is kept from the fit.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
@@ -191,8 +210,12 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
     parts = 1 << max(0, min(MOST_PARTS.bit_length() - 1, round(math.log2(max(1.0, total / rows_a_part)))))
     while parts > 1 and len(x) < 16 * parts:
         parts //= 2
-    sampled = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in chosen]), x))
-    router = spark.sparkContext.broadcast(tuple(vars(fit_router(x, parts)).values()) if parts > 1 else None)
+    fitted, mass = None, 2.0
+    if parts > 1:
+        apart = np.arange(len(x)) % 5 == 4
+        fitted = fit_router(x[~apart], parts)
+        mass = needed_mass(fitted, x[apart], max(1, min(k, int(apart.sum()) // 50)), recall)
+    router = spark.sparkContext.broadcast(tuple(vars(fitted).values()) if fitted is not None else None)
 
     def vectors(batch: pa.RecordBatch):
         return np.ascontiguousarray(batch.column(batch.schema.get_field_index("vector")).flatten().to_numpy()).reshape(-1, width)
@@ -215,30 +238,11 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
             before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
             rows_before = np.cumsum(sizes[order], 1) - sizes[order]
             go = (before < mass) | (rows_before < 20 * k)
-            own, sample = sampled.value
-            floor = np.full(len(p), -np.inf)
-            if len(sample) > 2 * k:
-                scores = vectors(batch) @ sample.T
-                scores[batch.column(0).to_numpy()[:, None] == own[None, :]] = -np.inf
-                floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-            yield (batch.append_column("parts", pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32())))
-                   .append_column("floor", pa.array(floor)))
-
-    def in_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k best of the sample: rows like any other, and as many as the floor promises."""
-        own, sample = sampled.value
-        for batch in batches:
-            ids, q = batch.column(0).to_numpy(), vectors(batch)
-            for a in range(len(q)):
-                exact = (sample * q[a]).sum(1)
-                best = np.lexsort((own, -exact))
-                best = best[own[best] != ids[a]][:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[a])), pa.array(own[best]), pa.array(exact[best])], ["query_id", "vec_id", "score"])
+            yield batch.append_column("parts", pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32())))
 
     asking = rows.where(is_query).distinct()
-    near = asking.mapInArrow(in_sample, "query_id long, vec_id long, score double")
-    queries = asking.mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>, floor double")
-    queries = scratch.table(queries.select("vec_id", "vector", "floor", F.explode("parts").alias("part")), "queries")
+    queries = asking.mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>")
+    queries = scratch.table(queries.select("vec_id", "vector", F.explode("parts").alias("part")), "queries")
     asked = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     half, few = BLOCK // 2, BLOCK // 8  # rows and queries of a block; a hash deals unevenly: blocks are half full on average
@@ -246,8 +250,8 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
     blocks = lambda side: F.element_at(F.element_at(grid, F.col("part")), side)
     dealt = lambda side: F.pmod(F.xxhash64("vec_id", F.lit(side)), blocks(side)).cast("int")
     spread = lambda side: F.explode(F.sequence(F.lit(0), blocks(side) - 1))
-    left = index.select("vec_id", "vector", "part", F.lit(False).alias("query"), F.lit(0.0).alias("floor"), dealt(1).alias("i"), spread(2).alias("q"))
-    right = queries.select("vec_id", "vector", "part", F.lit(True).alias("query"), "floor", spread(1).alias("i"), dealt(2).alias("q"))
+    left = index.select("vec_id", "vector", "part", F.lit(False).alias("query"), dealt(1).alias("i"), spread(2).alias("q"))
+    right = queries.select("vec_id", "vector", "part", F.lit(True).alias("query"), spread(1).alias("i"), dealt(2).alias("q"))
 
     def ranked(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
@@ -260,7 +264,6 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
             scores[qi[:, None] == ci[None, :]] = -np.inf
             n = min(k, len(ci))
             edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            edge = np.maximum(edge, table["floor"].to_numpy()[query])
             edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1.0, np.abs(edge)), -np.finfo(np.float64).max)
             for a in range(len(qi)):
                 c = np.flatnonzero(scores[a] >= edge[a])
@@ -271,6 +274,6 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
         return pa.table({"query_id": query_id, "vec_id": vec, "score": score})
 
     found = left.unionByName(right).groupBy("part", "i", "q").applyInArrow(ranked, "query_id long, vec_id long, score double")
-    found = found.unionByName(near).distinct()
+    found = found.distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
