@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
 from ..functions.columns import dlit
-from ..roles import DRIFT_MIN_ROWS, PSI_EMPTY_SHARE, PSI_HIGH, PSI_MODERATE
+from ..functions.tails import chi2_tail, ks_tail
+from ..roles import DRIFT_MIN_ROWS, PSI_EMPTY_SHARE, PSI_HIGH, PSI_MODERATE, TEST_LEVEL
 
 REF, CUR = 0, 1
 
@@ -307,38 +307,31 @@ def drift_stats_table(df: DataFrame, side: str, numeric: Sequence[str], categori
                                        "n_ref long, n_cur long")
 
 
+def significant(p: Column) -> Column:
+    """p < 0.05; a p that is NaN or NULL is no evidence."""
+    return F.coalesce(p < dlit(TEST_LEVEL), F.lit(False)) & ~F.isnan(F.coalesce(p, dlit(1.0)))
+
+
 def drift_report(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | None,
                  numeric: Sequence[str], categorical: Sequence[str], bins: int = 10,
                  edges: str = "shared", sided: tuple[DataFrame, str] | None = None
                  ) -> tuple[DataFrame, DataFrame]:
     """(per-feature table, one-row summary).
 
-    Statistics are distributed; the per-feature table (one row per feature)
-    comes to the driver only to attach p-values (pure functions of D, n, m /
-    χ², dof) and goes back as a DataFrame.
+    Statistics are distributed; p-values and flags are column expressions over
+    the per-feature table.
     """
-    if sided is not None:
-        stats_rows = drift_stats_table(sided[0], sided[1], numeric, categorical, bins, edges).collect()
-    else:
+    if sided is None:
         both = ref.select(*numeric, *categorical).withColumn("_side", F.lit(REF)).unionByName(
             cur.select(*numeric, *categorical).withColumn("_side", F.lit(CUR)))
-        stats_rows = drift_stats_table(both, "_side", numeric, categorical, bins, edges).collect()
-    rows = []
-    for r in stats_rows:
-        if r["kind"] == "numerical":
-            p = stats.ks_2samp_p(r["ks_statistic"], r["n_ref"], r["n_cur"])
-            rows.append((r["feature"], "numerical", r["psi"], r["ks_statistic"], p, None, r["drift_level"],
-                         bool(p < 0.05), bool(r["psi"] >= PSI_MODERATE or p < 0.05),
-                         max(r["psi"], r["ks_statistic"])))
-        else:
-            p = stats.chi2_sf(r["chi2_statistic"], r["dof"]) if r["dof"] > 0 else float("nan")
-            rows.append((r["feature"], "categorical", r["psi"], None, p, r["chi2_statistic"],
-                         r["drift_level"], bool(p < 0.05), bool(r["psi"] >= PSI_MODERATE or p < 0.05),
-                         r["psi"]))
-    schema = ("feature string, kind string, psi double, ks_statistic double, p_value double, "
-              "chi2_statistic double, drift_level string, test_drift boolean, drifted boolean, "
-              "drift_score double")
-    per = spark.createDataFrame(rows, schema)
+        sided = both, "_side"
+    table = drift_stats_table(sided[0], sided[1], numeric, categorical, bins, edges)
+    p = F.when(F.col("kind") == "numerical", ks_tail(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))).otherwise(chi2_tail(F.col("chi2_statistic"), F.col("dof")))
+    per = (table.withColumn("p_value", p)
+           .withColumn("test_drift", significant(F.col("p_value")))
+           .select("feature", "kind", "psi", "ks_statistic", "p_value", "chi2_statistic", "drift_level", "test_drift",
+                   ((F.col("psi") >= dlit(PSI_MODERATE)) | F.col("test_drift")).alias("drifted"),
+                   F.when(F.col("kind") == "numerical", F.greatest("psi", "ks_statistic")).otherwise(F.col("psi")).alias("drift_score")))
     summary = per.agg(
         F.coalesce(F.avg("drift_score"), dlit(0.0)).alias("overall_drift_score"),
         F.coalesce(F.max(F.col("drifted").cast("int")) == 1, F.lit(False)).alias("drift_detected"),
@@ -349,10 +342,27 @@ def drift_report(spark: SparkSession, ref: DataFrame | None, cur: DataFrame | No
 
 def prediction_drift(ref: DataFrame, cur: DataFrame, p: str, bins: int = 10,
                      edges: str = "shared") -> DataFrame:
-    """PSI and KS of the predictions plus means, population std, mean shift."""
-    st = numeric_drift_stats(ref, cur, [p], bins, edges, min_rows=1).select("psi", "ks_statistic", "n_ref", "n_cur")
+    """PSI, KS with its p-value and the verdict, means, population std, mean shift.
+
+    One row; ``drift_detected`` is a PSI from ``PSI_MODERATE`` on or a KS p below 0.05.
+    """
+    st = (numeric_drift_stats(ref, cur, [p], bins, edges, min_rows=1)
+          .withColumn("ks_p_value", ks_tail(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")))
+          .withColumn("drift_detected", (F.col("psi") >= dlit(PSI_MODERATE)) | significant(F.col("ks_p_value")))
+          .select("psi", "ks_statistic", "ks_p_value", "drift_detected", "n_ref", "n_cur"))
     r = ref.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).first()  # one-row scalars
     c = cur.agg(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).first()
     return (st.withColumn("ref_mean", dlit(r["m"])).withColumn("ref_std", dlit(r["s"]))
             .withColumn("cur_mean", dlit(c["m"])).withColumn("cur_std", dlit(c["s"]))
             .withColumn("mean_shift", dlit(c["m"] - r["m"])))
+
+
+def drift_run(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str], prediction: str,
+              bins: int = 10, edges: str = "shared") -> DataFrame:
+    """The whole run as one row: the features' verdict, the predictions' verdict, and both sizes."""
+    _, summary = drift_report(ref.sparkSession, ref, cur, numeric, categorical, bins, edges)
+    row = prediction_drift(ref, cur, prediction, bins, edges).first()  # one row, as are the sizes
+    names = {"prediction_psi": "psi", "prediction_ks_statistic": "ks_statistic", "prediction_ks_p_value": "ks_p_value",
+             "prediction_drift_detected": "drift_detected", "mean_shift": "mean_shift"}
+    return summary.select("*", *[F.lit(row[c]).alias(name) for name, c in names.items()],
+                          F.lit(ref.count()).cast("long").alias("reference_size"), F.lit(cur.count()).cast("long").alias("current_size"))

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dlit, safe_div
-from ..roles import (DP_REVIEW, DP_WARNING, FOUR_FIFTHS, MEAN_DIFF_REVIEW,
-                     MEAN_DIFF_WARNING)
+from ..functions.tails import f_tail
+from ..roles import (AUDIT_GAP, AUDIT_RECOMMENDATIONS, CALIBRATE_TEXT, DP_REVIEW, DP_WARNING, FOUR_FIFTHS,
+                     MEAN_DIFF_REVIEW, MEAN_DIFF_WARNING, PROXY_CORR_THRESHOLD, PROXY_P_THRESHOLD, REVIEW_TEXT)
 from . import quantile
 
 
@@ -124,9 +125,9 @@ def fairness_status(disp: DataFrame) -> DataFrame:
     dp_txt = F.format_string("%.3f", F.coalesce(F.col("dp_difference"), dlit(0.0)))
     recs = F.filter(F.array(
         F.when(F.col("status") != "PASS",
-               F.concat(F.lit("Review "), F.col("attribute"), F.lit(" fairness: DP difference = "), dp_txt)),
+               F.concat(F.lit(REVIEW_TEXT), F.col("attribute"), F.lit(" fairness: DP difference = "), dp_txt)),
         F.when(dp > dlit(DP_WARNING),
-               F.concat(F.lit("Consider post-processing calibration for "), F.col("attribute")))),
+               F.concat(F.lit(CALIBRATE_TEXT), F.col("attribute")))),
         lambda x: x.isNotNull())
     return disp.withColumn("status", status).withColumn("recommendations", recs)
 
@@ -269,8 +270,8 @@ def anova_by_group(df: DataFrame, attr: str, features: Sequence[str]) -> DataFra
 
     Per (feature, group): n, mean, sum of squared deviations (var_pop·n) in
     one grouped pass over the unpivoted features; then F from those moments.
-    Requires ≥2 groups each with >1 value (as the reference). p-values are
-    added on the driver by ``stats.f_sf`` (see ``with_anova_p``).
+    Requires ≥2 groups each with >1 value (as the reference). ``proxy_table``
+    has p-values and flags.
     """
     long = df.select(F.col(attr).alias("group"),
                      F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
@@ -304,3 +305,67 @@ def pearson_proxies(df: DataFrame, attr: str, features: Sequence[str],
     return (long.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
             .select(F.lit(attr).alias("protected"), "feature", "correlation",
                     (F.abs("correlation") > dlit(threshold)).alias("is_proxy")))
+
+
+def proxy_table(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], features: Sequence[str],
+                threshold: float = PROXY_CORR_THRESHOLD, level: float = PROXY_P_THRESHOLD) -> DataFrame:
+    """Each protected attribute against each numeric feature, in one scan.
+
+    Categorical attributes: one-way ANOVA, its p-value, and a flag where
+    p < ``level``; only with two or more groups that all have more than one
+    value. Numeric attributes: Pearson's r over the rows that have both, and a
+    flag where |r| > ``threshold``. One row per pair that has a statistic:
+    ``protected``, ``feature``, ``method``, ``groups``, ``n``, ``statistic``,
+    ``p_value`` (null for r), ``is_proxy``. Rows with a NULL attribute or
+    feature take no part in that pair. A feature that is constant within all
+    groups but differs between them has F = infinity and p = 0.
+
+    A row becomes one per attribute (not one per pair); the moments of all
+    features are aggregated side by side per (attribute, group), partially
+    before the shuffle, so a hot group costs no more than another.
+    """
+    at = lambda a, group, value: F.struct(F.lit(a).alias("protected"), group.alias("group"), value.alias("value"))
+    sides = [at(a, F.col(a).cast("string"), F.lit(None).cast("double")) for a in categorical]
+    sides += [at(a, F.lit(None).cast("string"), F.col(a).cast("double")) for a in numeric]
+    xs = [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]
+    long = df.select(F.explode(F.array(*sides)).alias("s"), *xs).select("s.*", *[f"_x{i}" for i in range(len(features))])
+    long = long.where(F.col("group").isNotNull() | F.col("value").isNotNull())
+    both = lambda x: F.when(F.col("value").isNotNull() & ~F.isnan("value"), x)
+    moments = []
+    for i, f in enumerate(features):
+        x = F.when(~F.isnan(f"_x{i}"), F.col(f"_x{i}"))
+        moments.append(F.struct(F.lit(f).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("ss"),
+                                F.covar_pop(F.when(~F.isnan("value"), F.col("value")), both(x)).alias("cov"), F.var_pop(both(x)).alias("vx"),
+                                F.var_pop(F.when(x.isNotNull() & ~F.isnan("value"), F.col("value"))).alias("vy"), F.count(both(x)).alias("pairs")))
+    groups = (long.groupBy("protected", "group").agg(F.array(*moments).alias("_m"))
+              .select("protected", "group", F.explode("_m").alias("_m")).select("protected", "group", "_m.*"))
+    # from here on a row per (attribute, group, feature)
+    pearson = (groups.withColumn("r", safe_div(F.col("cov"), F.sqrt("vx") * F.sqrt("vy")))  # NULL of a constant
+               .where(F.col("group").isNull() & F.col("r").isNotNull() & ~F.isnan("r"))
+               .select("protected", "feature", F.lit("pearson").alias("method"), F.lit(None).cast("long").alias("groups"), F.col("pairs").alias("n"),
+                       F.col("r").alias("statistic"), F.lit(None).cast("double").alias("p_value"), (F.abs("r") > dlit(threshold)).alias("is_proxy")))
+    cells = groups.where(F.col("group").isNotNull())
+    centre = cells.groupBy(F.col("protected").alias("_p"), F.col("feature").alias("_f")).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
+    gap = F.col("m") - F.col("gm")
+    anova = (cells.join(centre, F.col("protected").eqNullSafe(F.col("_p")) & F.col("feature").eqNullSafe(F.col("_f")))
+             .groupBy("protected", "feature")
+             .agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.min("n").alias("least"),
+                  F.sum(F.col("n") * gap * gap).alias("between"), F.sum("ss").alias("within"))
+             .where((F.col("groups") >= 2) & (F.col("least") > 1)))
+    d1, d2 = F.col("groups") - 1, F.col("n") - F.col("groups")
+    infinite = (F.col("within") == 0) & (F.col("between") > 0)
+    statistic = F.when(infinite, dlit(float("inf"))).otherwise(safe_div(F.col("between") / d1, F.col("within") / d2))
+    anova = (anova.withColumn("statistic", statistic).where(F.col("statistic").isNotNull())
+             .withColumn("p_value", f_tail(F.col("statistic"), d1, d2))
+             .select("protected", "feature", F.lit("anova").alias("method"), "groups", "n", "statistic", "p_value",
+                     (F.col("p_value") < dlit(level)).alias("is_proxy")))
+    return anova.unionByName(pearson)
+
+
+def audit_verdict(disp: DataFrame, gap: float = AUDIT_GAP) -> DataFrame:
+    """The audit's verdict per attribute: ``gaps_detected`` if the demographic-parity or the equalised-odds difference
+    exceeds ``gap``, then with the fixed recommendations (else none). Missing differences count as 0."""
+    dp, eo = (F.abs(F.coalesce(F.col(c), dlit(0.0))) for c in ("dp_difference", "eo_difference"))
+    texts = F.array(*[F.lit(t) for t in AUDIT_RECOMMENDATIONS])
+    return (disp.select("attribute", "dp_difference", "eo_difference", ((dp > dlit(gap)) | (eo > dlit(gap))).alias("gaps_detected"))
+            .withColumn("recommendations", F.when(F.col("gaps_detected"), texts).otherwise(F.array().cast("array<string>"))))

@@ -173,8 +173,7 @@ def drift_report_stats(spark, sf):
 
 # p-values in SQL: the asymptotic Kolmogorov tail with Stephens' correction as
 # a fixed alternating series, and the χ² upper tail as 1 - the lower regularised
-# gamma series (terms via lgamma) — the same functions ``functions/stats.py``
-# evaluates on the driver.
+# gamma series (terms via lgamma), while the operators integrate (``functions/tails.py``).
 PVAL_CTES = """kl AS (SELECT *, (sqrt(CAST(n_ref * n_cur AS DOUBLE) / CAST(n_ref + n_cur AS DOUBLE)) + 0.12
                    + 0.11 / sqrt(CAST(n_ref * n_cur AS DOUBLE) / CAST(n_ref + n_cur AS DOUBLE))) * ks_statistic AS lam
             FROM ks WHERE n_ref > 0 AND n_cur > 0),
@@ -237,7 +236,42 @@ FROM psi p JOIN ks k USING (feature),
     psi_num_sql(False)[1:], KS_CTES), ops=("A25",))
 def prediction_drift(spark, sf):
     r, c = ref_cur(spark, sf)
-    return round_doubles(DR.prediction_drift(r, c, "predicted_salary"))
+    return round_doubles(DR.prediction_drift(r, c, "predicted_salary").drop("ks_p_value", "drift_detected"))
+
+
+PREDICTED_LONG = f"""lnum AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '{CUTOFF}' THEN 0 ELSE 1 END AS side,
+                  'predicted_salary' AS feature, predicted_salary AS x FROM cand WHERE predicted_salary IS NOT NULL)"""
+
+
+@register("prediction_drift_verdict", with_cand("""
+SELECT round(psi, 4) AS psi, round(ks_statistic, 4) AS ks_statistic, round(p_value, 4) AS ks_p_value,
+       (psi >= 0.1 OR p_value < 0.05) AS drift_detected, n_ref, n_cur
+FROM psi JOIN ks USING (feature) JOIN kp USING (feature)""", PREDICTED_LONG, psi_num_sql(False)[1:], KS_CTES, PVAL_CTES.split("cpv AS")[0].rstrip().rstrip(",")),
+    ops=("A25",))
+def prediction_drift_verdict(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.prediction_drift(r, c, "predicted_salary").select("psi", "ks_statistic", "ks_p_value", "drift_detected", "n_ref", "n_cur"))
+
+
+@register("drift_run", with_cand(f"""
+SELECT round((SELECT avg(drift_score) FROM rep), 4) AS overall_drift_score,
+       coalesce((SELECT max(CASE WHEN drifted THEN 1 ELSE 0 END) = 1 FROM rep), false) AS drift_detected,
+       coalesce((SELECT list(feature ORDER BY feature) FROM rep WHERE drifted), []) AS drifted_features,
+       (SELECT count(*) FROM rep) AS n_features,
+       round(p.psi, 4) AS prediction_psi, round(p.ks_statistic, 4) AS prediction_ks_statistic,
+       round(p.p_value, 4) AS prediction_ks_p_value, (p.psi >= 0.1 OR p.p_value < 0.05) AS prediction_drift_detected,
+       (SELECT count(*) FROM cand WHERE o_orderdate < TIMESTAMP '{CUTOFF}') AS reference_size,
+       (SELECT count(*) FROM cand WHERE o_orderdate >= TIMESTAMP '{CUTOFF}') AS current_size
+FROM (SELECT * FROM psi JOIN ks USING (feature) JOIN kp USING (feature) WHERE feature = 'predicted_salary') p""",
+    f"""lnum AS (
+  UNPIVOT (SELECT CASE WHEN o_orderdate < TIMESTAMP '{CUTOFF}' THEN 0 ELSE 1 END AS side,
+                  {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in [*NUM, "predicted_salary"])} FROM cand)
+  ON {", ".join([*NUM, "predicted_salary"])} INTO NAME feature VALUE x)""", LONG_CAT_CTE,
+    psi_num_sql(False)[1:], KS_CTES, PSI_CAT_CTES, CHI2_CTES, PVAL_CTES,
+    "rep AS (SELECT * FROM (" + DRIFT_REPORT_SELECT + ") WHERE feature <> 'predicted_salary')"), ops=("A24", "A25", "A26"))
+def drift_run(spark, sf):
+    r, c = ref_cur(spark, sf)
+    return round_doubles(DR.drift_run(r, c, NUM, CAT, "predicted_salary").drop("mean_shift"))
 
 
 # The reference's default run samples the current table from the reference

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd, round_doubles
 from ..operators import fairness as FA
-from ..roles import NUMERICAL_FEATURES
+from ..roles import AUDIT_RECOMMENDATIONS, NUMERICAL_FEATURES
 from ..sources.tables import cand, with_cand
 from .metrics_q import AGE_GROUP_SQL, with_age_group
 from .registry import register
@@ -251,3 +251,65 @@ def fairness_export(spark, sf):
                   F.lit(None).cast("double").alias("bias"),
                   rnd("dp_difference", 2).alias("dp_difference"))
     return g.unionByName(a)
+
+
+# Attributes of the proxy table: with k groups the between-degrees of freedom
+# are k - 1; all three have an odd k, so that the oracle has the F tail as the
+# finite sum of the incomplete beta function with an integer parameter.
+PROXY_CATEGORICAL = ("gender", "location", "company_size")
+
+
+def _anova_sql(attr: str, feature: str) -> str:
+    return f"""
+SELECT '{attr}' AS protected, '{feature}' AS feature, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n,
+       (sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / nullif(sum(ss) / (sum(n) - count(*)), 0) AS f
+FROM (SELECT {attr}, count(*) AS n, avg(CAST({feature} AS DOUBLE)) AS m, var_pop(CAST({feature} AS DOUBLE)) * count(*) AS ss
+      FROM cand WHERE {feature} IS NOT NULL AND {attr} IS NOT NULL GROUP BY {attr}) g,
+     (SELECT avg(CAST({feature} AS DOUBLE)) AS gm FROM cand WHERE {feature} IS NOT NULL AND {attr} IS NOT NULL) o"""
+
+
+@register("proxy_features", with_cand("""
+SELECT protected, feature, 'anova' AS method, groups, n, round(f, 4) AS statistic, round(p, 4) AS p_value, p < 0.05 AS is_proxy FROM tail
+UNION ALL """ + " UNION ALL ".join(f"""
+SELECT '{a}', '{f}', 'pearson', NULL, CAST(regr_count(CAST({a} AS DOUBLE), CAST({f} AS DOUBLE)) AS BIGINT),
+       round(corr(CAST({a} AS DOUBLE), CAST({f} AS DOUBLE)), 4), NULL, abs(corr(CAST({a} AS DOUBLE), CAST({f} AS DOUBLE))) > 0.3
+FROM cand""" for a in ("age", "salary") for f in NUMERICAL_FEATURES),
+    "anova AS (" + " UNION ALL ".join(_anova_sql(a, f) for a in PROXY_CATEGORICAL for f in NUMERICAL_FEATURES) + ")",
+    # I_x(a, b) for integer b: x^a times the first b terms of (1 - x)^-a in powers of 1 - x
+    """parts AS (SELECT *, (n - groups) / 2.0 AS a, CAST((groups - 1) / 2 AS BIGINT) AS b,
+                     (groups - 1) * f / ((n - groups) + (groups - 1) * f) AS q FROM anova),
+tail AS (SELECT *, exp(a * ln(1 - q)) * (SELECT sum(exp(lgamma(a + j) - lgamma(a) - lgamma(j + 1) + CASE WHEN j = 0 THEN 0 ELSE j * ln(q) END))
+                                         FROM range(0, 100) t(j) WHERE j < b) AS p FROM parts)"""), ops=("A14", "A15"))
+def proxy_features(spark, sf):
+    """Gender, location and company size by ANOVA, age and (as an attribute that previous pay betrays) salary by Pearson."""
+    return round_doubles(FA.proxy_table(cand(spark, sf), PROXY_CATEGORICAL, ("age", "salary"), list(NUMERICAL_FEATURES)))
+
+
+# Attributes of which some have gaps: pay bands split the predictions, bands of the interview score their errors.
+VERDICT_ATTRS = {
+    "gender": "CAST(gender AS STRING)",
+    "pay_band": "CASE WHEN previous_salary >= 30000 THEN 'upper' WHEN previous_salary < 30000 THEN 'lower' END",
+    "score_band": "CASE WHEN interview_score >= 7 THEN 'upper' WHEN interview_score < 7 THEN 'lower' END",
+    "line_band": "CASE WHEN skills_count <= 2 OR (skills_count = 3 AND previous_salary >= 20000) THEN 'early' WHEN skills_count >= 3 THEN 'late' END",
+}
+VERDICT_LONG = "long AS (" + " UNION ALL ".join(
+    f"""SELECT '{a}' AS attribute, {e.replace("STRING", "VARCHAR")} AS "group", salary, predicted_salary, y_bin, p_bin FROM scored""" for a, e in VERDICT_ATTRS.items()) + ")"
+
+
+def _verdict_disparities(spark, sf):
+    df = cand(spark, sf)
+    df = df.select("salary", "predicted_salary", *[F.expr(e).alias(a) for a, e in VERDICT_ATTRS.items()])
+    return FA.fairness_metrics(df, list(VERDICT_ATTRS))[1]
+
+
+@register("fairness_verdicts", with_cand(f"""
+SELECT s.attribute, s.status, s.dp_difference, s.mean_prediction_difference, s.recommendations,
+       round(d.eo_difference, 4) AS eo_difference, (abs(d.dp_difference) > 0.05 OR abs(d.eo_difference) > 0.05) AS gaps_detected,
+       CASE WHEN abs(d.dp_difference) > 0.05 OR abs(d.eo_difference) > 0.05 THEN [{", ".join(f"'{t}'" for t in AUDIT_RECOMMENDATIONS)}] ELSE [] END AS audit_recommendations
+FROM ({STATUS_SQL}) s JOIN disp d USING (attribute)""", SCORED_CTE, VERDICT_LONG, RATES_CTE, DISP_CTE), ops=("A13", "S11"))
+def fairness_verdicts(spark, sf):
+    """Dashboard status and audit verdict of attributes with and without gaps."""
+    disp = _verdict_disparities(spark, sf)
+    audit = FA.audit_verdict(disp).select("attribute", "gaps_detected", F.col("recommendations").alias("audit_recommendations"))
+    status = FA.fairness_status(disp).select("attribute", "status", "dp_difference", "mean_prediction_difference", "recommendations", "eo_difference")
+    return round_doubles(status.join(audit, "attribute"))

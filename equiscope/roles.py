@@ -101,11 +101,24 @@ FOUR_FIFTHS = 0.8
 PROXY_CORR_THRESHOLD = 0.3
 PROXY_P_THRESHOLD = 0.05
 
+# The audit's verdict on an attribute, and what it recommends if a gap exceeds it.
+AUDIT_GAP = 0.05
+AUDIT_RECOMMENDATIONS = (
+    "Apply fairness-constrained training (ExponentiatedGradient)",
+    "Consider post-processing calibration",
+    "Review proxy features",
+    "Increase representation of underrepresented groups",
+)
+# Dashboard recommendations: the attribute follows (and, in the first, "fairness: DP difference = 0.000").
+REVIEW_TEXT = "Review "
+CALIBRATE_TEXT = "Consider post-processing calibration for "
+
 # Drift thresholds.
 PSI_HIGH = 0.25
 PSI_MODERATE = 0.10
 PSI_EMPTY_SHARE = 0.0001
 DRIFT_MIN_ROWS = 10
+TEST_LEVEL = 0.05
 
 # Metric-name normalisation: (source name, normalised name), first present wins.
 METRIC_NAME_MAP = (("MAE", "mae"), ("RMSE", "rmse"), ("R2", "r2"), ("mae", "mae"), ("rmse", "rmse"),
