@@ -78,5 +78,5 @@ def load_all() -> dict[str, Query]:
     # Importing the plan modules fills QUERIES.
     # light queries first; the heaviest (k-NN pairs, ML training, streams) last
     from . import (metrics_q, fairness_q, features_q, conformal_q, drift_q,  # noqa: F401
-                   profile_q, history_q, similar_q, stream_q, model_q)
+                   profile_q, history_q, similar_q, stream_q, model_q, artefacts_q)
     return QUERIES
