@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dlit, round_doubles
 from ..operators import history as H
+from ..sources.documents import format_document, parse_documents
 from ..sources.tables import table
 from .registry import register
 
@@ -144,3 +145,22 @@ def predictions_with_users(spark, sf):
     return H.with_owner(o, u).agg(F.count(F.lit(1)).alias("predictions"),
                                   F.count("uid").alias("with_user"),
                                   F.count_if(F.col("uid").isNull()).alias("orphans"))
+
+
+# Events' properties as documents; those of errors are cut short, so that malformed ones occur.
+PROPS = "CASE WHEN event_type = 'error' THEN substring(props, 1, length(props) - 1) ELSE props END"
+
+
+@register("event_documents", f"""
+SELECT event_type, count(*) AS events, CAST(sum(CASE WHEN NOT json_valid(p) THEN 1 ELSE 0 END) AS BIGINT) AS malformed,
+       CAST(sum(CASE WHEN json_valid(p) THEN CAST(json_extract_string(CASE WHEN json_valid(p) THEN p END, '$.k') AS BIGINT) END) AS BIGINT) AS sum_k,
+       CAST(count(CASE WHEN json_valid(p) THEN 1 END) AS BIGINT) AS round_trips
+FROM (SELECT event_type, {PROPS} AS p FROM events) t GROUP BY event_type""", ops=("S4",))
+def event_documents(spark, sf):
+    """Every event's properties parsed, counted by outcome, and held against their way to text and back."""
+    e = table(spark, sf, "events").select("event_type", F.expr(PROPS).alias("p"))
+    there = parse_documents(e, "p", "k bigint").withColumn("text", format_document("document"))
+    back = parse_documents(there, "text", "k bigint", "again", "unreadable")
+    return back.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if("malformed").alias("malformed"), F.sum("document.k").alias("sum_k"),
+        F.count(F.when(F.col("again") == F.col("document"), 1)).alias("round_trips"))

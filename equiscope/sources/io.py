@@ -33,18 +33,22 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def read_candidates(spark: SparkSession, path: str, schema: T.StructType = CANDIDATE_SCHEMA) -> DataFrame:
     """Header CSV; columns are found by their header name, in any order.
 
-    Fields are read as text and cast: integers by way of doubles, since a
-    writer that knows NaN gives ``30.0`` for 30. Empty fields, NaN and what
-    can't be cast are NULL; a column that the file lacks is an error.
+    Fields are read as text and cast: integers by way of decimals, since a
+    writer that knows NaN gives ``30.0`` for 30. Empty fields, NaN, integers
+    with a fraction and what can't be cast are NULL. A column that the file
+    lacks is an error; so is, of several files, one whose header is not the
+    first one's, as its fields would fall under other names.
     """
-    text = spark.read.option("header", True).csv(path)
+    first = spark.read.option("header", True).csv(path)
+    text = spark.read.schema(first.schema).option("header", True).option("enforceSchema", False).csv(path)
     missing = [f.name for f in schema.fields if f.name not in text.columns]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
 
     def cast(f: T.StructField):
         if isinstance(f.dataType, T.IntegralType):
-            return F.col(f.name).try_cast("double").try_cast(f.dataType)
+            exact = F.col(f.name).try_cast("decimal(38,12)")
+            return F.when(exact == F.floor(exact), exact.try_cast(f.dataType))
         return F.col(f.name).try_cast(f.dataType)
 
     return nan_to_null(text.select(*[cast(f).alias(f.name) for f in schema.fields]))

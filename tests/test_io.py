@@ -1,10 +1,14 @@
 """Round trips of sources and sinks."""
+import json
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equiscope.session import ensure_checkpoint_dir
+from equiscope.sources import documents as DOC
 from equiscope.sources import io as IO
 from equiscope.sources.sampling import hash_sample, hash_split
 
@@ -66,3 +70,33 @@ def test_int_key_hash_equals_its_sql_text(spark):
                      + ", ".join(f"({a}::BIGINT, {b}::BIGINT)" for a, b in keys) + ") t(a, b)")
     want = {(a, b): h for a, b, h in rel.fetchall()}
     assert got == want and len(set(got.values())) == len(keys)
+
+
+def _csv(spark, *files):
+    path = _p(spark, "csvs")
+    for lines in files:
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def test_csv_files_of_one_folder_have_one_header(spark):
+    schema = T.StructType([T.StructField("age", T.IntegerType()), T.StructField("salary", T.LongType())])
+    same = _csv(spark, ["salary,age", "100,40"], ["salary,age", "200,30.0", "9007199254740993,30.5"])
+    assert {(r["age"], r["salary"]) for r in IO.read_candidates(spark, same, schema).collect()} == {(40, 100), (30, 200), (None, 9007199254740993)}
+    with pytest.raises(Exception, match="(?i)header"):
+        IO.read_candidates(spark, _csv(spark, ["age,salary", "40,100"], ["salary,age", "200,30"]), schema).collect()
+
+
+def test_documents(spark):
+    texts = ['{"k": 1, "tags": ["a", null], "of": {"x": 1.5}}', '{"of": {"x": 2}, "other": 3}', "{}", '{"k": "many"}', '{"k": 1', "no json", "", "  ", None, '{"k": 5, "k": 6}']
+    df = spark.createDataFrame([(i, t, "given") for i, t in enumerate(texts)], "i int, t string, document string")
+    schema = "k bigint, tags array<string>, of struct<x: double>"
+    rows = DOC.parse_documents(df, "t", schema).withColumn("text", DOC.format_document("document")).orderBy("i").collect()
+    assert [r["malformed"] for r in rows] == [False] * 3 + [True] * 3 + [False] * 4
+    assert [r["document"] is None for r in rows] == [False] * 3 + [True] * 6 + [False]
+    assert rows[0]["document"]["tags"] == ["a", None] and rows[0]["document"]["of"]["x"] == 1.5 and rows[1]["document"]["k"] is None and rows[9]["document"]["k"] == 6
+    assert json.loads(rows[1]["text"]) == {"k": None, "tags": None, "of": {"x": 2.0}} and rows[3]["text"] is None
+    again = DOC.parse_documents(spark.createDataFrame(rows, "i int, t string, document struct<k: bigint, tags: array<string>, of: struct<x: double>>, malformed boolean, text string"),
+                                "text", schema, "again").orderBy("i").collect()
+    assert [r["again"] for r in again] == [r["document"] for r in rows]
+    assert DOC.parse_documents(df.where("false"), "t", schema).count() == 0
