@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.columns import dlit, safe_div
 from ..functions.tails import f_tail
@@ -322,7 +323,8 @@ def proxy_table(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str
 
     A row becomes one per attribute (not one per pair); the moments of all
     features are aggregated side by side per (attribute, group), partially
-    before the shuffle, so a hot group costs no more than another.
+    before the shuffle, so a hot group costs no more than another. Only the
+    table of groups meets in a window, for the mean over all groups.
     """
     at = lambda a, group, value: F.struct(F.lit(a).alias("protected"), group.alias("group"), value.alias("value"))
     sides = [at(a, F.col(a).cast("string"), F.lit(None).cast("double")) for a in categorical]
@@ -339,27 +341,25 @@ def proxy_table(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str
                                 F.var_pop(F.when(x.isNotNull() & ~F.isnan("value"), F.col("value"))).alias("vy"), F.count(both(x)).alias("pairs")))
     groups = (long.groupBy("protected", "group").agg(F.array(*moments).alias("_m"))
               .select("protected", "group", F.explode("_m").alias("_m")).select("protected", "group", "_m.*"))
-    # from here on a row per (attribute, group, feature)
-    pearson = (groups.withColumn("r", safe_div(F.col("cov"), F.sqrt("vx") * F.sqrt("vy")))  # NULL of a constant
-               .where(F.col("group").isNull() & F.col("r").isNotNull() & ~F.isnan("r"))
-               .select("protected", "feature", F.lit("pearson").alias("method"), F.lit(None).cast("long").alias("groups"), F.col("pairs").alias("n"),
-                       F.col("r").alias("statistic"), F.lit(None).cast("double").alias("p_value"), (F.abs("r") > dlit(threshold)).alias("is_proxy")))
-    cells = groups.where(F.col("group").isNotNull())
-    centre = cells.groupBy(F.col("protected").alias("_p"), F.col("feature").alias("_f")).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
-    gap = F.col("m") - F.col("gm")
-    anova = (cells.join(centre, F.col("protected").eqNullSafe(F.col("_p")) & F.col("feature").eqNullSafe(F.col("_f")))
-             .groupBy("protected", "feature")
-             .agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.min("n").alias("least"),
-                  F.sum(F.col("n") * gap * gap).alias("between"), F.sum("ss").alias("within"))
-             .where((F.col("groups") >= 2) & (F.col("least") > 1)))
+    # from here on a row per (attribute, group, feature); a numeric attribute has the one group NULL
+    pair = W.partitionBy("protected", "feature")
+    gap = F.col("m") - safe_div(F.sum(F.col("n") * F.col("m")).over(pair), F.sum("n").over(pair))
+    table = (groups.withColumn("gap", gap).groupBy("protected", "feature")
+             .agg(F.count("group").alias("groups"), F.sum("n").alias("n"), F.min("n").alias("least"),
+                  F.sum(F.col("n") * F.col("gap") * F.col("gap")).alias("between"), F.sum("ss").alias("within"),
+                  *[F.max(F.when(F.col("group").isNull(), F.col(c))).alias(c) for c in ("cov", "vx", "vy", "pairs")]))
     d1, d2 = F.col("groups") - 1, F.col("n") - F.col("groups")
     infinite = (F.col("within") == 0) & (F.col("between") > 0)
-    statistic = F.when(infinite, dlit(float("inf"))).otherwise(safe_div(F.col("between") / d1, F.col("within") / d2))
-    anova = (anova.withColumn("statistic", statistic).where(F.col("statistic").isNotNull())
-             .withColumn("p_value", f_tail(F.col("statistic"), d1, d2))
-             .select("protected", "feature", F.lit("anova").alias("method"), "groups", "n", "statistic", "p_value",
-                     (F.col("p_value") < dlit(level)).alias("is_proxy")))
-    return anova.unionByName(pearson)
+    f = F.when(infinite, dlit(float("inf"))).otherwise(safe_div(safe_div(F.col("between"), d1), safe_div(F.col("within"), d2)))
+    r = safe_div(F.col("cov"), F.sqrt("vx") * F.sqrt("vy"))  # NULL of a constant
+    anova = F.col("groups") > 0
+    enough = (F.col("groups") >= 2) & (F.col("least") > 1)
+    return (table.withColumn("statistic", F.when(anova, F.when(enough, f)).otherwise(r))
+            .where(F.col("statistic").isNotNull() & ~F.isnan("statistic"))
+            .withColumn("p_value", F.when(anova, f_tail(F.col("statistic"), d1, d2)))
+            .select("protected", "feature", F.when(anova, "anova").otherwise("pearson").alias("method"), F.when(anova, F.col("groups")).alias("groups"),
+                    F.when(anova, F.col("n")).otherwise(F.col("pairs")).alias("n"), "statistic", "p_value",
+                    F.when(anova, F.col("p_value") < dlit(level)).otherwise(F.abs("statistic") > dlit(threshold)).alias("is_proxy")))
 
 
 def audit_verdict(disp: DataFrame, gap: float = AUDIT_GAP) -> DataFrame:
