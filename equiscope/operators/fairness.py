@@ -144,6 +144,41 @@ def overall_status(status: DataFrame) -> DataFrame:
          .alias("recommendations"))
 
 
+# ------------------------------------------------------------------------ S11
+def report_lines(status: DataFrame, rates: DataFrame) -> DataFrame:
+    """The exported audit report as (``section``, ``position`` from 1, ``line``), each line a CSV record.
+
+    Sections: ``1 status`` (the overall status), ``2 attributes`` (status, gaps
+    and recommendations, "None" without), ``3 groups`` (metrics; whole amounts
+    rounded half up, "N/A" where a metric is missing or 0), ``4 recommendations``
+    (numbered, of all attributes that don't pass). Ordered by attribute, group.
+    ``status`` is ``fairness_status``'s table, ``rates`` the groups'.
+    """
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, '"', '""'), F.lit('"'))
+    fixed = lambda x, d: F.format_string(f"%.{d}f", F.coalesce(F.col(x), dlit(0.0)))
+    whole = lambda x: F.floor(F.col(x) + dlit(0.5)).cast("string")
+    known = lambda x, shown: F.when(F.col(x) != 0, shown).otherwise(F.lit("N/A"))
+    advice = F.array_join("recommendations", "; ")
+    rows = [
+        overall_status(status).select(F.lit("1 status").alias("section"), F.lit("").alias("_a"), F.lit("").alias("_b"), F.lit(0).alias("_c"),
+                                      F.concat(F.lit("Overall Status,"), "overall_status").alias("line")),
+        status.select(F.lit("2 attributes"), "attribute", F.lit(""), F.lit(0),
+                      F.concat_ws(",", "attribute", "status", fixed("dp_difference", 4), fixed("mean_prediction_difference", 2),
+                                  quoted(F.when(advice == "", F.lit("None")).otherwise(advice)))),
+        rates.select(F.lit("3 groups"), "attribute", "group", F.lit(0),
+                     F.concat_ws(",", "attribute", quoted(F.col("group")), F.col("count").cast("string"), whole("mean_predicted"), known("mean_actual", whole("mean_actual")),
+                                 known("mae", fixed("mae", 2)), known("rmse", fixed("rmse", 2)), whole("bias"))),
+        status.where("status <> 'PASS'").select("attribute", F.posexplode("recommendations"))
+        .select(F.lit("4 recommendations"), "attribute", F.lit(""), "pos", quoted(F.col("col"))),
+    ]
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.union(part)
+    place = F.row_number().over(W.partitionBy("section").orderBy("_a", "_b", "_c"))  # a row per attribute, group or recommendation
+    numbered = F.when(F.col("section") == "4 recommendations", F.concat_ws(",", F.col("position").cast("string"), "line")).otherwise(F.col("line"))
+    return out.withColumn("position", place).select("section", "position", numbered.alias("line"))
+
+
 # ------------------------------------------------------------------------- A6
 def audit_cube(df: DataFrame, attrs: Sequence[str], y: str = "salary",
                p: str = "predicted_salary") -> DataFrame:

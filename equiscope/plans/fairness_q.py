@@ -313,3 +313,29 @@ def fairness_verdicts(spark, sf):
     audit = FA.audit_verdict(disp).select("attribute", "gaps_detected", F.col("recommendations").alias("audit_recommendations"))
     status = FA.fairness_status(disp).select("attribute", "status", "dp_difference", "mean_prediction_difference", "recommendations", "eo_difference")
     return round_doubles(status.join(audit, "attribute"))
+
+
+_Q = "chr(34)"
+_NA = "CASE WHEN {0} <> 0 THEN {1} ELSE 'N/A' END"
+_WHOLE = "CAST(CAST(floor({0} + 0.5) AS BIGINT) AS VARCHAR)"
+
+
+@register("fairness_report", with_cand(f"""
+SELECT section, CAST(position AS INTEGER) AS position, CASE WHEN section = '4 recommendations' THEN position || ',' || line ELSE line END AS line
+FROM (SELECT section, line, row_number() OVER (PARTITION BY section ORDER BY a, b, c) AS position FROM (
+  SELECT '1 status' AS section, '' AS a, '' AS b, 0 AS c, 'Overall Status,' || CASE WHEN max(CASE WHEN status <> 'PASS' THEN 1 ELSE 0 END) = 1 THEN 'REVIEW' ELSE 'PASS' END AS line FROM st
+  UNION ALL
+  SELECT '2 attributes', st.attribute, '', 0, st.attribute || ',' || status || ',' || printf('%.4f', d.dp_difference) || ',' || printf('%.2f', d.mean_prediction_difference) || ','
+         || {_Q} || CASE WHEN len(recommendations) = 0 THEN 'None' ELSE array_to_string(recommendations, '; ') END || {_Q} FROM st JOIN disp d USING (attribute)
+  UNION ALL
+  SELECT '3 groups', attribute, "group", 0, attribute || ',' || {_Q} || "group" || {_Q} || ',' || count || ',' || {_WHOLE.format("mean_predicted")} || ','
+         || {_NA.format("mean_actual", _WHOLE.format("mean_actual"))} || ',' || {_NA.format("mae", "printf('%.2f', mae)")} || ',' || {_NA.format("rmse", "printf('%.2f', rmse)")}
+         || ',' || {_WHOLE.format("bias")} FROM rates
+  UNION ALL
+  SELECT '4 recommendations', attribute, '', i, {_Q} || recommendations[i] || {_Q} FROM (SELECT attribute, recommendations, unnest(range(1, len(recommendations) + 1)) AS i FROM st WHERE status <> 'PASS')))""",
+    SCORED_CTE, VERDICT_LONG, RATES_CTE, DISP_CTE, f"st AS ({STATUS_SQL})"), ops=("S11", "A13"))
+def fairness_report(spark, sf):
+    """The whole export: overall status, attributes, groups and numbered recommendations."""
+    df = cand(spark, sf).select("salary", "predicted_salary", *[F.expr(e).alias(a) for a, e in VERDICT_ATTRS.items()])
+    rates, disp = FA.fairness_metrics(df, list(VERDICT_ATTRS))
+    return FA.report_lines(FA.fairness_status(disp), rates)

@@ -92,3 +92,20 @@ def test_drift_run_flags(spark):
     assert not same["drift_detected"] and not same["prediction_drift_detected"] and same["drifted_features"] == [] and same["prediction_ks_p_value"] == 1.0
     assert moved["drift_detected"] and moved["prediction_drift_detected"] and moved["drifted_features"] == ["c", "x"]
     assert (moved["reference_size"], moved["current_size"], moved["mean_shift"]) == (400, 400, 200.0)
+
+
+def test_report_lines(spark):
+    disp = spark.createDataFrame([("b", 0.2, 0.0, 1234.567), ("a", 0.01, 0.0, None)], "attribute string, dp_difference double, eo_difference double, mean_prediction_difference double")
+    rates = spark.createDataFrame([("b", 'say "x"', 3, 10.5, None, 0.0, 2.0, -0.5), ("a", "y", 1, 9.4, 8.5, 1.005, None, 0.4)],
+                                  "attribute string, group string, count long, mean_predicted double, mean_actual double, mae double, rmse double, bias double")
+    lines = [tuple(r) for r in fairness.report_lines(fairness.fairness_status(disp), rates).orderBy("section", "position").collect()]
+    assert lines == [
+        ("1 status", 1, "Overall Status,REVIEW"),
+        ("2 attributes", 1, 'a,PASS,0.0100,0.00,"None"'),
+        ("2 attributes", 2, 'b,WARNING,0.2000,1234.57,"Review b fairness: DP difference = 0.200; Consider post-processing calibration for b"'),
+        ("3 groups", 1, 'a,"y",1,9,9,1.01,N/A,0'),
+        ("3 groups", 2, 'b,"say ""x""",3,11,N/A,N/A,2.00,0'),
+        ("4 recommendations", 1, '1,"Review b fairness: DP difference = 0.200"'),
+        ("4 recommendations", 2, '2,"Consider post-processing calibration for b"')]
+    empty = fairness.report_lines(fairness.fairness_status(disp.where("false")), rates.where("false")).collect()
+    assert [tuple(r) for r in empty] == [("1 status", 1, "Overall Status,UNKNOWN")]
