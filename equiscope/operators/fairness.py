@@ -334,8 +334,14 @@ def anova_by_group(df: DataFrame, attr: str, features: Sequence[str]) -> DataFra
 
 def pearson_proxies(df: DataFrame, attr: str, features: Sequence[str],
                     threshold: float = 0.3) -> DataFrame:
-    """Pearson r (pairwise complete) of a numeric protected attribute with each feature."""
-    aggs = [F.corr(F.col(attr).cast("double"), F.col(f).cast("double")).alias(f) for f in features]
+    """Pearson r (pairwise complete) of a numeric protected attribute with each feature; no row where either is constant."""
+    a = F.col(attr).cast("double")
+
+    def r(x):  # ``corr`` divides by zero for a constant
+        spread = lambda one, other: F.sqrt(F.var_pop(F.when(other.isNotNull(), one)))
+        return safe_div(F.covar_pop(a, x), spread(a, x) * spread(x, a))
+
+    aggs = [r(F.col(f).cast("double")).alias(f) for f in features]
     wide = df.agg(*aggs)
     long = wide.unpivot([], list(features), "feature", "correlation")
     return (long.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))

@@ -68,6 +68,7 @@ def test_proxy_table_against_pairs(spark):
         assert new["is_proxy"] == (new["p_value"] < 0.05)
     r = {x["feature"]: x["correlation"] for x in fairness.pearson_proxies(df, "age", ["x"]).collect()}["x"]
     assert got["age", "x"]["statistic"] == pytest.approx(r, rel=1e-12) and got["age", "x"]["n"] == 5 and got["age", "x"]["is_proxy"]
+    assert [x["feature"] for x in fairness.pearson_proxies(df, "age", ["x", "same"]).collect()] == ["x"]  # a constant has no r
     assert fairness.proxy_table(df.where("false"), ["g"], ["age"], ["x"]).count() == 0
     apart = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, x double")
     row = fairness.proxy_table(apart, ["g"], [], ["x"]).first()
