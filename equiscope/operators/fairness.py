@@ -19,7 +19,9 @@ from ..functions.columns import dlit, safe_div
 from ..functions.tails import f_tail
 from ..roles import (AUDIT_GAP, AUDIT_RECOMMENDATIONS, CALIBRATE_TEXT, DP_REVIEW, DP_WARNING, FOUR_FIFTHS,
                      MEAN_DIFF_REVIEW, MEAN_DIFF_WARNING, PROXY_CORR_THRESHOLD, PROXY_P_THRESHOLD, REVIEW_TEXT)
+from ..session import written
 from . import quantile
+from .prefix import BROADCAST_ROWS, ROWS_PER_TASK, running_totals
 
 
 # --------------------------------------------------------------------------- A7
@@ -198,13 +200,15 @@ def audit_cube(df: DataFrame, attrs: Sequence[str], y: str = "salary",
 def mean_match(df: DataFrame, p: str, g: str, out: str = "calibrated") -> DataFrame:
     """Shift each group's predictions so the group mean equals the overall mean.
 
-    Group means are a grouped aggregate joined back (one row per group; AQE
-    broadcasts it when small, a shuffle join otherwise), the overall mean a
-    one-row broadcast. Rows whose group is NULL are left untouched.
+    Group means are a grouped aggregate, written once and joined back (one row
+    per group; broadcast when they are counted to be few, a shuffle join
+    otherwise, where a group is one task's); the overall mean follows from it. Rows whose group is NULL are left untouched.
     """
-    gm = df.groupBy(g).agg(F.avg(p).alias("_gmean")).where(F.col(g).isNotNull())
-    overall = df.agg(F.avg(p)).first()[0]  # one-row scalar
-    return (df.join(gm, on=g, how="left")
+    sums = written(df.groupBy(g).agg(F.avg(p).alias("_gmean"), F.sum(F.col(p).cast("double")).alias("_sum"), F.count(p).alias("_n")))
+    one = sums.agg(F.count(F.lit(1)).alias("groups"), F.sum("_sum").alias("sum"), F.sum("_n").alias("n")).first()
+    overall = one["sum"] / one["n"] if one["n"] else None
+    gm = sums.where(F.col(g).isNotNull()).select(g, "_gmean")
+    return (df.join(F.broadcast(gm) if one["groups"] <= BROADCAST_ROWS else gm, on=g, how="left")
             .withColumn(out, F.when(F.col("_gmean").isNull(), F.col(p))
                         .otherwise(F.col(p) + dlit(overall) - F.col("_gmean")))
             .drop("_gmean"))
@@ -232,32 +236,33 @@ def quantile_match(df: DataFrame, p: str, g: str, out: str = "calibrated",
       in index order — values grow with their start index;
     * the answer per distinct (group, value) is joined back to the rows.
     """
-    from .prefix import ROWS_PER_TASK, running_totals
-
     rpt = rows_per_task or ROWS_PER_TASK
     v = F.col("_v")
     vals = (df.select(F.col(g).alias("_g"), F.col(p).cast("double").alias("_v"))
             .where(v.isNotNull() & ~F.isnan(v)))
-    ovc = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    gvc = vals.where(F.col("_g").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = written(vals.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")))  # the one scan of the rows besides the last join
+    ovc = written(counts.groupBy("_v").agg(F.sum("_c").alias("_c")))
+    gvc = counts.where(F.col("_g").isNotNull())
     st = ovc.agg(F.count(F.lit(1)).alias("d"), F.sum("_c").alias("n")).first()  # one row
     if not st["d"]:
         return df.withColumn(out, F.col(p))
     n_all = int(st["n"])
-    gcum = running_totals(gvc, ["_g"], ["_v"], ["_c"], ["_cum"], rows_per_task=rpt)
-    ng = gvc.groupBy("_g").agg(F.sum("_c").alias("_ng"))  # one row per group
+    ng = written(gvc.groupBy("_g").agg(F.sum("_c").alias("_ng")))  # one row per group
+    groups = ng.count()
+    gcum = running_totals(gvc, ["_g"], ["_v"], ["_c"], ["_cum"], rows_per_task=rpt, key_count=groups)
     u = F.coalesce(F.try_divide((F.col("_cum") - F.col("_c")).cast("double"),
                                 F.nullif(F.col("_ng") - 1, F.lit(0)).cast("double")), dlit(0.0))
-    h = (gcum.join(ng, "_g")
+    h = (gcum.join(F.broadcast(ng) if groups <= BROADCAST_ROWS else ng, "_g")
          .select("_g", "_v", (u * dlit(float(n_all - 1))).alias("_h"))
          .withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long")))
     starts = (running_totals(ovc, [], ["_v"], ["_c"], ["_cum"], rows=int(st["d"]), rows_per_task=rpt)
               .select((F.col("_cum") - F.col("_c")).alias("_i"), F.lit(0).alias("_kind"), "_v"))
+    h = written(h)  # read three times
     need = (h.select(F.col("_lo").alias("_i")).unionByName(h.select(F.col("_hi").alias("_i"))).distinct()
             .select("_i", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_v")))
     filled = running_totals(starts.unionByName(need), [], ["_i", "_kind"], ["_v"], ["_s"],
                             rows_per_task=rpt, how="max")
-    s_at = filled.where(F.col("_kind") == 1).select("_i", "_s")
+    s_at = written(filled.where(F.col("_kind") == 1).select("_i", "_s"))
     lo = s_at.select(F.col("_i").alias("_lo"), F.col("_s").alias("_slo"))
     hi = s_at.select(F.col("_i").alias("_hi"), F.col("_s").alias("_shi"))
     cal = (h.join(lo, "_lo").join(hi, "_hi")
@@ -279,21 +284,21 @@ def mitigation_comparison(df: DataFrame, attrs: Sequence[str], y: str = "salary"
     attribute's groups; the 'before' and 'after' disparity rows are unioned
     with a ``stage`` column. The median threshold is shared by both stages.
     """
+    base = written(df.select(y, p, *attrs))  # every pass below scans these columns only
     if threshold is None:
-        threshold = median_threshold(df, y)
+        threshold = median_threshold(base, y)
     parts = []
-    base = df.select(y, p, *attrs)
     for a in attrs:
         cal = mean_match(base, p, a, out="_cal").where(F.col(a).isNotNull())
+        errors = {stage: F.col(col) - F.col(y) for stage, col in (("before", p), ("after", "_cal"))}
+        ov = cal.agg(*[F.avg(x).alias(f"{k}_{stage}") for stage, e in errors.items() for k, x in (("mae", F.abs(e)), ("mse", e * e))]).first()
         for stage, col in (("before", p), ("after", "_cal")):
             sub = cal.select(F.col(a), F.col(y), F.col(col).alias("_pred"))
             rates = group_rates(binarize(sub, threshold, y, "_pred"), [a], y, "_pred")
             d = disparities(rates).select("attribute", "dp_difference", "dp_ratio",
                                           "eo_difference", "eo_ratio")
-            e = F.col("_pred") - F.col(y)
-            ov = sub.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse")).first()
-            parts.append(d.withColumn("overall_mae", dlit(ov["mae"]))
-                         .withColumn("overall_mse", dlit(ov["mse"])).withColumn("stage", F.lit(stage)))
+            parts.append(d.withColumn("overall_mae", dlit(ov[f"mae_{stage}"]))
+                         .withColumn("overall_mse", dlit(ov[f"mse_{stage}"])).withColumn("stage", F.lit(stage)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -9,7 +9,7 @@ Here the order is cut into contiguous ranges instead:
    ``parts`` at least the session's shuffle width and grown from the row
    count so a range holds about ``rows_per_task`` rows; a hot key spans many
    ranges;
-2. the range id is stored with the rows and the table is checkpointed into the
+2. the range id is stored with the rows and the table is written to the
    shared checkpoint folder, so both passes below see one fixed assignment
    even if executors are lost and stages re-run;
 3. per (key, range) totals — at most ``parts`` + #keys rows — give each
@@ -43,25 +43,23 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sum
 
     ``rows`` (the row count of ``df``) may be passed when already known;
     otherwise it is counted. ``key_count`` (the number of distinct keys, when
-    the caller knows it) bounds the offsets table without counting it. The result is read from a checkpoint and can be
+    the caller knows it) bounds the offsets table without counting it. The result is read from files and can be
     used by several actions.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import written
 
     if how not in ("sum", "max"):
         raise ValueError("how must be 'sum' or 'max'")
     agg = F.sum if how == "sum" else F.max
     keys, order, sums = list(keys), list(order), list(sums)
     out = list(out) if out is not None else [f"cum_{c}" for c in sums]
-    ensure_checkpoint_dir(df.sparkSession)
     n = rows if rows is not None else df.count()
     # at least the session's shuffle width (so small inputs still use every
     # core), more when the data needs it; never more ranges than rows
     floor_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = max(1, min(max(n, 1), max(floor_parts, math.ceil(n / rows_per_task))))
-    ranged = (df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in keys + order])
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = written(df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in keys + order])
+                     .withColumn("_pid", F.spark_partition_id()))
     tot = ranged.groupBy(*keys, "_pid").agg(*[agg(c).alias(f"_t{i}") for i, c in enumerate(sums)])
     wo = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offs = tot.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_pid").alias("_opid"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rnd, round_doubles
 from ..operators import fairness as FA
 from ..roles import AUDIT_RECOMMENDATIONS, NUMERICAL_FEATURES
+from ..session import written
 from ..sources.tables import cand, with_cand
 from .metrics_q import AGE_GROUP_SQL, with_age_group
 from .registry import register
@@ -138,7 +139,7 @@ FROM (SELECT c.gender, c.predicted_salary,
       ON c.gender = g.gender) t
 GROUP BY gender"""), ops=("A16", "J5"))
 def mean_match_gender(spark, sf):
-    mm = FA.mean_match(cand(spark, sf).select("gender", "predicted_salary"),
+    mm = FA.mean_match(written(cand(spark, sf).select("gender", "predicted_salary")),
                        "predicted_salary", "gender")
     return round_doubles(mm.groupBy("gender").agg(
         F.count(F.lit(1)).alias("count"), F.avg("predicted_salary").alias("mean_before"),
@@ -219,7 +220,7 @@ GROUP BY c.gender""", """vals AS (SELECT gender AS g, CAST(predicted_salary AS D
         FROM hh JOIN srt lo ON lo.i = CAST(floor(hh.h) AS BIGINT) JOIN srt hi ON hi.i = CAST(ceil(hh.h) AS BIGINT))"""),
     ops=("A17",))
 def quantile_match_gender(spark, sf):
-    qm = FA.quantile_match(cand(spark, sf).select("gender", "predicted_salary"),
+    qm = FA.quantile_match(written(cand(spark, sf).select("gender", "predicted_salary")),
                            "predicted_salary", "gender")
     return round_doubles(qm.groupBy("gender").agg(
         F.count(F.lit(1)).alias("count"), F.avg("predicted_salary").alias("mean_before"),
