@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import drift as DR
 from ..roles import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
+from ..session import written
 from ..sources.sampling import int_key_hash, int_key_hash_sql, order_sample
 from ..sources.tables import cand, table, with_cand
 from .registry import register
@@ -14,8 +15,9 @@ from .registry import register
 CUTOFF = "1998-01-01"
 
 
-def ref_cur(spark, sf):
-    c = cand(spark, sf)
+def ref_cur(spark, sf, *columns):
+    """(reference, current) with these columns of the candidate view, which is written once for all passes of a run."""
+    c = written(cand(spark, sf).select("o_orderdate", *columns))
     is_ref = F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp_ntz")
     return c.where(is_ref), c.where(~is_ref)
 
@@ -27,6 +29,11 @@ def sided(spark, sf):
     return c.withColumn("_side", is_cur.cast("int"))
 
 
+def sided_numbers(spark, sf):
+    """``sided`` with the numbers only, written once for operators that scan it more than once."""
+    return written(sided(spark, sf).select("_side", *NUM))
+
+
 NUM = list(NUMERICAL_FEATURES)
 CAT = list(CATEGORICAL_FEATURES)
 
@@ -99,14 +106,14 @@ chi AS (SELECT feature, sum(power(abs(o - rt * ct / "N") - CASE WHEN (nr - 1) *
 @register("psi_numeric_shared", with_cand("SELECT feature, round(psi, 4) AS psi FROM psi",
                                           LONG_NUM_CTE, psi_num_sql(False)), ops=("A20",))
 def psi_numeric_shared(spark, sf):
-    return round_doubles(DR.psi_numeric(DR.long_numeric_sided(sided(spark, sf), "_side", NUM),
+    return round_doubles(DR.psi_numeric(DR.long_numeric_sided(sided_numbers(spark, sf), "_side", NUM),
                                         edges="shared"))
 
 
 @register("psi_numeric_own_edges", with_cand("SELECT feature, round(psi, 4) AS psi FROM psi",
                                              LONG_NUM_CTE, psi_num_sql(True)), ops=("A20",))
 def psi_numeric_own_edges(spark, sf):
-    return round_doubles(DR.psi_numeric(DR.long_numeric_sided(sided(spark, sf), "_side", NUM),
+    return round_doubles(DR.psi_numeric(DR.long_numeric_sided(sided_numbers(spark, sf), "_side", NUM),
                                         edges="own"))
 
 
@@ -235,7 +242,7 @@ FROM psi p JOIN ks k USING (feature),
                   'predicted_salary' AS feature, predicted_salary AS x FROM cand WHERE predicted_salary IS NOT NULL)""",
     psi_num_sql(False)[1:], KS_CTES), ops=("A25",))
 def prediction_drift(spark, sf):
-    r, c = ref_cur(spark, sf)
+    r, c = ref_cur(spark, sf, "predicted_salary")
     return round_doubles(DR.prediction_drift(r, c, "predicted_salary").drop("ks_p_value", "drift_detected"))
 
 
@@ -249,7 +256,7 @@ SELECT round(psi, 4) AS psi, round(ks_statistic, 4) AS ks_statistic, round(p_val
 FROM psi JOIN ks USING (feature) JOIN kp USING (feature)""", PREDICTED_LONG, psi_num_sql(False)[1:], KS_CTES, PVAL_CTES.split("cpv AS")[0].rstrip().rstrip(",")),
     ops=("A25",))
 def prediction_drift_verdict(spark, sf):
-    r, c = ref_cur(spark, sf)
+    r, c = ref_cur(spark, sf, "predicted_salary")
     return round_doubles(DR.prediction_drift(r, c, "predicted_salary").select("psi", "ks_statistic", "ks_p_value", "drift_detected", "n_ref", "n_cur"))
 
 
@@ -270,7 +277,7 @@ FROM (SELECT * FROM psi JOIN ks USING (feature) JOIN kp USING (feature) WHERE fe
     psi_num_sql(False)[1:], KS_CTES, PSI_CAT_CTES, CHI2_CTES, PVAL_CTES,
     "rep AS (SELECT * FROM (" + DRIFT_REPORT_SELECT + ") WHERE feature <> 'predicted_salary')"), ops=("A24", "A25", "A26"))
 def drift_run(spark, sf):
-    r, c = ref_cur(spark, sf)
+    r, c = ref_cur(spark, sf, *NUM, *CAT, "predicted_salary")
     return round_doubles(DR.drift_run(r, c, NUM, CAT, "predicted_salary").drop("mean_shift"))
 
 
