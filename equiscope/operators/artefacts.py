@@ -149,8 +149,7 @@ def train_and_publish(root: str, version: str, df: DataFrame, roles: FeatureRole
     if not grams.folds:
         raise ValueError("no training rows")
     # of all numbers, also those complete in training: rows to be scored may lack them
-    numbers = train.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in roles.numerical])
-    medians = {c: quantile.median(numbers, c) for c in roles.numerical}
+    medians = {c: found[0] for (c, _), found in quantile.column_quantiles(train, roles.numerical, [0.5]).items()}
     fit = gram.fit_gram(grams.names, grams.of_training(None), alpha, {c: float(m) for c, m in medians.items() if m is not None})
     scored = df.withColumn("_p", fit.column())
     q_hat, n = conformal.conformal_quantile(scored.where(F.col(split) == "calibration"), label, "_p", miss)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rnd, round_doubles
 from ..operators import artefacts as AF
 from ..roles import CANDIDATE_ROLES, CATEGORICAL_FEATURES, NUMERICAL_FEATURES
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources.tables import cand, with_cand
 from .metrics_q import AGE_GROUP_SQL, with_age_group
 from .registry import register
@@ -18,10 +18,13 @@ NUM, CAT = list(NUMERICAL_FEATURES), list(CATEGORICAL_FEATURES)
 ALPHA, MISS, VERSION = 1.0, 0.1, "ridge-1"
 
 
-def _published(spark, sf):
-    """(candidates with their split, artefacts): orders divisible by 5 calibrate, the next test, the rest train."""
+def _published(spark, sf, *more):
+    """(candidates with their split, artefacts): orders divisible by 5 calibrate, the next test, the rest train.
+
+    The features, the label and ``more`` columns are written once: training, calibration and the run each scan them."""
     turn = F.pmod(F.col("l_orderkey"), F.lit(5))
-    df = with_age_group(cand(spark, sf)).drop("predicted_salary").withColumn("split", F.when(turn == 0, "calibration").when(turn == 1, "test").otherwise("train"))
+    df = with_age_group(cand(spark, sf)).withColumn("split", F.when(turn == 0, "calibration").when(turn == 1, "test").otherwise("train"))
+    df = written(df.select(*NUM, *CAT, "salary", "split", *more))
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artefacts-{uuid.uuid4().hex}"
     return df, AF.train_and_publish(root, VERSION, df, CANDIDATE_ROLES, "salary", "split", ALPHA, MISS)
 
@@ -68,7 +71,7 @@ SELECT l_orderkey, l_linenumber, {", ".join(f"given_{c} AS {c}" for c in NUM)},
 FROM pred, qh"""), ops=("M10", "P14", "A27"))
 def scoring_from_artefacts(spark, sf):
     """Every candidate's eight features, prediction, interval and the version that made them."""
-    df, artefacts = _published(spark, sf)
+    df, artefacts = _published(spark, sf, "l_orderkey", "l_linenumber")
     scored = AF.score(df, artefacts)
     return scored.select("l_orderkey", "l_linenumber", *NUM, *CAT, *[rnd(c, 0).alias(c) for c in ("predicted", "min_salary", "max_salary")], "confidence", "model_version")
 
@@ -82,7 +85,7 @@ FROM (SELECT 'overall' AS attribute, 'all' AS "group", * FROM pred UNION ALL SEL
 WHERE turn = 1 AND "group" IS NOT NULL GROUP BY attribute, "group\""""), ops=("M13", "A28", "A29"))
 def evaluation_from_artefacts(spark, sf):
     """Test rows: overall and every protected attribute."""
-    df, artefacts = _published(spark, sf)
+    df, artefacts = _published(spark, sf, "gender", "age_group")
     return round_doubles(AF.evaluate(df.where("split = 'test'"), artefacts, ["gender", "age_group"], "salary"), 2)
 
 
