@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import dlit, js_round, safe_div
+from ..session import written
 from . import quantile
 
 
@@ -218,8 +219,8 @@ def qq_points(df: DataFrame, col: str, chunk: int = 100_000,
     from .prefix import ROWS_PER_TASK, running_totals
 
     x = F.col("value")
-    vc = (df.select(F.col(col).cast("double").alias("value")).where(x.isNotNull() & ~F.isnan(x))
-          .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
+    vc = written(df.select(F.col(col).cast("double").alias("value")).where(x.isNotNull() & ~F.isnan(x))
+                 .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))  # read by the count, the bounds and the ranges
     st = vc.agg(F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("n")).first()  # one row
     if not st["d"]:
         return df.sparkSession.createDataFrame([], "rank long, value double, theoretical double")
