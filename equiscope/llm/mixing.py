@@ -16,8 +16,10 @@ copies are shuffled by a hash.
 
 All steps are DataFrame operations. What grows with the rows: one aggregate by
 source (partial), one distributed running total by (source, permuted order),
-so a hot source spans many tasks. The tree works on ``blocks`` + number of
-sources rows. All draws are hashes of ``seed``, so reruns agree.
+so a hot source spans many tasks; neither carries the texts. The tree and the
+borders of the blocks work on ``blocks`` + number of sources rows; a document
+finds its blocks by the borders, without a shuffle, so its text is shuffled
+with its copies alone. All draws are hashes of ``seed``, so reruns agree.
 """
 
 from __future__ import annotations
@@ -110,17 +112,49 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     line = running_totals(rows.select("source", "size", "_tag", order.alias("_order")), ["source"], ["_order", "_tag"], ["size"], ["_end"])
     line = line.join(plan.select(F.col("source").alias("_s"), "source_size", "target", "place", "quota"), F.col("source").eqNullSafe(F.col("_s")))
 
-    def copy(again: int) -> tuple[Column, Column]:
+    def block(again: int) -> Column:
         start = F.col("_end") - F.col("size") + again * F.col("source_size")
-        return start + F.col("size") / 2 < F.col("target"), F.least(F.floor(start / F.col("target") * F.col("quota")), F.col("quota") - 1).cast("long")
+        return F.when(start + F.col("size") / 2 < F.col("target"), F.least(F.floor(start / F.col("target") * F.col("quota")), F.col("quota") - 1).cast("long"))
+
+    marks = borders(line.select("place", "quota", "_order", "_tag", F.posexplode(F.array(block(0), block(1))).alias("pass", "block")), placed)
+    marks = scratch.table(marks, "borders")
+    rows = rows.withColumn("_order", order)
+    rows = rows.join(plan.select(F.col("source").alias("_s"), "source_size", "target", "place", "quota"), F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.withColumn("_cell", cell(F.col("_order"), F.col("quota"))).join(marks.withColumnsRenamed({"place": "_p", "cell": "_c"}), (F.col("place") == F.col("_p")) & (F.col("_cell") == F.col("_c")))
+    here = F.struct(F.col("_order").alias("order"), F.col("_tag").alias("tag"))
+    shard = lambda i: F.element_at(F.filter(f"marks{i}", lambda m: m["key"] <= here), -1)["shard"]
+    return rows.withColumn("shards", F.array_compact(F.array(shard(0), shard(1)))).select(
+        *unpacked("_row", columns, NEW), "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")
+
+
+def cell(order: Column, quota: Column) -> Column:
+    """Which of a source's cells, one a block of its quota and one at least, the hexadecimal ``order`` falls into: they rise together."""
+    return F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.greatest(quota, F.lit(1)) / F.lit(float(1 << 32))).cast("long")
+
 
-    copies = line.select("_tag", "source_size", "target", "place", *[F.when(taken, block).alias(f"block{i}") for i in (0, 1) for taken, block in [copy(i)]])
+def borders(line: DataFrame, placed: DataFrame) -> DataFrame:
+    """Where on the lines blocks begin: a row per (``place``, ``cell``), with ``marks0`` and ``marks1`` for the two passes.
+
+    ``line`` has a row per document and pass: ``place``, ``quota``, ``_order``,
+    ``_tag``, ``pass``, ``block`` (null: not drawn). Blocks rise with
+    (``_order``, ``_tag``), and the rows not drawn come last, so a row's block
+    is that of the last mark (``key``, ``shard``) not behind it. A cell's list
+    begins with the mark in force where the cell begins. At most two marks a
+    block and cells as many as blocks, however many documents there are.
+    """
+    first = line.groupBy("place", "quota", "pass", "block").agg(F.min(F.struct(F.col("_order").alias("order"), F.col("_tag").alias("tag"))).alias("key"))
+    first = first.join(placed.withColumnsRenamed({"place": "_p", "block": "_b"}), (F.col("place") == F.col("_p")) & (F.col("block") == F.col("_b")), "left")
+    mark = F.struct("key", "shard")
+    held = first.groupBy("place", "quota", cell(F.col("key.order"), F.col("quota")).alias("cell")).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("pass") == i, mark))).alias(f"own{i}") for i in (0, 1)])
+    cells = held.select("place", "quota").distinct().select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("quota", F.lit(1)) - 1)).alias("cell"))
+    cells = cells.join(held.drop("quota"), ["place", "cell"], "left")
+    before = W.partitionBy("place").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     for i in (0, 1):
-        at = placed.select(F.col("place").alias(f"_p{i}"), F.col("block").alias(f"_b{i}"), F.col("shard").alias(f"shard{i}"))
-        copies = copies.join(at, (F.col("place") == F.col(f"_p{i}")) & (F.col(f"block{i}") == F.col(f"_b{i}")), "left")
-    copies = scratch.table(copies.select(F.col("_tag").alias("_t"), "source_size", "target", F.array_compact(F.array("shard0", "shard1")).alias("shards")), "copies")
-    return rows.join(copies, F.col("_tag") == F.col("_t")).select(
-        *unpacked("_row", columns, NEW), "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")
+        own = F.col(f"own{i}")
+        last = F.last(F.when(F.size(own) > 0, F.element_at(own, -1)), ignorenulls=True).over(before)
+        cells = cells.withColumn(f"marks{i}", F.array_compact(F.concat(F.array(last), F.coalesce(own, F.array().cast(held.schema[f"own{i}"].dataType)))))
+    return cells.select("place", "cell", "marks0", "marks1")
 
 
 def drawn_copies(mixed: DataFrame, doc_id: str = "doc_id", slices: int = 16, seed: int = 20) -> DataFrame:

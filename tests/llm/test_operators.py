@@ -178,6 +178,24 @@ def test_mixture_odd_rows(spark, odd_docs):
     assert mixing.drawn_copies(mixed).count() == sum(len(r["shards"]) for r in mixed.collect())
 
 
+def test_texts_meet_their_shards_without_a_shuffle_at_any_size(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.format_string("some words of %d", "id").alias("text"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("source"))
+    docs = docs.unionByName(docs.where("doc_id % 1000 = 0"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")  # as if there were far more documents
+    try:
+        mixed = mixing.mix(docs, shards=4, blocks=64)
+        rows = mixed.select("source", "size", "target", "taken", "shards").collect()
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan, plan
+    assert len(rows) == 30_030 and len({s for r in rows for s in r["shards"]}) == 4
+    for source in (None, "1", "2"):
+        own = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4 and all(r["taken"] == r["size"] * len(r["shards"]) for r in own)
+
+
 # ------------------------------------------------------------------- op 7
 def test_minimax_is_smallest(spark):
     rows = shards.minimax_shards(table(spark, "documents"), shards=5).collect()
