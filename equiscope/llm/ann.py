@@ -9,11 +9,15 @@
    share of their neighbours.
 2. **Index.** Every row goes to its most probable part.
 3. **Search.** A query goes to its most probable parts until their
-   probabilities sum to ``mass`` and they hold enough rows. Parts are cut into
-   blocks of bounded size on both sides, so a large part spreads over tasks;
-   each pair of blocks is one matrix product, and of the best few the measure
-   is computed again term by term in double precision on the given vectors.
-   Nothing is found but in the parts that a query is led to.
+   probabilities sum to ``mass`` and they hold enough rows. Queries that go
+   first to neighbouring parts form groups of bounded size. A task holds a
+   group's queries with the k nearest found so far; the rows of the parts that
+   any of them is led to stream past in blocks, each one matrix product with
+   the queries led to its part, and of the best few the measure is computed
+   again term by term in double precision on the given vectors. So a task
+   gives k rows a query, however many parts the query is led to, and a row
+   goes to a group once. Nothing is found but in the parts that a query is led
+   to.
 
 Equal vectors: of each distinct vector only the k + 1 rows of least id can
 ever be among the k nearest, so the others are left out of the index without
@@ -34,7 +38,7 @@ from pyspark.sql.window import Window as W
 
 from .util import Scratch
 
-SAMPLE, NEIGHBOURS, HIDDEN, ROWS_A_PART, MOST_PARTS, RECALL, BLOCK = 8192, 10, 256, 1500, 1024, 0.97, 2048
+SAMPLE, NEIGHBOURS, HIDDEN, ROWS_A_PART, MOST_PARTS, RECALL, BLOCK, GROUPS, QUERIES = 8192, 10, 256, 1500, 1024, 0.97, 2048, 12, 8192
 
 
 @dataclass(frozen=True)
@@ -167,6 +171,109 @@ def needed_mass(router: Router, x, k: int, recall: float) -> float:
     return float(np.nextafter(need[math.ceil(recall * len(need)) - 1], 2.0)) if len(need) else 2.0
 
 
+def query_groups(asked: dict[int, int], parts: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """Part -> (first group, number of groups) of the queries that go there first, and the number of groups.
+
+    A group's queries go first to neighbouring parts. ``GROUPS`` groups or
+    about twice as many, however many queries there are, until one would hold
+    more than ``QUERIES``: then more of that size. A large part has several.
+    """
+    size = min(QUERIES, max(1, -(-sum(asked.values()) // GROUPS)))
+    grid, group, held = {}, 0, 0
+    for part in range(parts):
+        n = asked.get(part, 0)
+        if not n:
+            continue
+        if held and held + n > size:
+            group, held = group + 1, 0
+        many = -(-n // size)
+        grid[part] = (group, many)
+        group, held = (group + many, 0) if many > 1 else (group, held + n)
+    return grid, group + (held > 0)
+
+
+class Nearest:
+    """The ``k`` nearest rows found so far of each query of a group; the parts' rows are offered piece by piece."""
+
+    def __init__(self, k: int, parts: int):
+        self.k, self.parts, self.asking = k, parts, []
+
+    def ask(self, ids, x, led: list[list[int]]) -> None:
+        """Queries, each with the parts it is led to: all before any row is offered."""
+        import numpy as np
+
+        goes = np.zeros((len(ids), self.parts), bool)
+        for row, to in zip(goes, led):
+            row[to] = True
+        self.asking.append((ids.copy(), x.copy(), goes))
+
+    def _begin(self) -> None:
+        import numpy as np
+
+        self.ids, self.x, self.goes = (np.concatenate(c) for c in zip(*self.asking))
+        self.asking = []
+        self.least = np.full(len(self.ids), -np.finfo(np.float64).max)  # a row below this is not among the k nearest
+        self.vec = np.zeros((len(self.ids), self.k), np.int64)
+        self.score = np.full((len(self.ids), self.k), -np.inf)
+        self.held = np.zeros(len(self.ids), np.int64)
+
+    def offer(self, part: int, ids, x) -> None:
+        import numpy as np
+
+        if self.asking:
+            self._begin()
+        led = np.flatnonzero(self.goes[:, part])
+        order = np.argsort(ids, kind="stable")
+        turn = np.empty(len(ids), np.int64)  # rows of one id come in turns, so that a piece has no id twice
+        turn[order] = np.arange(len(ids)) - np.searchsorted(ids[order], ids[order])
+        for t in range(int(turn.max()) + 1):
+            rows = np.flatnonzero(turn == t)
+            for a in range(0, len(rows), BLOCK):
+                piece = rows[a:a + BLOCK]
+                for b in range(0, len(led), BLOCK // 2):
+                    self._compare(led[b:b + BLOCK // 2], ids[piece], x[piece])
+
+    def _compare(self, asks, ids, x) -> None:
+        import numpy as np
+
+        scores = self.x[asks] @ x.T
+        scores[self.ids[asks][:, None] == ids[None, :]] = -np.inf
+        n = min(self.k, len(ids))
+        edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+        edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1.0, np.abs(edge)), -np.finfo(np.float64).max)
+        edge = np.maximum(edge, self.least[asks])
+        q, c = np.nonzero(scores >= edge[:, None])
+        if not len(q):
+            return
+        exact = (x[c] * self.x[asks[q]]).sum(1)
+        better, where = np.unique(q, return_inverse=True)
+        better = asks[better]
+        own, place = np.nonzero(np.arange(self.k)[None, :] < self.held[better][:, None])
+        row = np.concatenate([own, where])
+        vec = np.concatenate([self.vec[better[own], place], ids[c]])
+        score = np.concatenate([self.score[better[own], place], exact])
+        order = np.lexsort((vec, -score, row))
+        row, vec, score = row[order], vec[order], score[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (vec[1:] != vec[:-1]) | (score[1:] != score[:-1])]
+        row, vec, score = row[new], vec[new], score[new]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        row, vec, score, rank = row[keep], vec[keep], score[keep], rank[keep]
+        self.vec[better[row], rank], self.score[better[row], rank] = vec, score
+        self.held[better] = np.bincount(row, minlength=len(better))
+        last = self.score[better, self.k - 1]
+        full = (self.held[better] == self.k) & np.isfinite(last)
+        self.least[better[full]] = last[full] - 1e-9 * np.maximum(1.0, np.abs(last[full]))
+
+    def rows(self) -> pa.RecordBatch:
+        import numpy as np
+
+        if self.asking:
+            self._begin()
+        q, place = np.nonzero(np.arange(self.k)[None, :] < self.held[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.vec[q, place]), pa.array(self.score[q, place])], ["query_id", "vec_id", "score"])
+
+
 def usable(df: DataFrame, vector: str, vec_id: str) -> DataFrame:
     """(``vec_id``, ``vector`` as doubles) of the rows that take part: an id, and a vector without null or non-finite components that isn't all zero."""
     v = F.col("vector")
@@ -238,42 +345,41 @@ def search(df: DataFrame, is_query, vector: str = "embedding", vec_id: str = "ve
             before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
             rows_before = np.cumsum(sizes[order], 1) - sizes[order]
             go = (before < mass) | (rows_before < 20 * k)
-            yield batch.append_column("parts", pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32())))
+            lists = pa.array([o[g].tolist() for o, g in zip(order.astype(np.int32), go)], pa.list_(pa.int32()))
+            yield batch.append_column("parts", lists).append_column("main", pa.array(order[:, 0].astype(np.int32)))
 
     asking = rows.where(is_query).distinct()
-    queries = asking.mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>")
-    queries = scratch.table(queries.select("vec_id", "vector", F.explode("parts").alias("part")), "queries")
-    asked = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    half, few = BLOCK // 2, BLOCK // 8  # rows and queries of a block; a hash deals unevenly: blocks are half full on average
-    grid = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, F.array(F.lit(max(1, -(-held.get(p, 0) // half))), F.lit(max(1, -(-asked.get(p, 0) // few)))))])
-    blocks = lambda side: F.element_at(F.element_at(grid, F.col("part")), side)
-    dealt = lambda side: F.pmod(F.xxhash64("vec_id", F.lit(side)), blocks(side)).cast("int")
-    spread = lambda side: F.explode(F.sequence(F.lit(0), blocks(side) - 1))
-    left = index.select("vec_id", "vector", "part", F.lit(False).alias("query"), dealt(1).alias("i"), spread(2).alias("q"))
-    right = queries.select("vec_id", "vector", "part", F.lit(True).alias("query"), spread(1).alias("i"), dealt(2).alias("q"))
-
-    def ranked(table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
-        x = np.ascontiguousarray(table["vector"].combine_chunks().flatten().to_numpy()).reshape(-1, width)
-        query = table["query"].to_numpy(zero_copy_only=False)
-        (qi, qx), (ci, cx) = (ids[query], x[query]), (ids[~query], x[~query])
-        out = []
-        if len(qi) and len(ci):
-            scores = qx @ cx.T
-            scores[qi[:, None] == ci[None, :]] = -np.inf
-            n = min(k, len(ci))
-            edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1.0, np.abs(edge)), -np.finfo(np.float64).max)
-            for a in range(len(qi)):
-                c = np.flatnonzero(scores[a] >= edge[a])
-                exact = (cx[c] * qx[a]).sum(1)
-                best = np.lexsort((ci[c], -exact))[:k]
-                out.append((np.full(len(best), qi[a]), ci[c][best], exact[best]))
-        query_id, vec, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": query_id, "vec_id": vec, "score": score})
-
-    found = left.unionByName(right).groupBy("part", "i", "q").applyInArrow(ranked, "query_id long, vec_id long, score double")
-    found = found.distinct()
+    queries = scratch.table(asking.mapInArrow(routed, "vec_id long, vector array<double>, parts array<int>, main int"), "queries")
+    asked = {r["main"]: r["n"] for r in queries.groupBy("main").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not asked:
+        return spark.createDataFrame([], result)
+    grid, groups = query_groups(asked, parts)
+    at = F.element_at(F.create_map(*[F.lit(v) for p in sorted(grid) for v in (p, F.array(*map(F.lit, grid[p])))]), F.col("main"))
+    queries = queries.withColumn("group", (F.element_at(at, 1) + F.pmod(F.xxhash64("vec_id", "vector"), F.element_at(at, 2))).cast("int"))
+    wanted = queries.select("group", F.explode("parts").alias("part")).groupBy("part").agg(F.collect_set("group").alias("groups"))
+    right = queries.select("group", F.lit(-1).alias("part"), "vec_id", "vector", "parts")
+    left = (index.join(F.broadcast(wanted.withColumnRenamed("part", "_p")), F.col("part") == F.col("_p"))
+            .select(F.explode("groups").alias("group"), "part", "vec_id", "vector", F.lit(None).cast("array<int>").alias("parts")))
+    dealt = right.unionByName(left).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "part")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, of = None, None
+        for batch in batches:
+            group, part = (batch.column(i).to_numpy() for i in (0, 1))
+            ids, x = batch.column(2).to_numpy(), vectors(batch)
+            starts = [0, *(np.flatnonzero((np.diff(group) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(ids)]
+            for a, b in zip(starts, starts[1:]):
+                if group[a] != of:
+                    if best is not None:
+                        yield best.rows()
+                    best, of = Nearest(k, parts), group[a]
+                if part[a] < 0:
+                    best.ask(ids[a:b], x[a:b], batch.column(4).slice(a, b - a).to_pylist())
+                else:
+                    best.offer(int(part[a]), ids[a:b], x[a:b])
+        if best is not None:
+            yield best.rows()
+
+    found = dealt.mapInArrow(found, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from equiscope.llm import hard_negatives, queries, token_files, whitening
+from equiscope.llm import ann, hard_negatives, queries, token_files, whitening
 from equiscope.llm.util import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +203,44 @@ def test_registered_token_files(spark):
         expected[r["doc_id"]] = (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.QUERIES["op13_token_files"](spark, SF).collect()} == expected
+
+
+def test_a_group_of_queries_holds_k_rows_each_whatever_the_parts():
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(900, 8)), np.arange(900)
+    ids[880:] = np.arange(20)  # ids repeated with other vectors
+    x[870:880], ids[870:880] = x[860:870], ids[860:870]  # and wholly repeated rows
+    part = rng.integers(0, 30, 900)
+    led = [sorted(rng.choice(30, rng.integers(1, 31), replace=False).tolist()) for _ in range(40)]
+    nearest = ann.Nearest(7, 30)
+    for a in (0, 25):
+        nearest.ask(ids[a:a + (25 if a == 0 else 15)], x[a:a + (25 if a == 0 else 15)], led[a:a + (25 if a == 0 else 15)])
+    for p in range(30):
+        for piece in np.array_split(np.flatnonzero(part == p), 3):
+            if len(piece):
+                nearest.offer(p, ids[piece], x[piece])
+    got = nearest.rows().to_pydict()
+    for q in range(40):
+        right = sorted({(-(x[i] * x[q]).sum(), int(ids[i])) for i in range(900) if part[i] in led[q] and ids[i] != ids[q]})[:7]
+        assert [(-s, v) for a, v, s in zip(*got.values()) if a == q] == right
+    assert len(got["query_id"]) <= 40 * 7
+
+
+def test_groups_grow_with_the_queries_not_with_the_parts():
+    for parts in (1, 8, 64, 1024):
+        grid, groups = ann.query_groups({p: 3 + p % 7 for p in range(parts)}, parts)
+        assert sorted(grid) == list(range(parts)) and 1 <= groups <= 2 * ann.GROUPS and {g for first, n in grid.values() for g in range(first, first + n)} == set(range(groups))
+    grid, groups = ann.query_groups({0: 5, 3: 1_000_000, 7: 2}, 8)
+    assert grid[3] == (1, -(-1_000_000 // ann.QUERIES)) and grid[7] == (groups - 1, 1)
+
+
+def test_search_makes_k_rows_a_query_before_the_ranking(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 6)))], "vec_id long, embedding array<float>")
+    out = ann.search(df, F.col("vec_id") % 10 == 0, k=5, rows_a_part=75, recall=1.0)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" not in plan  # a group of part and queries gave k rows a query for each part
+    found = out.collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    right = {(q, i + 1, v) for q in range(0, 1200, 10) for i, (_, v) in enumerate(sorted((-(x[v] @ x[q]), v) for v in x if v != q)[:5])}
+    assert len(found) == 600 and len({(r["query_id"], r["rank"], r["vec_id"]) for r in found} & right) >= 540
