@@ -27,6 +27,7 @@ The reader steps by the stated lengths and never searches for the mark.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import struct
@@ -68,7 +69,7 @@ class Encoder:
         self.by_part = (spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
                         and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec.get("added_tokens", []))
                         and spec.get("truncation") is None and spec.get("padding") is None)
-        self.remembered, self.first, self.after, self.marks = remembered, {}, {}, {}
+        self.remembered, self.forgotten, self.first, self.after, self.marks = remembered, 0, {}, {}, {}
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.character, self.tokenize = dict(enumerate(byte_characters())), self.tokenizer.model.tokenize
         self.serial = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
@@ -88,6 +89,13 @@ class Encoder:
                 self.marks[marks] = ids
         return ids
 
+    def _forget(self, memo: dict[str, bytes]) -> None:
+        """The half met first stays, for it holds what is met often; every eighth time all is forgotten, should the texts have changed."""
+        self.forgotten += 1
+        kept = dict(itertools.islice(memo.items(), self.remembered // 2 if self.forgotten % 8 else 0))
+        memo.clear()
+        memo.update(kept)
+
     def _part(self, part: str, lead: str) -> bytes:
         """Ids of a part behind ``lead``, remembered if short and without white space at an end where a space may follow or precede."""
         memo = self.after if lead else self.first
@@ -95,8 +103,10 @@ class Encoder:
         if ids is not None:
             return ids
         if len(memo) >= self.remembered:
-            memo.clear()
-        if word := WORD.fullmatch(part):
+            self._forget(memo)
+        if part.isalpha() and part.isascii():
+            ids = self._merged(self.space + part if lead else part)
+        elif word := WORD.fullmatch(part):
             letters, marks = word.groups()
             ids = memo.get(letters) if marks else None
             if ids is None:

@@ -244,3 +244,14 @@ def test_search_makes_k_rows_a_query_before_the_ranking(spark):
     x = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
     right = {(q, i + 1, v) for q in range(0, 1200, 10) for i, (_, v) in enumerate(sorted((-(x[v] @ x[q]), v) for v in x if v != q)[:5])}
     assert len(found) == 600 and len({(r["query_id"], r["rank"], r["vec_id"]) for r in found} & right) >= 540
+
+
+def test_words_met_first_are_remembered_when_the_memo_is_full():
+    encoder, words = token_files.Encoder(TOKENIZER, remembered=20), [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts = [" ".join(["the", *words[:5]]), *[f"{a} {b}, {a}é {i}." for i, (a, b) in enumerate(zip(words[5:], words[6:]))]]
+    texts = [*texts[:13], texts[0]]
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() + [0] for t in texts] == whole_ids(texts)
+    assert encoder.forgotten and all(w in encoder.after for w in words[:5]) and len(encoder.after) <= 20  # all were forgotten at once
+    many = [f"{a} {b}; {a}{b}" for a in words for b in words[:3]]
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() + [0] for t in many] == whole_ids(many)
+    assert encoder.forgotten > 8 and words[0] in encoder.after and len(encoder.after) <= 20
