@@ -4,7 +4,9 @@ r"""Token-id files: documents compressed one by one with a shared zstandard dict
 normaliser cuts text by a pattern in which a line end between two other
 characters is a piece and a single space between two others begins one, so the
 parts between are handed to its pre-tokenizer and model one by one and
-remembered; any other tokenizer encodes whole texts.
+remembered; any other tokenizer encodes whole texts. A task encodes a run of
+documents at a time: their parts are told apart by Arrow, and each different one
+is looked up once a run, not once a word.
 
 **Dictionary.** zstandard trains it on the serialized id arrays of a bounded
 sample of documents (``SAMPLE``). Each document is a frame of its own (with
@@ -31,6 +33,7 @@ import itertools
 import json
 import re
 import struct
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,10 +46,14 @@ from .util import Scratch, arrow_rows, rows_with_ids
 MAGIC, END = b"EQSTOK01", "EQSTOKZZ"
 HEAD = "<8s32sIIQII"
 SAMPLE, SAMPLE_IDS, DICTIONARY, BLOCK, FILE, LEVEL = 2000, 1 << 14, 112_640, 1 << 19, 1 << 23, 3
+#: Bytes of text that a task encodes at once (a longer text alone).
+RUN = 1 << 20
 #: White space that is a boundary of pieces on its own: a line end, and a space that begins a piece, between two other characters.
 LINE, BETWEEN = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters and then marks: two pieces (an apostrophe could begin a contraction).
 WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([,.;:!?]*)")
+#: Whether a byte is ASCII white space, a mark of ``WORD``, an ASCII letter, as tables for ``bytes.translate``.
+SPACE, MARK, LETTER = (bytes(b in of for b in range(256)) for of in ({*range(9, 14), *range(28, 33)}, set(b",.;:!?"), {*range(65, 91), *range(97, 123)}))
 
 
 def byte_characters() -> list[str]:
@@ -152,6 +159,62 @@ class Encoder:
             lines = LINE.split(text)
         return self.end_of_line.join(map(self._line, lines))
 
+    def _own(self, part: str) -> bytes:
+        """Ids of a part before which no space was cut off."""
+        if part[0] == "\n" and len(part) > 1 and not part[1].isspace():
+            return self.end_of_line + self._part(part[1:], "")
+        return self._part(part, "")
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of each text (null: empty), each different part of all of them looked up once.
+
+        No piece has white space behind another character or a mark behind a
+        letter, and what is before a piece's begin does not change it; so texts
+        are cut there. Cuts are found in bytes: a document in which one follows
+        white space beyond ASCII is encoded by itself.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_part:
+            return [self.encode(t) for t in texts.to_pylist()]
+        at = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+        if at[0] == at[-1]:
+            return [b""] * len(texts)
+        data, at = texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])), at - at[0]
+        raw = np.frombuffer(data, "u1")
+        space, mark, letter = (np.frombuffer(bytes(data).translate(mask), bool) for mask in (SPACE, MARK, LETTER))
+        cut = (raw == 32) | (raw == 10)
+        cut[1:] &= ~space[:-1]
+        cut[1:] |= mark[1:] & letter[:-1]
+        cut[2:] |= mark[2:] & (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)  # À to ÿ, but not × and ÷
+        cut[at[:-1][at[1:] > at[:-1]]] = True
+        begins = np.flatnonzero(cut)
+        parts = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(np.append(begins, len(raw))), data]).dictionary_encode()
+        different = parts.dictionary
+        _, offsets, first = different.buffers()
+        spaced = np.frombuffer(first, "u1")[np.frombuffer(offsets, "<i8", len(different))] == 32
+        keys = pc.if_else(pa.array(spaced), pc.utf8_slice_codeunits(different, 1), different).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.after.get, keys))
+        own = np.flatnonzero(~spaced).tolist()
+        for i in own:
+            found[i] = self._own(keys[i])
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i in new:
+            found[i] = self._part(keys[i], " ")
+        ids = pa.array(found, pa.large_binary()).take(parts.indices)
+        words = np.searchsorted(begins, at)
+        ends = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1)[words].tolist()
+        held = ids.buffers()[2]
+        out = [held[a:b].to_pybytes() for a, b in zip(ends, ends[1:])]
+        unsure = [i for i in (*own, *new) if keys[i][-1:] > "\x7f" and keys[i][-1].isspace()]  # never remembered
+        if unsure:
+            places = np.flatnonzero(np.isin(parts.indices.to_numpy(), unsure))
+            for i in np.unique(np.searchsorted(words, places, "right") - 1).tolist():
+                out[i] = self.encode(texts[i].as_py())
+        return out
+
 
 def encoder_of(path: str) -> Encoder:
     """The worker's encoder: a worker's later tasks find it, with what it remembers, in the library's namespace."""
@@ -161,6 +224,13 @@ def encoder_of(path: str) -> Encoder:
     return held.get(path) or held.setdefault(path, Encoder(path))
 
 
+def without_encoders() -> None:
+    """A worker that packs or reads files has done its encoding: what it remembers is freed."""
+    if "tokenizers" in sys.modules:
+        vars(sys.modules["tokenizers"]).pop("_equiscope_encoders", None)
+        pa.default_memory_pool().release_unused()
+
+
 def narrow(ids: bytes, width: int) -> bytes:
     """The ids with ``width`` bytes each."""
     import numpy as np
@@ -174,6 +244,28 @@ def widened(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: int, size: int = RUN) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, in batches of about ``size`` bytes in the text column."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+            upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+            ends = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(a, b - a) for a, b in zip(ends, ends[1:]))
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from dealt(held)
+            held, n = [], 0
+    if held:
+        yield from dealt(held)
+
+
 def train(arrays: list[bytes], size: int = DICTIONARY) -> bytes:
     """A zstandard dictionary of at most ``size`` bytes and an eighth of the samples; empty when there are too few to train one."""
     import zstandard
@@ -204,7 +296,7 @@ def block_of(part: int, number: int, before: int, width: int, dictionary: bytes,
                      np.array(counts, "<u8").tobytes(), offsets.tobytes(), *frames])
 
 
-def blocks_in(data: bytes, digest: bytes) -> Iterator[tuple]:
+def blocks_in(data: bytes | memoryview, digest: bytes) -> Iterator[tuple]:
     """(part, number, width, ids before each document, doc_ids, numbers of ids, frames) of each block of a file."""
     import numpy as np
 
@@ -248,8 +340,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        for batch in batches:
-            made = [narrow(encoder.encode(t.as_py() or "") + tail, encoder.width) for t in batch.column(0)]
+        for batch in runs(batches, 0):
+            made = [narrow(ids + tail, encoder.width) for ids in encoder.encode_column(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([m for m in made if m and len(m) <= encoder.width * SAMPLE_IDS], pa.binary())], ["ids"])
 
     total = docs.count()
@@ -262,10 +354,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
 
         encoder = encoder_of(tokenizer)
         zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, **_dictionary(dictionary))
-        for batch in batches:
+        for batch in runs(batches, 1):
             counts, frames = [], []
-            for t in batch.column(1):
-                ids = encoder.encode(t.as_py() or "") + tail
+            for ids in encoder.encode_column(batch.column(1)):
+                ids += tail
                 counts.append(len(ids) // 4)
                 frames.append(zstd.compress(narrow(ids, encoder.width)))
             width = pa.array([encoder.width] * len(counts), pa.int32())
@@ -280,6 +372,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        without_encoders()
         part, number, before, rows, held, width = TaskContext.get().partitionId(), 0, 0, [], 0, 4
         out = lambda: pa.RecordBatch.from_arrays([pa.array([block_of(part, number, before, width, dictionary, rows)], pa.binary())], ["value"])
         for batch in batches:
@@ -311,7 +404,7 @@ def _frames(batches: Iterator[pa.RecordBatch], digest: bytes) -> Iterator[pa.Rec
     """The documents of files, still compressed, a block at a time."""
     for batch in batches:
         for content in batch.column(0):
-            for part, _, width, before, ids, counts, frames in blocks_in(content.as_py(), digest):
+            for part, _, width, before, ids, counts, frames in blocks_in(memoryview(content.as_buffer()), digest):
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(before.astype("int64")), pa.array(ids, pa.int64()), pa.array(counts),
                                                   pa.array([width] * n, pa.int32()), pa.array(frames, pa.binary())],
@@ -321,6 +414,7 @@ def _frames(batches: Iterator[pa.RecordBatch], digest: bytes) -> Iterator[pa.Rec
 def _decompressed(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
     import zstandard
 
+    without_encoders()
     zstd = zstandard.ZstdDecompressor(**_dictionary(dictionary))
     for whole in batches:
         for at in range(0, whole.num_rows, 64):

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -255,3 +256,42 @@ def test_words_met_first_are_remembered_when_the_memo_is_full():
     many = [f"{a} {b}; {a}{b}" for a in words for b in words[:3]]
     assert [np.frombuffer(encoder.encode(t), "<u4").tolist() + [0] for t in many] == whole_ids(many)
     assert encoder.forgotten > 8 and words[0] in encoder.after and len(encoder.after) <= 20
+
+
+def test_a_run_of_documents_looks_up_each_part_once():
+    encoder, rnd = token_files.Encoder(TOKENIZER, remembered=5), random.Random(8)
+    words, asked, tokenize = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)], [], encoder.tokenize
+    encoder.tokenize = lambda piece: asked.append(piece) or tokenize(piece)
+    texts = [" ".join(rnd.choice(words) + rnd.choice(["", ",", "."]) for _ in range(50)) for _ in range(100)]
+    got = encoder.encode_column(pa.array(texts))
+    assert [np.frombuffer(ids, "<u4").tolist() + [0] for ids in got] == whole_ids(texts)
+    assert len(asked) <= 2 * len(words) + 8  # behind a space or not, and the marks; thousands when each word of a full memo was encoded again
+
+
+def test_a_run_of_odd_documents():
+    rnd = random.Random(9)
+    pieces = ["a", "The", "é", "ñ", "×", "÷", "中", "'s", "it's", ",", ".", "?!", ":'s", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "9", "€", "\x1c", "\x85", "\xa0", "\u2003",
+              "\u3000", "\u200b", "\u0301", "\0", "<|endoftext|>", "...", "x" * 90]
+    texts = [rnd.choice([None, ""]) if rnd.random() < 0.1 else "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(20_000)]
+    expected = [struct.pack(f"<{len(ids) - 1}I", *ids[:-1]) for ids in whole_ids(texts)]
+    for kept in (5, 100_000):
+        encoder, got = token_files.Encoder(TOKENIZER, remembered=kept), []
+        whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"]).slice(3)
+        ids = []
+        for run in token_files.runs(iter([whole.slice(0, 7000), whole.slice(7000, 0), whole.slice(7000)]), 1, 3000):
+            ids += run.column(0).to_pylist()
+            got += encoder.encode_column(run.column(1))
+            assert run.num_rows == 1 or sum(len((t or "").encode()) for t in run.column(1).to_pylist()[1:]) <= 3000
+        assert ids == list(range(3, len(texts))) and got == expected[3:]
+    assert encoder.encode_column(pa.array([], pa.string())) == [] and encoder.encode_column(pa.array([None, ""], pa.string())) == [b"", b""]
+    other = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.encode_column(pa.array(["Two words", None])) == [other.encode("Two words"), b""]
+
+
+def test_a_worker_that_reads_holds_no_encoder():
+    import tokenizers
+
+    held = token_files.encoder_of(TOKENIZER)
+    assert token_files.encoder_of(TOKENIZER) is held
+    assert list(token_files._decompressed(iter([]), b"")) == [] and "_equiscope_encoders" not in vars(tokenizers)
+    assert token_files.encoder_of(TOKENIZER) is not held
