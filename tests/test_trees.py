@@ -88,3 +88,17 @@ def test_numbers_that_no_tree_can_use_are_refused(spark, column):
     df = frame(spark, 60).withColumn(column, F.when(F.col("id") == 5, float("nan")).otherwise(F.col(column)))
     with pytest.raises(Exception, match="finite|Illegal"):
         MD.cross_fit(df, ROLES, "y", "fold", {"boost": boosted(1)})
+
+
+def test_ridge_search_joins_its_tables_once(spark, monkeypatch):
+    from equiscope.plans import model_q
+
+    folded, read = model_q._folded, spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(model_q, "_folded", lambda *a: folded(*a).transform(lambda df: df.mapInPandas(run, df.schema)))
+    assert model_q.random_search_ridge(spark, "/root/testdata/sf0.001").count() == 30 and read.value == 6000
